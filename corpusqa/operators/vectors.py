@@ -20,6 +20,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 QUESTIONS_PER_BLOCK = 2048
 VECTORS_PER_BLOCK = 65536
 _PAIRS_AT_ONCE = 1 << 20
+_NUMBERS_AT_ONCE = 1 << 23
 
 
 def vector_dimension(vectors: DataFrame) -> DataFrame:
@@ -52,6 +53,7 @@ def _nearest(ids: np.ndarray, queries: np.ndarray, batch: pd.DataFrame, key: lis
     norms = np.einsum("ij,ij->i", stored, stored)
     found = []
     step = max(1, _PAIRS_AT_ONCE // len(stored))
+    per_slice = max(1, _NUMBERS_AT_ONCE // stored.shape[1])
     for start in range(0, len(queries), step):
         part = queries[start : start + step]
         part_norms = np.einsum("ij,ij->i", part, part)
@@ -63,12 +65,9 @@ def _nearest(ids: np.ndarray, queries: np.ndarray, batch: pd.DataFrame, key: lis
         # the product form is off by rounding: keep everything near the limit, then measure directly
         slack = 1e-9 * (part_norms + norms.max())
         rows, columns = np.nonzero(rough <= (limit + slack)[:, None])
+        slices = range(0, len(rows), per_slice)
         exact = np.concatenate(
-            [
-                ((stored[columns[i : i + _PAIRS_AT_ONCE // 8]] - part[rows[i : i + _PAIRS_AT_ONCE // 8]]) ** 2).sum(axis=1)
-                for i in range(0, len(rows), _PAIRS_AT_ONCE // 8)
-            ]
-            or [np.empty(0)]
+            [((stored[columns[i : i + per_slice]] - part[rows[i : i + per_slice]]) ** 2).sum(axis=1) for i in slices]
         )
         order = np.lexsort((columns, exact, rows))
         rows, columns, exact = rows[order], columns[order], exact[order]
