@@ -98,7 +98,7 @@ def _ngrams(term: Column, n: int) -> Column:
     return F.coalesce(F.transform(starts, lambda i: F.substring(term, i, F.lit(n))), F.array().cast("array<string>"))
 
 
-def tokenize(text: Column) -> Column:
+def tokenize(text: Column, strip_images: bool = True) -> Column:
     """Split normalised text on spaces; a segment of Chinese characters adds its 2- and 3-grams."""
 
     def segment_tokens(segment: Column) -> Column:
@@ -114,7 +114,7 @@ def tokenize(text: Column) -> Column:
             .otherwise(plain)
         )
 
-    return let(normalize_search_text(text), split_tokens)
+    return let(normalize_search_text(text, strip_images), split_tokens)
 
 
 def build_search_terms(question: Column, rewritten: Column, keywords: Column) -> Column:

@@ -64,9 +64,9 @@ def weighted_text(filename: Column, text: Column) -> Column:
     return F.concat_ws(" ", filename, filename, text)
 
 
-def document_terms(chunks: DataFrame, key: Sequence[str] = CHUNK_KEY) -> DataFrame:
+def document_terms(chunks: DataFrame, key: Sequence[str] = CHUNK_KEY, strip_images: bool = True) -> DataFrame:
     """Forward index, a narrow pass over the texts; a chunk without tokens stays, with length 1."""
-    tokens = tokenize(weighted_text(F.col("filename"), F.coalesce("text", F.lit(""))))
+    tokens = tokenize(weighted_text(F.col("filename"), F.coalesce("text", F.lit(""))), strip_images)
     tokenised = chunks.select(*key, tokens.alias("tokens"))
     return tokenised.select(
         *key,
@@ -97,15 +97,18 @@ def inverse_document_frequency(df: Column, n_docs: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def build_index(chunks: DataFrame, path: str | None = None, key: Sequence[str] = CHUNK_KEY) -> LexicalIndex:
+def build_index(
+    chunks: DataFrame, path: str | None = None, key: Sequence[str] = CHUNK_KEY, strip_images: bool = True
+) -> LexicalIndex:
     """Write the index tables under ``path`` (default: a new place in the shared scratch folder).
 
     ``key`` must tell chunks apart. Tables in which (filename, chunk_index) repeats pass the store's
-    own row columns as well, because every stored row counts as a document of its own.
+    own row columns as well, because every stored row counts as a document of its own. Substring
+    search needs ``strip_images=False`` when texts hold image blocks: it also looks inside those.
     """
     spark = chunks.sparkSession
     path = path or scratch_path(spark, "index")
-    document_terms(chunks, key).write.parquet(f"{path}/doc_terms")
+    document_terms(chunks, key, strip_images).write.parquet(f"{path}/doc_terms")
     doc_terms = spark.read.parquet(f"{path}/doc_terms")
     corpus_stats(doc_terms).write.parquet(f"{path}/corpus_stats")
     stats = spark.read.parquet(f"{path}/corpus_stats")
