@@ -20,6 +20,7 @@ SEED_FACTOR = 20
 WORTH_PRUNING = 0.2
 _BITS = 62
 _SLACK = 1e-9
+_UNIT = float(1 << 30)
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -112,13 +113,25 @@ def _look_up(pairs: DataFrame, terms: DataFrame, index: LexicalIndex) -> DataFra
 
 
 def _accumulate(matches: DataFrame, key, masks) -> DataFrame:
-    """Add up per pair; the matched terms travel as bits, not as lists of strings."""
-    return matches.groupBy("question_id", *key).agg(
-        F.sum("weight").alias("score"),
-        *[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0))).alias(m) for i, m in enumerate(masks)],
+    """Add up per pair; the matched terms travel as bits, not as lists of strings.
+
+    Weights are added as two whole numbers, the coarse and the fine part: their sums do not depend on
+    the order of addition, so copies of a text always tie.
+    """
+    coarse = F.floor(F.col("weight") * _UNIT)
+    return _with_score(
+        matches.groupBy("question_id", *key).agg(
+            F.sum(coarse).alias("coarse"),
+            F.sum(F.floor((F.col("weight") * _UNIT - coarse) * _UNIT)).alias("fine"),
+            *[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0))).alias(m) for i, m in enumerate(masks)],
+        )
     )
 
 
+def _with_score(sums: DataFrame) -> DataFrame:
+    return sums.withColumn("score", (F.col("coarse") + F.col("fine") / _UNIT) / _UNIT)
+
+
 def _split_terms(terms: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
     """Mark the decisive terms of each question: all but the weakest, whose bounds together stay
     below the k-th best score."""
@@ -165,6 +178,8 @@ def _pruned_scores(split: DataFrame, index: LexicalIndex, masks) -> DataFrame:
     weak = split.where(~F.col("decisive")).drop("floor", "decisive")
     looked_up = _look_up(contenders.select(*question, *key), weak, index)
     both = contenders.unionByName(_accumulate(looked_up, index.key, masks))
-    return both.groupBy("question_id", *key).agg(
-        F.sum("score").alias("score"), *[F.bit_or(m).alias(m) for m in masks]
+    return _with_score(
+        both.groupBy("question_id", *key).agg(
+            F.sum("coarse").alias("coarse"), F.sum("fine").alias("fine"), *[F.bit_or(m).alias(m) for m in masks]
+        )
     )

@@ -285,6 +285,27 @@ def _with_second_split(chunks: Column, splits: Column) -> Column:
     return F.when(splits.isNull(), chunks).otherwise(F.flatten(F.zip_with(chunks, splits, spread)))
 
 
+def segments(documents: DataFrame, text: str = "text") -> DataFrame:
+    """One row per paragraph: para_pos, content, seg_type, heading and the headings above it.
+
+    The chain is built inside the document's row, heading by heading.
+    """
+
+    def describe(p: Column) -> Column:
+        kind = classify_segment(p)
+        return F.struct(
+            p.alias("content"), kind.alias("seg_type"), F.when(kind == "heading", parse_heading(p)).alias("heading")
+        )
+
+    carried = [c for c in documents.columns if c != text]
+    described = F.transform(split_paragraphs(normalize_ingest_text(F.col(text))), describe)
+    listed = documents.select(*carried, described.alias("_segments"))
+    titles = F.transform(F.col("_segments"), lambda s: s["heading"])
+    rows = listed.select(*carried, titles.alias("_titles"), F.posexplode("_segments").alias("para_pos", "s"))
+    above = F.array_compact(F.slice("_titles", F.lit(1), F.col("para_pos")))
+    return rows.select(*carried, "para_pos", "s.*", above.alias("headings"))
+
+
 def chunk_text_with_headings(headings: Column, content: Column) -> Column:
     """The chain of headings in front of the content, so that a chunk can be read on its own."""
     prefix = F.concat(F.lit("["), F.array_join(headings, HEADING_JOIN), F.lit("]\n"))

@@ -79,13 +79,14 @@ def image_data_url(name: Column, content: Column) -> Column:
     mime = (
         F.when(extension == ".png", "image/png").when(extension == ".webp", "image/webp").otherwise("image/jpeg")
     )
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    # base64() breaks its lines after 76 characters
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
 
 
-def flag_oversize_images(data_url: Column) -> Column:
-    """True when the picture behind a data URL is estimated at more than 4 MiB."""
+def flag_oversize_images(data_url: Column, max_bytes: int = MAX_IMAGE_BYTES) -> Column:
+    """True when the picture behind a data URL is estimated at more than ``max_bytes``."""
     payload = F.when(F.contains(data_url, F.lit(",")), F.split_part(data_url, F.lit(","), F.lit(2))).otherwise(data_url)
-    return F.ceil(F.length(payload) * 3 / 4) > MAX_IMAGE_BYTES
+    return F.ceil(F.length(payload) * 3 / 4) > max_bytes
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
