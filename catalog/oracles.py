@@ -255,6 +255,23 @@ ORACLES["semantic_chunk"] = f"""WITH RECURSIVE {packing(SEGMENTS)},
    FROM blocks b LEFT JOIN chained c ON c.doc_id = b.doc_id AND c.para_pos = b.spot)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY spot, sub) - 1)::INT AS chunk_index, seg_type,
   CASE WHEN chain = '' THEN content ELSE '[' || chain || ']' || chr(10) || content END AS text FROM placed WHERE length(content) > 10"""
+ORACLES["number_chunks"] = f"""WITH {MARKDOWN}, {paragraphs('md', carry='filename')}, {PAGED},
+ counts AS (SELECT filename, count(*) AS n FROM paras GROUP BY filename)
+SELECT filename, page_number, (n + page_number - 1)::INT AS chunk_index FROM pages_ JOIN counts USING (filename)"""
+# of the separators only the line break occurs in these texts
+ORACLES["recursive_split"] = f"""
+WITH RECURSIVE p AS (SELECT doc_id, [x for x in string_split(replace(text, chr(10), chr(1) || chr(10)), chr(1)) if x <> ''] AS l FROM documents WHERE length(text) > 1000),
+ fold AS (SELECT doc_id, l, 1 AS i, []::VARCHAR[] AS win, []::VARCHAR[] AS out FROM p UNION ALL
+  SELECT doc_id, l, i + 1, CASE WHEN length(l[i]) >= 2000 THEN [] WHEN len(win) > 0 AND coalesce(list_sum([length(w) for w in win]), 0) + length(l[i]) > 2000
+     THEN list_append(win[list_min([j for j in range(1, len(win) + 2) if coalesce(list_sum([length(w) for w in win[j:]]), 0) <= least(150, 2000 - length(l[i]))]):], l[i])
+     ELSE list_append(win, l[i]) END,
+   CASE WHEN length(l[i]) >= 2000 THEN [{trim("array_to_string(win, '')")}, l[i]]
+     WHEN len(win) > 0 AND coalesce(list_sum([length(w) for w in win]), 0) + length(l[i]) > 2000 THEN [{trim("array_to_string(win, '')")}] ELSE [] END
+  FROM fold WHERE i <= len(l)),
+ told AS (SELECT doc_id, i, generate_subscripts(out, 1) AS sub, unnest(out) AS content FROM fold UNION ALL
+  SELECT doc_id, i + 1, 1, {trim("array_to_string(win, '')")} FROM fold WHERE i = len(l) + 1 UNION ALL
+  SELECT doc_id, 1, 1, text FROM documents WHERE length(text) <= 1000)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, sub) - 1)::INT AS piece, content FROM told WHERE content <> ''"""
 ORACLES["emit_page_chunks"] = f"""WITH {MARKDOWN}, {paragraphs('md', carry='filename')}, {PAGED},
  counts AS (SELECT filename, count(*) AS n FROM paras GROUP BY filename)
 SELECT filename, para_pos::INT AS chunk_index, 'text' AS type, content AS text FROM paras UNION ALL

@@ -288,18 +288,27 @@ def semantic_chunk(spark, folder):
     return chunks.select("doc_id", "chunk_index", "seg_type", "text")
 
 
+def _text_chunks(spark, folder):
+    paragraphs = F.posexplode(chunking.split_paragraphs(F.col("text"))).alias("chunk_index", "text")
+    return S.markdown(spark, folder).select("filename", "source", F.lit("text").alias("type"), paragraphs)
+
+
 @query
 def number_chunks(spark, folder):
-    return ingest.chunk_pages(S.sentence_pages(spark, folder)).where("type = 'page'").select("filename", "chunk_index", "text")
+    numbered = chunking.number_chunks(_text_chunks(spark, folder), S.sentence_pages(spark, folder))
+    return numbered.select("filename", "page_number", "chunk_index")
 
 
 @query
 def emit_page_chunks(spark, folder):
-    text_chunks = S.markdown(spark, folder).select(
-        "filename", "source", F.lit("text").alias("type"), F.posexplode(chunking.split_paragraphs(F.col("text"))).alias("chunk_index", "text")
-    )
     own = S.sentence_pages(spark, folder).withColumnRenamed("text_hint", "text")
-    return chunking.emit_page_chunks(text_chunks, own).select("filename", "chunk_index", "type", "text")
+    return chunking.emit_page_chunks(_text_chunks(spark, folder), own).select("filename", "chunk_index", "type", "text")
+
+
+@query
+def chunk_pages(spark, folder):
+    """Pages interpreted, assembled, chunked, and stored as pages too."""
+    return ingest.chunk_pages(S.sentence_pages(spark, folder)).select("filename", "chunk_index", "type", "text")
 
 
 # --- lexical search --------------------------------------------------------------------------------
