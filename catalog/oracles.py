@@ -122,6 +122,10 @@ WITH f AS (SELECT doc_id, '/up/' || source || '/' || doc_id || {EXTENSION_OF} AS
   (length(text) * 10000)::BIGINT AS length FROM documents)
 SELECT doc_id, path, length, CASE WHEN ext NOT IN ({", ".join(map(lit, ACCEPTED))}) THEN '不支持的文件类型: ' || ext
   WHEN length > {MAX_FILE_BYTES} THEN 'File too large' END AS rejected_reason FROM f"""
+ORACLES["read_documents"] = "SELECT doc_id, '.txt' AS extension, text || chr(10) AS text FROM documents"
+ORACLES["read_csv_as_text"] = """
+WITH c AS (SELECT doc_id, replace(replace(text, ' ', ','), chr(10), ',') AS line FROM documents)
+SELECT doc_id, chr(10) || '--- 表格: Sheet1 ---' || chr(10) || CASE WHEN contains(line, ',') THEN '"' || line || '"' ELSE line END || chr(10) || chr(10) AS text FROM c"""
 ORACLES["flag_oversize_images"] = """
 SELECT doc_id, ceil(length(base64(encode(text))) * 3 / 4) > 4096 AS oversize FROM documents"""
 ORACLES["image_data_url"] = """
@@ -250,11 +254,13 @@ _spaced = f"""spaced AS (SELECT doc_id, replace({trim("replace(text, chr(13), ''
  segs AS (SELECT *, {CLASSES} AS seg_type FROM paras), chained AS (SELECT *, '' AS chain FROM segs)"""
 ORACLES["pack_paragraphs"] = f"""WITH RECURSIVE {packing(_spaced)}
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY spot, sub) - 1)::INT AS piece, content, seg_type FROM blocks WHERE length(content) > 10"""
-ORACLES["semantic_chunk"] = f"""WITH RECURSIVE {packing(SEGMENTS)},
+_chunked = f"""WITH RECURSIVE {packing(SEGMENTS)},
  placed AS (SELECT b.doc_id, spot, sub, b.content, b.seg_type, coalesce(b.chain, c.chain, (SELECT max_by(chain, para_pos) FROM chained z WHERE z.doc_id = b.doc_id)) AS chain
-   FROM blocks b LEFT JOIN chained c ON c.doc_id = b.doc_id AND c.para_pos = b.spot)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY spot, sub) - 1)::INT AS chunk_index, seg_type,
-  CASE WHEN chain = '' THEN content ELSE '[' || chain || ']' || chr(10) || content END AS text FROM placed WHERE length(content) > 10"""
+   FROM blocks b LEFT JOIN chained c ON c.doc_id = b.doc_id AND c.para_pos = b.spot),
+ numbered AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY spot, sub) - 1)::INT AS chunk_index, seg_type,
+  CASE WHEN chain = '' THEN content ELSE '[' || chain || ']' || chr(10) || content END AS text FROM placed WHERE length(content) > 10)"""
+ORACLES["semantic_chunk"] = f"{_chunked} SELECT * FROM numbered"
+ORACLES["stream_ingest"] = f"{_chunked} SELECT filename, chunk_index, n.text FROM numbered n JOIN md USING (doc_id)"
 ORACLES["number_chunks"] = f"""WITH {MARKDOWN}, {paragraphs('md', carry='filename')}, {PAGED},
  counts AS (SELECT filename, count(*) AS n FROM paras GROUP BY filename)
 SELECT filename, page_number, (n + page_number - 1)::INT AS chunk_index FROM pages_ JOIN counts USING (filename)"""
@@ -399,6 +405,18 @@ ORACLES["generate_answers"] = f"""WITH {RERANKED},
  s AS (SELECT question_id, string_agg(filename, '|' ORDER BY r) AS sources FROM f GROUP BY question_id)
 SELECT item_id AS question_id, coalesce(context, '暂无相关文档') AS answer, coalesce(sources, '') AS sources
 FROM benchmark LEFT JOIN contexts c ON c.question_id = item_id LEFT JOIN s ON s.question_id = item_id"""
+ORACLES["rerank_documents"] = f"""WITH {matches()},
+ pair AS (SELECT question_id, filename, rank, string_split(b.text, ' ') AS w, substring(d.text, 1, 800) AS t FROM lexical JOIN docs d USING (filename)
+   JOIN benchmark b ON b.item_id = question_id WHERE rank < 10),
+ s AS (SELECT *, 10.0::DOUBLE * len([x for x in w if contains(t, x)]) / len(w) AS score FROM pair)
+SELECT question_id, filename, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) - 1)::INT AS final_rank, round(score, 6) AS rerank_score
+FROM s WHERE score >= 3"""
+ORACLES["extract_keywords"] = f"""
+SELECT item_id AS question_id, array_to_string({KEYWORDS}, '|') AS keywords FROM (SELECT item_id, replace(text, '.', '、') AS text FROM benchmark)"""
+ORACLES["rewrite_queries"] = """
+SELECT item_id AS question_id, CASE WHEN length(text) > 150 THEN replace(text, 'the ', '') ELSE text END AS rewritten FROM benchmark"""
+ORACLES["embed_questions"] = """
+SELECT item_id AS question_id, length(text)::INT AS chars, (length(text) - length(replace(text, ' ', '')))::INT AS spaces FROM benchmark"""
 ORACLES["empty_corpus_reply"] = """
 SELECT item_id AS question_id, '当前知识库为空，请先上传文档后再提问。' AS answer, 'empty' AS corpus FROM benchmark"""
 
@@ -464,3 +482,11 @@ SELECT conv_id, turn, role FROM conversations WHERE NOT (role = 'system' OR turn
 ORACLES["fold_answer_events"] = """
 SELECT conv_id || '-' || turn AS request_id, CASE WHEN role = 'system' THEN '抱歉，出现错误: timeout' ELSE text || ' ' END AS content,
   role || '.md|b.md' AS sources, 'img' || turn AS images, role <> 'system' AS done FROM conversations"""
+
+# --- streams ---------------------------------------------------------------------------------------
+
+ORACLES["stream_answers"] = f"""WITH {matches(keywords='[]::VARCHAR[]')}
+SELECT question_id, filename, rank::INT AS rank, round(score, 6) AS score FROM lexical WHERE rank < 10"""
+ORACLES["stream_fold_events"] = """
+SELECT conv_id || '-' || turn AS request_id, CASE WHEN role = 'system' THEN '抱歉，出现错误: timeout' ELSE text || ' ' END AS content,
+  role || '.md|b.md' AS sources, 'img' || turn AS images FROM conversations"""

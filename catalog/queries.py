@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from corpusqa.operators import bm25, chunking, context, conversation, fusion, le
 from corpusqa.plans import hybrid, ingest
 from corpusqa.sources import files, knowledge_base, pages
 from corpusqa.session import scratch_path
+from corpusqa.streaming import jobs
 
 QUERIES = {}
 
@@ -174,6 +173,31 @@ def accept_files(spark, folder):
     return files.accept_files(uploads)
 
 
+def _uploaded(spark, folder, suffix):
+    """Every text written to a file of its own, in a folder named after its document."""
+    place = scratch_path(spark, "uploads")
+    d = S.documents(spark, folder).select("doc_id", "text")
+    if suffix == "csv":
+        d = d.withColumn("text", F.regexp_replace("text", "[ \n]", ","))
+        d.write.partitionBy("doc_id").csv(place)
+    else:
+        d.write.partitionBy("doc_id").text(place)
+    return place
+
+
+@query
+def read_documents(spark, folder):
+    read = files.read_documents(spark, _uploaded(spark, folder, "txt"))
+    number = F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("bigint")
+    return read.select(number.alias("doc_id"), files.file_extension(F.col("filename")).alias("extension"), "text")
+
+
+@query
+def read_csv_as_text(spark, folder):
+    read = files.read_csv_as_text(spark, _uploaded(spark, folder, "csv"))
+    return read.select(F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"), "text")
+
+
 @query
 def flag_oversize_images(spark, folder):
     url = files.image_data_url(F.lit("p.png"), F.encode("text", "UTF-8"))
@@ -508,6 +532,40 @@ def _hybrid(spark, folder):
     )
 
 
+@query
+def rerank_documents(spark, folder):
+    hits = _lexical_hits(spark, folder)
+    with_text = hybrid.chunk_lookup(hits, _chunks(spark, folder)).join(S.plain_questions(spark, folder), "question_id")
+    kept = fusion.rerank_documents(with_text, models.batch_scorer(_word_share), prefix=800)
+    return kept.select("question_id", "filename", "final_rank", rounded("rerank_score"))
+
+
+def _word_share(asked, given):
+    """Stands in for a scoring model: tenths of the question's words that the excerpt holds."""
+    shares = [10.0 * sum(w in t for w in q.split(" ")) / len(q.split(" ")) for q, t in zip(asked, given)]
+    return asked.map(lambda _: None) if not shares else type(asked)(shares, index=asked.index)
+
+
+@query
+def extract_keywords(spark, folder):
+    asked = models.extract_keywords(S.plain_questions(spark, folder), lambda texts: texts.str.replace(".", "、", regex=False))
+    return asked.select("question_id", joined(F.col("keywords")).alias("keywords"))
+
+
+@query
+def rewrite_queries(spark, folder):
+    shorter = lambda texts: texts.where(texts.str.len() > 150).str.replace("the ", "", regex=False)
+    return models.rewrite_queries(S.plain_questions(spark, folder), shorter).select("question_id", "rewritten")
+
+
+@query
+def embed_questions(spark, folder):
+    asked = models.rewrite_queries(S.plain_questions(spark, folder))
+    counts = lambda texts: texts.map(lambda t: [float(len(t)), float(t.count(" "))])
+    embedded = models.embed_questions(asked, models.batch_embedder(counts))
+    return embedded.select("question_id", F.col("vector")[0].cast("int").alias("chars"), F.col("vector")[1].cast("int").alias("spaces"))
+
+
 @query
 def hybrid_search(spark, folder):
     return _hybrid(spark, folder).select("question_id", "filename", "final_rank", rounded("rrf_score"), rounded("rerank_score"))
@@ -693,3 +751,47 @@ def delete_messages(spark, folder):
 def fold_answer_events(spark, folder):
     folded = context.fold_answer_events(S.events(spark, folder))
     return folded.select("request_id", "content", joined(F.col("sources")).alias("sources"), joined(F.col("images")).alias("images"), "done")
+
+
+# --- streams ---------------------------------------------------------------------------------------
+
+
+def _stream(spark, folder, name):
+    """The one file of a test table as a stream."""
+    schema = S.table(spark, folder, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+@query
+def stream_ingest(spark, folder):
+    base = knowledge_base.KnowledgeBase(spark, scratch_path(spark, "base"), models.hashing_embedder(16))
+    arriving = S.as_markdown(S.as_documents(_stream(spark, folder, "documents")))
+    jobs.stream_ingest(base, arriving, scratch_path(spark, "progress")).awaitTermination()
+    return base.scan().select("filename", "chunk_index", "text")
+
+
+@query
+def stream_answers(spark, folder):
+    index, sink = S.index(spark, folder), scratch_path(spark, "answers")
+    asked = _stream(spark, folder, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    jobs.stream_answers(asked, lambda batch: bm25.bm25_search(batch, index), sink, scratch_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(sink).select("question_id", "filename", F.col("rank").cast("int").alias("rank"), rounded("score"))
+
+
+@query
+def stream_fold_events(spark, folder):
+    told, sink = scratch_path(spark, "events"), scratch_path(spark, "messages")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    S.events(spark, folder).withColumn("event_time", start).write.parquet(told)
+    arriving = spark.readStream.schema(spark.read.parquet(told).schema).parquet(told)
+    (
+        jobs.stream_fold_events(arriving)
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/batch_id={n}"))
+        .option("checkpointLocation", scratch_path(spark, "progress"))
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    folded = spark.read.parquet(sink)
+    return folded.select("request_id", "content", joined(F.col("sources")).alias("sources"), joined(F.col("images")).alias("images"))

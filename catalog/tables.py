@@ -16,9 +16,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
+def as_documents(rows: DataFrame) -> DataFrame:
     """documents(doc_id, filename, chunk_index, source, lang, text): each text a chunk of its own file."""
-    return spread(table(spark, folder, "documents")).select(
+    return rows.select(
         "doc_id",
         F.concat_ws("/", "source", "doc_id").alias("filename"),
         F.lit(0).alias("chunk_index"),
@@ -28,6 +28,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return as_documents(spread(table(spark, folder, "documents")))
+
+
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark").select(
         F.col("item_id").alias("question_id"), F.col("text").alias("question"), parse_keyword_list(F.col("text")).alias("keywords")
@@ -70,8 +74,11 @@ def questions_with_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
+    return as_markdown(documents(spark, folder))
+
+
+def as_markdown(d: DataFrame) -> DataFrame:
     """A Markdown document around every text: headings, paragraphs, a table, a list."""
-    d = documents(spark, folder)
     number, facts = F.col("doc_id").cast("string"), F.length("text").cast("string")
     text = F.concat(
         F.lit("# "), F.col("source"), F.lit("\n\n"), F.replace("text", F.lit("\n"), F.lit("\n \t\n")),

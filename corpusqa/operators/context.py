@@ -114,43 +114,45 @@ def answer_events(answers: DataFrame) -> DataFrame:
     )
 
 
-def fold_answer_events(events: DataFrame) -> DataFrame:
-    """events(request_id, seq, type, content, sources, images) -> one message per request.
-
-    Contents are joined up to the first ``done`` or ``error``; an error replaces the content; the last
-    sources and images seen before the end stay.
-    """
-    ended = F.col("type").isin("done", "error")
-    parts = events.groupBy("request_id").agg(
-        F.min(F.when(ended, F.col("seq"))).alias("end_seq"),
-        F.min_by("type", F.when(ended, F.col("seq"))).alias("end_type"),
-        F.min_by("content", F.when(ended, F.col("seq"))).alias("end_content"),
-        F.sort_array(
-            F.collect_list(F.when(F.col("type") == "content", F.struct("seq", F.coalesce("content", F.lit("")).alias("v"))))
-        ).alias("contents"),
-        F.sort_array(F.collect_list(F.when(F.col("type") == "sources", F.struct("seq", F.col("sources").alias("v"))))).alias(
-            "sources"
-        ),
-        F.sort_array(F.collect_list(F.when(F.col("type") == "images", F.struct("seq", F.col("images").alias("v"))))).alias(
-            "images"
-        ),
+def _told(kind: str, value: Column) -> Column:
+    """Events of one kind in order, as (seq, v)."""
+    return F.sort_array(F.collect_list(F.when(F.col("type") == kind, F.struct("seq", value.alias("v")))))
+
+
+def fold_events(grouped, *keys: str) -> DataFrame:
+    """Fold grouped answer events, batch or streaming, into one message per group; see below."""
+    end = F.when(F.col("type").isin("done", "error"), F.col("seq"))
+    parts = grouped.agg(
+        F.min(end).alias("end_seq"),
+        F.min_by("type", end).alias("end_type"),
+        F.min_by("content", end).alias("end_content"),
+        _told("content", F.coalesce("content", F.lit(""))).alias("contents"),
+        _told("sources", F.col("sources")).alias("sources"),
+        _told("images", F.col("images")).alias("images"),
     )
 
     def before_end(values: str) -> Column:
-        end = F.col("end_seq")
-        kept = F.filter(values, lambda s: end.isNull() | (s["seq"] < end))
+        kept = F.filter(values, lambda s: F.col("end_seq").isNull() | (s["seq"] < F.col("end_seq")))
         return F.transform(kept, lambda s: s["v"])
 
     def last(values: str) -> Column:
-        found = before_end(values)
-        return F.coalesce(F.try_element_at(found, F.lit(-1)), F.array().cast("array<string>"))
+        return F.coalesce(F.try_element_at(before_end(values), F.lit(-1)), F.array().cast("array<string>"))
 
+    failure = F.concat(F.lit(ERROR_PREFIX), F.coalesce("end_content", F.lit("未知错误")))
     return parts.select(
-        "request_id",
-        F.when(F.col("end_type") == "error", F.concat(F.lit(ERROR_PREFIX), F.coalesce("end_content", F.lit("未知错误"))))
-        .otherwise(F.array_join(before_end("contents"), ""))
-        .alias("content"),
+        *keys,
+        F.when(F.col("end_type") == "error", failure).otherwise(F.array_join(before_end("contents"), "")).alias("content"),
         last("sources").alias("sources"),
         last("images").alias("images"),
-        F.coalesce(F.col("end_type") == "done", F.lit(False)).alias("done"),
+        "end_type",
     )
+
+
+def fold_answer_events(events: DataFrame) -> DataFrame:
+    """events(request_id, seq, type, content, sources, images) -> one message per request.
+
+    Contents are joined up to the first ``done`` or ``error``; an error replaces the content; the last
+    sources and images told before the end stay. A group is one answer.
+    """
+    folded = fold_events(events.groupBy("request_id"), "request_id")
+    return folded.withColumn("done", F.coalesce(F.col("end_type") == "done", F.lit(False))).drop("end_type")

@@ -98,6 +98,13 @@ def rerank_filter(reranked: DataFrame, threshold: float = RERANK_THRESHOLD) -> D
     return reranked.where(F.col("rerank_score") >= threshold)
 
 
+def rerank_documents(hits: DataFrame, scorer=constant_score, threshold: float = RERANK_THRESHOLD, **scoring) -> DataFrame:
+    """Older variant: every hit is scored, all above the threshold stay, best first (``final_rank``)."""
+    kept = rerank_filter(rerank(hits, scorer, **scoring), threshold)
+    order = W.partitionBy("question_id").orderBy(F.desc("rerank_score"), F.asc("rank"))
+    return kept.withColumn("final_rank", F.row_number().over(order) - 1)
+
+
 def final_topk(reranked: DataFrame, k: int = FINAL_HITS, threshold: float = RERANK_THRESHOLD) -> DataFrame:
     """Threshold, then the best ``k`` per question; equal scores keep their fused order."""
     return top_k(

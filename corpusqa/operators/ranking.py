@@ -30,15 +30,13 @@ def number_rows(df: DataFrame, order: Sequence[str], group: Sequence[str] = (),
     """
     keys = [*group, *order]
     ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    piece, local = f"{name}_piece", f"{name}_local"
-    marked = ordered.withColumn(piece, F.spark_partition_id())
-    by_piece = W.partitionBy(piece, *group).orderBy(*order)
-    marked = materialise(marked.withColumn(local, F.row_number().over(by_piece)), "numbered")
-    # as many rows as there are (partition, group) pairs, found by partial aggregation; the running
-    # sum of a group walks over its partitions, not over its rows
-    sizes = marked.groupBy(piece, *group).agg(F.max(local).alias("n"))
+    # numbers run on inside a partition, where the rows of a group lie side by side
+    place, piece = f"{name}_place", f"{name}_piece"
+    marked = ordered.withColumn(place, F.monotonically_increasing_id()).withColumn(piece, F.spark_partition_id())
+    marked = materialise(marked, "numbered")
+    # a row per (partition, group) that meet; the running sum of a group walks over its partitions
+    sizes = marked.groupBy(piece, *group).agg(F.count("*").alias("n"), F.min(place).alias("first"))
     before = W.partitionBy(*group).orderBy(piece).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(piece, *group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return marked.join(offsets, [piece, *group]).withColumn(name, F.col("offset") + F.col(local) - 1).drop(
-        piece, local, "offset"
-    )
+    offsets = sizes.select(piece, *group, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    offsets = materialise(offsets, "offsets")
+    return marked.join(offsets, [piece, *group]).withColumn(name, F.col(place) + F.col("shift")).drop(place, piece, "shift")

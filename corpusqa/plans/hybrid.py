@@ -77,6 +77,7 @@ def hybrid_search(
     asked = prepare_questions(questions)
     if "vector" not in asked.columns:
         asked = embed_questions(asked, embedder)
+    asked = materialise(asked, "questions")  # used several times: models are asked once
     candidates = materialise(fused_candidates(asked, index, vectors, settings), "fused")
     with_text = chunk_lookup(candidates, chunks).join(asked.select("question_id", "question"), "question_id")
     return final_topk(rerank(with_text, scorer, **scoring), settings.final_hits, settings.rerank_threshold).drop("question")

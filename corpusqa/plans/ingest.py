@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusqa.models import interpret_pages
 from corpusqa.operators.chunking import emit_page_chunks, semantic_chunk
+from corpusqa.session import materialise
 from corpusqa.sources.knowledge_base import KnowledgeBase
 from corpusqa.sources.pages import assemble_pages
 
@@ -23,10 +24,12 @@ def chunk_pages(pages: DataFrame, interpreter=None, include_pages: bool = True)
     becomes a chunk. Pictures stay with their page rows and take no part in grouping the texts.
     """
     seen = interpret_pages(pages, interpreter)
+    if include_pages or interpreter is not None:
+        seen = materialise(seen, "interpreted")  # used twice: the model is not asked twice
     text_chunks = semantic_chunk(assemble_pages(seen.drop("image")).drop("n_pages"))
     if not include_pages:
         return text_chunks
-    return emit_page_chunks(text_chunks, seen)
+    return emit_page_chunks(materialise(text_chunks, "text_chunks"), seen)
 
 
 def ingest_documents(base: KnowledgeBase, documents: DataFrame, replace: bool = False, txn: str | None = None) -> int:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusqa.operators.context import fold_events
 from corpusqa.plans.ingest import ingest_documents
 from corpusqa.sources.files import text_reader
 from corpusqa.sources.knowledge_base import KnowledgeBase
@@ -59,29 +60,8 @@ def stream_answers(
 def stream_fold_events(events: DataFrame, watermark: str = "10 minutes", time: str = "event_time") -> DataFrame:
     """Streaming aggregation of answer events: one finished message per request (update mode).
 
-    State is kept per request until ``watermark`` has passed since its start, which bounds it. Requests
-    appear once their end has been seen; ``events`` need ``request_time``, the start of their request,
-    in column ``time``.
+    ``time`` holds the start of the request, the same for all its events. State is kept until
+    ``watermark`` has passed since then, which bounds it; a request appears once its end was seen.
     """
-    ended = F.col("type").isin("done", "error")
-    folded = (
-        events.withWatermark(time, watermark)
-        .groupBy("request_id", time)
-        .agg(
-            F.min(F.when(ended, F.struct("seq", "type", "content"))).alias("end"),
-            F.collect_list(F.when(F.col("type") == "content", F.struct("seq", F.coalesce("content", F.lit("")).alias("v")))).alias("contents"),
-            F.max(F.when(F.col("type") == "sources", F.struct("seq", "sources"))).alias("sources"),
-            F.max(F.when(F.col("type") == "images", F.struct("seq", "images"))).alias("images"),
-        )
-    )
-    no_list = F.array().cast("array<string>")
-    heard = F.filter(F.sort_array("contents"), lambda s: s["seq"] < F.col("end.seq"))
-    text = F.array_join(F.transform(heard, lambda s: s["v"]), "")
-    return folded.where(F.col("end").isNotNull()).select(
-        "request_id",
-        F.when(F.col("end.type") == "error", F.concat(F.lit("抱歉，出现错误: "), F.coalesce("end.content", F.lit("未知错误"))))
-        .otherwise(text)
-        .alias("content"),
-        F.coalesce("sources.sources", no_list).alias("sources"),
-        F.coalesce("images.images", no_list).alias("images"),
-    )
+    groups = events.withWatermark(time, watermark).groupBy("request_id", time)
+    return fold_events(groups, "request_id").where(F.col("end_type").isNotNull()).drop("end_type")
