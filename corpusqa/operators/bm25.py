@@ -52,15 +52,15 @@ def known_terms(questions: DataFrame, index: LexicalIndex) -> DataFrame:
 
 def bm25_match(questions: DataFrame, index: LexicalIndex) -> DataFrame:
     """Every (question, chunk, term) match with its share of the score."""
-    return _matches(known_terms(questions, index), index.postings).select(
-        "question_id", *index.key, "term", "tf", "weight"
-    )
+    matches = _matches(known_terms(questions, index), index.postings)
+    return index.with_keys(matches.select("question_id", "doc_no", "term", "tf", "weight"))
 
 
 def bm25_score(questions: DataFrame, index: LexicalIndex) -> DataFrame:
     """Score of every matching (question, chunk) pair; ``bm25_search`` keeps the best ones."""
     terms = materialise(known_terms(questions, index), "terms")
-    return _accumulate(_matches(terms, index.postings), index.key, []).select("question_id", *index.key, "score")
+    scores = _accumulate(_matches(terms, index.postings), []).select("question_id", "doc_no", "score")
+    return index.with_keys(scores)
 
 
 def bm25_search(questions: DataFrame, index: LexicalIndex, k: int = 10, prune: bool | None = None) -> DataFrame:
@@ -74,20 +74,15 @@ def bm25_search(questions: DataFrame, index: LexicalIndex, k: int = 10, prune: b
     terms = materialise(known_terms(questions, index), "terms")
     totals = terms.agg(F.sum("df").alias("pairs"), F.max("word").alias("words")).first()
     masks = [f"mask_{i}" for i in range((totals["words"] or 0) + 1)]
-    forced = prune
-    if prune is None:
-        prune = (totals["pairs"] or 0) > PAIRS_SCORED_DIRECTLY
-    split = _split_terms(terms, index, k) if prune else None
-    if split is not None and forced is None:
-        decisive = split.agg(F.sum(F.when(F.col("decisive"), F.col("df")).otherwise(0))).first()[0]
-        if decisive > WORTH_PRUNING * totals["pairs"]:
-            split = None
-    if split is not None:
-        scored = _pruned_scores(split, index, masks)
-    else:
-        scored = _accumulate(_matches(terms, index.postings), index.key, masks)
-    order = [F.desc("score"), *[F.asc(c) for c in index.key]]
-    best = top_k(scored.where(F.col("score") > 0), ["question_id"], order, k)
+    pairs = totals["pairs"] or 0
+    scored = None
+    if prune or (prune is None and pairs > PAIRS_SCORED_DIRECTLY):
+        scored = _pruned_scores(terms, index, k, masks, float("inf") if prune else pairs)
+    if scored is None:
+        scored = _accumulate(_matches(terms, index.postings), masks)
+    # chunk numbers follow the keys: equal scores come in key order
+    best = top_k(scored.where(F.col("score") > 0), ["question_id"], [F.desc("score"), F.asc("doc_no")], k)
+    best = index.with_keys(materialise(best, "best"))
     # one row per question, as long as the question itself
     spelled = terms.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term", "word", "bit"))).alias("all"))
     words = F.array(*masks)
@@ -105,14 +100,14 @@ def _matches(terms: DataFrame, postings: DataFrame) -> DataFrame:
 def _look_up(pairs: DataFrame, terms: DataFrame, index: LexicalIndex) -> DataFrame:
     """The same matches for given (question, chunk) pairs only, read from the forward index."""
     return (
-        index.doc_terms.join(pairs, list(index.key))
-        .select("question_id", *index.key, "doc_len", F.inline("terms"))
+        index.doc_terms.join(pairs, "doc_no")
+        .select("question_id", "doc_no", "doc_len", F.inline("terms"))
         .join(terms, ["question_id", "term"])
         .withColumn("weight", F.col("idf") * saturation(F.col("tf"), F.col("doc_len"), F.col("avg_len")))
     )
 
 
-def _accumulate(matches: DataFrame, key, masks) -> DataFrame:
+def _accumulate(matches: DataFrame, masks) -> DataFrame:
     """Add up per pair; the matched terms travel as bits, not as lists of strings.
 
     Weights are added as two whole numbers, the coarse and the fine part: their sums do not depend on
@@ -120,7 +115,7 @@ def _accumulate(matches: DataFrame, key, masks) -> DataFrame:
     """
     coarse = F.floor(F.col("weight") * _UNIT)
     return _with_score(
-        matches.groupBy("question_id", *key).agg(
+        matches.groupBy("question_id", "doc_no").agg(
             F.sum(coarse).alias("coarse"),
             F.sum(F.floor((F.col("weight") * _UNIT - coarse) * _UNIT)).alias("fine"),
             *[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0))).alias(m) for i, m in enumerate(masks)],
@@ -135,25 +130,23 @@ def _with_score(sums: DataFrame) -> DataFrame:
 def _split_terms(terms: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
     """Mark the decisive terms of each question: all but the weakest, whose bounds together stay
     below the k-th best score."""
-    question, key = ["question_id"], list(index.key)
-    rare_first = W.partitionBy(*question).orderBy("df", "pos").rowsBetween(W.unboundedPreceding, -1)
+    rare_first = W.partitionBy("question_id").orderBy("df", "pos").rowsBetween(W.unboundedPreceding, -1)
     seeds = terms.withColumn("read", F.coalesce(F.sum("df").over(rare_first), F.lit(0))).where(
         F.col("read") < SEED_FACTOR * k
     )
     # Full scores of the chunks that lead on rare terms: the k-th best of all cannot be below the
     # k-th best of these.
-    seed_scores = _accumulate(_matches(seeds.drop("read"), index.postings), index.key, [])
-    leaders = materialise(
-        top_k(seed_scores, question, [F.desc("score"), *key], k).select(*question, *key), "leaders"
-    )
+    seed_scores = _accumulate(_matches(seeds.drop("read"), index.postings), [])
+    leaders = top_k(seed_scores, ["question_id"], [F.desc("score"), F.asc("doc_no")], k)
+    leaders = materialise(leaders.select("question_id", "doc_no"), "leaders")
     floors = (
-        _accumulate(_look_up(leaders, terms, index), index.key, [])
-        .groupBy(*question)
+        _accumulate(_look_up(leaders, terms, index), [])
+        .groupBy("question_id")
         .agg(F.count("*").alias("n"), (F.min("score") * (1 - _SLACK)).alias("floor"))
         .where(F.col("n") == k)
         .drop("n")
     )
-    weak_first = W.partitionBy(*question).orderBy("bound", "pos").rowsBetween(W.unboundedPreceding, 0)
+    weak_first = W.partitionBy("question_id").orderBy("bound", "pos").rowsBetween(W.unboundedPreceding, 0)
     return materialise(
         terms.join(floors, "question_id", "left")
         .withColumn("floor", F.coalesce("floor", F.lit(0.0)))
@@ -162,24 +155,30 @@ def _split_terms(terms: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
     )
 
 
-def _pruned_scores(split: DataFrame, index: LexicalIndex, masks) -> DataFrame:
-    question, key = ["question_id"], list(index.key)
+def _pruned_scores(terms: DataFrame, index: LexicalIndex, k: int, masks, budget: float) -> DataFrame | None:
+    """Scores of all chunks that can be among the best; None when that would cost more matches than
+    ``budget``, which is what scoring everything takes."""
+    split = _split_terms(terms, index, k)
+    if (split.where("decisive").agg(F.sum("df")).first()[0] or 0) > WORTH_PRUNING * budget:
+        return None
     rest = split.groupBy("question_id").agg(
         F.sum(F.when(F.col("decisive"), 0.0).otherwise(F.col("bound"))).alias("rest"), F.first("floor").alias("floor")
     )
     decisive = split.where("decisive").drop("floor", "decisive")
     contenders = materialise(
-        _accumulate(_matches(decisive, index.postings), index.key, masks)
+        _accumulate(_matches(decisive, index.postings), masks)
         .join(rest, "question_id")
         .where(F.col("score") + F.col("rest") * (1 + _SLACK) >= F.col("floor"))
         .drop("rest", "floor"),
         "contenders",
     )
+    if contenders.count() * index.corpus_stats.first()["avg_terms"] > budget:
+        return None
     weak = split.where(~F.col("decisive")).drop("floor", "decisive")
-    looked_up = _look_up(contenders.select(*question, *key), weak, index)
-    both = contenders.unionByName(_accumulate(looked_up, index.key, masks))
+    looked_up = _look_up(contenders.select("question_id", "doc_no"), weak, index)
+    both = contenders.unionByName(_accumulate(looked_up, masks))
     return _with_score(
-        both.groupBy("question_id", *key).agg(
+        both.groupBy("question_id", "doc_no").agg(
             F.sum("coarse").alias("coarse"), F.sum("fine").alias("fine"), *[F.bit_or(m).alias(m) for m in masks]
         )
     )

@@ -2,12 +2,13 @@
 
 Three Parquet tables:
 
-* ``doc_terms``    one row per chunk: key, length, ``terms array<struct<term, tf>>`` (forward index)
-* ``postings``     one row per (term, chunk), range-partitioned and sorted by term, so that a search
-                   for a few terms skips the row groups of all others (inverted index)
+* ``doc_terms``    one row per chunk: number, key, length, ``terms array<struct<term, tf>>`` (forward index)
+* ``postings``     one row per (term, chunk number), range-partitioned and sorted by term, so that a
+                   search for a few terms skips the row groups of all others (inverted index)
 * ``term_stats``   one row per term: document frequency and the largest possible weight in any chunk
 
-and one row of corpus totals.
+and one row of corpus totals. Chunk numbers follow the order of the keys: joins, sums and tie-breaks run
+on one whole number, and keys are looked up for the winners only.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ class LexicalIndex:
     corpus_stats: DataFrame
     key: tuple[str, ...]
 
+    def with_keys(self, rows: DataFrame) -> DataFrame:
+        """Replace the chunk number in ``rows`` by the chunk's key."""
+        return rows.join(self.doc_terms.select("doc_no", *self.key), "doc_no").drop("doc_no")
+
 
 def term_counts(tokens: Column) -> Column:
     """``array<struct<term, tf>>`` of a token array, counted inside the row (no shuffle)."""
@@ -85,8 +90,10 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 
 
 def corpus_stats(doc_terms: DataFrame) -> DataFrame:
-    """Number of chunks and their mean length, over all chunks."""
-    return doc_terms.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    """Number of chunks, their mean length and mean number of different terms, over all chunks."""
+    return doc_terms.agg(
+        F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"), F.avg(F.size("terms")).alias("avg_terms")
+    )
 
 
 def saturation(tf: Column, doc_len: Column, avg_len: Column) -> Column:
@@ -108,15 +115,19 @@ def build_index(
     """
     spark = chunks.sparkSession
     path = path or scratch_path(spark, "index")
-    document_terms(chunks, key, strip_images).write.parquet(f"{path}/doc_terms")
+    # The texts are put in the order of their keys before they are tokenised: this also spreads a table
+    # that comes in few files, and a file with very many chunks over several tasks.
+    placed = chunks.select(*{*key, "filename", "text"}).repartitionByRange(*key).sortWithinPartitions(*key)
+    numbered = document_terms(placed, key, strip_images).withColumn("doc_no", F.monotonically_increasing_id())
+    numbered.write.parquet(f"{path}/doc_terms")
     doc_terms = spark.read.parquet(f"{path}/doc_terms")
     corpus_stats(doc_terms).write.parquet(f"{path}/corpus_stats")
     stats = spark.read.parquet(f"{path}/corpus_stats")
-    # A frequent term spreads over many range partitions: the chunk key is part of the range.
+    # A frequent term spreads over many range partitions: the chunk number is part of the range.
     (
-        term_frequency(doc_terms, key)
-        .repartitionByRange("term", *key)
-        .sortWithinPartitions("term", *key)
+        term_frequency(doc_terms, ["doc_no"])
+        .repartitionByRange("term", "doc_no")
+        .sortWithinPartitions("term", "doc_no")
         .write.parquet(f"{path}/postings")
     )
     postings = spark.read.parquet(f"{path}/postings")

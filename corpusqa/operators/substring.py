@@ -46,7 +46,8 @@ def _anchor_words(needles: DataFrame, index: LexicalIndex) -> DataFrame:
 def _candidates(needles: DataFrame, index: LexicalIndex, chunks: DataFrame, words: DataFrame) -> DataFrame:
     """(needle, key…) pairs in which the needle may occur: a superset of those in which it does."""
     key = list(index.key)
-    found = index.postings.select("term", *key).join(words.select("needle", "term"), "term").select("needle", *key).distinct()
+    found = index.postings.select("term", "doc_no").join(words.select("needle", "term"), "term")
+    found = index.with_keys(found.select("needle", "doc_no").distinct())
     symbols = needles.where(_anchor(F.col("needle")).isNull() & (F.length("needle") > 0))
     if symbols.isEmpty():
         return found

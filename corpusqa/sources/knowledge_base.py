@@ -26,7 +26,7 @@ from corpusqa.session import materialise
 PLACEHOLDER_FILE = "init"
 PAGE_SIZES = (10, 20, 50, 100)
 
-_LOG = "kind string, filename string, txn string"
+_LOG = "kind string, filename string, txn string, dimension int"
 ROW_KEY = ("filename", "chunk_index", "commit_id", "row_id")
 
 
@@ -143,11 +143,11 @@ class KnowledgeBase:
         stored.write.mode("append" if extra else "overwrite").parquet(f"{self.path}/chunks/commit_id={commit}")
         return self._read("chunks", VECTORS + ", row_id bigint").where(F.col("commit_id") == commit)
 
-    def _publish(self, commit: int, *kinds: str, removals: DataFrame | None = None, txn: str | None = None) -> None:
-        entries = self.spark.createDataFrame([(kind, None, txn) for kind in kinds], struct_of(_LOG))
+    def _publish(self, commit: int, *kinds: str, removals: DataFrame | None = None, txn=None, dimension=None) -> None:
+        entries = self.spark.createDataFrame([(kind, None, txn, dimension) for kind in kinds], struct_of(_LOG))
         if removals is not None:
-            gone = removals.select(F.lit("delete").alias("kind"), "filename", F.lit(None).cast("string").alias("txn"))
-            entries = entries.unionByName(gone.distinct())
+            gone = removals.select(F.lit("delete").alias("kind"), "filename").distinct()
+            entries = entries.unionByName(gone, allowMissingColumns=True)
         entries.write.mode("overwrite").parquet(f"{self.path}/log/commit_id={commit}")
 
     def append(self, chunks: DataFrame, replace: bool = False, txn: str | None = None) -> int:
@@ -169,15 +169,20 @@ class KnowledgeBase:
             raise RuntimeError("embedding failed for all chunks")
         added = written.count()
         removals = written.select("filename") if replace else None
-        stored = check_dimension(self.rows())
-        if stored is None or stored == dimension:
-            self._publish(commit, "write", removals=removals, txn=txn)
+        if self.dimension() in (None, dimension):
+            self._publish(commit, "write", removals=removals, txn=txn, dimension=dimension)
             return added
         kept = self._texts() if removals is None else self._texts().join(removals, "filename", "left_anti")
         check_dimension(self._write(commit, embed_chunks(kept, self.embedder), extra=True), dimension)
-        self._publish(commit, "write", "clear", txn=txn)
+        self._publish(commit, "write", "clear", txn=txn, dimension=dimension)
         return added
 
+    def dimension(self) -> int | None:
+        """Dimension of the stored vectors, as noted by the last commit that wrote any (None: no rows)."""
+        log = self.log().where(F.col("kind").isin("write", "clear"))
+        last = log.orderBy(F.desc("commit_id"), F.desc("kind")).select("kind", "dimension").first()
+        return None if last is None or last["kind"] == "clear" else last["dimension"]
+
     def _texts(self) -> DataFrame:
         return self.scan().drop("vector", "commit_id", "row_id")
 
@@ -197,9 +202,9 @@ class KnowledgeBase:
     def reembed(self) -> int:
         """Embed every stored chunk again and put the result in place of all rows, in one commit."""
         commit = self._next()
-        n = self._write(commit, embed_chunks(self._texts(), self.embedder)).count()
-        self._publish(commit, "write", "clear")
-        return n
+        written = self._write(commit, embed_chunks(self._texts(), self.embedder))
+        self._publish(commit, "write", "clear", dimension=check_dimension(written))
+        return written.count()
 
     def build_index(self, path: str | None = None) -> LexicalIndex:
         """Lexical index over the rows as they are now; every stored row counts on its own."""
