@@ -122,10 +122,10 @@ WITH f AS (SELECT doc_id, '/up/' || source || '/' || doc_id || {EXTENSION_OF} AS
   (length(text) * 10000)::BIGINT AS length FROM documents)
 SELECT doc_id, path, length, CASE WHEN ext NOT IN ({", ".join(map(lit, ACCEPTED))}) THEN '不支持的文件类型: ' || ext
   WHEN length > {MAX_FILE_BYTES} THEN 'File too large' END AS rejected_reason FROM f"""
-ORACLES["read_documents"] = "SELECT doc_id, '.txt' AS extension, text || chr(10) AS text FROM documents"
+ORACLES["read_documents"] = "SELECT doc_id, '.txt' AS extension, doc_id || chr(10) || text || chr(10) AS text FROM documents"
 ORACLES["read_csv_as_text"] = """
-WITH c AS (SELECT doc_id, replace(replace(text, ' ', ','), chr(10), ',') AS line FROM documents)
-SELECT doc_id, chr(10) || '--- 表格: Sheet1 ---' || chr(10) || CASE WHEN contains(line, ',') THEN '"' || line || '"' ELSE line END || chr(10) || chr(10) AS text FROM c"""
+SELECT c_nationkey::INT AS nation, chr(10) || '--- 表格: Sheet1 ---' || chr(10)
+  || string_agg(c_custkey || ',' || c_name || ',' || c_mktsegment, chr(10) ORDER BY c_custkey) || chr(10) || chr(10) AS text FROM customer GROUP BY c_nationkey"""
 ORACLES["flag_oversize_images"] = """
 SELECT doc_id, ceil(length(base64(encode(text))) * 3 / 4) > 4096 AS oversize FROM documents"""
 ORACLES["image_data_url"] = """

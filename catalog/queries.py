@@ -12,7 +12,7 @@ from corpusqa.functions import text as T
 from corpusqa.operators import bm25, chunking, context, conversation, fusion, lexical_index, ranking, substring, vectors
 from corpusqa.plans import hybrid, ingest
 from corpusqa.sources import files, knowledge_base, pages
-from corpusqa.session import scratch_path
+from corpusqa.session import materialise, scratch_path
 from corpusqa.streaming import jobs
 
 QUERIES = {}
@@ -42,13 +42,13 @@ def rounded(name: str) -> Column:
 @query
 def normalize_search_text(spark, folder):
     raw = F.concat("text", F.lit(' [IMAGES_DATA]["'), "source", F.lit('"][/IMAGES_DATA] 知识库_'), "lang")
-    return S.documents(spark, folder).select("doc_id", T.normalize_search_text(raw).alias("normalized"))
+    return S.texts(spark, folder).select("doc_id", T.normalize_search_text(raw).alias("normalized"))
 
 
 @query
 def normalize_store_text(spark, folder):
     raw = F.concat("text", F.lit(' [IMAGES_DATA]["'), "source", F.lit('"][/IMAGES_DATA] 知识库_'), "lang")
-    return S.documents(spark, folder).select("doc_id", T.normalize_search_text(raw, strip_images=False).alias("normalized"))
+    return S.texts(spark, folder).select("doc_id", T.normalize_search_text(raw, strip_images=False).alias("normalized"))
 
 
 @query
@@ -90,13 +90,13 @@ def file_extension(spark, folder):
 @query
 def unique_terms(spark, folder):
     terms = T.unique_terms(F.split("text", "[,.\n]"))
-    return S.documents(spark, folder).select("doc_id", joined(terms).alias("terms"), F.size(terms).alias("n_terms"))
+    return S.texts(spark, folder).select("doc_id", joined(terms).alias("terms"), F.size(terms).alias("n_terms"))
 
 
 @query
 def tokenize(spark, folder):
     tokens = T.tokenize(F.concat("text", F.lit(" 知识库助手 你好 "), "filename"))
-    return S.documents(spark, folder).select("doc_id", joined(tokens, " ").alias("tokens"), F.size(tokens).alias("n_tokens"))
+    return S.texts(spark, folder).select("doc_id", joined(tokens, " ").alias("tokens"), F.size(tokens).alias("n_tokens"))
 
 
 @query
@@ -173,29 +173,26 @@ def accept_files(spark, folder):
     return files.accept_files(uploads)
 
 
-def _uploaded(spark, folder, suffix):
-    """Every text written to a file of its own, in a folder named after its document."""
-    place = scratch_path(spark, "uploads")
-    d = S.documents(spark, folder).select("doc_id", "text")
-    if suffix == "csv":
-        d = d.withColumn("text", F.regexp_replace("text", "[ \n]", ","))
-        d.write.partitionBy("doc_id").csv(place)
-    else:
-        d.write.partitionBy("doc_id").text(place)
-    return place
-
-
 @query
 def read_documents(spark, folder):
-    read = files.read_documents(spark, _uploaded(spark, folder, "txt"))
-    number = F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("bigint")
+    """Every text, under a line with its number, written to a file of its own and read back."""
+    place = scratch_path(spark, "uploads")
+    titled = F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))
+    S.texts(spark, folder).select(titled).write.option("maxRecordsPerFile", 1).text(place)
+    read = files.read_documents(spark, place)
+    number = F.substring_index("text", "\n", 1).cast("bigint")
     return read.select(number.alias("doc_id"), files.file_extension(F.col("filename")).alias("extension"), "text")
 
 
 @query
 def read_csv_as_text(spark, folder):
-    read = files.read_csv_as_text(spark, _uploaded(spark, folder, "csv"))
-    return read.select(F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"), "text")
+    """Customers written as one CSV file per nation, and read back as texts."""
+    place = scratch_path(spark, "uploads")
+    customers = S.table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    ordered = customers.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    ordered.write.partitionBy("c_nationkey").option("maxRecordsPerFile", 500000).csv(place)
+    read = files.read_csv_as_text(spark, place)
+    return read.select(F.regexp_extract("source", r"c_nationkey=(\d+)", 1).cast("int").alias("nation"), "text")
 
 
 @query
@@ -277,7 +274,7 @@ def chunk_text_with_headings(spark, folder):
 @query
 def split_sentences(spark, folder):
     pieces = chunking.split_sentences(T.normalize_ingest_text(F.col("text")))
-    return S.documents(spark, folder).select("doc_id", F.posexplode(pieces).alias("piece", "content"))
+    return S.texts(spark, folder).select("doc_id", F.posexplode(pieces).alias("piece", "content"))
 
 
 @query
@@ -295,14 +292,14 @@ def split_table(spark, folder):
 @query
 def pack_paragraphs(spark, folder):
     spaced = F.replace(T.normalize_ingest_text(F.col("text")), F.lit("\n"), F.lit("\n\n"))
-    d = S.documents(spark, folder).select("doc_id", F.posexplode(chunking.pack_paragraphs(spaced)).alias("piece", "c"))
+    d = S.texts(spark, folder).select("doc_id", F.posexplode(chunking.pack_paragraphs(spaced)).alias("piece", "c"))
     return d.select("doc_id", "piece", F.col("c.content").alias("content"), F.col("c.seg_type").alias("seg_type"))
 
 
 @query
 def recursive_split(spark, folder):
     whole = F.array(F.struct(F.array().cast("array<string>").alias("headings"), F.col("text").alias("content"), F.lit("other").alias("seg_type")))
-    d = S.documents(spark, folder).select("doc_id", "text", chunking.recursive_split(whole)[0].alias("pieces"))
+    d = S.texts(spark, folder).select("doc_id", "text", chunking.recursive_split(whole)[0].alias("pieces"))
     return d.select("doc_id", F.posexplode(F.coalesce("pieces", F.array("text"))).alias("piece", "content"))
 
 
@@ -340,13 +337,13 @@ def chunk_pages(spark, folder):
 
 @query
 def term_frequency(spark, folder):
-    doc_terms = lexical_index.document_terms(S.documents(spark, folder))
+    doc_terms = lexical_index.document_terms(S.texts(spark, folder))
     return lexical_index.term_frequency(doc_terms).select("filename", "chunk_index", "term", "tf")
 
 
 @query
 def doc_length(spark, folder):
-    return lexical_index.document_terms(S.documents(spark, folder)).select("filename", "chunk_index", "doc_len")
+    return lexical_index.document_terms(S.texts(spark, folder)).select("filename", "chunk_index", "doc_len")
 
 
 @query
@@ -387,19 +384,19 @@ def bm25_search(spark, folder):
 
 @query
 def keyword_count_score(spark, folder):
-    hits = substring.keyword_count_score(S.questions(spark, folder), S.documents(spark, folder), S.index(spark, folder))
+    hits = substring.keyword_count_score(S.questions(spark, folder), S.texts(spark, folder), S.index(spark, folder))
     return hits.select("question_id", "filename", "rank", "score", joined(F.col("matched_keywords")).alias("matched_keywords"))
 
 
 @query
 def like_filter(spark, folder):
-    hits = substring.like_filter(S.plain_questions(spark, folder), S.documents(spark, folder), S.index(spark, folder))
+    hits = substring.like_filter(S.plain_questions(spark, folder), S.texts(spark, folder), S.index(spark, folder))
     return hits.select("question_id", "filename")
 
 
 @query
 def like_search_score(spark, folder):
-    hits = substring.like_search_score(S.plain_questions(spark, folder), S.documents(spark, folder), S.index(spark, folder))
+    hits = substring.like_search_score(S.plain_questions(spark, folder), S.texts(spark, folder), S.index(spark, folder))
     return hits.select("question_id", "filename", "rank", "score")
 
 
@@ -441,7 +438,7 @@ def vector_search(spark, folder):
 
 @query
 def embed_chunks(spark, folder):
-    embedded = models.embed_chunks(S.documents(spark, folder), models.hashing_embedder(64))
+    embedded = models.embed_chunks(S.texts(spark, folder), models.hashing_embedder(64))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
     return embedded.select("doc_id", F.size("vector").alias("dimension"), F.round(length, 4).alias("length"))
 
@@ -489,7 +486,7 @@ def rrf_topk(spark, folder):
 
 
 def _reranked(spark, folder):
-    candidates = fusion.rrf_topk(_fused(spark, folder))
+    candidates = materialise(fusion.rrf_topk(_fused(spark, folder)), "candidates")
     with_text = hybrid.chunk_lookup(candidates, _chunks(spark, folder)).join(S.plain_questions(spark, folder), "question_id")
     return fusion.rerank(with_text, fusion.lexical_coverage)
 
@@ -497,7 +494,7 @@ def _reranked(spark, folder):
 def _chunks(spark, folder):
     """Documents as chunks; every third one counts as a page with a picture."""
     page = F.col("doc_id") % 3 == 0
-    return S.documents(spark, folder).select(
+    return S.texts(spark, folder).select(
         "filename",
         "chunk_index",
         "source",
@@ -534,7 +531,7 @@ def _hybrid(spark, folder):
 
 @query
 def rerank_documents(spark, folder):
-    hits = _lexical_hits(spark, folder)
+    hits = materialise(_lexical_hits(spark, folder), "hits")
     with_text = hybrid.chunk_lookup(hits, _chunks(spark, folder)).join(S.plain_questions(spark, folder), "question_id")
     kept = fusion.rerank_documents(with_text, models.batch_scorer(_word_share), prefix=800)
     return kept.select("question_id", "filename", "final_rank", rounded("rerank_score"))
@@ -674,7 +671,7 @@ def delete_document(spark, folder):
     chunks = S.documents(spark, folder).select("doc_id", F.col("source").alias("filename"), "chunk_index")
     toxic = S.table(spark, folder, "labels").where("toxic = 1").join(chunks.select("doc_id", "filename"), "doc_id")
     names = toxic.select("filename").distinct().unionByName(spark.range(1).select(F.lit("unknown.md").alias("filename")))
-    kept, deleted = knowledge_base.delete_document(chunks, names)
+    kept, deleted = knowledge_base.delete_document(chunks, materialise(names, "names"))
     left = kept.groupBy("filename").agg(F.count("*").alias("rows")).withColumn("state", F.lit("kept"))
     return left.unionByName(deleted.withColumnRenamed("deleted", "rows").withColumn("state", F.lit("deleted")))
 
@@ -683,7 +680,7 @@ def delete_document(spark, folder):
 def append_chunks(spark, folder):
     """Stored, appended again (rows double), replaced for one language, listed."""
     base = knowledge_base.KnowledgeBase(spark, scratch_path(spark, "base"), models.hashing_embedder(16))
-    d = S.documents(spark, folder).select(F.concat_ws("-", "source", "lang").alias("filename"), "chunk_index", "source", "text", "lang")
+    d = S.texts(spark, folder).select(F.concat_ws("-", "source", "lang").alias("filename"), "chunk_index", "source", "text", "lang")
     base.append(d)
     base.append(d)
     base.append(d.where("lang = 'en'"), replace=True)
@@ -702,7 +699,7 @@ def delete_all(spark, folder):
 def migrate_vectors(spark, folder):
     """Stored with the given vectors, then more arrives from a model of another dimension."""
     base = knowledge_base.KnowledgeBase(spark, scratch_path(spark, "base"), models.hashing_embedder(32))
-    d = S.documents(spark, folder)
+    d = S.texts(spark, folder)
     base.append(S.document_vectors(spark, folder).join(d.select("doc_id", "text"), "doc_id"))
     base.append(d.withColumn("filename", F.concat(F.lit("new-"), "filename")))
     return base.rows().groupBy(F.size("vector").alias("dimension")).agg(F.count("*").alias("n_rows"))

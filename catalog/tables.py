@@ -29,7 +29,12 @@ def as_documents(rows: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return as_documents(spread(table(spark, folder, "documents")))
+    return as_documents(table(spark, folder, "documents"))
+
+
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for heavy work on each text: spread over the cores if it comes in few files."""
+    return as_documents(spread(table(spark, folder, "documents"), "doc_id"))
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +79,7 @@ def questions_with_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
-    return as_markdown(documents(spark, folder))
+    return as_markdown(texts(spark, folder))
 
 
 def as_markdown(d: DataFrame) -> DataFrame:
@@ -93,11 +98,11 @@ def as_markdown(d: DataFrame) -> DataFrame:
 def sentence_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Every text as a Markdown table with one sentence per row."""
     body = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(". "), F.lit(". |\n| "))
-    return documents(spark, folder).select("doc_id", F.concat(F.lit("| sentence |\n| "), body, F.lit(" |")).alias("text"))
+    return texts(spark, folder).select("doc_id", F.concat(F.lit("| sentence |\n| "), body, F.lit(" |")).alias("text"))
 
 
 def sentence_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return paginate_text(documents(spark, folder).select("filename", "source", "text"))
+    return paginate_text(texts(spark, folder).select("filename", "source", "text"))
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +147,7 @@ def _once(spark: SparkSession, folder: str, what: str, make):
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of all documents, written once per application."""
     made = lambda: materialise(
-        chunk_documents(documents(spark, folder).select("filename", "source", "text"))
+        chunk_documents(texts(spark, folder).select("filename", "source", "text"))
         .select("filename", "chunk_index", "source", "type", "text", F.lit(None).cast("string").alias("image")),
         "chunks",
     )

@@ -35,14 +35,13 @@ def known_terms(questions: DataFrame, index: LexicalIndex) -> DataFrame:
     return (
         question_terms(questions)
         .join(index.term_stats, "term")
-        .crossJoin(F.broadcast(index.corpus_stats.select("avg_len")))  # one row
         .select(
             "question_id",
             "pos",
             "term",
             "df",
             "idf",
-            "avg_len",
+            index.corpus_stats.select("avg_len").scalar().alias("avg_len"),
             (F.col("idf") * F.col("max_weight")).alias("bound"),
             F.floor(F.col("pos") / _BITS).cast("int").alias("word"),
             F.pow(F.lit(2.0), F.col("pos") % _BITS).cast("bigint").alias("bit"),

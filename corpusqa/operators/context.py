@@ -80,11 +80,7 @@ def build_prompt(context: Column, history: Column, template: str = PROMPT_TEMPLA
 
 def empty_corpus_reply(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     """A fixed reply, without sources, for every question when the corpus holds no chunk."""
-    return (
-        questions.select("question_id")
-        .join(corpus.select(F.lit(1).alias("found")).limit(1), F.lit(True), "left_anti")
-        .withColumn("answer", F.lit(EMPTY_CORPUS))
-    )
+    return questions.select("question_id").where(~corpus.exists()).withColumn("answer", F.lit(EMPTY_CORPUS))
 
 
 def answer_events(answers: DataFrame) -> DataFrame:

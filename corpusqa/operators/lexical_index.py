@@ -131,15 +131,14 @@ def build_index(
         .write.parquet(f"{path}/postings")
     )
     postings = spark.read.parquet(f"{path}/postings")
+    totals = lambda name: stats.select(name).scalar()
     (
-        postings.crossJoin(F.broadcast(stats))  # one row
-        .groupBy("term")
+        postings.groupBy("term")
         .agg(
             F.count("*").alias("df"),
-            F.max(saturation(F.col("tf"), F.col("doc_len"), F.col("avg_len"))).alias("max_weight"),
-            F.first("n_docs").alias("n_docs"),
+            F.max(saturation(F.col("tf"), F.col("doc_len"), totals("avg_len"))).alias("max_weight"),
         )
-        .select("term", "df", inverse_document_frequency(F.col("df"), F.col("n_docs")).alias("idf"), "max_weight")
+        .select("term", "df", inverse_document_frequency(F.col("df"), totals("n_docs")).alias("idf"), "max_weight")
         .write.parquet(f"{path}/term_stats")
     )
     return load_index(spark, path, key)

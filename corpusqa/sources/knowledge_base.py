@@ -78,11 +78,11 @@ def filename_filter(rows: DataFrame, part: str) -> DataFrame:
 def page_results(rows: DataFrame, order, page_size: int = PAGE_SIZES[0], page: int | None = None) -> DataFrame:
     """rows + page_no (from 1) + total_pages; one page of them when ``page`` is given."""
     numbered = number_rows(rows, list(order), (), "_at")
-    total = numbered.agg(F.ceil(F.count("*") / page_size).cast("int").alias("total_pages"))  # one row
+    total = numbered.agg(F.ceil(F.count("*") / page_size).cast("int")).scalar()
     if page is not None:
         numbered = numbered.where((F.col("_at") >= (page - 1) * page_size) & (F.col("_at") < page * page_size))
     number = (F.floor(F.col("_at") / page_size) + 1).cast("int")
-    return numbered.withColumn("page_no", number).drop("_at").crossJoin(F.broadcast(total))
+    return numbered.withColumn("page_no", number).drop("_at").withColumn("total_pages", total)
 
 
 def delete_document(chunks: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,9 +115,8 @@ class KnowledgeBase:
         """All visible rows with vector, commit_id and row_id (together with the key: unique)."""
         log = self.log()
         cleared = F.coalesce(F.max(F.when(F.col("kind") == "clear", F.col("commit_id"))), F.lit(-1))
-        since = log.agg(cleared.alias("since"))  # one row
-        live = log.where(F.col("kind") == "write").select("commit_id").distinct().crossJoin(F.broadcast(since))
-        live = live.where(F.col("commit_id") >= F.col("since")).select("commit_id")
+        since = log.agg(cleared).scalar()
+        live = log.where((F.col("kind") == "write") & (F.col("commit_id") >= since)).select("commit_id").distinct()
         removed = log.where(F.col("kind") == "delete").groupBy("filename").agg(F.max("commit_id").alias("gone_at"))
         stored = self._read("chunks", VECTORS + ", row_id bigint")
         visible = stored.join(live, "commit_id", "left_semi").alias("s")
