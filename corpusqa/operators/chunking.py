@@ -301,7 +301,9 @@ def segments(documents: DataFrame, text: str = "text") -> DataFrame:
     described = F.transform(split_paragraphs(normalize_ingest_text(F.col(text))), describe)
     listed = documents.select(*carried, described.alias("_segments"))
     titles = F.transform(F.col("_segments"), lambda s: s["heading"])
-    rows = listed.select(*carried, titles.alias("_titles"), F.posexplode("_segments").alias("para_pos", "s"))
+    # outer: no "not empty" filter is derived, which would split and classify every text twice
+    rows = listed.select(*carried, titles.alias("_titles"), F.posexplode_outer("_segments").alias("para_pos", "s"))
+    rows = rows.where(F.col("para_pos").isNotNull())
     above = F.array_compact(F.slice("_titles", F.lit(1), F.col("para_pos")))
     return rows.select(*carried, "para_pos", "s.*", above.alias("headings"))
 

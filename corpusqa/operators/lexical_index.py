@@ -81,8 +81,12 @@ def document_terms(chunks: DataFrame, key: Sequence[str] = CHUNK_KEY, strip_imag
 
 
 def term_frequency(doc_terms: DataFrame, key: Sequence[str] = CHUNK_KEY) -> DataFrame:
-    """One row per (chunk, term)."""
-    return doc_terms.select(*key, "doc_len", F.inline("terms"))
+    """One row per (chunk, term).
+
+    The outer form keeps Spark from deriving a "not empty" filter, for which it would tokenise every
+    text a second time.
+    """
+    return doc_terms.select(*key, "doc_len", F.inline_outer("terms")).where(F.col("term").isNotNull())
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:

@@ -27,19 +27,20 @@ def _anchor(needle: Column) -> Column:
     return F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
 
 
-def _grams(word: Column) -> Column:
+def _grams(word: Column, sizes) -> Column:
     def of_size(n: int) -> Column:
         starts = F.when(F.length(word) >= n, F.sequence(F.lit(1), F.length(word) - (n - 1)))
         return F.coalesce(F.transform(starts, lambda i: F.substring(word, i, F.lit(n))), F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of_size(n) for n in range(1, _GRAM + 1)]))
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[of_size(n) for n in sizes]))
 
 
 def _anchor_words(needles: DataFrame, index: LexicalIndex) -> DataFrame:
     """(needle, term, df): words of the corpus that contain the anchor of a needle."""
     anchored = needles.select("needle", _anchor(F.col("needle")).alias("anchor")).where(F.col("anchor").isNotNull())
     anchored = anchored.withColumn("gram", F.substring("anchor", 1, _GRAM))
-    words = index.term_stats.select("term", "df", F.explode(_grams(F.col("term"))).alias("gram"))
+    sizes = [r[0] for r in anchored.select(F.length("gram")).distinct().collect()]  # at most three numbers
+    words = index.term_stats.select("term", "df", F.explode(_grams(F.col("term"), sorted(sizes))).alias("gram"))
     return words.join(anchored, "gram").where(F.contains("term", F.col("anchor"))).select("needle", "term", "df")
 
 

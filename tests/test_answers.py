@@ -113,3 +113,53 @@ def test_empty_corpus(spark):
     full = spark.createDataFrame([("a",)], "filename string")
     assert context.empty_corpus_reply(asked, full.limit(0)).count() == 1
     assert context.empty_corpus_reply(asked, full).count() == 0
+
+
+def test_chunked_search_matches_a_plain_loop(spark):
+    """The flagship query, recomputed with dictionaries from the chunks and vectors it used."""
+    import math
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    from catalog import tables as S
+    from catalog.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    got = QUERIES["chunked_hybrid_search"](spark, folder).collect()
+    chunks = {(r.filename, r.chunk_index): r.text for r in S.chunks(spark, folder).collect()}
+    stored = {(r.filename, r.chunk_index): np.array(r.vector, dtype="float64") for r in S.chunk_vectors(spark, folder).collect()}
+    words = lambda t: re.sub(r"[\W_]+", " ", t.lower()).split()
+    counts = {key: Counter(words(f"{key[0]} {key[0]} {text}")) for key, text in chunks.items()}
+    sizes = {key: max(sum(c.values()), 1) for key, c in counts.items()}
+    mean, n = sum(sizes.values()) / len(sizes), len(sizes)
+    df = Counter(w for c in counts.values() for w in c)
+    asked = prepare_questions(S.plain_questions(spark, folder))
+    want = {}
+    for r in embed_questions(asked).collect():
+        scores = {}
+        terms = {w for w in words(r.question) if len(w) >= 2}
+        for key, c in counts.items():
+            s = sum(
+                math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * sizes[key] / mean))
+                for w in terms
+                if w in c
+            )
+            if s > 0:
+                scores[key] = round(s, 9)
+        lexical = [key for key, _ in sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10]]
+        v = np.array(r.vector, dtype="float64")
+        near = sorted((float(((v - w) ** 2).sum()), key) for key, w in stored.items())[:20]
+        vector = [key for d, key in near if 1 / (1 + d) >= 0.35][:10]
+        fused = {}
+        for side, hits in enumerate((vector, lexical)):
+            for i, key in enumerate(hits):
+                fused.setdefault(key, [99, 99])[side] = i
+        share = lambda i: 1 / (51 + i) if i < 99 else 0
+        order = sorted(fused.items(), key=lambda x: (-(share(x[1][0]) + share(x[1][1])), x[1][0], x[1][1], x[0]))
+        want[r.question_id] = [key for key, _ in order[:6]]
+    ours = {}
+    for r in sorted(got, key=lambda r: (r.question_id, r.final_rank)):
+        ours.setdefault(r.question_id, []).append((r.filename, r.chunk_index))
+    assert ours == want
