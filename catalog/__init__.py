@@ -1 +1,7 @@
 """The operators as queries over the test tables, and their SQL counterparts."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -260,6 +260,7 @@ _chunked = f"""WITH RECURSIVE {packing(SEGMENTS)},
  numbered AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY spot, sub) - 1)::INT AS chunk_index, seg_type,
   CASE WHEN chain = '' THEN content ELSE '[' || chain || ']' || chr(10) || content END AS text FROM placed WHERE length(content) > 10)"""
 ORACLES["semantic_chunk"] = f"{_chunked} SELECT * FROM numbered"
+ORACLES["ingest_documents"] = f"{_chunked} SELECT filename, chunk_index, 'text' AS type, n.text FROM numbered n JOIN md USING (doc_id)"
 ORACLES["stream_ingest"] = f"{_chunked} SELECT filename, chunk_index, n.text FROM numbered n JOIN md USING (doc_id)"
 ORACLES["number_chunks"] = f"""WITH {MARKDOWN}, {paragraphs('md', carry='filename')}, {PAGED},
  counts AS (SELECT filename, count(*) AS n FROM paras GROUP BY filename)
@@ -417,6 +418,15 @@ ORACLES["rewrite_queries"] = """
 SELECT item_id AS question_id, CASE WHEN length(text) > 150 THEN replace(text, 'the ', '') ELSE text END AS rewritten FROM benchmark"""
 ORACLES["embed_questions"] = """
 SELECT item_id AS question_id, length(text)::INT AS chars, (length(text) - length(replace(text, ' ', '')))::INT AS spaces FROM benchmark"""
+ORACLES["answer_events"] = f"""WITH {RERANKED},
+ f AS (SELECT question_id, filename, min(final_rank) AS r FROM final GROUP BY ALL),
+ s AS (SELECT question_id, string_agg(filename, '|' ORDER BY r) AS sources FROM f GROUP BY question_id),
+ p AS (SELECT question_id, string_agg(image, '|' ORDER BY final_rank) AS images FROM typed WHERE image IS NOT NULL GROUP BY question_id),
+ told AS (SELECT question_id, 0 AS k, 'sources' AS type, NULL AS content, sources, '' AS images FROM s UNION ALL
+  SELECT question_id, 1, 'images', NULL, '', images FROM p UNION ALL
+  SELECT item_id, 2, 'content', coalesce(context, '暂无相关文档'), '', '' FROM benchmark LEFT JOIN contexts ON question_id = item_id UNION ALL
+  SELECT item_id, 3, 'done', NULL, '', '' FROM benchmark)
+SELECT question_id AS request_id, (row_number() OVER (PARTITION BY question_id ORDER BY k) - 1)::INT AS seq, type, content, sources, images FROM told"""
 ORACLES["empty_corpus_reply"] = """
 SELECT item_id AS question_id, '当前知识库为空，请先上传文档后再提问。' AS answer, 'empty' AS corpus FROM benchmark"""
 
@@ -441,6 +451,9 @@ _stored = """stored AS (SELECT CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id %
  scanned AS (SELECT filename, coalesce(chunk_index, 0)::INT AS chunk_index, '' AS source, type, coalesce(text, '') AS text, '' AS image
   FROM stored WHERE filename IS NOT NULL AND filename <> 'init')"""
 ORACLES["scan_chunks"] = f"WITH {_stored} SELECT * FROM scanned"
+ORACLES["valid_rows"] = """
+SELECT source AS filename, CASE WHEN doc_id % 5 <> 0 THEN doc_id END::INT AS chunk_index, CASE WHEN doc_id % 7 <> 0 THEN text END AS text,
+  CASE doc_id % 3 WHEN 0 THEN 'page' WHEN 1 THEN 'video' END AS type FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 19 <> 0"""
 ORACLES["count_rows"] = f"WITH {_stored} SELECT count(*) AS n_rows FROM stored WHERE filename IS NOT NULL"
 ORACLES["list_documents"] = f"WITH {_stored} SELECT filename, count(*) AS chunks FROM scanned GROUP BY filename"
 ORACLES["list_vectors"] = f"""
@@ -468,6 +481,10 @@ ORACLES["conversation_title"] = """
 WITH f AS (SELECT conv_id, min_by(text, turn) FILTER (role = 'user') AS t FROM conversations GROUP BY conv_id)
 SELECT conv_id, CASE WHEN t IS NULL THEN '新对话' WHEN length(t) >= 15 THEN substring(t, 1, 15) || '...' ELSE t END AS title FROM f"""
 _tiers = ", ".join(f"({i}, {c}, {m}, {n})" for i, (c, m, n) in enumerate(SMALL_TIERS))
+ORACLES["non_blank_messages"] = f"WITH {windowed(_messages)} SELECT conv_id, turn, text FROM told WHERE text <> ''"
+ORACLES["list_conversations"] = """
+WITH f AS (SELECT conv_id, min_by(text, turn) FILTER (role = 'user') AS t, count(*) AS n_messages, max(turn) AS updated FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN t IS NULL THEN '新对话' WHEN length(t) >= 15 THEN substring(t, 1, 15) || '...' ELSE t END AS title, n_messages, updated FROM f"""
 ORACLES["compact_conversations"] = f"""
 WITH {_messages}, tiers(tier, convs, msgs, chars) AS (VALUES {_tiers}),
  told AS (SELECT conv_id, turn, role, {trim("regexp_replace(text, '(?s)\\[IMAGES_DATA\\].*?\\[/IMAGES_DATA\\]', '', 'g')")} AS text,

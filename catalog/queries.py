@@ -607,6 +607,13 @@ def generate_answers(spark, folder):
     return answers.select("question_id", "answer", joined(F.col("sources")).alias("sources"))
 
 
+@query
+def answer_events(spark, folder):
+    answers = hybrid.answer_questions(S.plain_questions(spark, folder), _hybrid(spark, folder))
+    told = context.answer_events(answers)
+    return told.select("request_id", "seq", "type", "content", joined(F.col("sources")).alias("sources"), joined(F.col("images")).alias("images"))
+
+
 # --- the whole way from texts to answers, with the offline embedder ----------------------------------
 
 
@@ -638,6 +645,11 @@ def scan_chunks(spark, folder):
     return scanned.select("filename", "chunk_index", "source", "type", "text", "image")
 
 
+@query
+def valid_rows(spark, folder):
+    return knowledge_base.valid_rows(_rows(spark, folder)).select("filename", "chunk_index", "text", "type")
+
+
 @query
 def count_rows(spark, folder):
     return knowledge_base.count_rows(_rows(spark, folder))
@@ -687,6 +699,14 @@ def append_chunks(spark, folder):
     return knowledge_base.list_documents(base.scan())
 
 
+@query
+def ingest_documents(spark, folder):
+    """Chunked, embedded, stored, scanned."""
+    base = knowledge_base.KnowledgeBase(spark, scratch_path(spark, "base"), models.hashing_embedder(16))
+    ingest.ingest_documents(base, S.markdown(spark, folder))
+    return base.scan().select("filename", "chunk_index", "type", "text")
+
+
 @query
 def delete_all(spark, folder):
     base = knowledge_base.KnowledgeBase(spark, scratch_path(spark, "base"))
@@ -730,6 +750,16 @@ def conversation_title(spark, folder):
     return conversation.conversation_title(S.table(spark, folder, "conversations"))
 
 
+@query
+def non_blank_messages(spark, folder):
+    return conversation.non_blank_messages(_messages(spark, folder)).select("conv_id", "turn", "text")
+
+
+@query
+def list_conversations(spark, folder):
+    return conversation.list_conversations(S.table(spark, folder, "conversations"))
+
+
 @query
 def compact_conversations(spark, folder):
     kept = conversation.compact_conversations(_messages(spark, folder), QUOTA, SMALL_TIERS)

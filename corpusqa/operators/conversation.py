@@ -60,6 +60,15 @@ def conversation_title(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(title_from_text(first).alias("title"))
 
 
+def list_conversations(messages: DataFrame, recency: str = "turn") -> DataFrame:
+    """(conv_id, title, n_messages, updated), newest first by ``recency``."""
+    first = F.min_by("text", F.when(F.col("role") == "user", F.col("turn")))
+    listed = messages.groupBy("conv_id").agg(
+        title_from_text(first).alias("title"), F.count("*").alias("n_messages"), F.max(recency).alias("updated")
+    )
+    return listed.orderBy(F.desc("updated"), F.desc("conv_id"))
+
+
 def compact_conversations(
     messages: DataFrame,
     max_chars: int,

@@ -31,19 +31,17 @@ def vector_dimension(vectors: DataFrame) -> DataFrame:
     )
 
 
-def check_dimension(vectors: DataFrame, expected: int | None = None) -> int | None:
-    """The one dimension of a vector table; raises when there are several or another is expected."""
+def check_dimension(vectors: DataFrame, expected: int | None = None) -> tuple[int | None, int]:
+    """(dimension, number of vectors); raises when there are several dimensions or another is expected."""
     found = vector_dimension(vectors).first()
-    if found["n_vectors"] == 0:
-        return None
     if found["min_dim"] != found["max_dim"]:
         raise ValueError(f"vectors of {found['min_dim']} to {found['max_dim']} dimensions in one table")
-    if expected is not None and found["max_dim"] != expected:
+    if found["n_vectors"] and expected is not None and found["max_dim"] != expected:
         raise ValueError(
             f"the knowledge base holds {found['max_dim']}-dimensional vectors, the embedding model returns "
             f"{expected}; re-embed the stored chunks or clear them first"
         )
-    return found["max_dim"]
+    return found["max_dim"], found["n_vectors"]
 
 
 def _nearest(ids: np.ndarray, queries: np.ndarray, batch: pd.DataFrame, key: list[str], k: int) -> pd.DataFrame:

@@ -161,12 +161,11 @@ class KnowledgeBase:
             return 0
         commit = self._next()
         written = self._write(commit, chunks if "vector" in chunks.columns else embed_chunks(chunks, self.embedder))
-        dimension = check_dimension(written)
-        if dimension is None:
+        dimension, added = check_dimension(written)
+        if not added:
             if chunks.isEmpty():
                 return 0
             raise RuntimeError("embedding failed for all chunks")
-        added = written.count()
         removals = written.select("filename") if replace else None
         if self.dimension() in (None, dimension):
             self._publish(commit, "write", removals=removals, txn=txn, dimension=dimension)
@@ -201,9 +200,9 @@ class KnowledgeBase:
     def reembed(self) -> int:
         """Embed every stored chunk again and put the result in place of all rows, in one commit."""
         commit = self._next()
-        written = self._write(commit, embed_chunks(self._texts(), self.embedder))
-        self._publish(commit, "write", "clear", dimension=check_dimension(written))
-        return written.count()
+        dimension, n = check_dimension(self._write(commit, embed_chunks(self._texts(), self.embedder)))
+        self._publish(commit, "write", "clear", dimension=dimension)
+        return n
 
     def build_index(self, path: str | None = None) -> LexicalIndex:
         """Lexical index over the rows as they are now; every stored row counts on its own."""

@@ -121,3 +121,19 @@ def test_pages_are_stored_twice(spark):
     assert got[3].text == (
         "[f.pdf - 第 1 页多模态解读 › f.pdf - 第 2 页多模态解读]\nSecond page has text."
     )
+
+
+def test_properties_on_real_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("filename"), "source", "text")
+    got = C.semantic_chunk(docs)
+    # only a single sentence may be longer
+    long = got.where(F.length("content") > 800).select("content").collect()
+    assert all(len([s for s in __import__("re").split(r"(?<=[。！？.!?])\s*", r.content) if s.strip()]) == 1 for r in long)
+    bare = lambda c: F.regexp_replace(c, r"\s", "")
+    joined = got.groupBy("filename").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda s: bare(s["content"])), "").alias("all")
+    )
+    whole = docs.select("filename", bare(F.col("text")).alias("bare"))
+    # nothing is lost but pieces of ten characters or fewer
+    lost = whole.join(joined, "filename").where(F.length("bare") - F.length("all") > 10)
+    assert lost.count() == 0

@@ -71,6 +71,27 @@ def test_pruned_search_is_exact(corpus):
     assert rows(False) == rows(True)
 
 
+def test_pruning_gives_way_when_it_does_not_pay(corpus, monkeypatch):
+    _, questions, index = corpus
+    rows = lambda: [
+        (r.question_id, r["rank"], r.filename, r.score)
+        for r in bm25.bm25_search(questions, index).orderBy("question_id", "rank").collect()
+    ]
+    direct = rows()
+    monkeypatch.setattr(bm25, "PAIRS_SCORED_DIRECTLY", 0)
+    assert rows() == direct  # too many decisive terms
+    monkeypatch.setattr(bm25, "WORTH_PRUNING", 1.0)
+    assert rows() == direct  # too many chunks left to look up
+    assert bm25.bm25_search(questions.limit(0), index, prune=True).count() == 0
+
+
+def test_scores_do_not_depend_on_partitioning(spark, corpus):
+    chunks, questions, index = corpus
+    other = build_index(chunks.repartition(5))
+    key = lambda i: {(r.question_id, r["rank"], r.filename, r.score) for r in bm25.bm25_search(questions, i).collect()}
+    assert key(index) == key(other)
+
+
 def test_passages_find_their_document(corpus):
     chunks, questions, index = corpus
     top = bm25.bm25_search(questions, index, k=1).select("question_id", "filename")
