@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusqa.functions.text import build_search_terms
-from corpusqa.operators.lexical_index import LexicalIndex, saturation
+from corpusqa.operators.lexical_index import BM25_B, BM25_K1, LexicalIndex, saturation
 from corpusqa.operators.ranking import top_k
 from corpusqa.schema import prepare_questions
 from corpusqa.session import materialise
 
-# (question, chunk) matches up to which scoring every one of them is cheaper than pruning first
-PAIRS_SCORED_DIRECTLY = 200_000_000
-# matches, in multiples of k, read to find a first lower bound for the k-th best score
-SEED_FACTOR = 20
-# pruning pays when the decisive terms have at most this share of all matches
-WORTH_PRUNING = 0.2
+# (question, chunk, term) matches up to which they are simply shuffled and added up
+MATCHES_SHUFFLED = 2_000_000
+# question terms (rows of some 100 bytes) up to which they are sent to the scan of the forward index
+TERMS_BROADCAST = 500_000
 _BITS = 62
-_SLACK = 1e-9
 _UNIT = float(1 << 30)
+_CELLS = 1 << 21
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -42,7 +44,6 @@ def known_terms(questions: DataFrame, index: LexicalIndex) -> DataFrame:
             "df",
             "idf",
             index.corpus_stats.select("avg_len").scalar().alias("avg_len"),
-            (F.col("idf") * F.col("max_weight")).alias("bound"),
             F.floor(F.col("pos") / _BITS).cast("int").alias("word"),
             F.pow(F.lit(2.0), F.col("pos") % _BITS).cast("bigint").alias("bit"),
         )
@@ -62,22 +63,24 @@ def bm25_score(questions: DataFrame, index: LexicalIndex) -> DataFrame:
     return index.with_keys(scores)
 
 
-def bm25_search(questions: DataFrame, index: LexicalIndex, k: int = 10, prune: bool | None = None) -> DataFrame:
+def bm25_search(questions: DataFrame, index: LexicalIndex, k: int = 10, way: str | None = None) -> DataFrame:
     """Best ``k`` chunks per question: (question_id, key…, rank, score, matched_terms).
 
-    Both ways are exact. Scoring directly touches every match of every term, also of terms that
-    nearly all chunks contain. Pruning finds a lower bound of the k-th best score from the rare
-    terms, then leaves out the terms that cannot lift a chunk above it, and looks those up only
-    for the chunks that are still in the race. By default the numbers of matches decide.
+    There are two ways with the same result. ``join`` meets the terms with the inverted index and
+    shuffles the matches: it reads little when the terms are rare. ``scan`` sends the terms to a pass over
+    the forward index, where all matches of a chunk are at hand: nothing is shuffled but the ``k`` best
+    per question and task, however frequent the terms are. By default the number of matches, known from
+    the document frequencies, decides; more terms than may be broadcast are always joined.
     """
     terms = materialise(known_terms(questions, index), "terms")
-    totals = terms.agg(F.sum("df").alias("pairs"), F.max("word").alias("words")).first()
+    totals = terms.agg(F.sum("df").alias("matches"), F.max("word").alias("words"), F.count("*").alias("n")).first()
     masks = [f"mask_{i}" for i in range((totals["words"] or 0) + 1)]
-    pairs = totals["pairs"] or 0
-    scored = None
-    if prune or (prune is None and pairs > PAIRS_SCORED_DIRECTLY):
-        scored = _pruned_scores(terms, index, k, masks, float("inf") if prune else pairs)
-    if scored is None:
+    if way is None:
+        frequent = (totals["matches"] or 0) > MATCHES_SHUFFLED
+        way = "scan" if frequent and totals["n"] <= TERMS_BROADCAST else "join"
+    if way == "scan":
+        scored = _with_score(_scan(terms, index, k, masks))
+    else:
         scored = _accumulate(_matches(terms, index.postings), masks)
     # chunk numbers follow the keys: equal scores come in key order
     best = top_k(scored.where(F.col("score") > 0), ["question_id"], [F.desc("score"), F.asc("doc_no")], k)
@@ -96,16 +99,6 @@ def _matches(terms: DataFrame, postings: DataFrame) -> DataFrame:
     return postings.join(terms, "term").withColumn("weight", weight)
 
 
-def _look_up(pairs: DataFrame, terms: DataFrame, index: LexicalIndex) -> DataFrame:
-    """The same matches for given (question, chunk) pairs only, read from the forward index."""
-    return (
-        index.doc_terms.join(pairs, "doc_no")
-        .select("question_id", "doc_no", "doc_len", F.inline("terms"))
-        .join(terms, ["question_id", "term"])
-        .withColumn("weight", F.col("idf") * saturation(F.col("tf"), F.col("doc_len"), F.col("avg_len")))
-    )
-
-
 def _accumulate(matches: DataFrame, masks) -> DataFrame:
     """Add up per pair; the matched terms travel as bits, not as lists of strings.
 
@@ -126,58 +119,100 @@ def _with_score(sums: DataFrame) -> DataFrame:
     return sums.withColumn("score", (F.col("coarse") + F.col("fine") / _UNIT) / _UNIT)
 
 
-def _split_terms(terms: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
-    """Mark the decisive terms of each question: all but the weakest, whose bounds together stay
-    below the k-th best score."""
-    rare_first = W.partitionBy("question_id").orderBy("df", "pos").rowsBetween(W.unboundedPreceding, -1)
-    seeds = terms.withColumn("read", F.coalesce(F.sum("df").over(rare_first), F.lit(0))).where(
-        F.col("read") < SEED_FACTOR * k
-    )
-    # Full scores of the chunks that lead on rare terms: the k-th best of all cannot be below the
-    # k-th best of these.
-    seed_scores = _accumulate(_matches(seeds.drop("read"), index.postings), [])
-    leaders = top_k(seed_scores, ["question_id"], [F.desc("score"), F.asc("doc_no")], k)
-    leaders = materialise(leaders.select("question_id", "doc_no"), "leaders")
-    floors = (
-        _accumulate(_look_up(leaders, terms, index), [])
-        .groupBy("question_id")
-        .agg(F.count("*").alias("n"), (F.min("score") * (1 - _SLACK)).alias("floor"))
-        .where(F.col("n") == k)
-        .drop("n")
-    )
-    weak_first = W.partitionBy("question_id").orderBy("bound", "pos").rowsBetween(W.unboundedPreceding, 0)
-    return materialise(
-        terms.join(floors, "question_id", "left")
-        .withColumn("floor", F.coalesce("floor", F.lit(0.0)))
-        .withColumn("decisive", F.sum("bound").over(weak_first) >= F.col("floor")),
-        "split",
-    )
-
-
-def _pruned_scores(terms: DataFrame, index: LexicalIndex, k: int, masks, budget: float) -> DataFrame | None:
-    """Scores of all chunks that can be among the best; None when that would cost more matches than
-    ``budget``, which is what scoring everything takes."""
-    split = _split_terms(terms, index, k)
-    if (split.where("decisive").agg(F.sum("df")).first()[0] or 0) > WORTH_PRUNING * budget:
-        return None
-    rest = split.groupBy("question_id").agg(
-        F.sum(F.when(F.col("decisive"), 0.0).otherwise(F.col("bound"))).alias("rest"), F.first("floor").alias("floor")
-    )
-    decisive = split.where("decisive").drop("floor", "decisive")
-    contenders = materialise(
-        _accumulate(_matches(decisive, index.postings), masks)
-        .join(rest, "question_id")
-        .where(F.col("score") + F.col("rest") * (1 + _SLACK) >= F.col("floor"))
-        .drop("rest", "floor"),
-        "contenders",
-    )
-    if contenders.count() * index.corpus_stats.first()["avg_terms"] > budget:
-        return None
-    weak = split.where(~F.col("decisive")).drop("floor", "decisive")
-    looked_up = _look_up(contenders.select("question_id", "doc_no"), weak, index)
-    both = contenders.unionByName(_accumulate(looked_up, masks))
-    return _with_score(
-        both.groupBy("question_id", "doc_no").agg(
-            F.sum("coarse").alias("coarse"), F.sum("fine").alias("fine"), *[F.bit_or(m).alias(m) for m in masks]
-        )
-    )
+def _scan(terms: DataFrame, index: LexicalIndex, k: int, masks) -> DataFrame:
+    """The ``k`` best pairs per question and task, with their sums and bits."""
+    asked = terms.toPandas().sort_values(["term", "question_id"], ignore_index=True)  # size checked by the caller
+    ids, question = np.unique(asked["question_id"].to_numpy(), return_inverse=True)
+    vocabulary, first, uses = np.unique(asked["term"].to_numpy(dtype=str), return_index=True, return_counts=True)
+    query = {
+        "ids": ids,
+        "vocabulary": [str(t) for t in vocabulary],
+        "idf": asked["idf"].to_numpy()[first],
+        "first": first,
+        "uses": uses,
+        "question": question,
+        "word": asked["word"].to_numpy(),
+        "bit": asked["bit"].to_numpy(),
+        "avg_len": float(asked["avg_len"].iloc[0]) if len(asked) else 1.0,
+    }
+    shared = terms.sparkSession.sparkContext.broadcast(query)
+    columns = ["question_id", "doc_no", "coarse", "fine", *masks]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, best = shared.value, None
+        vocabulary = pa.array(query["vocabulary"], pa.string())
+        for batch in batches:
+            for found in _score_batch(query, vocabulary, batch, k, len(masks)):
+                best = found if best is None else _keep_best({c: np.concatenate([best[c], found[c]]) for c in found}, k)
+        if best is not None:
+            best["question_id"] = query["ids"][best["question_id"]]
+            yield pa.RecordBatch.from_arrays([pa.array(best[c].astype(np.int64)) for c in columns], names=columns)
+
+    narrow = index.doc_terms.select("doc_no", "doc_len", "terms")
+    return narrow.mapInArrow(search, ", ".join(f"{c} bigint" for c in columns))
+
+
+def _score_batch(query: dict, vocabulary: pa.Array, batch: pa.RecordBatch, k: int, n_masks: int) -> Iterator[dict]:
+    """Score the chunks of a batch against all questions, a few chunks at a time."""
+    numbers = batch.column("doc_no").to_numpy()
+    lengths = batch.column("doc_len").to_numpy()
+    lists = batch.column("terms")
+    entries = lists.flatten()
+    term = pc.index_in(entries.field("term"), value_set=vocabulary)
+    known = pc.is_valid(term).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    row = np.repeat(np.arange(len(numbers)), sizes)[known]
+    term = pc.drop_null(term).to_numpy().astype(np.int64)
+    tf = entries.field("tf").to_numpy(zero_copy_only=False)[known]
+    norm = BM25_K1 * (1 - BM25_B + BM25_B * (lengths[row] / query["avg_len"]))
+    weight = query["idf"][term] * (tf * (BM25_K1 + 1) / (tf + norm))
+    coarse = np.floor(weight * _UNIT)
+    fine = np.floor((weight * _UNIT - coarse) * _UNIT)
+    n_questions = len(query["ids"])
+    step = max(1, _CELLS // max(1, n_questions))
+    reached = np.cumsum(np.bincount(row, query["uses"][term], len(numbers)))  # matches up to each chunk
+    start = stop = 0
+    while stop < len(numbers):
+        start, done = stop, reached[stop - 1] if stop else 0
+        stop = min(start + step, max(start + 1, int(np.searchsorted(reached, done + _CELLS, side="right"))))
+        stop = min(stop, len(numbers))
+        low, high = np.searchsorted(row, (start, stop))
+        if low == high:
+            continue
+        # every match once per question that has the term
+        uses = query["uses"][term[low:high]]
+        match = np.repeat(np.arange(low, high), uses)
+        nth = np.arange(len(match)) - np.repeat(np.cumsum(uses) - uses, uses)
+        use = query["first"][term[match]] + nth
+        cell = (row[match] - start) * n_questions + query["question"][use]
+        shape, cells = (stop - start, n_questions), (stop - start) * n_questions
+        # sums of whole numbers far below 2**53: exact in any order
+        coarse_sum = np.bincount(cell, coarse[match], cells)
+        fine_sum = np.bincount(cell, fine[match], cells)
+        score = ((coarse_sum + fine_sum / _UNIT) / _UNIT).reshape(shape)
+        if k < shape[0]:
+            limit = np.partition(score, shape[0] - k, axis=0)[shape[0] - k]
+        else:
+            limit = np.zeros(n_questions)
+        doc, question = np.nonzero((score > 0) & (score >= limit))
+        kept = doc * n_questions + question
+        found = {"question_id": question, "doc_no": numbers[start + doc], "coarse": coarse_sum[kept], "fine": fine_sum[kept]}
+        place = np.full(cells, -1)
+        place[kept] = np.arange(len(kept))
+        at = place[cell]
+        mine, use = at[at >= 0], use[at >= 0]
+        for i in range(n_masks):
+            bits = np.zeros(len(kept), dtype=np.int64)
+            ours = query["word"][use] == i
+            np.bitwise_or.at(bits, mine[ours], query["bit"][use[ours]])
+            found[f"mask_{i}"] = bits
+        yield _keep_best(found, k)
+
+
+def _keep_best(found: dict, k: int) -> dict:
+    score = (found["coarse"] + found["fine"] / _UNIT) / _UNIT
+    order = np.lexsort((found["doc_no"], -score, found["question_id"]))
+    question = found["question_id"][order]
+    nth = np.arange(len(order)) - np.searchsorted(question, question, side="left")
+    order = order[nth < k]
+    return {name: values[order] for name, values in found.items()}

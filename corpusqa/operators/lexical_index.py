@@ -5,7 +5,7 @@ Three Parquet tables:
 * ``doc_terms``    one row per chunk: number, key, length, ``terms array<struct<term, tf>>`` (forward index)
 * ``postings``     one row per (term, chunk number), range-partitioned and sorted by term, so that a
                    search for a few terms skips the row groups of all others (inverted index)
-* ``term_stats``   one row per term: document frequency and the largest possible weight in any chunk
+* ``term_stats``   one row per term: document frequency and its inverse
 
 and one row of corpus totals. Chunk numbers follow the order of the keys: joins, sums and tie-breaks run
 on one whole number, and keys are looked up for the winners only.
@@ -94,10 +94,8 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 
 
 def corpus_stats(doc_terms: DataFrame) -> DataFrame:
-    """Number of chunks, their mean length and mean number of different terms, over all chunks."""
-    return doc_terms.agg(
-        F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"), F.avg(F.size("terms")).alias("avg_terms")
-    )
+    """Number of chunks and their mean length, over all chunks."""
+    return doc_terms.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
 
 def saturation(tf: Column, doc_len: Column, avg_len: Column) -> Column:
@@ -135,16 +133,8 @@ def build_index(
         .write.parquet(f"{path}/postings")
     )
     postings = spark.read.parquet(f"{path}/postings")
-    totals = lambda name: stats.select(name).scalar()
-    (
-        postings.groupBy("term")
-        .agg(
-            F.count("*").alias("df"),
-            F.max(saturation(F.col("tf"), F.col("doc_len"), totals("avg_len"))).alias("max_weight"),
-        )
-        .select("term", "df", inverse_document_frequency(F.col("df"), totals("n_docs")).alias("idf"), "max_weight")
-        .write.parquet(f"{path}/term_stats")
-    )
+    idf = inverse_document_frequency(F.col("df"), stats.select("n_docs").scalar())
+    document_frequency(postings).withColumn("idf", idf).write.parquet(f"{path}/term_stats")
     return load_index(spark, path, key)
 
 

@@ -48,9 +48,9 @@ def test_corpus_stats(small):
     assert lens == {("a.md", 0): 7, ("a.md", 1): 10, ("b.md", 0): 14, ("b.md", 1): 4}
 
 
-@pytest.mark.parametrize("prune", [False, True, None])
-def test_bm25_fixture(spark, small, prune):
-    hits = bm25.bm25_search(ask(spark, "refresh token?", "知识库助手"), small[1], prune=prune)
+@pytest.mark.parametrize("way", ["join", "scan", None])
+def test_bm25_fixture(spark, small, way):
+    hits = bm25.bm25_search(ask(spark, "refresh token?", "知识库助手"), small[1], way=way)
     got = [
         (r.question_id, r["rank"], f"{r.filename}-{r.chunk_index}", round(r.score, 6), r.matched_terms)
         for r in hits.orderBy("question_id", "rank").collect()
@@ -62,27 +62,27 @@ def test_bm25_fixture(spark, small, prune):
     assert got[2][:4] == (1, 0, "b.md-0", 7.584081) and len(got[2][4]) == 8 and len(got) == 3
 
 
-def test_pruned_search_is_exact(corpus):
+def test_both_ways_agree(corpus, monkeypatch):
     _, questions, index = corpus
-    rows = lambda prune: [
-        (r.question_id, r["rank"], r.filename, round(r.score, 9), tuple(r.matched_terms))
-        for r in bm25.bm25_search(questions, index, k=7, prune=prune).orderBy("question_id", "rank").collect()
+    rows = lambda **how: [
+        (r.question_id, r["rank"], r.filename, r.score, tuple(r.matched_terms))
+        for r in bm25.bm25_search(questions, index, k=7, **how).orderBy("question_id", "rank").collect()
     ]
-    assert rows(False) == rows(True)
-
-
-def test_pruning_gives_way_when_it_does_not_pay(corpus, monkeypatch):
-    _, questions, index = corpus
-    rows = lambda: [
-        (r.question_id, r["rank"], r.filename, r.score)
-        for r in bm25.bm25_search(questions, index).orderBy("question_id", "rank").collect()
-    ]
-    direct = rows()
-    monkeypatch.setattr(bm25, "PAIRS_SCORED_DIRECTLY", 0)
-    assert rows() == direct  # too many decisive terms
-    monkeypatch.setattr(bm25, "WORTH_PRUNING", 1.0)
-    assert rows() == direct  # too many chunks left to look up
-    assert bm25.bm25_search(questions.limit(0), index, prune=True).count() == 0
+    joined = rows(way="join")
+    assert rows(way="scan") == joined
+    monkeypatch.setattr(bm25, "MATCHES_SHUFFLED", 0)
+    monkeypatch.setattr(bm25, "_CELLS", 100)  # two or three chunks at a time
+    assert rows() == joined
+    assert bm25.bm25_search(questions.limit(0), index, way="scan").count() == 0
+
+
+def test_scan_with_many_copies(spark):
+    rows = [(f"f{i:03d}", 0, "the same words" if i >= 100 else f"the word {i}") for i in range(300)]
+    index = build_index(spark.createDataFrame(rows, "filename string, chunk_index int, text string"))
+    hits = bm25.bm25_search(ask(spark, "same words", "the"), index, 5, way="scan").orderBy("question_id", "rank").collect()
+    assert [r.filename for r in hits[:5]] == [f"f{i}" for i in range(100, 105)]
+    joined = bm25.bm25_search(ask(spark, "same words", "the"), index, 5, way="join").orderBy("question_id", "rank").collect()
+    assert hits == joined
 
 
 def test_scores_do_not_depend_on_partitioning(spark, corpus):
