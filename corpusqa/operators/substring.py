@@ -73,16 +73,16 @@ def keyword_count_score(questions: DataFrame, chunks: DataFrame, index: LexicalI
         "keywords",
     )
     needles = asked.select("needle").distinct()
-    pairs = _candidates(needles, index, chunks, _anchor_words(needles, index))
-    # as many needles per chunk as occur in it
-    per_chunk = pairs.groupBy(*key).agg(F.collect_set("needle").alias("needles"))
+    pairs = _candidates(needles, index, chunks, materialise(_anchor_words(needles, index), "anchors"))
+    # as many needles per chunk as may occur in it; written, so that its size is known and the texts
+    # stay where they are if it is small
+    per_chunk = materialise(pairs.groupBy(*key).agg(F.collect_set("needle").alias("needles")), "needles")
     texts = chunks.select(*key, F.lower("text").alias("lowered"))
-    counted = (
-        texts.join(per_chunk, key)
-        .select(*key, F.explode(F.transform("needles", lambda n: F.struct(n.alias("needle"), count_occurrences(F.col("lowered"), n).alias("n")))).alias("c"))
-        .select(*key, "c.*")
-        .where(F.col("n") > 0)
-    )
+    # looking is much cheaper than counting, and most candidates fail here
+    held = F.filter("needles", lambda n: F.contains(F.col("lowered"), n))
+    found = texts.join(per_chunk, key).select(*key, "lowered", held.alias("held"))
+    counts = F.transform("held", lambda n: F.struct(n.alias("needle"), count_occurrences(F.col("lowered"), n).alias("n")))
+    counted = found.select(*key, F.explode(counts).alias("c")).select(*key, "c.*")
     scored = (
         counted.join(asked, "needle")
         .groupBy("question_id", *key)
@@ -115,7 +115,7 @@ def like_filter(questions: DataFrame, chunks: DataFrame, index: LexicalIndex) ->
         .agg(F.min_by("needle", F.struct(F.coalesce("reach", F.lit(0)), "needle")).alias("needle"))
     )
     pairs = _candidates(needles, index, chunks, words.join(rarest.select("needle").distinct(), "needle", "left_semi"))
-    wanted = pairs.join(rarest, "needle").select("question_id", *key)
+    wanted = materialise(pairs.join(rarest, "needle").select("question_id", *key), "wanted")
     return (
         chunks.join(wanted, key)
         .join(asked, "question_id")
