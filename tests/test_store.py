@@ -124,3 +124,26 @@ def test_paging(spark):
     assert [r.filename for r in third] == [f"f{i:03d}" for i in range(40, 45)]
     assert {(r.page_no, r.total_pages) for r in third} == {(3, 3)}
     assert K.filename_filter(rows, "F01").count() == 10
+
+
+def test_from_files_to_answers(spark, tmp_path, base):
+    """The example of the README."""
+    from corpusqa.operators.fusion import lexical_coverage
+    from corpusqa.operators.lexical_index import load_index
+    from corpusqa.plans.hybrid import answer_questions, hybrid_search
+    from corpusqa.sources.files import read_documents
+
+    uploads = tmp_path / "uploads"
+    uploads.mkdir()
+    (uploads / "tokens.md").write_text("# Tokens\n\nA token is refreshed every hour by the server.\n\n## Keys\n\nKeys are kept for a year.")
+    (uploads / "other.txt").write_text("Nothing here is about the matter, only filler text.")
+    assert ingest_documents(base, read_documents(spark, str(uploads))) == 3
+    assert ingest_documents(base, read_documents(spark, str(uploads))) == 3  # stored twice, as told
+    base.build_index(str(tmp_path / "index"))
+    index = load_index(spark, str(tmp_path / "index"), K.ROW_KEY)
+    asked = spark.createDataFrame([(1, "How often is a token refreshed?"), (2, "zzz")], "question_id bigint, question string")
+    hits = hybrid_search(asked, index, base.rows(), base.scan(), lexical_coverage, base.embedder)
+    answers = {r.question_id: r for r in answer_questions(asked, hits).collect()}
+    assert answers[1].sources[0] == "tokens.md" and answers[1].answer.startswith("[文档1: tokens.md]\n[Tokens]\nA token is")
+    assert "[文档2: tokens.md]" not in answers[1].answer or answers[1].answer.count("A token is refreshed") == 1
+    assert answers[2].sources == [] and answers[2].answer == "暂无相关文档"
