@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from catalog import tables as S
 from corpusqa import models
 from corpusqa.functions import text as T
-from corpusqa.operators import bm25, chunking, context, conversation, fusion, lexical_index, ranking, substring, vectors
+from corpusqa.operators import bm25, chunking, context, conversation, fusion, lexical_index, substring, vectors
 from corpusqa.plans import hybrid, ingest
 from corpusqa.sources import files, knowledge_base, pages
 from corpusqa.session import materialise, scratch_path
