@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES = {}
 ORACLES = {}
@@ -22,3 +23,80 @@ def op5_simhash_dedup(spark, folder):
     from corpusqa.llm.simhash import simhash_components
 
     return simhash_components(table(spark, folder, "documents"))
+
+
+@query
+def op6_bpe(spark, folder):
+    import public_tokenizers
+
+    from corpusqa.llm.bpe import bpe_encode_decode
+
+    found = bpe_encode_decode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op1_language_id(spark, folder):
+    from corpusqa.llm.language import identify_languages
+
+    return identify_languages(table(spark, folder, "documents"))
+
+
+@query
+def op4_quality(spark, folder):
+    from corpusqa.llm.quality import score_quality
+
+    return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op8_pii(spark, folder):
+    from corpusqa.llm import pii
+
+    found = pii.find_pii(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *[pii.count_of(F.col("pii"), kind).alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.listed(pii.base_spans(F.col("pii"))).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("pii")).alias("spans"),
+    )
+
+
+@query
+def op7_decontamination(spark, folder):
+    from corpusqa.llm.decontamination import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
+# every alignment of words of an item with words of a document, without seeds
+ORACLES["op7_decontamination"] = r"""
+WITH split_items AS (
+  SELECT list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), w -> w <> '') AS item, min(item_id) AS item_id
+  FROM benchmark GROUP BY 1 HAVING len(item) >= 5
+), item_words AS (
+  SELECT item_id, len(item) AS n, unnest(item) AS word, generate_subscripts(item, 1) - 1 AS item_at FROM split_items
+), split_docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), w -> w <> '') AS doc FROM documents
+), doc_words AS (
+  SELECT doc_id, len(doc) AS size, unnest(doc) AS word, generate_subscripts(doc, 1) - 1 AS doc_at FROM split_docs
+), equal AS (
+  SELECT doc_id, item_id, n, size, doc_at - item_at AS diagonal, item_at FROM doc_words JOIN item_words USING (word)
+), crowded AS (
+  SELECT * FROM equal QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, diagonal) >= 0.8 * least(15, n)
+), windows AS (
+  SELECT doc_id, item_id, diagonal, n, size, start, count(*) AS n_equal
+  FROM (SELECT *, unnest(range(greatest(0, item_at - least(15, n) + 1), item_at + 1)) AS start FROM crowded)
+  WHERE start + least(15, n) <= n AND start + diagonal >= 0 AND start + diagonal + least(15, n) <= size
+  GROUP BY ALL
+)
+SELECT doc_id, item_id, CAST(n_equal AS INTEGER) AS n_equal, CAST(least(15, n) AS INTEGER) AS n_words,
+       CAST(start + diagonal AS INTEGER) AS doc_word, CAST(start AS INTEGER) AS item_word
+FROM windows WHERE n_equal >= 0.8 * least(15, n)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, start + diagonal, start) = 1
+"""
