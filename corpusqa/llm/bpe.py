@@ -35,6 +35,7 @@ class WordBpe:
 
     Text between special tokens is put in NFC, lower-cased character by character and cut into words by the
     file's pattern; white space is dropped. A word's bytes are merged by rank, lowest first, leftmost first.
+    Which characters are letters or numbers is as recent as the Unicode of the ``regex`` module.
     """
 
     def __init__(self, path: str):

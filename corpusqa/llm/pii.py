@@ -131,6 +131,17 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _confirmed_spans(kind: str) -> Column:
+    def scored(s: Column) -> Column:
+        start = F.greatest(s["begin"] - CONTEXT, F.lit(0))
+        near = F.substring(F.col("text"), start + 1, s["begin"] - start).rlike(CONTEXT_WORDS[kind])
+        score = F.lit(SCORES[kind]) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0.0))
+        return F.struct(F.lit(kind).alias("kind"), s["begin"].alias("begin"), s["end"].alias("end"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
+
+    found = F.transform(F.filter(f"_{kind}", lambda s: confirmed(kind, s["match"])), scored)
+    return found if kind in BASE else F.filter(found, lambda s: s["score"] >= LEAST)
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, pii array<struct<kind, begin, end, score>>), one row per row of ``docs``, in the order of kinds, then places.
 
@@ -145,18 +156,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     frame = with_matches(frame, "text", KINDS)
-    spans = []
-    for kind in KINDS:
-        kept = F.filter(f"_{kind}", lambda s, kind=kind: confirmed(kind, s["match"]))
-
-        def scored(s: Column, kind: str = kind) -> Column:
-            start = F.greatest(s["begin"] - CONTEXT, F.lit(0))
-            near = F.substring(F.col("text"), start + 1, s["begin"] - start).rlike(CONTEXT_WORDS[kind])
-            score = F.lit(SCORES[kind]) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0.0))
-            return F.struct(F.lit(kind).alias("kind"), s["begin"].alias("begin"), s["end"].alias("end"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
-
-        found = F.transform(kept, scored)
-        spans.append(found if kind in BASE else F.filter(found, lambda s: s["score"] >= LEAST))
+    spans = [_confirmed_spans(kind) for kind in KINDS]
     return frame.select("doc_id", "text", F.concat(*spans).alias("pii"))
 
 

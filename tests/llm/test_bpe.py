@@ -36,8 +36,9 @@ def test_as_the_library(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.characters(codec="utf-8", max_codepoint=0x2FFF), max_size=40) | st.text(alphabet="abehinot 's'.,1É<|>endoftx", max_size=60))
+@given(st.text(alphabet=st.characters(codec="utf-8", exclude_categories=["Cn", "Cs"]), max_size=40) | st.text(alphabet="abehinot 's'.,1É<|>endoftx", max_size=60))
 def test_any_text_as_the_library(text):
+    """Of characters that are assigned: the libraries differ in how recent a Unicode they know."""
     assert ours(text) == library(text)
 
 
