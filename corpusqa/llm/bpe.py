@@ -58,16 +58,16 @@ class WordBpe:
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made[order]
         self.specials = specials
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._patterns = (pattern.replace(r"\s", r"\p{White_Space}"), "(" + "|".join(map(regex.escape, specials)) + ")")
+        self._word = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        self._special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")")
 
     def split(self, chunk: str) -> Iterator[str | int]:
         """The words of a chunk without white space; special tokens as their ids."""
-        words, specials = (regex.compile(p) for p in self._patterns)
-        for part in specials.split(chunk) if "<|" in chunk else (chunk,):
+        for part in self._special.split(chunk) if "<|" in chunk else (chunk,):
             if part in self.specials:
                 yield self.specials[part]
             elif part:
-                yield from words.findall(part if part.isascii() and part.islower() else lowered(part))
+                yield from self._word.findall(part if part.isascii() and part.islower() else lowered(part))
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word. Symbols of all words lie in one array; each round merges every word's lowest-ranked pair."""

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,17 +167,41 @@ def identify_languages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, _BATCH):
-                part = batch.slice(at, _BATCH)
-                found = [profile(t.as_py()) for t in part.column(2)]
-                known = [i for i, p in enumerate(found) if p is not None]
-                names, scores = [UNKNOWN] * len(found), np.zeros(len(found))
-                if known:
-                    predicted, scores[known] = model.predict(np.stack([found[i] for i in known]))
-                    for i, name in zip(known, predicted):
-                        names[i] = name
-                columns = [part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(scores)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
+            names, scores = predict_texts(model, batch.column(2))
+            columns = [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def predict_texts(model: LanguageModel, texts) -> tuple[list[str], np.ndarray]:
+    names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    for at in range(0, len(texts), _BATCH):
+        found = [profile(t.as_py()) for t in texts[at : at + _BATCH]]
+        known = [i for i, p in enumerate(found) if p is not None]
+        if known:
+            predicted, scores[[at + i for i in known]] = model.predict(np.stack([found[i] for i in known]))
+            for i, name in zip(known, predicted):
+                names[at + i] = name
+    return names, scores
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = ROWS_PER_LANGUAGE, total: int = ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language was identified; a missing ``lang_col`` is filled in.
+
+    Learns as ``identify_languages`` does. Rows of null texts or texts without a letter go, and all rows if there is nothing to learn from.
+    """
+    learn = ~held_out(id_col) & F.col(id_col).isNotNull()
+    model = fit_languages(*training_profiles(docs, learn, id_col, text_col, lang_col, per_language, total))
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, _ = predict_texts(model, batch.column(text_at))
+            columns = list(batch.columns)
+            columns[lang_at] = pc.coalesce(columns[lang_at], pa.array(names, columns[lang_at].type))
+            kept = pa.array([n != UNKNOWN for n in names])
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(kept)
+
+    return docs.mapInArrow(run, docs.schema)

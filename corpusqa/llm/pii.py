@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Kinds in the order in which spans are listed. The first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "iban", "local_phone")
+KINDS = ("email", "ip", "card", "phone", "iban", "local_phone", "card_in_run", "phone_in_run")
 BASE = KINDS[:4]
 
 # The patterns match what their plain forms match (see README), written so that no run of characters is read
 # again from each of its places and no group is repeated by recursion: possessive quantifiers, and a look-behind that lets a
 # match begin only where a run begins or where the match before it ended (\G).
 _LOCAL, _HOST = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
+_CARD = r"(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_HOST}++(?:\.{_HOST}++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -20,9 +23,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "local_phone": r"(?<![\w+.@/-])\(?0[0-9]{1,4}\)?[\x20/.-]?[0-9]{2,5}(?:[\x20.-]?[0-9]{2,5}){0,3}(?![\w@])",
+    # numbers that a longer run of digits around them keeps from being base matches
+    "card_in_run": rf"(?<=[0-9][\x20-]){_CARD}(?![0-9])|(?<![0-9]){_CARD}(?=[\x20-][0-9])",
+    "phone_in_run": r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?=[\x20(.-]+[0-9])",
 }
 _ADDRESS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
-_NEEDS = {"email": "@", "ip": ".", "phone": "+"}  # a text without this sign has no match
+_NEEDS = {"email": "@", "ip": ".", "phone": "+", "phone_in_run": "+"}  # a text without this sign has no match
 
 CONTEXT = 32  # characters before a span that are searched for context words
 CONTEXT_WORDS = {
@@ -31,11 +37,14 @@ CONTEXT_WORDS = {
     "card": r"(?i)\b(?:card|visa|master|credit|karte|carte|tarjeta)",
     "phone": r"(?i)\b(?:tel|phone|call|fax|mobile?|handy|anruf|appel|llam)",
     "iban": r"(?i)\b(?:iban|account|konto|compte|cuenta|bank)",
+    "card_in_run": r"(?i)\b(?:card|visa|master|credit|karte|carte|tarjeta)",
+    "phone_in_run": r"(?i)\b(?:tel|phone|call|fax|mobile?|handy|anruf|appel|llam)",
     "local_phone": r"(?i)\b(?:tel|phone|call|fax|mobile?|handy|anruf|appel|llam)",
 }
-SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.3}
+SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.3, "card_in_run": 0.7, "phone_in_run": 0.6}
 BONUS = 0.2
 BLOCK = 128
+LETTERS = 512
 LEAST = 0.5  # spans with a lower score are dropped; those of the base kinds always have more
 
 
@@ -58,6 +67,19 @@ def running(values: Column, combine, start: int = 0) -> Column:
     return F.when(F.size(values) > 0, F.flatten(F.zip_with(blocks, heads, scan))).otherwise(none)
 
 
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of ``LETTERS`` code points, so that a place deep in it is reached without passing over all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{LETTERS}}}"), F.lit(0))
+
+
+def cut(blocks: Column, begin: Column, end: Column) -> Column:
+    """The text from ``begin`` to ``end``, from its blocks."""
+    first = (begin / LETTERS).cast("int")
+    last = ((end - 1) / LETTERS).cast("int")
+    joined = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(end > begin, F.substring(joined, begin - first * LETTERS + 1, end - begin)).otherwise(F.lit(""))
+
+
 def with_matches(frame: DataFrame, text: str, kinds: tuple[str, ...]) -> DataFrame:
     """Adds ``_<kind>``: array<struct<begin, end, match>> of the leftmost non-overlapping matches.
 
@@ -119,9 +141,9 @@ def confirmed(kind: str, match: Column) -> Column:
     size = F.length(number)
     if kind == "ip":
         return match.rlike(_ADDRESS)
-    if kind == "card":
+    if kind in ("card", "card_in_run"):
         return F.when(size.between(13, 19), luhn(number)).otherwise(False)
-    if kind == "phone":
+    if kind in ("phone", "phone_in_run"):
         return size.between(9, 15)
     if kind == "iban":
         account = F.replace(match, F.lit(" "), F.lit(""))
@@ -134,7 +156,7 @@ def confirmed(kind: str, match: Column) -> Column:
 def _confirmed_spans(kind: str) -> Column:
     def scored(s: Column) -> Column:
         start = F.greatest(s["begin"] - CONTEXT, F.lit(0))
-        near = F.substring(F.col("text"), start + 1, s["begin"] - start).rlike(CONTEXT_WORDS[kind])
+        near = cut(F.col("_blocks"), start, s["begin"]).rlike(CONTEXT_WORDS[kind])
         score = F.lit(SCORES[kind]) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind).alias("kind"), s["begin"].alias("begin"), s["end"].alias("end"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
 
@@ -154,10 +176,27 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     length. Repeated rows give repeated results, null ids pass through, no rows give none, further columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    return with_pii(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")))
+
+
+def with_pii(frame: DataFrame) -> DataFrame:
+    """``frame`` has a column ``text`` without nulls and none whose name begins with an underscore and a kind; adds ``pii``."""
+    names = frame.columns
     frame = with_matches(frame, "text", KINDS)
-    spans = [_confirmed_spans(kind) for kind in KINDS]
-    return frame.select("doc_id", "text", F.concat(*spans).alias("pii"))
+    proposed = reduce(lambda a, b: a | b, [F.size(f"_{kind}") > 0 for kind in KINDS])
+    frame = frame.withColumn("_blocks", F.when(proposed, blocks_of(F.col("text"))))
+    return frame.select(*names, F.concat(*[_confirmed_spans(kind) for kind in KINDS]).alias("pii"))
+
+
+def mask_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs``, with all their columns, personal data in their texts masked; ``length_col``, if there is
+    one, gets the length of the new text. Null texts stay null."""
+    text = F.col(text_col).cast("string")
+    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
+    frame = with_masked(with_pii(frame), "text", "pii")
+    new = F.when(F.col(f"row.`{text_col}`").isNotNull(), F.col("text"))
+    changed = {text_col: new, length_col: F.when(new.isNotNull(), F.length("text")).otherwise(F.col(f"row.`{length_col}`"))} if length_col in docs.columns else {text_col: new}
+    return frame.select(*[(changed[f.name].cast(f.dataType) if f.name in changed else F.col(f"row.`{f.name}`")).alias(f.name) for f in docs.schema])
 
 
 def listed(spans: Column) -> Column:
@@ -177,12 +216,11 @@ def with_masked(frame: DataFrame, text: str, spans: str) -> DataFrame:
     """The text with every span replaced by its kind in brackets; spans that overlap become one, named after the first."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["begin"].alias("begin"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     rest = [c for c in frame.columns if c not in (text, spans)]
-    frame = frame.select(*rest, text, ordered.alias("_ordered"))
+    frame = frame.select(*rest, text, ordered.alias("_ordered"), F.when(F.size(spans) > 0, blocks_of(F.col(text))).alias("_blocks"))
     frame = frame.withColumn("_reached", running(F.transform("_ordered", lambda s: -s["back"]), lambda a, b: F.greatest(a, b)))
 
     def piece(s: Column, at: Column) -> Column:
-        before = F.substring(F.col(text), at + 1, s["begin"] - at)
-        return F.when(s["begin"] >= at, F.concat(before, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
+        return F.when(s["begin"] >= at, F.concat(cut(F.col("_blocks"), at, s["begin"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
 
     pieces = F.array_join(F.zip_with("_ordered", "_reached", piece), "")
     reached = F.aggregate("_ordered", F.lit(0), lambda at, s: F.greatest(at, -s["back"]))

@@ -100,3 +100,62 @@ SELECT doc_id, item_id, CAST(n_equal AS INTEGER) AS n_equal, CAST(least(15, n) A
 FROM windows WHERE n_equal >= 0.8 * least(15, n)
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, start + diagonal, start) = 1
 """
+
+
+@query
+def op3_url_filter(spark, folder):
+    from corpusqa.llm.urls import judge_urls, stated_rules
+
+    return judge_urls(table(spark, folder, "pages"), stated_rules(spark))
+
+
+ORACLES["op3_url_filter"] = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), rules(rule_host, rule_path, rule_verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+)
+SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM split LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST, length(rule_host) DESC) = 1
+"""
+
+
+@query
+def op2_lattice_dedup(spark, folder):
+    from corpusqa.llm.lattice import link_vectors
+
+    return link_vectors(table(spark, folder, "embeddings"))
+
+
+ORACLES["op2_lattice_dedup"] = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), linked AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+  ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98
+), reached(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN linked l ON r.b = l.a
+), components AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM linked l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM components
+"""
+
+
+@query
+def op10_html_extraction(spark, folder):
+    from corpusqa.llm.extraction import extract_main_text
+
+    found = extract_main_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op9_license_scan(spark, folder):
+    from corpusqa.llm.licenses import find_licenses
+
+    return find_licenses(table(spark, folder, "documents"))

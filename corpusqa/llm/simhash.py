@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusqa.llm.components import connected_components, local_roots
@@ -20,6 +20,7 @@ SHINGLE = 3
 BITS = 2
 SUBTREE = 131_072  # most fingerprints of a subtree that one task takes as its own
 SHALLOWEST = 6  # bits of the prefixes that deal subtrees out, at least
+SENT_KEYS = 2_000_000  # more keys of documents than this are joined by a shuffle and not sent to every task
 STEP = 4  # bits by which the subtrees of crowded prefixes are split further
 
 _PIECE = 1 << 22
@@ -58,16 +59,17 @@ def _set_bits(hashed: list[int]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) for every row: one narrow pass over the texts."""
+    """(doc_id, text_hash, fp long) for every row: one narrow pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "text_hash", "fp"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def trie_links(ours: np.ndarray, theirs: np.ndarray | None, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -212,9 +214,46 @@ def simhash_components(
     any other row, and null if all ids of the group are null. No rows give no rows; further columns are not read.
     """
     found = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    groups = fingerprint_groups(found, bits, subtree, shallowest).select("fp", "component_id")
+    return found.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def fingerprint_groups(found: DataFrame, bits: int = BITS, subtree: int = SUBTREE, shallowest: int = SHALLOWEST) -> DataFrame:
+    """(fp, root, component_id) for every fingerprint of ``found`` (doc_id, fp)."""
     firsts = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = connected_components(linked_fingerprints(firsts.select("fp"), bits, subtree, shallowest))
     rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    groups = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def keep_one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, sent: int = SENT_KEYS
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one of each group of near duplicates.
+
+    The row with the smallest id stays (rows without one only if the whole group has none); of rows with that id the one
+    whose text has the smaller hash, and one of rows equal in both. The keys of the rows that go are written and counted: up to ``sent`` of
+    them are sent to every task, more are met by a shuffle of the documents.
+    """
+    found = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    grouped = found.join(fingerprint_groups(found, bits).select("fp", "root"), "fp")
+    counted = grouped.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    first = counted.groupBy("root").agg(F.min(place).alias("first"))
+    judged = counted.join(first, "root").select("doc_id", "text_hash", "rows", (place == F.col("first")).alias("stays"))
+    judged = materialise(judged.where(~F.coalesce("stays", F.lit(False)) | (F.col("rows") > 1)), "judged")
+    gone, repeated = judged.where(~F.coalesce("stays", F.lit(False))), judged.where(F.coalesce("stays", F.lit(False)))
+    kept = _met(docs, gone, id_col, text_col, "left_anti", sent)
+    if repeated.isEmpty():
+        return kept
+    twice = _met(kept, repeated, id_col, text_col, "left_semi", sent)
+    number = F.row_number().over(Window.partitionBy(F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))).orderBy(F.lit(0)))
+    once = twice.select(F.struct(*docs.columns).alias("_row"), number.alias("_number")).where("_number = 1").select("_row.*")
+    return _met(kept, repeated, id_col, text_col, "left_anti", sent).unionByName(once)
+
+
+def _met(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str, sent: int) -> DataFrame:
+    keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash"))
+    return docs.join(F.broadcast(keys) if keys.count() <= sent else keys, same, how)
