@@ -325,7 +325,7 @@ ORACLES["keyword_count_score"] = f"""WITH docs AS ({DOCS}),
 SELECT question_id, filename, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, filename) - 1)::INT AS rank, score, matched_keywords
 FROM s QUALIFY rank < 5"""
 _like = f"""docs AS ({DOCS}),
- words AS (SELECT item_id AS question_id, [w for w in string_split({norm('text', False)}, ' ') if length(w) >= 2][1:10] AS w FROM benchmark),
+ words AS (SELECT item_id AS question_id, [w for w in string_split({norm('text', False)}, ' ') if length(w) >= 2] AS w FROM benchmark),
  liked AS (SELECT question_id, filename, chunk_index, text, w FROM words JOIN docs ON len(w) > 0
    AND len([x for x in w if contains(text, x) OR contains(filename, x)]) = len(w))"""
 ORACLES["like_filter"] = f"WITH {_like} SELECT question_id, filename FROM liked"
@@ -378,7 +378,7 @@ ORACLES["rrf_merge"] = f"WITH {FUSED} SELECT question_id, filename, vector_rank,
 ORACLES["rrf_score"] = f"WITH {FUSED} SELECT question_id, filename, round(vector_score, 6) AS vector_score, round(rrf_score, 6) AS rrf_score FROM fused"
 ORACLES["rrf_topk"] = f"WITH {FUSED} SELECT question_id, filename, fused_rank, round(rrf_score, 6) AS rrf_score FROM top12"
 RERANKED = f"""{FUSED},
- pair AS (SELECT t.*, d.doc_id, d.text, {norm('b.text')} AS qn, {norm('substring(d.text, 1, 1500)')} AS dn
+ pair AS (SELECT t.*, d.doc_id, d.text, {norm('b.text')} AS qn, {norm('d.text')} AS dn
    FROM top12 t JOIN docs d USING (filename) JOIN benchmark b ON b.item_id = t.question_id),
  lists AS (SELECT *, list_distinct({tokens('qn')}) AS qt, {tokens('dn')} AS dt FROM pair),
  reranked AS (SELECT *, coalesce(10.0::DOUBLE * len(list_intersect(qt, dt)) / nullif(len(qt), 0), 5) AS rerank_score FROM lists),
@@ -407,7 +407,7 @@ ORACLES["generate_answers"] = f"""WITH {RERANKED},
 SELECT item_id AS question_id, coalesce(context, '暂无相关文档') AS answer, coalesce(sources, '') AS sources
 FROM benchmark LEFT JOIN contexts c ON c.question_id = item_id LEFT JOIN s ON s.question_id = item_id"""
 ORACLES["rerank_documents"] = f"""WITH {matches()},
- pair AS (SELECT question_id, filename, rank, string_split(b.text, ' ') AS w, substring(d.text, 1, 800) AS t FROM lexical JOIN docs d USING (filename)
+ pair AS (SELECT question_id, filename, rank, string_split(b.text, ' ') AS w, d.text AS t FROM lexical JOIN docs d USING (filename)
    JOIN benchmark b ON b.item_id = question_id WHERE rank < 10),
  s AS (SELECT *, 10.0::DOUBLE * len([x for x in w if contains(t, x)]) / len(w) AS score FROM pair)
 SELECT question_id, filename, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) - 1)::INT AS final_rank, round(score, 6) AS rerank_score
@@ -488,11 +488,11 @@ SELECT conv_id, CASE WHEN t IS NULL THEN '新对话' WHEN length(t) >= 15 THEN s
 ORACLES["compact_conversations"] = f"""
 WITH {_messages}, tiers(tier, convs, msgs, chars) AS (VALUES {_tiers}),
  told AS (SELECT conv_id, turn, role, {trim("regexp_replace(text, '(?s)\\[IMAGES_DATA\\].*?\\[/IMAGES_DATA\\]', '', 'g')")} AS text,
-   dense_rank() OVER (ORDER BY conv_id DESC) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS m FROM msg),
- tried AS (SELECT conv_id, turn, role, CASE WHEN length(text) > chars THEN substring(text, 1, chars) || {lit(TRUNCATION_NOTICE)} ELSE text END AS text, tier::INT AS tier
+   dense_rank() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id DESC) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS m FROM msg),
+ tried AS (SELECT conv_id % 3 AS owner, conv_id, turn, role, CASE WHEN length(text) > chars THEN substring(text, 1, chars) || {lit(TRUNCATION_NOTICE)} ELSE text END AS text, tier::INT AS tier
    FROM told JOIN tiers ON c <= convs AND m <= msgs),
- fits AS (SELECT tier FROM tried GROUP BY tier HAVING sum(length(text)) <= {QUOTA})
-SELECT * FROM tried WHERE tier = (SELECT min(tier) FROM fits)"""
+ fits AS (SELECT owner, tier FROM tried GROUP BY owner, tier HAVING sum(length(text)) <= {QUOTA})
+SELECT tried.* FROM tried JOIN (SELECT owner, min(tier) AS tier FROM fits GROUP BY owner) USING (owner, tier)"""
 ORACLES["delete_messages"] = """
 SELECT conv_id, turn, role FROM conversations WHERE NOT (role = 'system' OR turn = 1)
   AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE length(text) > 1500)"""

@@ -291,7 +291,8 @@ def split_table(spark, folder):
 @query
 def pack_paragraphs(spark, folder):
     spaced = F.replace(T.normalize_ingest_text(F.col("text")), F.lit("\n"), F.lit("\n\n"))
-    d = S.texts(spark, folder).select("doc_id", F.posexplode(chunking.pack_paragraphs(spaced)).alias("piece", "c"))
+    d = chunking.pack_paragraphs(S.texts(spark, folder).select("doc_id", "text"), spaced)
+    d = d.select("doc_id", F.posexplode_outer("packed").alias("piece", "c")).where(F.col("piece").isNotNull())
     return d.select("doc_id", "piece", F.col("c.content").alias("content"), F.col("c.seg_type").alias("seg_type"))
 
 
@@ -532,7 +533,7 @@ def _hybrid(spark, folder):
 def rerank_documents(spark, folder):
     hits = materialise(_lexical_hits(spark, folder), "hits")
     with_text = hybrid.chunk_lookup(hits, _chunks(spark, folder)).join(S.plain_questions(spark, folder), "question_id")
-    kept = fusion.rerank_documents(with_text, models.batch_scorer(_word_share), prefix=800)
+    kept = fusion.rerank_documents(with_text, models.batch_scorer(_word_share))
     return kept.select("question_id", "filename", "final_rank", rounded("rerank_score"))
 
 
@@ -761,8 +762,9 @@ def list_conversations(spark, folder):
 
 @query
 def compact_conversations(spark, folder):
-    kept = conversation.compact_conversations(_messages(spark, folder), QUOTA, SMALL_TIERS)
-    return kept.select("conv_id", "turn", "role", "text", "tier")
+    owned = _messages(spark, folder).withColumn("owner", F.col("conv_id") % 3)
+    kept = conversation.compact_conversations(owned, QUOTA, SMALL_TIERS, owner=["owner"])
+    return kept.select("owner", "conv_id", "turn", "role", "text", "tier")
 
 
 @query
@@ -808,11 +810,14 @@ def stream_answers(spark, folder):
 def stream_fold_events(spark, folder):
     told, sink = scratch_path(spark, "events"), scratch_path(spark, "messages")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    S.events(spark, folder).withColumn("event_time", start).write.parquet(told)
-    arriving = spark.readStream.schema(spark.read.parquet(told).schema).parquet(told)
+    events = S.events(spark, folder).withColumn("event_time", F.timestamp_add("SECOND", F.col("seq"), start))
+    # three micro-batches: every third event of a request is late, and some come long after its end
+    for turn in (0, 2, 1):
+        events.where((F.col("seq") * 7) % 3 == turn).coalesce(1).write.mode("append").parquet(told)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(told)
     (
         jobs.stream_fold_events(arriving)
-        .writeStream.outputMode("update")
+        .writeStream.outputMode("append")
         .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/batch_id={n}"))
         .option("checkpointLocation", scratch_path(spark, "progress"))
         .trigger(availableNow=True)

@@ -19,6 +19,7 @@ TRUNCATION_NOTICE = "\n\n[内容已为本地存储截断]"
 DEFAULT_TITLE = "新对话"
 TITLE_CHARS = 15
 DEFAULT_SCORE = 5.0
+IMAGE_BLOCK = "[IMAGES_DATA]"
 PAGE_FAILURE_NOTICE = "[页面视觉解读失败，且没有可用文本]"
 # -----------------------------------------------------------------------------
 
@@ -136,10 +137,11 @@ def build_search_terms(question: Column, rewritten: Column, keywords: Column) ->
     return F.filter(F.array_distinct(derived), lambda t: F.length(t) >= 2)
 
 
-def store_search_terms(query: Column, most: int = 10) -> Column:
-    """Words of a substring query: at least two characters, the first ``most`` of them."""
+def store_search_terms(query: Column, most: int | None = None) -> Column:
+    """Words of a substring query of at least two characters; all of them, or the first ``most``."""
     words = F.split(normalize_search_text(query, strip_images=False), " ")
-    return F.slice(F.filter(words, lambda t: F.length(t) >= 2), 1, most)
+    long = F.filter(words, lambda t: F.length(t) >= 2)
+    return long if most is None else F.slice(long, 1, most)
 
 
 def count_occurrences(text: Column, term: Column) -> Column:

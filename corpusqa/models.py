@@ -23,48 +23,85 @@ from corpusqa.functions.text import page_heading_text, parse_keyword_list, parse
 # Fixed values ---------------------------------------------------------------
 EMPTY_CHUNK = "[空块]"
 IMAGE_CHUNK = "[图片块]"
-HINT_CHARS = 1800
 RATE_LIMIT_MARKS = ("429", "Too Many Requests", "Throttling")
 RETRIES = 5
+PAGE_RETRIES = 3
+PAGE_WAIT_LIMITED = 3.0
+PAGE_WAIT = 1.0
+PAGE_RATE_LIMIT_MARKS = ("429", "Too Many Requests", "速率限制", "1302")
 APOLOGY = "抱歉，处理您的问题时出现错误: "
+UNKNOWN_ERROR = "未知错误"
 # -----------------------------------------------------------------------------
 
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 
 
-def with_retry(call: Callable, retries: int = RETRIES, base_seconds: float = 1.0) -> Callable:
-    """Repeat a call that was turned away for its rate, waiting twice as long each time."""
+def with_retry(call: Callable, retries: int = RETRIES, base_seconds: float = 1.0, any_error: bool = False, waits: Callable[[Exception], float] | None = None) -> Callable:
+    """Repeat a call that was turned away for its rate (``any_error``: for whatever reason), waiting twice as long each time.
+
+    ``waits`` gives the first waiting time by the error; else it is ``base_seconds``.
+    """
 
     def attempt(*args):
         for n in range(retries + 1):
             try:
                 return call(*args)
             except Exception as error:
-                if n == retries or not any(mark in str(error) for mark in RATE_LIMIT_MARKS):
+                if n == retries or not (any_error or any(mark in str(error) for mark in RATE_LIMIT_MARKS)):
                     raise
-                time.sleep(base_seconds * 2**n + random.random() * base_seconds / 2)
+                first = base_seconds if waits is None else waits(error)
+                time.sleep(first * 2**n + random.random() * first / 2)
 
     return attempt
 
 
-def batch_udf(call: Callable[..., pd.Series], returns: T.DataType, retries: int = RETRIES, base_seconds: float = 1.0):
-    """A column function around ``call``; a batch that fails for good yields nulls, not a failed job."""
-    safe = with_retry(call, retries, base_seconds)
+def _page_wait(scale: float) -> Callable[[Exception], float]:
+    return lambda error: scale * (PAGE_WAIT_LIMITED if any(m in str(error) for m in PAGE_RATE_LIMIT_MARKS) else PAGE_WAIT)
 
-    def run(*columns: pd.Series) -> pd.Series:
+
+def _by_halves(call: Callable, columns: list[pd.Series], rows_per_call: int | None) -> tuple[list, list]:
+    """(replies, errors), one of each per row: a call that fails is made again on both halves of its rows, down to one row."""
+    n = len(columns[0])
+    replies, errors = [None] * n, [None] * n
+    todo = [(at, min(at + (rows_per_call or n), n)) for at in range(0, n, rows_per_call or max(n, 1))]
+    while todo:
+        low, high = todo.pop()
         try:
-            return pd.Series(safe(*columns), index=columns[0].index)
-        except Exception:
-            return pd.Series([None] * len(columns[0]), index=columns[0].index, dtype=object)
+            replies[low:high] = list(call(*[c.iloc[low:high].reset_index(drop=True) for c in columns]))
+        except Exception as error:
+            if high - low == 1:
+                errors[low] = str(error)
+            else:
+                todo += [(low, (low + high) // 2), ((low + high) // 2, high)]
+    return replies, errors
+
+
+def batch_udf(
+    call: Callable[..., pd.Series], returns: T.DataType, retries: int = RETRIES, base_seconds: float = 1.0, rows_per_call: int | None = None,
+    with_error: bool = False, **retry,
+):
+    """A column function around ``call``; rows whose call fails for good yield nulls, not a failed job, and no other row does.
+
+    ``rows_per_call`` bounds the rows of a call (else: an Arrow batch). ``with_error``: the column is struct<reply, error>.
+    """
+    safe = with_retry(call, retries, base_seconds, **retry)
 
-    def one(a: pd.Series) -> pd.Series:
-        return run(a)
+    def run(*columns: pd.Series):
+        replies, errors = _by_halves(safe, list(columns), rows_per_call)
+        if with_error:
+            return pd.DataFrame({"reply": pd.Series(replies, dtype=object), "error": pd.Series(errors, dtype=object)})
+        return pd.Series(replies, dtype=object)
 
-    def two(a: pd.Series, b: pd.Series) -> pd.Series:
-        return run(a, b)
+    kind = T.StructType([T.StructField("reply", returns), T.StructField("error", T.StringType())]) if with_error else returns
 
-    typed = {1: F.pandas_udf(one, returns), 2: F.pandas_udf(two, returns)}
-    return lambda *columns: typed[len(columns)](*columns)
+    def typed(n: int):
+        # pandas UDFs are told apart by their signature
+        shapes = {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c), 5: lambda a, b, c, d, e: run(a, b, c, d, e)}
+        function = shapes[n]
+        function.__annotations__ = {**{name: pd.Series for name in "abcde"[:n]}, "return": pd.DataFrame if with_error else pd.Series}
+        return F.pandas_udf(function, kind)
+
+    return lambda *columns: typed(len(columns))(*columns)
 
 
 def hashing_embedder(dim: int = 256) -> Embedder:
@@ -122,39 +159,51 @@ def rewrite_queries(questions: DataFrame, call: Callable[[pd.Series], pd.Series]
     return questions.withColumn("rewritten", F.coalesce(reply, F.col("question")))
 
 
-def batch_scorer(call: Callable[[pd.Series, pd.Series], pd.Series], chat: bool = False, **retry):
-    """Scorer for ``rerank`` around a model of (question, excerpt) pairs.
+def batch_scorer(call: Callable[[pd.Series, pd.Series], pd.Series], chat: bool = False, excerpt: int | None = None, **retry):
+    """Scorer for ``rerank`` around a model of (question, text) pairs.
 
-    ``chat=True``: the model answers in words and the leading number counts, 0 to 10; the excerpt is
-    cut to 800 characters as such models are asked one pair at a time.
+    ``chat=True``: the model answers in words and the leading number counts, 0 to 10. ``excerpt``: the model is given so many
+    characters of a text and not the whole.
     """
-    if chat:
-        reply = batch_udf(call, T.StringType(), **retry)
-        return lambda question, text: parse_score(reply(question, truncate_text(text, 800)))
-    return batch_udf(call, T.DoubleType(), **retry)
+    udf = batch_udf(call, T.StringType() if chat else T.DoubleType(), **retry)
+
+    def score(question: Column, text: Column) -> Column:
+        reply = udf(question, text if excerpt is None else truncate_text(text, excerpt))
+        return parse_score(reply) if chat else reply
 
+    return score
 
-def interpret_pages(pages: DataFrame, call: Callable[[pd.Series], pd.Series] | None = None, **retry) -> DataFrame:
+
+def interpret_pages(pages: DataFrame, call: Callable[..., pd.Series] | None = None, hint_chars: int | None = None, wait_scale: float = 1.0, **retry) -> DataFrame:
     """pages + text: heading and interpretation of each page.
 
-    Without a model the text hint is the interpretation; a failed call falls back to a fixed layout
-    around the hint.
+    ``call(image, hint, filename, page_number, n_pages)`` sees the picture (null where there is none) and, as an aid, the page's
+    text (``hint_chars``: its beginning); n_pages is the number of pages of the file. Any error is retried three times,
+    after 1 s at first or 3 s if it was for the rate (times ``wait_scale``). Without a model the text hint is the
+    interpretation; a failed call falls back to a fixed layout around the hint.
     """
+    hint = F.coalesce("text_hint", F.lit(""))
+    heading = lambda seen: page_heading_text(F.col("filename"), F.col("page_number"), seen, F.col("text_hint"))
     if call is None:
-        seen = F.coalesce("text_hint", F.lit(""))
-    else:
-        seen = batch_udf(call, T.StringType(), **retry)(truncate_text(F.coalesce("text_hint", F.lit("")), HINT_CHARS))
-    return pages.withColumn(
-        "text", page_heading_text(F.col("filename"), F.col("page_number"), seen, F.col("text_hint"))
-    )
+        return pages.withColumn("text", heading(hint))
+    rule = {"retries": PAGE_RETRIES, "any_error": True, "waits": _page_wait(wait_scale), "rows_per_call": 1} | retry
+    image = F.col("image") if "image" in pages.columns else F.lit(None).cast("string")
+    counted = pages.join(pages.groupBy("filename").agg(F.count("*").cast("int").alias("_n_pages")), "filename", "left")
+    shown = hint if hint_chars is None else truncate_text(hint, hint_chars)
+    seen = batch_udf(call, T.StringType(), **rule)(image, shown, F.col("filename"), F.col("page_number"), F.col("_n_pages"))
+    return counted.withColumn("text", heading(seen)).select(*pages.columns, "text")
 
 
-def generate_answers(prompts: DataFrame, call: Callable[[pd.Series, pd.Series], pd.Series] | None = None, **retry):
-    """prompts(prompt, question, context) + answer; offline the context itself is the answer.
+def generate_answers(prompts: DataFrame, call: Callable[[pd.Series, pd.Series, pd.Series], pd.Series] | None = None, **retry):
+    """prompts(prompt, question, context[, images]) + answer; offline the context itself is the answer.
 
-    A failed call puts an apology into its own row and leaves the other questions alone.
+    ``call(prompt, question, images)`` gets the pictures of the hits as well. A failed call puts an apology with the error's
+    text into its own row and leaves the other questions alone.
     """
     if call is None:
         return prompts.withColumn("answer", F.col("context"))
-    reply: Column = batch_udf(call, T.StringType(), **retry)(F.col("prompt"), F.col("question"))
-    return prompts.withColumn("answer", F.coalesce(reply, F.lit(APOLOGY + "未知错误")))
+    images = F.col("images") if "images" in prompts.columns else F.array().cast("array<string>")
+    made = batch_udf(call, T.StringType(), with_error=True, **retry)(F.col("prompt"), F.col("question"), images)
+    error = F.coalesce(F.nullif(F.col("_made.error"), F.lit("")), F.lit(UNKNOWN_ERROR))
+    answer = F.coalesce("_made.reply", F.concat(F.lit(APOLOGY), error))
+    return prompts.withColumn("_made", made).withColumn("answer", answer).drop("_made")

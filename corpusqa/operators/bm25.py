@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusqa.functions.text import build_search_terms
 from corpusqa.operators.lexical_index import BM25_B, BM25_K1, LexicalIndex, saturation
@@ -16,10 +20,9 @@ from corpusqa.operators.ranking import top_k
 from corpusqa.schema import prepare_questions
 from corpusqa.session import materialise
 
-# (question, chunk, term) matches up to which they are simply shuffled and added up
-MATCHES_SHUFFLED = 2_000_000
-# question terms (rows of some 100 bytes) up to which they are sent to the scan of the forward index
-TERMS_BROADCAST = 500_000
+# bytes of question terms that are sent to a pass over the forward index; more are worked off in several passes
+BLOCK_BYTES = 64 * 1024 * 1024
+_ROW_BYTES = 96  # of a question term besides its text
 _BITS = 62
 _UNIT = float(1 << 30)
 _CELLS = 1 << 21
@@ -63,28 +66,25 @@ def bm25_score(questions: DataFrame, index: LexicalIndex) -> DataFrame:
     return index.with_keys(scores)
 
 
-def bm25_search(questions: DataFrame, index: LexicalIndex, k: int = 10, way: str | None = None) -> DataFrame:
+def bm25_search(questions: DataFrame, index: LexicalIndex, k: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Best ``k`` chunks per question: (question_id, key…, rank, score, matched_terms).
 
-    There are two ways with the same result. ``join`` meets the terms with the inverted index and
-    shuffles the matches: it reads little when the terms are rare. ``scan`` sends the terms to a pass over
-    the forward index, where all matches of a chunk are at hand: nothing is shuffled but the ``k`` best
-    per question and task, however frequent the terms are. By default the number of matches, known from
-    the document frequencies, decides; more terms than may be broadcast are always joined.
+    The question terms go to a pass over the forward index, where all matches of a chunk are at hand: nothing is
+    shuffled but the ``k`` best per question and task, however frequent the terms are. Questions are cut into blocks of about
+    ``block_bytes``, each a pass of its own, so what is sent to the tasks does not grow with the questions. A question id
+    may be of any type.
     """
     terms = materialise(known_terms(questions, index), "terms")
-    totals = terms.agg(F.sum("df").alias("matches"), F.max("word").alias("words"), F.count("*").alias("n")).first()
+    size = F.sum(F.octet_length("term") + _ROW_BYTES)
+    totals = terms.agg(size.alias("bytes"), F.max("word").alias("words")).first()
     masks = [f"mask_{i}" for i in range((totals["words"] or 0) + 1)]
-    if way is None:
-        frequent = (totals["matches"] or 0) > MATCHES_SHUFFLED
-        way = "scan" if frequent and totals["n"] <= TERMS_BROADCAST else "join"
-    if way == "scan":
-        scored = _with_score(_scan(terms, index, k, masks))
-    else:
-        scored = _accumulate(_matches(terms, index.postings), masks)
+    n_blocks = max(1, -(-(totals["bytes"] or 0) // block_bytes))
+    block = F.pmod(F.xxhash64("question_id"), F.lit(n_blocks))
+    parts = [_scan(terms.where(block == n), index, k, masks) for n in range(n_blocks)]
+    scored = _with_score(reduce(DataFrame.unionByName, parts))
     # chunk numbers follow the keys: equal scores come in key order
     best = top_k(scored.where(F.col("score") > 0), ["question_id"], [F.desc("score"), F.asc("doc_no")], k)
-    best = index.with_keys(materialise(best, "best"))
+    best = index.with_keys(best)
     # one row per question, as long as the question itself
     spelled = terms.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term", "word", "bit"))).alias("all"))
     words = F.array(*masks)
@@ -121,11 +121,13 @@ def _with_score(sums: DataFrame) -> DataFrame:
 
 def _scan(terms: DataFrame, index: LexicalIndex, k: int, masks) -> DataFrame:
     """The ``k`` best pairs per question and task, with their sums and bits."""
-    asked = terms.toPandas().sort_values(["term", "question_id"], ignore_index=True)  # size checked by the caller
-    ids, question = np.unique(asked["question_id"].to_numpy(), return_inverse=True)
+    asked = terms.toPandas().sort_values("term", kind="stable", ignore_index=True)  # a block, of bounded size
+    question, ids = pd.factorize(asked["question_id"])
+    id_type = terms.schema["question_id"]
+    arrow_type = to_arrow_type(id_type.dataType)
     vocabulary, first, uses = np.unique(asked["term"].to_numpy(dtype=str), return_index=True, return_counts=True)
     query = {
-        "ids": ids,
+        "ids": pa.array(ids.tolist(), arrow_type),
         "vocabulary": [str(t) for t in vocabulary],
         "idf": asked["idf"].to_numpy()[first],
         "first": first,
@@ -145,11 +147,12 @@ def _scan(terms: DataFrame, index: LexicalIndex, k: int, masks) -> DataFrame:
             for found in _score_batch(query, vocabulary, batch, k, len(masks)):
                 best = found if best is None else _keep_best({c: np.concatenate([best[c], found[c]]) for c in found}, k)
         if best is not None:
-            best["question_id"] = query["ids"][best["question_id"]]
-            yield pa.RecordBatch.from_arrays([pa.array(best[c].astype(np.int64)) for c in columns], names=columns)
+            numbers = [pa.array(best[c].astype(np.int64)) for c in columns[1:]]
+            yield pa.RecordBatch.from_arrays([query["ids"].take(pa.array(best["question_id"])), *numbers], names=columns)
 
     narrow = index.doc_terms.select("doc_no", "doc_len", "terms")
-    return narrow.mapInArrow(search, ", ".join(f"{c} bigint" for c in columns))
+    kinds = T.StructType([id_type, *[T.StructField(c, T.LongType()) for c in columns[1:]]])
+    return narrow.mapInArrow(search, kinds)
 
 
 def _score_batch(query: dict, vocabulary: pa.Array, batch: pa.RecordBatch, k: int, n_masks: int) -> Iterator[dict]:

@@ -1,7 +1,8 @@
 """Heading-aware chunking of document texts.
 
-Everything happens inside the row of a document (a file is at most 50 MB): one narrow stage, no
-shuffle. Only pieces too long for the first two steps go through a pandas UDF.
+Everything happens inside the row of a document: one narrow stage, no shuffle. Splitting and classifying paragraphs are native;
+the walk that packs them, and the second split of long pieces, are pandas UDFs: a native fold would copy all chunks so far
+at every step.
 """
 
 from __future__ import annotations
@@ -32,8 +33,6 @@ SENTENCE_END = "。！？.!?"
 HEADING_JOIN = " › "
 # -----------------------------------------------------------------------------
 
-_CHUNK = "struct<headings:array<string>,content:string,seg_type:string>"
-
 
 def split_paragraphs(text: Column) -> Column:
     """Groups of lines between blank lines, each trimmed."""
@@ -143,19 +142,13 @@ def split_table(text: Column, most: int = TABLE_CHARS) -> Column:
     return _non_empty(F.coalesce(pieces, F.array().cast("array<string>")), text)
 
 
-def pack_paragraphs(text: Column, most: int = PACK_CHARS) -> Column:
-    """Chunks of a text before the second split: ``array<struct<headings, content, seg_type>>``.
+def pack_paragraphs(documents: DataFrame, text: Column, out: str = "packed", most: int = PACK_CHARS, split_long: bool = False) -> DataFrame:
+    """documents + ``out``, the chunks of a text: ``array<struct<headings, content, seg_type>>``, before the second split or (``split_long``) after it.
 
     Short paragraphs are joined up to ``most`` characters; headings, tables, lists and over-long
     paragraphs end the block before them. Every heading is a chunk of its own under the headings
     before it, and stays in the chain of all later chunks.
     """
-    state = f"struct<chain:array<string>,current:string,out:array<{_CHUNK}>>"
-    no_text = F.array().cast("array<string>")
-    start = F.struct(
-        no_text.alias("chain"), F.lit("").alias("current"), F.array().cast(f"array<{_CHUNK}>").alias("out")
-    ).cast(state)
-
     def segment(paragraph: Column) -> Column:
         def parts(kind: Column) -> Column:
             pieces = (
@@ -172,41 +165,59 @@ def pack_paragraphs(text: Column, most: int = PACK_CHARS) -> Column:
 
         return let(classify_segment(paragraph), parts)
 
-    def chunk(chain: Column, content: Column, kind: Column) -> Column:
-        return F.struct(chain.alias("headings"), content.alias("content"), kind.alias("seg_type")).cast(_CHUNK)
-
-    def flushed(acc: Column) -> Column:
-        return F.when(
-            F.length(acc["current"]) > MIN_CHARS,
-            F.concat(acc["out"], F.array(chunk(acc["chain"], acc["current"], F.lit("paragraph")))),
-        ).otherwise(acc["out"])
-
-    def add(acc: Column, seg: Column) -> Column:
-        joined = F.when(acc["current"] == "", seg["content"]).otherwise(
-            F.concat(acc["current"], F.lit("\n\n"), seg["content"])
-        )
-        kind = F.when(seg["seg_type"].isin("heading", "table", "list"), seg["seg_type"]).otherwise("paragraph")
-        own = F.transform(seg["pieces"], lambda p: chunk(acc["chain"], utrim(p), kind))
-        chain = F.when(seg["heading"].isNotNull(), F.concat(acc["chain"], F.array(seg["heading"]))).otherwise(
-            acc["chain"]
-        )
-        return (
-            F.when(
-                seg["pieces"].isNotNull(),
-                F.struct(chain.alias("chain"), F.lit("").alias("current"), F.concat(flushed(acc), own).alias("out")),
-            )
-            .when(
-                F.length(joined) <= most,
-                F.struct(acc["chain"].alias("chain"), joined.alias("current"), acc["out"].alias("out")),
-            )
-            .otherwise(
-                F.struct(acc["chain"].alias("chain"), seg["content"].alias("current"), flushed(acc).alias("out"))
-            )
-        )
-
-    segments = F.transform(split_paragraphs(text), segment)
-    chunks = F.aggregate(segments, start, lambda acc, seg: add(acc, seg).cast(state), lambda acc: flushed(acc))
-    return min_chunk_length(chunks)
+    # a column of its own, read twice: inlined into the UDF's arguments, Spark would not take the UDF out of the expression
+    listed = documents.withColumn("_segments", F.transform(split_paragraphs(text), segment))
+    packed = F.when(F.size("_segments") >= 0, _pack(F.col("_segments"), F.lit(most), F.lit(split_long)))
+    return listed.withColumn(out, packed).drop("_segments")
+
+
+_PACKED = T.ArrayType(
+    T.StructType([T.StructField("headings", T.ArrayType(T.StringType())), T.StructField("content", T.StringType()), T.StructField("seg_type", T.StringType())])
+)
+
+
+@F.pandas_udf(_PACKED)
+def _pack(segments: pd.Series, most: pd.Series, split_long: pd.Series) -> pd.Series:
+    """The walk over the segments of each document, in time proportional to what it returns."""
+    return pd.Series([None if s is None else _packed(s, int(m), bool(l)) for s, m, l in zip(segments, most, split_long)], dtype=object)
+
+
+def _packed(segments, most: int, split_long: bool) -> list[dict]:
+    chain: tuple[str, ...] = ()
+    out: list[dict] = []
+    current, size = [], 0
+
+    def add(content: str, kind: str) -> None:
+        if len(content.strip(WHITE_SPACE)) <= MIN_CHARS:
+            return
+        parts = [content]
+        if split_long and len(content) > SPLIT_ABOVE:
+            parts = [t for t in (p.strip(WHITE_SPACE) for p in split_recursively(content)) if len(t) > MIN_CHARS]
+        out.extend({"headings": chain, "content": part, "seg_type": kind} for part in parts)
+
+    def flush() -> None:
+        if size > MIN_CHARS:
+            add("\n\n".join(current), "paragraph")
+
+    for segment in segments:
+        content, kind, pieces = segment["content"], segment["seg_type"], segment["pieces"]
+        if pieces is not None:
+            flush()
+            current, size = [], 0
+            for piece in pieces:
+                add(piece.strip(WHITE_SPACE), kind if kind in ("heading", "table", "list") else "paragraph")
+            if segment["heading"] is not None:
+                chain = (*chain, segment["heading"])
+            continue
+        joined = size + 2 + len(content) if current else len(content)
+        if joined <= most:
+            current.append(content)
+            size = joined
+        else:
+            flush()
+            current, size = [content], len(content)
+    flush()
+    return out
 
 
 def min_chunk_length(chunks: Column) -> Column:
@@ -272,19 +283,6 @@ def recursive_split(chunks: Column) -> Column:
     return _recursive_split(contents)
 
 
-def _with_second_split(chunks: Column, splits: Column) -> Column:
-    def spread(c: Column, pieces: Column) -> Column:
-        kept = F.filter(F.transform(pieces, lambda p: utrim(p)), lambda p: F.length(p) > MIN_CHARS)
-        return F.when(pieces.isNull(), F.array(c)).otherwise(
-            F.transform(
-                kept,
-                lambda p: F.struct(c["headings"].alias("headings"), p.alias("content"), c["seg_type"].alias("seg_type")),
-            )
-        )
-
-    return F.when(splits.isNull(), chunks).otherwise(F.flatten(F.zip_with(chunks, splits, spread)))
-
-
 def segments(documents: DataFrame, text: str = "text") -> DataFrame:
     """One row per paragraph: para_pos, content, seg_type, heading and the headings above it.
 
@@ -317,9 +315,9 @@ def chunk_text_with_headings(headings: Column, content: Column) -> Column:
 def semantic_chunk(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents(filename, source, text) -> text chunks numbered from 0 within each document."""
     carried = [c for c in documents.columns if c != text]
-    packed = documents.select(*carried, pack_paragraphs(normalize_ingest_text(F.col(text))).alias("packed"))
-    split = packed.select(*carried, "packed", recursive_split(F.col("packed")).alias("splits"))
-    chunks = split.select(*carried, F.posexplode(_with_second_split(F.col("packed"), F.col("splits"))).alias("chunk_index", "c"))
+    packed = pack_paragraphs(documents, normalize_ingest_text(F.col(text)), "_packed", split_long=True)
+    # outer: no "not empty" filter is derived, which would call for the chunks a second time
+    chunks = packed.select(*carried, F.posexplode_outer("_packed").alias("chunk_index", "c")).where(F.col("chunk_index").isNotNull())
     return chunks.select(
         *carried,
         "chunk_index",

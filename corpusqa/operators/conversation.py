@@ -74,20 +74,24 @@ def compact_conversations(
     max_chars: int,
     tiers: Sequence[tuple[int, int, int]] = COMPACTION_TIERS,
     recency: str = "conv_id",
+    owner: Sequence[str] = (),
 ) -> DataFrame:
-    """The conversations kept under a quota: newest conversations, their last messages, cut texts.
+    """The conversations each owner keeps under a quota: newest conversations, their last messages, cut texts.
 
     The tiers are tried in turn and the first whose texts fit ``max_chars`` is used; nothing is kept
-    when none fits. ``recency`` orders the conversations, newest largest. Only what the widest tier
+    when none fits. ``recency`` orders the conversations, newest largest. ``owner`` names the columns that tell owners
+    apart (none: all messages are one owner's); each has quota and tier of its own. Only what the widest tier
     could keep is ever brought together.
     """
+    owned = [*owner] or ["_owner"]
+    messages = messages if owner else messages.withColumn("_owner", F.lit(0))
     widest = [max(t[i] for t in tiers) for i in range(3)]
-    stamps = messages.groupBy("conv_id").agg(F.max(recency).alias("_stamp")) if recency != "conv_id" else (
-        messages.select("conv_id").distinct().withColumn("_stamp", F.col("conv_id"))
+    stamps = messages.groupBy(*owned, "conv_id").agg(F.max(recency).alias("_stamp")) if recency != "conv_id" else (
+        messages.select(*owned, "conv_id").distinct().withColumn("_stamp", F.col("conv_id"))
     )
-    newest = stamps.orderBy(F.desc("_stamp"), F.desc("conv_id")).limit(widest[0])  # bounded by the tiers
-    ranked = newest.withColumn("conv_rank", F.row_number().over(W.orderBy(F.desc("_stamp"), F.desc("conv_id")))).drop("_stamp")
-    recent = top_k(messages.join(ranked, "conv_id"), ["conv_id"], [F.desc("turn")], widest[1], "back")
+    ranked = top_k(stamps, owned, [F.desc("_stamp"), F.desc("conv_id")], widest[0], "conv_rank")
+    ranked = ranked.withColumn("conv_rank", F.col("conv_rank") + 1).drop("_stamp")
+    recent = top_k(messages.join(ranked, [*owned, "conv_id"]), [*owned, "conv_id"], [F.desc("turn")], widest[1], "back")
     text = strip_images_data(F.coalesce("text", F.lit("")))
     options = F.array(
         *[
@@ -99,14 +103,14 @@ def compact_conversations(
     images = F.col("images") if "images" in messages.columns else F.lit(None).cast("array<string>")
     tried = (
         recent.select(
-            "conv_id", "turn", "role", "conv_rank", "back", sources.alias("sources"), images.alias("images"), F.explode(options).alias("o")
+            *owned, "conv_id", "turn", "role", "conv_rank", "back", sources.alias("sources"), images.alias("images"), F.explode(options).alias("o")
         )
-        .select("conv_id", "turn", "role", "sources", "images", "conv_rank", "back", "o.*")
+        .select(*owned, "conv_id", "turn", "role", "sources", "images", "conv_rank", "back", "o.*")
         .where((F.col("conv_rank") <= F.col("convs")) & (F.col("back") < F.col("msgs")))
     )
-    fitting = tried.groupBy("tier").agg(F.sum(F.length("text")).alias("size")).where(F.col("size") <= max_chars)
-    chosen = fitting.agg(F.min("tier").alias("tier"))  # one row
-    return tried.join(F.broadcast(chosen), "tier").select("conv_id", "turn", "role", "text", "sources", "images", "tier")
+    fitting = tried.groupBy(*owned, "tier").agg(F.sum(F.length("text")).alias("size")).where(F.col("size") <= max_chars)
+    chosen = fitting.groupBy(*owned).agg(F.min("tier").alias("tier"))
+    return tried.join(chosen, [*owned, "tier"]).select(*owner, "conv_id", "turn", "role", "text", "sources", "images", "tier")
 
 
 def delete_messages(messages: DataFrame, unwanted: DataFrame) -> DataFrame:

@@ -82,15 +82,14 @@ def rerank(
     candidates: DataFrame,
     scorer: Callable[[Column, Column], Column] = constant_score,
     missing: float = RERANK_DEFAULT,
-    prefix: int = 1500,
 ) -> DataFrame:
     """Score ``candidates(question, text)``; a score the scorer leaves null becomes ``missing``.
 
     ``scorer`` maps (question, text) columns to a score column: a native expression, or a pandas UDF
-    around a model (see ``models.batch_scorer``). ``prefix`` is the length of the excerpt that the
-    scoring model is given. A cross-encoder declares 0 as its missing score, a chat model 5.
+    around a model (see ``models.batch_scorer``, which can give its model an excerpt). Both see the whole
+    text. A cross-encoder declares 0 as its missing score, a chat model 5.
     """
-    score = scorer(F.col("question"), F.substring("text", 1, prefix))
+    score = scorer(F.col("question"), F.col("text"))
     return candidates.withColumn("rerank_score", F.coalesce(score.cast("double"), F.lit(missing)))
 
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusqa.functions.text import let, tokenize
+from corpusqa.functions.text import IMAGE_BLOCK, let, tokenize
 from corpusqa.schema import CHUNK_KEY
 from corpusqa.session import scratch_path
 
@@ -93,9 +93,9 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus_stats(doc_terms: DataFrame) -> DataFrame:
+def corpus_stats(doc_terms: DataFrame, *more: Column) -> DataFrame:
     """Number of chunks and their mean length, over all chunks."""
-    return doc_terms.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    return doc_terms.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"), *more)
 
 
 def saturation(tf: Column, doc_len: Column, avg_len: Column) -> Column:
@@ -113,17 +113,21 @@ def build_index(
 
     ``key`` must tell chunks apart. Tables in which (filename, chunk_index) repeats pass the store's
     own row columns as well, because every stored row counts as a document of its own. Substring
-    search needs ``strip_images=False`` when texts hold image blocks: it also looks inside those.
+    search needs ``strip_images=False`` when texts hold image blocks: it also looks inside those, and refuses
+    an index that left something out (noted in the corpus totals as ``hides_images``).
     """
     spark = chunks.sparkSession
     path = path or scratch_path(spark, "index")
     # The texts are put in the order of their keys before they are tokenised: this also spreads a table
     # that comes in few files, and a file with very many chunks over several tasks.
     placed = chunks.select(*{*key, "filename", "text"}).repartitionByRange(*key).sortWithinPartitions(*key)
-    numbered = document_terms(placed, key, strip_images).withColumn("doc_no", F.monotonically_increasing_id())
+    hides = F.coalesce(F.contains("text", F.lit(IMAGE_BLOCK)), F.lit(False)) if strip_images else F.lit(False)
+    numbered = document_terms(placed.withColumn("_hides", hides), [*key, "_hides"], strip_images)
+    numbered = numbered.withColumn("doc_no", F.monotonically_increasing_id())
     numbered.write.parquet(f"{path}/doc_terms")
     doc_terms = spark.read.parquet(f"{path}/doc_terms")
-    corpus_stats(doc_terms).write.parquet(f"{path}/corpus_stats")
+    totals = corpus_stats(doc_terms, F.coalesce(F.max("_hides"), F.lit(False)).alias("hides_images"))
+    totals.write.parquet(f"{path}/corpus_stats")
     stats = spark.read.parquet(f"{path}/corpus_stats")
     # A frequent term spreads over many range partitions: the chunk number is part of the range.
     (

@@ -37,6 +37,7 @@ def _grams(word: Column, sizes) -> Column:
 
 def _anchor_words(needles: DataFrame, index: LexicalIndex) -> DataFrame:
     """(needle, term, df): words of the corpus that contain the anchor of a needle."""
+    _whole_texts(index)
     anchored = needles.select("needle", _anchor(F.col("needle")).alias("anchor")).where(F.col("anchor").isNotNull())
     anchored = anchored.withColumn("gram", F.substring("anchor", 1, _GRAM))
     sizes = [r[0] for r in anchored.select(F.length("gram")).distinct().collect()]  # at most three numbers
@@ -44,14 +45,18 @@ def _anchor_words(needles: DataFrame, index: LexicalIndex) -> DataFrame:
     return words.join(anchored, "gram").where(F.contains("term", F.col("anchor"))).select("needle", "term", "df")
 
 
+def _whole_texts(index: LexicalIndex) -> None:
+    """An index without the words inside image blocks would lose matches there."""
+    if index.corpus_stats.select("hides_images").first()[0]:
+        raise ValueError("texts hold image blocks: build the index with strip_images=False for substring search")
+
+
 def _candidates(needles: DataFrame, index: LexicalIndex, chunks: DataFrame, words: DataFrame) -> DataFrame:
     """(needle, key…) pairs in which the needle may occur: a superset of those in which it does."""
     key = list(index.key)
     found = index.postings.select("term", "doc_no").join(words.select("needle", "term"), "term")
     found = index.with_keys(found.select("needle", "doc_no").distinct())
     symbols = needles.where(_anchor(F.col("needle")).isNull() & (F.length("needle") > 0))
-    if symbols.isEmpty():
-        return found
     first = symbols.withColumn("symbol", F.lower(F.substring("needle", 1, 1)))
     both = F.lower(F.concat_ws("\n", "filename", "text"))
     seen = chunks.select(
@@ -93,15 +98,15 @@ def keyword_count_score(questions: DataFrame, chunks: DataFrame, index: LexicalI
     return top_k(scored, ["question_id"], [F.desc("score"), *[F.asc(c) for c in key]], k)
 
 
-def like_filter(questions: DataFrame, chunks: DataFrame, index: LexicalIndex) -> DataFrame:
+def like_filter(questions: DataFrame, chunks: DataFrame, index: LexicalIndex, most: int | None = None) -> DataFrame:
     """Chunks in which every word of the question occurs, in the text or the file name.
 
-    questions(question_id, question); at most ten words count. Matching is case-sensitive against
+    questions(question_id, question); all words count, or the first ``most``. Matching is case-sensitive against
     lower-cased words. Candidates come from the rarest word of each question only.
     """
     key = list(index.key)
     asked = materialise(
-        questions.select("question_id", store_search_terms(F.col("question")).alias("words")).where(F.size("words") > 0),
+        questions.select("question_id", store_search_terms(F.col("question"), most).alias("words")).where(F.size("words") > 0),
         "words",
     )
     spelled = asked.select("question_id", F.explode("words").alias("needle"))
@@ -123,13 +128,13 @@ def like_filter(questions: DataFrame, chunks: DataFrame, index: LexicalIndex) ->
     )
 
 
-def like_search_score(questions: DataFrame, chunks: DataFrame, index: LexicalIndex, k: int = 8) -> DataFrame:
+def like_search_score(questions: DataFrame, chunks: DataFrame, index: LexicalIndex, k: int = 8, most: int | None = None) -> DataFrame:
     """Best ``k`` of the chunks that pass ``like_filter``: occurrences, plus 3 per word in the file name.
 
     All matches are scored, not an arbitrary first few of them.
     """
     key = list(index.key)
-    matched = like_filter(questions, chunks, index)
+    matched = like_filter(questions, chunks, index, most)
     text, name = F.lower("text"), F.lower("filename")
     one = lambda w: count_occurrences(text, w) + F.when(F.contains(name, w), FILENAME_BONUS).otherwise(0)
     score = F.aggregate("words", F.lit(0).cast("bigint"), lambda total, w: total + one(w))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,10 +16,8 @@ from corpusqa.operators.ranking import top_k
 from corpusqa.schema import CHUNK_KEY
 
 MIN_SIMILARITY = 0.35
-# Question vectors up to this size are sent to every executor; more are met block by block.
-BROADCAST_BYTES = 64 * 1024 * 1024
-QUESTIONS_PER_BLOCK = 2048
-VECTORS_PER_BLOCK = 65536
+# bytes of question vectors that are sent to a pass over the stored vectors; more are worked off in several passes
+BLOCK_BYTES = 64 * 1024 * 1024
 _PAIRS_AT_ONCE = 1 << 20
 _NUMBERS_AT_ONCE = 1 << 23
 
@@ -88,14 +87,13 @@ def nearest(
     vectors: DataFrame,
     k: int,
     key: Sequence[str] = CHUNK_KEY,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(question_id, key…, rank, distance): the ``k`` nearest stored vectors of every question.
 
     ``questions(question_id, vector)``. No index is assumed, as in a flat scan, but no pair leaves
-    a task: each task keeps ``k`` rows per question and Spark merges those. A question table within
-    ``broadcast_bytes`` goes to the scan of the vectors, which are then not shuffled at all; a larger
-    one is cut into blocks, and every block of questions meets every block of vectors in a task.
+    a task: each task keeps ``k`` rows per question and Spark merges those. The question vectors are sent to the scan, in
+    blocks of about ``block_bytes``, each a pass of its own; the stored vectors are never shuffled.
     """
     key = list(key)
     questions = questions.where(F.col("vector").isNotNull()).select("question_id", "vector")
@@ -106,15 +104,15 @@ def nearest(
     schema = T.StructType(
         [questions.schema["question_id"], *[vectors.schema[c] for c in key], T.StructField("distance", T.DoubleType())]
     )
-    if asked["n_vectors"] * ((asked["max_dim"] or 0) * 8 + 64) <= broadcast_bytes:
-        local = _scan(questions, vectors, key, k, schema)
-    else:
-        local = _blocks(questions, vectors, key, k, schema)
+    n_blocks = max(1, -(-asked["n_vectors"] * ((asked["max_dim"] or 0) * 8 + 64) // block_bytes))
+    block = F.pmod(F.xxhash64("question_id"), F.lit(n_blocks))
+    parts = [_scan(questions.where(block == n), vectors, key, k, schema) for n in range(n_blocks)]
+    local = reduce(DataFrame.unionByName, parts)
     return top_k(local, ["question_id"], [F.asc("distance"), *[F.asc(c) for c in key]], k)
 
 
 def _scan(questions: DataFrame, vectors: DataFrame, key: list[str], k: int, schema: T.StructType) -> DataFrame:
-    asked = questions.toPandas()  # size checked by the caller
+    asked = questions.toPandas()  # a block, of bounded size
     ids = asked["question_id"].to_numpy()
     matrix = np.stack(asked["vector"].to_numpy()).astype(np.float64) if len(asked) else np.empty((0, 0))
     shared = questions.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -132,28 +130,6 @@ def _scan(questions: DataFrame, vectors: DataFrame, key: list[str], k: int, sche
     return vectors.mapInPandas(search, schema)
 
 
-def _blocks(questions: DataFrame, vectors: DataFrame, key: list[str], k: int, schema: T.StructType) -> DataFrame:
-    question_blocks = -(-questions.count() // QUESTIONS_PER_BLOCK)
-    vector_blocks = max(1, -(-vectors.count() // VECTORS_PER_BLOCK))
-
-    def spread_over(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    # the whole row decides the block, so copies of one key do not pile up in one
-    left = vectors.withColumn("vb", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(vector_blocks)).cast("int"))
-    left = left.withColumn("qb", spread_over(question_blocks))
-    right = questions.withColumn("qb", F.pmod(F.xxhash64("question_id"), F.lit(question_blocks)).cast("int"))
-    right = right.withColumn("vb", spread_over(vector_blocks))
-
-    def meet(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if stored.empty or asked.empty:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
-        matrix = np.stack(asked["vector"].to_numpy()).astype(np.float64)
-        return _nearest(asked["question_id"].to_numpy(), matrix, stored, key, k)
-
-    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(meet, schema)
-
-
 def similarity_filter(hits: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Keep hits that are similar enough."""
     similarity = similarity_from_distance(F.col("distance"))

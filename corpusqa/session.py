@@ -40,11 +40,5 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for heavy per-row work when a table comes in fewer files than there are cores.
-
-    A table of many files is returned as it is: no shuffle of the texts.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= wanted:
-        return df
-    return df.repartition(wanted, *keys)
+    """Deal the rows out for heavy work on each, as where a table comes in few large files; costs a shuffle of the rows."""
+    return df.repartition(*keys)

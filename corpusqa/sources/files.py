@@ -15,7 +15,9 @@ TEXT_FILES = (".txt", ".md")
 TABLE_FILES = (".csv",)
 IMAGE_FILES = (".png", ".jpg", ".jpeg", ".webp")
 EMPTY_TABLE = "空表格"
-IMAGE_FILE_TEXT = "[独立图片文件]"
+TABLE_HEAD = "\n--- 表格: Sheet1 ---\n"
+WRONG_TYPE = "不支持的文件类型: "
+TOO_LARGE = "File too large"
 # -----------------------------------------------------------------------------
 
 
@@ -24,8 +26,8 @@ def accept_files(files: DataFrame, path: str = "path", length: str = "length") -
     extension = file_extension(F.col(path))
     return files.withColumn(
         "rejected_reason",
-        F.when(~extension.isin(*ACCEPTED), F.concat(F.lit("不支持的文件类型: "), extension)).when(
-            F.col(length) > MAX_FILE_BYTES, F.lit("File too large")
+        F.when(~extension.isin(*ACCEPTED), F.concat(F.lit(WRONG_TYPE), extension)).when(
+            F.col(length) > MAX_FILE_BYTES, F.lit(TOO_LARGE)
         ),
     )
 
@@ -39,15 +41,25 @@ def file_to_text(name: Column, value: Column) -> Column:
     """Searchable text of a text or CSV file's contents."""
     value = F.make_valid_utf8(value)
     table = F.when(utrim(value) == "", F.lit(EMPTY_TABLE)).otherwise(
-        F.concat(F.lit("\n--- 表格: Sheet1 ---\n"), F.regexp_replace(value, r"\r\n?", "\n"), F.lit("\n"))
+        F.concat(F.lit(TABLE_HEAD), F.regexp_replace(value, r"\r\n?", "\n"), F.lit("\n"))
     )
     return F.when(file_extension(name).isin(*TABLE_FILES), table).otherwise(value)
 
 
-def text_reader(reader, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """documents(filename, source, text) of the text and CSV files below ``path``.
+def _refused(size: Column, max_bytes: int | None) -> list[Column]:
+    """The column ``rejected_reason``, only where a limit was asked for."""
+    return [] if max_bytes is None else [F.when(size > max_bytes, F.lit(TOO_LARGE)).alias("rejected_reason")]
 
-    ``reader`` is ``spark.read`` or ``spark.readStream``; one row per file.
+
+def _unless_refused(size: Column, max_bytes: int | None, value: Column) -> Column:
+    return value if max_bytes is None else F.when(size <= max_bytes, value)
+
+
+def text_reader(reader, path: str, max_bytes: int | None = None) -> DataFrame:
+    """documents(filename, source, text) of the text and CSV files below ``path``: every file is a row.
+
+    ``reader`` is ``spark.read`` or ``spark.readStream``. With ``max_bytes`` larger files come back without their
+    text and with a ``rejected_reason`` (null for the others).
     """
     raw = (
         reader.format("text")
@@ -57,20 +69,22 @@ def text_reader(reader, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame
         .load(path)
     )
     name = F.col("_metadata.file_name")
-    return raw.where(F.col("_metadata.file_size") <= max_bytes).select(
+    size = F.col("_metadata.file_size")
+    return raw.select(
         F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("filename"),
         F.col("_metadata.file_path").alias("source"),
-        file_to_text(name, F.col("value")).alias("text"),
+        _unless_refused(size, max_bytes, file_to_text(name, F.col("value"))).alias("text"),
+        *_refused(size, max_bytes),
     )
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    return text_reader(spark.read, path)
+def read_documents(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    return text_reader(spark.read, path, max_bytes)
 
 
-def read_csv_as_text(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_as_text(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Only the CSV files, each as one text under a heading line; an empty file says so."""
-    return read_documents(spark, path).where(file_extension(F.col("filename")).isin(*TABLE_FILES))
+    return read_documents(spark, path, max_bytes).where(file_extension(F.col("filename")).isin(*TABLE_FILES))
 
 
 def image_data_url(name: Column, content: Column) -> Column:
@@ -89,20 +103,24 @@ def flag_oversize_images(data_url: Column, max_bytes: int = MAX_IMAGE_BYTES) ->
     return F.ceil(F.length(payload) * 3 / 4) > max_bytes
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """pages(filename, source, page_number, text_hint, image) of image files: one page each."""
+def read_images(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """pages(filename, source, page_number, text_hint, image) of image files: one page each.
+
+    With ``max_bytes`` larger files come back without their picture and with a ``rejected_reason``.
+    """
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", _glob(IMAGE_FILES))
         .load(path)
-        .where(F.col("length") <= MAX_FILE_BYTES)
     )
+    size = F.col("length")
     name = F.regexp_extract("path", r"([^/]+)\z", 1)
     return raw.select(
         name.alias("filename"),
         F.col("path").alias("source"),
         F.lit(1).alias("page_number"),
         F.lit(None).cast("string").alias("text_hint"),
-        image_data_url(name, F.col("content")).alias("image"),
+        _unless_refused(size, max_bytes, image_data_url(name, F.col("content"))).alias("image"),
+        *_refused(size, max_bytes),
     )

@@ -2,16 +2,18 @@
 
 Plain Parquet under one folder::
 
-    chunks/commit_id=N/…    rows written by commit N, never changed afterwards
-    log/commit_id=N/…       written last: makes commit N visible, and names what it removes
+    chunks/commit_id=N/writer=W/…    rows written by commit N, never changed afterwards
+    log/commit_id=N/…                written last: makes commit N visible, and names what it removes
 
 A reader sees the rows of logged commits after the last ``clear``, minus the files deleted by a later
-commit. A commit interrupted half-way is invisible, and its number is written over by the next one.
-One writer at a time is assumed.
+commit. Every commit writes to a folder of its own, named in the log, so a commit interrupted half-way is invisible. Of
+two writers that take the same number one enters the log; the other fails and has changed nothing.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ from corpusqa.session import materialise
 PLACEHOLDER_FILE = "init"
 PAGE_SIZES = (10, 20, 50, 100)
 
-_LOG = "kind string, filename string, txn string, dimension int"
+_LOG = "kind string, filename string, txn string, dimension int, writer string"
+_STORED = VECTORS + ", row_id bigint, writer string"
 ROW_KEY = ("filename", "chunk_index", "commit_id", "row_id")
 
 
@@ -116,10 +119,9 @@ class KnowledgeBase:
         log = self.log()
         cleared = F.coalesce(F.max(F.when(F.col("kind") == "clear", F.col("commit_id"))), F.lit(-1))
         since = log.agg(cleared).scalar()
-        live = log.where((F.col("kind") == "write") & (F.col("commit_id") >= since)).select("commit_id").distinct()
+        live = log.where((F.col("kind") == "write") & (F.col("commit_id") >= since)).select("commit_id", "writer").distinct()
         removed = log.where(F.col("kind") == "delete").groupBy("filename").agg(F.max("commit_id").alias("gone_at"))
-        stored = self._read("chunks", VECTORS + ", row_id bigint")
-        visible = stored.join(live, "commit_id", "left_semi").alias("s")
+        visible = self._read("chunks", _STORED).join(live, ["commit_id", "writer"], "left_semi").drop("writer").alias("s")
         gone = removed.alias("r")
         return visible.join(
             gone, (F.col("s.filename") == F.col("r.filename")) & (F.col("s.commit_id") < F.col("r.gone_at")), "left_anti"
@@ -131,23 +133,43 @@ class KnowledgeBase:
     def _done(self, txn: str | None) -> bool:
         return txn is not None and not self.log().where(F.col("txn") == txn).isEmpty()
 
-    def _next(self) -> int:
+    def _next(self) -> tuple[int, str]:
+        """A number after all logged and all claimed ones, and a name for this writer's folder."""
         last = self.log().agg(F.max("commit_id")).first()[0]
-        return 0 if last is None else last + 1
+        commit = 0 if last is None else last + 1
+        while self._claim(commit)[0].exists(self._claim(commit)[1]):
+            commit += 1
+        return commit, uuid.uuid4().hex
+
+    def _claim(self, commit: int):
+        """The file system and path of the file that claims a number."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/{commit}")
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
 
-    def _write(self, commit: int, rows: DataFrame, extra: bool = False) -> DataFrame:
+    def _write(self, commit: int, writer: str, rows: DataFrame, extra: bool = False) -> DataFrame:
         """Write rows of a commit (``extra``: more of them) and return all its rows so far."""
         place = F.monotonically_increasing_id()
         stored = conform(rows, VECTORS).withColumn("row_id", -1 - place if extra else place)
-        stored.write.mode("append" if extra else "overwrite").parquet(f"{self.path}/chunks/commit_id={commit}")
-        return self._read("chunks", VECTORS + ", row_id bigint").where(F.col("commit_id") == commit)
+        stored.write.mode("append" if extra else "error").parquet(f"{self.path}/chunks/commit_id={commit}/writer={writer}")
+        return self._read("chunks", _STORED).where((F.col("commit_id") == commit) & (F.col("writer") == writer)).drop("writer")
 
-    def _publish(self, commit: int, *kinds: str, removals: DataFrame | None = None, txn=None, dimension=None) -> None:
-        entries = self.spark.createDataFrame([(kind, None, txn, dimension) for kind in kinds], struct_of(_LOG))
+    def _publish(self, commit: int, *kinds: str, removals: DataFrame | None = None, txn=None, dimension=None, writer=None) -> None:
+        entries = self.spark.createDataFrame([(kind, None, txn, dimension, writer) for kind in kinds], struct_of(_LOG))
         if removals is not None:
             gone = removals.select(F.lit("delete").alias("kind"), "filename").distinct()
             entries = entries.unionByName(gone, allowMissingColumns=True)
-        entries.write.mode("overwrite").parquet(f"{self.path}/log/commit_id={commit}")
+        self._enter(commit)
+        entries.coalesce(1).write.mode("append").parquet(f"{self.path}/log/commit_id={commit}")
+
+    def _enter(self, commit: int) -> None:
+        """Claim the number: an empty file that only one writer can create."""
+        files, place = self._claim(commit)
+        try:
+            files.create(place, False).close()
+        except Exception as error:
+            if not files.exists(place):
+                raise
+            raise RuntimeError(f"another writer has taken commit {commit}; run this one again") from error
 
     def append(self, chunks: DataFrame, replace: bool = False, txn: str | None = None) -> int:
         """Embed (unless a ``vector`` column is given) and add chunks; returns how many were added.
@@ -159,8 +181,8 @@ class KnowledgeBase:
         """
         if self._done(txn):
             return 0
-        commit = self._next()
-        written = self._write(commit, chunks if "vector" in chunks.columns else embed_chunks(chunks, self.embedder))
+        commit, writer = self._next()
+        written = self._write(commit, writer, chunks if "vector" in chunks.columns else embed_chunks(chunks, self.embedder))
         dimension, added = check_dimension(written)
         if not added:
             if chunks.isEmpty():
@@ -168,11 +190,11 @@ class KnowledgeBase:
             raise RuntimeError("embedding failed for all chunks")
         removals = written.select("filename") if replace else None
         if self.dimension() in (None, dimension):
-            self._publish(commit, "write", removals=removals, txn=txn, dimension=dimension)
+            self._publish(commit, "write", removals=removals, txn=txn, dimension=dimension, writer=writer)
             return added
         kept = self._texts() if removals is None else self._texts().join(removals, "filename", "left_anti")
-        check_dimension(self._write(commit, embed_chunks(kept, self.embedder), extra=True), dimension)
-        self._publish(commit, "write", "clear", txn=txn, dimension=dimension)
+        check_dimension(self._write(commit, writer, embed_chunks(kept, self.embedder), extra=True), dimension)
+        self._publish(commit, "write", "clear", txn=txn, dimension=dimension, writer=writer)
         return added
 
     def dimension(self) -> int | None:
@@ -188,22 +210,23 @@ class KnowledgeBase:
         """Remove files by name; returns (filename, deleted)."""
         _, deleted = delete_document(self.rows().select("filename"), names)
         deleted = materialise(deleted, "deleted")
-        self._publish(self._next(), "note", removals=deleted.where(F.col("deleted") > 0))
+        self._publish(self._next()[0], "note", removals=deleted.where(F.col("deleted") > 0))
         return deleted
 
     def clear(self) -> int:
         """Remove everything; returns how many rows that were."""
         n = self.rows().count()
-        self._publish(self._next(), "clear")
+        self._publish(self._next()[0], "clear")
         return n
 
     def reembed(self) -> int:
         """Embed every stored chunk again and put the result in place of all rows, in one commit."""
-        commit = self._next()
-        dimension, n = check_dimension(self._write(commit, embed_chunks(self._texts(), self.embedder)))
-        self._publish(commit, "write", "clear", dimension=dimension)
+        commit, writer = self._next()
+        dimension, n = check_dimension(self._write(commit, writer, embed_chunks(self._texts(), self.embedder)))
+        self._publish(commit, "write", "clear", dimension=dimension, writer=writer)
         return n
 
-    def build_index(self, path: str | None = None) -> LexicalIndex:
-        """Lexical index over the rows as they are now; every stored row counts on its own."""
-        return build_index(self.scan(), path, ROW_KEY)
+    def build_index(self, path: str | None = None, strip_images: bool = True) -> LexicalIndex:
+        """Lexical index over the rows as they are now; every stored row counts on its own. Substring search in texts
+        with image blocks needs ``strip_images=False``."""
+        return build_index(self.scan(), path, ROW_KEY, strip_images)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusqa.operators.context import fold_events
+from corpusqa.models import UNKNOWN_ERROR
+from corpusqa.operators.context import ERROR_PREFIX
 from corpusqa.plans.ingest import ingest_documents
 from corpusqa.sources.files import text_reader
 from corpusqa.sources.knowledge_base import KnowledgeBase
@@ -57,11 +60,50 @@ def stream_answers(
     )
 
 
+_MESSAGE = "request_id string, content string, sources array<string>, images array<string>"
+
+
 def stream_fold_events(events: DataFrame, watermark: str = "10 minutes", time: str = "event_time") -> DataFrame:
-    """Streaming aggregation of answer events: one finished message per request (update mode).
+    """One finished message per request of a stream of answer events, however its events are spread over micro-batches.
 
-    ``time`` holds the start of the request, the same for all its events. State is kept until
-    ``watermark`` has passed since then, which bounds it; a request appears once its end was seen.
+    A request is emitted once all its events up to the first ``done`` or ``error`` are there (``seq`` counts from 0), or, if
+    some stay away, when ``watermark`` has passed since its last event. Events after the end and events told twice change
+    nothing; a request without an end is dropped at that time. State holds what was told so far, for open requests, and
+    a mark for finished ones until then. Append mode.
     """
-    groups = events.withWatermark(time, watermark).groupBy("request_id", time)
-    return fold_events(groups, "request_id").where(F.col("end_type").isNotNull()).drop("end_type")
+    kept = events.withWatermark(time, watermark).select(
+        F.col("request_id").cast("string").alias("request_id"), "seq", "type", "content", "sources", "images", time, F.unix_millis(time).alias("_ms")
+    )
+    return kept.groupBy("request_id").applyInPandasWithState(_fold_request(watermark), _MESSAGE, "closed boolean, told string, last long", "append", "EventTimeTimeout")
+
+
+def _fold_request(watermark: str):
+    patience = int(pd.Timedelta(watermark).total_seconds() * 1000)
+
+    def fold(key, frames, state):
+        closed, told, last = state.get if state.exists else (False, "[]", 0)
+        known = {e["seq"]: e for e in json.loads(told)}
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                last = max(last, int(row["_ms"]))
+                listed = {c: None if row[c] is None else list(row[c]) for c in ("sources", "images")}
+                known.setdefault(int(row["seq"]), {"seq": int(row["seq"]), "type": row["type"], "content": row["content"]} | listed)
+        ends = [s for s, e in known.items() if e["type"] in ("done", "error")]
+        end = min(ends, default=None)
+        whole = end is not None and all(s in known for s in range(end))
+        if not closed and end is not None and (whole or state.hasTimedOut):
+            closed = True
+            yield pd.DataFrame([message(key[0], [known[s] for s in sorted(known) if s < end], known[end])])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        state.update((closed, "[]" if closed else json.dumps(list(known.values())), last))
+        state.setTimeoutTimestamp(max(last + patience, state.getCurrentWatermarkMs() + 1))
+
+    def message(request: str, told: list[dict], end: dict) -> dict:
+        one = lambda kind: next((e[kind] for e in reversed(told) if e["type"] == kind), None) or []
+        text = "".join(e["content"] or "" for e in told if e["type"] == "content")
+        failure = ERROR_PREFIX + (UNKNOWN_ERROR if end["content"] is None else end["content"])
+        return {"request_id": request, "content": failure if end["type"] == "error" else text, "sources": one("sources"), "images": one("images")}
+
+    return fold

@@ -83,7 +83,7 @@ def test_question_models_and_their_failures(spark):
     assert {r.answer for r in generate_answers(prompts).collect()} == {"c"}
     assert all(r.answer.startswith("抱歉") for r in generate_answers(prompts, broken).collect())
     pages = spark.createDataFrame([("f", 1, "hint"), ("f", 2, None)], "filename string, page_number int, text_hint string")
-    failed = {r.page_number: r.text for r in interpret_pages(pages, broken).collect()}
+    failed = {r.page_number: r.text for r in interpret_pages(pages, broken, wait_scale=0).collect()}
     assert "【页面摘要】\nhint\n" in failed[1] and "[页面视觉解读失败，且没有可用文本]" in failed[2]
 
 

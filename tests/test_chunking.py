@@ -137,3 +137,18 @@ def test_properties_on_real_texts(spark):
     # nothing is lost but pieces of ten characters or fewer
     lost = whole.join(joined, "filename").where(F.length("bare") - F.length("all") > 10)
     assert lost.count() == 0
+
+
+def test_packing_takes_time_in_proportion_to_its_output():
+    import time
+
+    from corpusqa.operators.chunking import _packed
+
+    def seconds_per_name(n):
+        segments = [{"content": f"# Heading number {i}", "seg_type": "heading", "heading": f"Heading number {i}", "pieces": [f"# Heading number {i}"]} for i in range(n)]
+        start = time.perf_counter()
+        out = _packed(segments, 800, True)
+        return (time.perf_counter() - start) / sum(len(c["headings"]) for c in out), time.perf_counter() - start
+
+    (small, _), (large, whole) = seconds_per_name(1000), seconds_per_name(4000)
+    assert whole < 2 and large < 4 * small

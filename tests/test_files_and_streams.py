@@ -123,7 +123,7 @@ def test_stream_fold_events(spark, tmp_path):
     rows.where("seq >= 3").coalesce(1).write.parquet(f"{source}/b2")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
     query = (
-        jobs.stream_fold_events(stream).writeStream.outputMode("update").format("memory").queryName("folded")
+        jobs.stream_fold_events(stream).writeStream.outputMode("append").format("memory").queryName("folded")
         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -48,9 +48,8 @@ def test_corpus_stats(small):
     assert lens == {("a.md", 0): 7, ("a.md", 1): 10, ("b.md", 0): 14, ("b.md", 1): 4}
 
 
-@pytest.mark.parametrize("way", ["join", "scan", None])
-def test_bm25_fixture(spark, small, way):
-    hits = bm25.bm25_search(ask(spark, "refresh token?", "知识库助手"), small[1], way=way)
+def test_bm25_fixture(spark, small):
+    hits = bm25.bm25_search(ask(spark, "refresh token?", "知识库助手"), small[1])
     got = [
         (r.question_id, r["rank"], f"{r.filename}-{r.chunk_index}", round(r.score, 6), r.matched_terms)
         for r in hits.orderBy("question_id", "rank").collect()
@@ -62,27 +61,30 @@ def test_bm25_fixture(spark, small, way):
     assert got[2][:4] == (1, 0, "b.md-0", 7.584081) and len(got[2][4]) == 8 and len(got) == 3
 
 
-def test_both_ways_agree(corpus, monkeypatch):
+def test_one_pass_or_several(spark, corpus, monkeypatch):
+    """The same hits as from all scores, in one pass or in many, and for text ids as well."""
     _, questions, index = corpus
-    rows = lambda **how: [
-        (r.question_id, r["rank"], r.filename, r.score, tuple(r.matched_terms))
-        for r in bm25.bm25_search(questions, index, k=7, **how).orderBy("question_id", "rank").collect()
+    spell = lambda hits: [
+        (str(r.question_id), r["rank"], r.filename, r.score, tuple(r.matched_terms)) for r in hits.orderBy(F.col("question_id").cast("string"), "rank").collect()
     ]
-    joined = rows(way="join")
-    assert rows(way="scan") == joined
-    monkeypatch.setattr(bm25, "MATCHES_SHUFFLED", 0)
+    whole = spell(bm25.bm25_search(questions, index, k=7))
+    all_scores = {(str(r.question_id), r.filename): r.score for r in bm25.bm25_score(questions, index).collect()}
+    assert all(all_scores[q, f] == s for q, _, f, s, _ in whole)
+    for q in {q for q, *_ in whole}:
+        mine = sorted((s for (p, _), s in all_scores.items() if p == q), reverse=True)[:7]
+        assert [s for p, _, _, s, _ in whole if p == q] == mine
     monkeypatch.setattr(bm25, "_CELLS", 100)  # two or three chunks at a time
-    assert rows() == joined
-    assert bm25.bm25_search(questions.limit(0), index, way="scan").count() == 0
+    assert spell(bm25.bm25_search(questions, index, k=7, block_bytes=2000)) == whole
+    named = questions.withColumn("question_id", F.col("question_id").cast("string"))
+    assert spell(bm25.bm25_search(named, index, k=7)) == whole
+    assert bm25.bm25_search(questions.limit(0), index).count() == 0
 
 
-def test_scan_with_many_copies(spark):
+def test_many_copies(spark):
     rows = [(f"f{i:03d}", 0, "the same words" if i >= 100 else f"the word {i}") for i in range(300)]
     index = build_index(spark.createDataFrame(rows, "filename string, chunk_index int, text string"))
-    hits = bm25.bm25_search(ask(spark, "same words", "the"), index, 5, way="scan").orderBy("question_id", "rank").collect()
+    hits = bm25.bm25_search(ask(spark, "same words", "the"), index, 5).orderBy("question_id", "rank").collect()
     assert [r.filename for r in hits[:5]] == [f"f{i}" for i in range(100, 105)]
-    joined = bm25.bm25_search(ask(spark, "same words", "the"), index, 5, way="join").orderBy("question_id", "rank").collect()
-    assert hits == joined
 
 
 def test_scores_do_not_depend_on_partitioning(spark, corpus):
@@ -117,10 +119,8 @@ def plain_nearest(asked, stored, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [vectors.BROADCAST_BYTES, 0])
-def test_nearest_with_many_copies(spark, limit, monkeypatch):
-    monkeypatch.setattr(vectors, "VECTORS_PER_BLOCK", 40)
-    monkeypatch.setattr(vectors, "QUESTIONS_PER_BLOCK", 7)
+@pytest.mark.parametrize("limit", [vectors.BLOCK_BYTES, 300])
+def test_nearest_with_many_copies(spark, limit):
     rng = np.random.default_rng(3)
     pool = rng.normal(size=(60, 8)).astype("float32")
     pool[20:60] = pool[20]  # two thirds are copies of one vector
@@ -128,7 +128,7 @@ def test_nearest_with_many_copies(spark, limit, monkeypatch):
     asked = [(i, (pool[i] + (i % 3) * 0.01).tolist()) for i in range(25)]
     vdf = spark.createDataFrame(stored, "filename string, vector array<float>").repartition(5)
     qdf = spark.createDataFrame(asked, "question_id bigint, vector array<double>")
-    got = vectors.nearest(qdf, vdf, 6, key=["filename"], broadcast_bytes=limit).collect()
+    got = vectors.nearest(qdf, vdf, 6, key=["filename"], block_bytes=limit).collect()
     exact = [(q, np.array(v, dtype="float64")) for q, v in asked]
     want = plain_nearest(exact, [(k, np.array(v, dtype="float64")) for k, v in stored], 6)
     assert sorted((r.question_id, r.filename, r["rank"], round(r.distance, 9)) for r in got) == want

@@ -53,7 +53,7 @@ def test_repeated_transaction_is_ignored(spark, base):
 
 def test_interrupted_commit_is_invisible(spark, base):
     ingest_documents(base, docs(spark, "a.md"))
-    base._write(base._next(), docs(spark, "half.md").withColumn("chunk_index", F.lit(0)))
+    base._write(*base._next(), docs(spark, "half.md").withColumn("chunk_index", F.lit(0)))
     assert listing(base) == {"a.md": 1}
     ingest_documents(base, docs(spark, "b.md"))
     assert listing(base) == {"a.md": 1, "b.md": 1}
