@@ -24,7 +24,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "local_phone": r"(?<![\w+.@/-])\(?0[0-9]{1,4}\)?[\x20/.-]?[0-9]{2,5}(?:[\x20.-]?[0-9]{2,5}){0,3}(?![\w@])",
     # numbers that a longer run of digits around them keeps from being base matches
-    "card_in_run": rf"(?<=[0-9][\x20-]){_CARD}(?![0-9])|(?<![0-9]){_CARD}(?=[\x20-][0-9])",
+    "card_in_run": rf"(?<=[0-9][\x20-]){_CARD}(?![\x20-]?[0-9])|(?<![0-9])(?<![0-9][\x20-]){_CARD}(?=[\x20-][0-9])",
     "phone_in_run": r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?=[\x20(.-]+[0-9])",
 }
 _ADDRESS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"

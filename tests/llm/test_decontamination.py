@@ -1,3 +1,4 @@
+import collections
 import itertools
 import random
 import re
@@ -23,7 +24,12 @@ def plain(docs, items):
         d = tokens(text)
         for item, item_id in distinct.items():
             width, best = min(D.WINDOW, len(item)), None
-            for diagonal in range(-len(item), len(d)):
+            places = collections.defaultdict(list)
+            for k, w in enumerate(item):
+                places[w].append(k)
+            # alignments with too few equal words in all need not be looked at
+            equal_on = collections.Counter(at - k for at, w in enumerate(d) for k in places.get(w, ()))
+            for diagonal in [x for x, n in equal_on.items() if n >= D.SHARE * width]:
                 for start in range(max(0, -diagonal), min(len(item), len(d) - diagonal) - width + 1):
                     equal = sum(item[start + k] == d[start + diagonal + k] for k in range(width))
                     if equal >= D.SHARE * width:
