@@ -77,12 +77,12 @@ def op7_decontamination(spark, folder):
 # every alignment of words of an item with words of a document, without seeds
 ORACLES["op7_decontamination"] = r"""
 WITH split_items AS (
-  SELECT list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), w -> w <> '') AS item, min(item_id) AS item_id
+  SELECT [w for w in regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') if w <> ''] AS item, min(item_id) AS item_id
   FROM benchmark GROUP BY 1 HAVING len(item) >= 5
 ), item_words AS (
   SELECT item_id, len(item) AS n, unnest(item) AS word, generate_subscripts(item, 1) - 1 AS item_at FROM split_items
 ), split_docs AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), w -> w <> '') AS doc FROM documents
+  SELECT doc_id, [w for w in regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') if w <> ''] AS doc FROM documents
 ), doc_words AS (
   SELECT doc_id, len(doc) AS size, unnest(doc) AS word, generate_subscripts(doc, 1) - 1 AS doc_at FROM split_docs
 ), equal AS (
@@ -135,7 +135,7 @@ ORACLES["op2_lattice_dedup"] = r"""
 WITH RECURSIVE usable AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0
 ), linked AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
   ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98
