@@ -153,11 +153,13 @@ class KnowledgeBase:
         stored.write.mode("append" if extra else "error").parquet(f"{self.path}/chunks/commit_id={commit}/writer={writer}")
         return self._read("chunks", _STORED).where((F.col("commit_id") == commit) & (F.col("writer") == writer)).drop("writer")
 
-    def _publish(self, commit: int, *kinds: str, removals: DataFrame | None = None, txn=None, dimension=None, writer=None) -> None:
+    def _publish(self, commit: int, *kinds: str, removals: DataFrame | None = None, txn=None, dimension=None, writer=None, known: DataFrame | None = None) -> None:
         entries = self.spark.createDataFrame([(kind, None, txn, dimension, writer) for kind in kinds], struct_of(_LOG))
         if removals is not None:
             gone = removals.select(F.lit("delete").alias("kind"), "filename").distinct()
             entries = entries.unionByName(gone, allowMissingColumns=True)
+        if known is not None:
+            entries = entries.unionByName(known.select(F.lit("note").alias("kind"), "txn"), allowMissingColumns=True)
         self._enter(commit)
         entries.coalesce(1).write.mode("append").parquet(f"{self.path}/log/commit_id={commit}")
 
@@ -226,6 +228,28 @@ class KnowledgeBase:
         self._publish(commit, "write", "clear", dimension=dimension, writer=writer)
         return n
 
+    def purge(self) -> int:
+        """Write all visible rows anew, as one commit, and remove the folders of all earlier ones; returns the number of rows.
+
+        What was deleted or replaced is gone from the disk afterwards, and the log is one entry long again, besides
+        the names of transactions, which are kept. Up to the new commit an interruption leaves everything as it was; after
+        it, what is left to remove is removed by the next call. No other reader or writer may be at work.
+        """
+        commit, writer = self._next()
+        known = self.log().where(F.col("txn").isNotNull()).select("txn").distinct()
+        known = materialise(known, "transactions")
+        dimension, n = check_dimension(self._write(commit, writer, self.rows().drop("commit_id", "row_id")))
+        self._publish(commit, "write", "clear", dimension=dimension, writer=writer, known=known)
+        for name in ("log", "chunks"):
+            top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            files = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            for entry in files.listStatus(top):
+                folder = entry.getPath()
+                number = folder.getName().removeprefix("commit_id=")
+                if number.isdigit() and int(number) < commit:
+                    files.delete(folder, True)
+        return n
+
     def build_index(self, path: str | None = None, strip_images: bool = True) -> LexicalIndex:
         """Lexical index over the rows as they are now; every stored row counts on its own. Substring search in texts
         with image blocks needs ``strip_images=False``."""

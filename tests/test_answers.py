@@ -163,3 +163,33 @@ def test_chunked_search_matches_a_plain_loop(spark):
     for r in sorted(got, key=lambda r: (r.question_id, r.final_rank)):
         ours.setdefault(r.question_id, []).append((r.filename, r.chunk_index))
     assert ours == want
+
+
+def test_a_failed_call_costs_its_own_row(spark):
+    from corpusqa.models import batch_embedder, embed_chunks
+
+    def call(texts):
+        if (texts == "bad").any():
+            raise RuntimeError("cannot embed")
+        return texts.map(lambda t: [float(len(t))])
+
+    rows = [(f"f{i}", "bad" if i == 77 else f"text {i}") for i in range(1000)]
+    chunks = spark.createDataFrame(rows, "filename string, text string").coalesce(1)
+    assert embed_chunks(chunks, batch_embedder(call)).count() == 999
+
+
+def test_models_get_the_pictures(spark):
+    def see(images, hints, names, numbers, totals):
+        return images + "|" + hints + "|" + names + "|" + numbers.astype(str) + "/" + totals.astype(str)
+
+    pages = spark.createDataFrame([("f", 1, "hint", "data:1"), ("f", 2, None, "data:2")], "filename string, page_number int, text_hint string, image string")
+    seen = {r.page_number: r.text for r in interpret_pages(pages, see).collect()}
+    assert seen[1].endswith("data:1|hint|f|1/2") and seen[2].endswith("data:2||f|2/2")
+
+    def answer(prompts, questions, images):
+        if (questions == "fail").any():
+            raise RuntimeError("no model")
+        return prompts + images.map(lambda x: ",".join(x))
+
+    asked = spark.createDataFrame([(1, "q", "p", "c", ["a", "b"]), (2, "fail", "p", "c", [])], "question_id int, question string, prompt string, context string, images array<string>")
+    assert {r.question_id: r.answer for r in generate_answers(asked, answer).collect()} == {1: "pa,b", 2: "抱歉，处理您的问题时出现错误: no model"}

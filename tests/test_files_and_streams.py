@@ -129,3 +129,12 @@ def test_stream_fold_events(spark, tmp_path):
     query.awaitTermination()
     got = {(r.request_id, r.content, tuple(r.sources), tuple(r.images)) for r in spark.table("folded").collect()}
     assert got == {("r1", "Hello", ("a",), ("i",)), ("r2", "抱歉，出现错误: boom", ("b",), ())}
+
+
+def test_large_files_are_reported_not_dropped(spark, tmp_path):
+    for name, text in (("a.txt", "short"), ("b.md", "longer than that"), ("c.csv", "x,y\n1,2\n3,4")):
+        (tmp_path / name).write_text(text)
+    everything = {r.filename: r.text for r in files.read_documents(spark, str(tmp_path)).collect()}
+    assert set(everything) == {"a.txt", "b.md", "c.csv"} and all(everything.values())
+    limited = {r.filename: (r.text, r.rejected_reason) for r in files.read_documents(spark, str(tmp_path), max_bytes=8).collect()}
+    assert limited == {"a.txt": ("short", None), "b.md": (None, "File too large"), "c.csv": (None, "File too large")}

@@ -147,3 +147,29 @@ def test_from_files_to_answers(spark, tmp_path, base):
     assert answers[1].sources[0] == "tokens.md" and answers[1].answer.startswith("[文档1: tokens.md]\n[Tokens]\nA token is")
     assert "[文档2: tokens.md]" not in answers[1].answer or answers[1].answer.count("A token is refreshed") == 1
     assert answers[2].sources == [] and answers[2].answer == "暂无相关文档"
+
+
+def test_two_writers_of_one_number(spark, tmp_path):
+    """One of them enters the log; the other fails and has destroyed nothing."""
+    base, other = (K.KnowledgeBase(spark, str(tmp_path / "two"), hashing_embedder(8)) for _ in range(2))
+    base.append(docs(spark, "first.md").withColumn("chunk_index", F.lit(0)))
+    taken = other._next()
+    base.append(docs(spark, "mine.md").withColumn("chunk_index", F.lit(0)))
+    other._write(*taken, docs(spark, "theirs.md").withColumn("chunk_index", F.lit(0)).withColumn("vector", F.array(F.lit(1.0).cast("float"))))
+    with pytest.raises(RuntimeError, match="another writer"):
+        other._publish(taken[0], "write", writer=taken[1])
+    assert {r.filename for r in base.scan().collect()} == {"first.md", "mine.md"}
+
+
+def test_purge(spark, tmp_path):
+    base = K.KnowledgeBase(spark, str(tmp_path / "purged"), hashing_embedder(8))
+    base.append(docs(spark, "a.md").withColumn("chunk_index", F.lit(0)), txn="t1")
+    base.append(docs(spark, "b.md").withColumn("chunk_index", F.lit(0)))
+    base.delete(spark.createDataFrame([("a.md",)], "filename string"))
+    before = base.scan().drop("commit_id", "row_id").collect()
+    assert base.purge() == len(before) == 1
+    assert base.scan().drop("commit_id", "row_id").collect() == before and base.dimension() == 8
+    assert len(list((tmp_path / "purged" / "chunks").glob("commit_id=*"))) == len(list((tmp_path / "purged" / "log").glob("commit_id=*"))) == 1
+    assert base.append(docs(spark, "a.md").withColumn("chunk_index", F.lit(0)), txn="t1") == 0
+    assert base.append(docs(spark, "c.md").withColumn("chunk_index", F.lit(0))) == 1
+    assert {r.filename for r in base.scan().collect()} == {"b.md", "c.md"}
