@@ -29,6 +29,30 @@ def local_roots(a: np.ndarray, b: np.ndarray, size: int, roots: np.ndarray | Non
             roots = further
 
 
+def spanning(a: np.ndarray, b: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """The places of those of the links ``a[i]`` - ``b[i]`` that connect what ``roots`` (changed in place) held apart, none too many.
+
+    Each round every root takes one link to a smaller root, as in Boruvka's algorithm.
+    """
+    kept, at = [np.zeros(0, dtype=np.int64)], np.arange(len(a))
+    while True:
+        x, y = roots[a[at]], roots[b[at]]
+        apart = x != y
+        if not apart.any():
+            return np.concatenate(kept)
+        at, x, y = at[apart], x[apart], y[apart]
+        high, low = np.maximum(x, y), np.minimum(x, y)
+        order = np.lexsort((low, high))
+        chosen = order[np.append(True, high[order][1:] != high[order][:-1])]
+        kept.append(at[chosen])
+        roots[high[chosen]] = low[chosen]
+        while True:
+            further = roots[roots]
+            if (further == roots).all():
+                break
+            roots[:] = further
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """links(a long, b long) -> (node long, root long), root being the smallest node of the component.
 

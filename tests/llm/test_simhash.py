@@ -7,7 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusqa.llm.components import connected_components
-from corpusqa.llm.simhash import fingerprint, linked_fingerprints, simhash_components, trie_links
+from corpusqa.llm import simhash
+from corpusqa.llm.components import local_roots, spanning
+from corpusqa.llm.simhash import fingerprint, keep_one_of_each_group, linked_fingerprints, signature, simhash_components, trie_links
 
 
 def plain_fingerprint(text):
@@ -41,8 +43,6 @@ def test_fingerprint_is_the_plain_one(text):
 
 
 def test_fingerprint_reads_long_texts_in_pieces(monkeypatch):
-    from corpusqa.llm import simhash
-
     text = " ".join(random.Random(3).choices("alpha beta gamma delta eps".split(), k=3000))
     whole = fingerprint(text.encode())
     monkeypatch.setattr(simhash, "_PIECE", 64)
@@ -115,3 +115,60 @@ def test_query_against_plain_loops(spark):
     wanted = plain_components([d.doc_id for d in docs], fps)
     found = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op5_simhash_dedup"](spark, folder).collect()}
     assert found == {d.doc_id: (f"{fp:016x}", wanted[d.doc_id]) for d, fp in zip(docs, fps)}
+
+
+def plain_groups(texts):
+    """All pairs of signatures: those that share a half but for two bits, and differ in few enough bits in all."""
+    signed = np.stack([signature((t or "").encode()) for t in texts])
+    halves = np.concatenate([signed >> np.uint64(32), signed & np.uint64(0xFFFFFFFF)], axis=1)
+    roots = np.arange(len(texts))
+    for i in range(len(texts)):
+        near = (np.bitwise_count(signed[i] ^ signed).sum(axis=1) <= simhash.APART) & (np.bitwise_count(halves[i] ^ halves) <= 2).any(axis=1)
+        roots = local_roots(np.full(near.sum(), i), np.flatnonzero(near), len(texts), roots)
+    return roots.tolist()
+
+
+def edited(words, share, r):
+    return [w if r.random() > share else "changed" + str(r.random()) for w in words]
+
+
+def test_near_copies_go_and_others_stay(spark):
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = []
+    for group in range(12):
+        words = r.choices(vocabulary, k=300)
+        rows += [(100 * group + k, " ".join(edited(words, 0.012 if k else 0, r))) for k in range(8)]  # similarity about 0.85 to 0.9
+    rows += [(5000 + i, " ".join(r.choices(vocabulary, k=200))) for i in range(40)]
+    half = r.choices(vocabulary, k=150)
+    rows += [(6000 + i, " ".join(half + r.choices(vocabulary, k=250))) for i in range(5)]  # a shared passage is no copy
+    rows += [(7000, None), (7001, ""), (7002, "  "), (None, rows[0][1]), (5000, rows[96][1])]
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, signature string, node int")
+    kept = keep_one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    ids = sorted(x.doc_id for x in kept.collect())
+    assert ids == sorted([100 * g for g in range(12)] + [5000 + i for i in range(40)] + [6000 + i for i in range(5)] + [7000])
+    groups = plain_groups([t for _, t in rows])
+    assert len(set(groups)) == len(ids)
+    assert keep_one_of_each_group(docs, sent=0).count() == len(ids) and keep_one_of_each_group(docs.limit(0)).count() == 0
+
+
+def test_spanning_links_connect_what_all_links_do():
+    draw = np.random.default_rng(5)
+    a, b = draw.integers(0, 200, size=(2, 400))
+    roots = np.arange(200)
+    kept = spanning(a, b, roots)
+    wanted = local_roots(a, b, 200)
+    assert (local_roots(a[kept], b[kept], 200) == wanted).all() and len(kept) == 200 - len(np.unique(wanted))
+
+
+def test_marks_of_places_are_further_apart_than_the_budget():
+    marks = simhash._MARKS
+    assert min((x ^ y).bit_count() for i, x in enumerate(marks) for y in marks[:i]) > simhash.BITS
+
+
+def test_signature_reads_long_texts_in_pieces(monkeypatch):
+    text = " ".join(random.Random(3).choices("alpha beta gamma delta eps".split(), k=3000)).encode()
+    whole = signature(text)
+    monkeypatch.setattr(simhash, "_PIECE", 64)
+    assert (signature(text) == whole).all() and not signature(b"").any() and not signature(None).any()
