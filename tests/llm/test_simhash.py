@@ -128,8 +128,9 @@ def plain_groups(texts):
     return roots.tolist()
 
 
-def edited(words, share, r):
-    return [w if r.random() > share else "changed" + str(r.random()) for w in words]
+def edited(words, n, r):
+    places = set(r.sample(range(len(words)), n))
+    return [f"changed{r.random()}" if k in places else w for k, w in enumerate(words)]
 
 
 def test_near_copies_go_and_others_stay(spark):
@@ -138,7 +139,7 @@ def test_near_copies_go_and_others_stay(spark):
     rows = []
     for group in range(12):
         words = r.choices(vocabulary, k=300)
-        rows += [(100 * group + k, " ".join(edited(words, 0.012 if k else 0, r))) for k in range(8)]  # similarity about 0.85 to 0.9
+        rows += [(100 * group + k, " ".join(edited(words, 3 if k else 0, r))) for k in range(8)]  # similarity of at least 0.9 to the first
     rows += [(5000 + i, " ".join(r.choices(vocabulary, k=200))) for i in range(40)]
     half = r.choices(vocabulary, k=150)
     rows += [(6000 + i, " ".join(half + r.choices(vocabulary, k=250))) for i in range(5)]  # a shared passage is no copy
