@@ -67,7 +67,10 @@ def _by_halves(call: Callable, columns: list[pd.Series], rows_per_call: int | No
     while todo:
         low, high = todo.pop()
         try:
-            replies[low:high] = list(call(*[c.iloc[low:high].reset_index(drop=True) for c in columns]))
+            made = list(call(*[c.iloc[low:high].reset_index(drop=True) for c in columns]))
+            if len(made) != high - low:
+                raise ValueError(f"{len(made)} replies to {high - low} rows")
+            replies[low:high] = made
         except Exception as error:
             if high - low == 1:
                 errors[low] = str(error)
