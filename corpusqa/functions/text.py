@@ -19,6 +19,8 @@ TRUNCATION_NOTICE = "\n\n[内容已为本地存储截断]"
 DEFAULT_TITLE = "新对话"
 TITLE_CHARS = 15
 DEFAULT_SCORE = 5.0
+PAGE_HEADING = ("# ", " - 第 ", " 页多模态解读\n\n")
+PAGE_FALLBACK = ("【页面摘要】\n", "\n\n【图表/表格/截图解读】\n视觉模型调用失败。\n\n【关键数据】\n请参考页面文本候选。")
 IMAGE_BLOCK = "[IMAGES_DATA]"
 PAGE_FAILURE_NOTICE = "[页面视觉解读失败，且没有可用文本]"
 # -----------------------------------------------------------------------------
@@ -189,12 +191,12 @@ def title_from_text(text: Column) -> Column:
 
 def page_heading_text(filename: Column, page_number: Column, text: Column, text_hint: Column | None = None) -> Column:
     """Heading line plus interpretation of a page; a null interpretation falls back to the text hint."""
-    heading = F.concat(F.lit("# "), filename, F.lit(" - 第 "), page_number.cast("string"), F.lit(" 页多模态解读\n\n"))
+    heading = F.concat(F.lit(PAGE_HEADING[0]), filename, F.lit(PAGE_HEADING[1]), page_number.cast("string"), F.lit(PAGE_HEADING[2]))
     hint = F.lit(None).cast("string") if text_hint is None else text_hint
     fallback = F.concat(
-        F.lit("【页面摘要】\n"),
+        F.lit(PAGE_FALLBACK[0]),
         F.coalesce(F.when(hint != "", hint), F.lit(PAGE_FAILURE_NOTICE)),
-        F.lit("\n\n【图表/表格/截图解读】\n视觉模型调用失败。\n\n【关键数据】\n请参考页面文本候选。"),
+        F.lit(PAGE_FALLBACK[1]),
     )
     return F.concat(heading, F.coalesce(text, fallback))
 

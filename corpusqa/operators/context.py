@@ -12,6 +12,9 @@ NO_CONTEXT = "暂无相关文档"
 NO_HISTORY = "无"
 EMPTY_CORPUS = "当前知识库为空，请先上传文档后再提问。"
 ERROR_PREFIX = "抱歉，出现错误: "
+UNKNOWN_ERROR = "未知错误"
+PICTURE_HEAD = ("[页面图", ": ", "]\n页面多模态解读: ")
+DOCUMENT_HEAD = ("[文档", ": ", "]\n")
 # -----------------------------------------------------------------------------
 
 PROMPT_TEMPLATE = (
@@ -33,10 +36,10 @@ def context_blocks(hits: DataFrame, rank: str = "final_rank") -> DataFrame:
         "image_no", F.sum(F.col("_pictured").cast("int")).over(so_far)
     )
     picture = F.concat(
-        F.lit("[页面图"), F.col("image_no").cast("string"), F.lit(": "), "filename", F.lit("]\n页面多模态解读: "), "text"
+        F.lit(PICTURE_HEAD[0]), F.col("image_no").cast("string"), F.lit(PICTURE_HEAD[1]), "filename", F.lit(PICTURE_HEAD[2]), "text"
     )
     place = (F.col(rank) + 1).cast("string")
-    plain = F.concat(F.lit("[文档"), place, F.lit(": "), "filename", F.lit("]\n"), "text")
+    plain = F.concat(F.lit(DOCUMENT_HEAD[0]), place, F.lit(DOCUMENT_HEAD[1]), "filename", F.lit(DOCUMENT_HEAD[2]), "text")
     return (
         numbered.withColumn("block", F.when(F.col("_pictured"), picture).otherwise(plain))
         .withColumn("image_no", F.when(F.col("_pictured"), F.col("image_no")))
@@ -134,7 +137,7 @@ def fold_events(grouped, *keys: str) -> DataFrame:
     def last(values: str) -> Column:
         return F.coalesce(F.try_element_at(before_end(values), F.lit(-1)), F.array().cast("array<string>"))
 
-    failure = F.concat(F.lit(ERROR_PREFIX), F.coalesce("end_content", F.lit("未知错误")))
+    failure = F.concat(F.lit(ERROR_PREFIX), F.coalesce("end_content", F.lit(UNKNOWN_ERROR)))
     return parts.select(
         *keys,
         F.when(F.col("end_type") == "error", failure).otherwise(F.array_join(before_end("contents"), "")).alias("content"),

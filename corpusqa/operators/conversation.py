@@ -12,6 +12,8 @@ from corpusqa.functions.text import strip_images_data, title_from_text, truncate
 from corpusqa.operators.context import NO_HISTORY
 from corpusqa.operators.ranking import top_k
 
+# Speakers of a history
+SPEAKERS = ("用户", "助手")
 # Fixed values: (conversations, messages per conversation, characters per message), tried in turn
 COMPACTION_TIERS = ((20, 40, 12000), (12, 24, 8000), (8, 16, 4000), (4, 12, 2500), (1, 10, 1500))
 HISTORY_MESSAGES = 12
@@ -38,7 +40,7 @@ def history_window(messages: DataFrame, most: int = HISTORY_MESSAGES, chars: int
 
 
 def history_line(role: Column, text: Column) -> Column:
-    return F.concat(F.when(role == "user", "用户").otherwise("助手"), F.lit(": "), text)
+    return F.concat(F.when(role == "user", SPEAKERS[0]).otherwise(SPEAKERS[1]), F.lit(": "), text)
 
 
 def format_history(window: DataFrame) -> DataFrame:

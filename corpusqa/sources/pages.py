@@ -15,12 +15,14 @@ from corpusqa.operators.ranking import number_rows
 LINE_CHARS = 42
 PAGE_LINES = 42
 EMPTY_DOCUMENT = "空文档"
+PAGE_HEAD = ("第 ", " 页\n")
+TABLE_HEAD = ("\n--- 表格: ", " ---\n")
 ROWS_PER_DOCUMENT = 1000
 
 
 def page_block(page_number: Column, text: Column) -> Column:
     """How a page's own text is introduced when no model has read the page."""
-    return F.concat(F.lit("第 "), page_number.cast("string"), F.lit(" 页\n"), F.coalesce(text, F.lit("")))
+    return F.concat(F.lit(PAGE_HEAD[0]), page_number.cast("string"), F.lit(PAGE_HEAD[1]), F.coalesce(text, F.lit("")))
 
 
 def assemble_pages(pages: DataFrame, text: str = "text", separator: str = BLOCK_JOIN, introduce: bool = False) -> DataFrame:
@@ -103,6 +105,6 @@ def table_to_documents(
     )
     ordered = F.sort_array(F.collect_list(F.struct("at", "line")))
     body = F.array_join(F.transform(ordered, lambda s: s["line"]), "\n")
-    header = F.concat(F.lit("\n--- 表格: "), F.col("filename"), F.lit(" ---\n" + ",".join(columns) + "\n"))
+    header = F.concat(F.lit(TABLE_HEAD[0]), F.col("filename"), F.lit(TABLE_HEAD[1] + ",".join(columns) + "\n"))
     documents = parts.groupBy("filename", "part").agg(body.alias("body"), F.count("*").alias("n_rows"))
     return documents.select("filename", "part", F.concat(header, "body", F.lit("\n")).alias("text"), "n_rows")
