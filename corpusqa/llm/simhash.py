@@ -33,7 +33,7 @@ _MIXES = (np.random.default_rng(17).integers(0, 1 << 62, size=WORDS + 1).astype(
 _MARKS = [int(x) for x in np.random.default_rng(23).integers(0, 1 << 32, size=2 * WORDS)]  # far apart from each other
 
 _PIECE = 1 << 22
-_PAIRS = 1 << 19
+_PAIRS = 1 << 16
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
