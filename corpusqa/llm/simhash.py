@@ -23,12 +23,11 @@ SHALLOWEST = 6  # bits of the prefixes that deal subtrees out, at least
 SENT_KEYS = 2_000_000  # more keys of documents than this are joined by a shuffle and not sent to every task
 STEP = 4  # bits by which the subtrees of crowded prefixes are split further
 
-# Near-duplicate stage: five-word shingles and a similarity of 0.8. WORDS fingerprints of 64 bits are compared in halves: texts of that
-# similarity differ in 15 % of the bits, so some half of theirs differs in BITS bits at most (chance 0.95, 0.995 from 0.85 on).
+# Signatures of WORDS fingerprints, with which tests estimate the similarity of five-word shingles: texts of a similarity of about 0.76
+# differ in APART bits. The near-duplicate stage itself decides by exact similarity (jaccard).
 SIGNED_SHINGLE = 5
 WORDS = 12
-FORESTS = 4
-APART = 130  # most bits of the whole signature that near duplicates differ in: 17 %, a similarity of about 0.76
+APART = 130
 _MIXES = (np.random.default_rng(17).integers(0, 1 << 62, size=WORDS + 1).astype(np.uint64) << np.uint64(2)) | np.uint64(1)
 _MARKS = [int(x) for x in np.random.default_rng(23).integers(0, 1 << 32, size=2 * WORDS)]  # far apart from each other
 
@@ -155,14 +154,14 @@ def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np
     return np.clip(np.searchsorted(values, (values[lo] & above) | bit), lo, hi)
 
 
-def linked_fingerprints(fps: DataFrame, bits: int = BITS, subtree: int = SUBTREE, shallowest: int = SHALLOWEST, forests: int = 1) -> DataFrame:
+def linked_fingerprints(fps: DataFrame, bits: int = BITS, subtree: int = SUBTREE, shallowest: int = SHALLOWEST) -> DataFrame:
     """fps(fp long, distinct) -> links(a, b), pairs within ``bits`` bits, that connect all such fingerprints.
 
     The top of the trie is dealt out: a task owns the subtree below a prefix and is visited by the fingerprints of
     all later subtrees whose prefix differs in at most ``bits`` bits, which are the node pairs that a traversal from the root
     reaches there. Prefixes are as long as the number of fingerprints asks for; where one still holds more than
     ``subtree`` (a crowd of near copies), its fingerprints are dealt out by longer prefixes. A task returns a spanning
-    forest of the pairs that it found and not all of them; with ``forests``, further forests of the pairs left over. Each fingerprint travels to about C(prefix bits, ``bits``) / 2 tasks.
+    forest of the pairs that it found and not all of them. Each fingerprint travels to about C(prefix bits, ``bits``) / 2 tasks.
     """
     count = fps.count()
     depth = max(shallowest, math.ceil(math.log2(max(count, 1) / subtree)) if count > subtree else 0)
@@ -203,15 +202,12 @@ def linked_fingerprints(fps: DataFrame, bits: int = BITS, subtree: int = SUBTREE
         ours = np.sort(values[~visits].view(np.uint64))
         theirs = np.sort(values[visits].view(np.uint64))
         everyone = np.concatenate([ours, theirs])
-        roots = [np.arange(len(everyone)) for _ in range(forests)]
+        roots = np.arange(len(everyone))
         links = [np.zeros((2, 0), dtype=np.int64)]
         for other, shift in ((None, 0), (theirs, len(ours))):
             for i, j in trie_links(ours, other, bits):
                 pairs = np.stack([i, j + shift])
-                for forest in roots:
-                    kept = spanning(*pairs, forest)
-                    links.append(pairs[:, kept])
-                    pairs = np.delete(pairs, kept, axis=1)
+                links.append(pairs[:, spanning(*pairs, roots)])
         i, j = np.concatenate(links, axis=1)
         return pd.DataFrame({"a": everyone[i].view(np.int64), "b": everyone[j].view(np.int64)})
 
@@ -264,61 +260,20 @@ def fingerprint_groups(found: DataFrame, bits: int = BITS, subtree: int = SUBTRE
     return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIGNED_SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, signature array<long>) for every row: one narrow pass over the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [signature(t.as_py(), shingle).view(np.int64) for t in batch.column(2).cast(pa.binary())]
-            kinds = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kinds)], names=["doc_id", "text_hash", "signature"])
-
-    text = F.col(text_col).cast("string")
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, text_hash long, signature array<long>")
-
-
-def signature_groups(found: DataFrame, bits: int = BITS, apart: int = APART) -> DataFrame:
-    """found(signature) -> (signature, root): equal roots for signatures linked, over any number of others, by ``apart`` or fewer
-    different bits.
-
-    Every half of every fingerprint, marked with its place, is a value; equal values, and values within ``bits`` bits (by the trie
-    join, where the marks keep different places apart), propose pairs, and the whole signatures decide. In a crowd not all pairs are
-    proposed, but those of ``FORESTS`` forests for each subtree: near duplicates that share many values are proposed many
-    times over, so that what the whole signatures refuse does not part them.
-    """
-    # numbered before it is written; only the written numbers are used
-    nodes = materialise(found.select("signature").distinct().withColumn("node", F.monotonically_increasing_id()), "signatures")
-    halves = []
-    for k in range(WORDS):
-        word = F.get("signature", F.lit(k))
-        halves += [F.shiftleft(word, 32).bitwiseOR(F.lit(_MARKS[2 * k])), word.bitwiseAND(F.lit(-1 << 32)).bitwiseOR(F.lit(_MARKS[2 * k + 1]))]
-    values = nodes.select("node", F.explode(F.array(*halves)).alias("fp"))
-    firsts = materialise(values.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "values")
-    shared = values.join(firsts.where("first < last").select("fp", F.array("first", "last").alias("ends")), "fp")
-    equal = shared.select(F.col("node").alias("a"), F.explode("ends").alias("b"))
-    near = materialise(linked_fingerprints(firsts.select("fp"), bits, forests=FORESTS), "near-values")
-    name = lambda side: firsts.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_node"))
-    near = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    pairs = equal.unionByName(near).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    whole = lambda side: nodes.select(F.col("node").alias(side), F.col("signature").alias(f"{side}_signature"))
-    different = F.aggregate(F.zip_with("a_signature", "b_signature", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m)
-    links = pairs.join(whole("a"), "a").join(whole("b"), "b").where(different <= apart).select("a", "b")
-    roots = connected_components(links)
-    return nodes.join(roots, "node", "left").select("signature", F.coalesce("root", "node").alias("root"))
-
-
-def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", apart: int = APART, sent: int = SENT_KEYS) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent: int = SENT_KEYS) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but one of each group of near duplicates.
 
-    Texts are near duplicates from a similarity of about 0.8 of their five-word shingles on, estimated from ``WORDS`` fingerprints; a
+    Texts are near duplicates from a similarity (Jaccard) of 0.8 of the sets of their five-word shingles on, and no others are; a
     group is what such pairs reach. The row with the smallest id stays (rows without one only if the whole group has none);
     of rows with that id the one whose text has the smaller hash, and one of rows equal in both. Null, empty and blank texts are one
     group. The keys of the rows that go are written and counted: up to ``sent`` of them are sent to every task, more are
     met by a shuffle of the documents. No rows give none.
     """
-    found = materialise(signatures(docs, id_col, text_col), "signed")
-    grouped = found.join(signature_groups(found, apart=apart), "signature").select("doc_id", "text_hash", "root")
+    from corpusqa.llm.jaccard import similar_groups, sketches
+
+    found = materialise(sketches(docs, id_col, text_col), "sketched")
+    groups = similar_groups(docs, found, text_col, sent)
+    grouped = found.join(groups, "text_hash", "left").select("doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
     counted = grouped.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     first = counted.groupBy("root").agg(F.min(place).alias("first"))
