@@ -40,6 +40,18 @@ def kept_ids(spark, texts):
     return sorted(r.doc_id for r in keep_one_of_each_group(docs).collect())
 
 
+def test_short_texts_below_the_threshold_stay(spark):
+    """One word of ten leaves 5 of 7 shingles, two of sixteen 10 of 14: both under 0.8."""
+    r = random.Random(2)
+    texts = []
+    for _ in range(30):
+        words = [f"w{r.randrange(9000)}" for _ in range(16)]
+        texts += [" ".join(words[:10]), " ".join([*words[:9], "other"]), " ".join(words), " ".join([*words[:14], "two", "others"])]
+    texts += [" ".join(f"v{i}" for i in range(40)), " ".join([*(f"v{i}" for i in range(39)), "end"])]  # 35 of 37: a copy
+    groups = plain_groups(texts)
+    assert kept_ids(spark, texts) == sorted(set(groups)) and len(set(groups)) == len(texts) - 1
+
+
 @pytest.mark.parametrize("together, weight", [(J.TOGETHER, J.WEIGHT), (16, 4000)])
 def test_true_pairs_inside_a_crowd_under_the_threshold(spark, monkeypatch, together, weight):
     """Texts of one template are at 0.6 to 0.75 of each other; a tenth has a copy at 0.85."""
