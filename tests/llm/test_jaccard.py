@@ -75,3 +75,20 @@ def test_true_pairs_inside_a_crowd_under_the_threshold(spark, monkeypatch, toget
     for n, g in enumerate(groups):
         wanted.setdefault(g, []).append(n)
     assert sorted(map(sorted, by.values())) == sorted(wanted.values()) and len(wanted) == 201
+
+
+def test_pairs_at_the_threshold_are_candidates():
+    """The chance to share a band and to agree in the sketches is over 0.999 at 0.8."""
+    from math import comb
+
+    share = 1 - (1 - 0.8**J.ROWS) ** J.BANDS
+    n = J.BANDS * J.ROWS
+    agree = sum(comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(J.AGREEING, n + 1))
+    assert share > 0.9999 and agree > 0.9999
+    draw = np.random.default_rng(4)
+    met = 0
+    for _ in range(2000):
+        values = draw.integers(0, 1 << 63, size=200).astype(np.uint64)
+        a, b = J.least_hashes(np.sort(values[:180])), J.least_hashes(np.sort(values[20:]))  # 160 of 200
+        met += bool((J.bands_of(a) == J.bands_of(b)).any()) and ((a >> np.uint64(24)).astype(np.uint8) == (b >> np.uint64(24)).astype(np.uint8)).sum() >= J.AGREEING
+    assert met >= 1999
