@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +39,49 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.0", "This work is licensed under the GNU Library General Public License, version 2."),
+    ("GPL-2.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC0-1.0", "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication."),
+    ("CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("LGPL-3.0-or-later", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("AGPL-3.0-or-later", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("CDDL-1.0", "SPDX-License-Identifier: CDDL-1.0"),
+    ("BSL-1.0", "SPDX-License-Identifier: BSL-1.0"),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
 )
 
 _WORD = re.compile(r"[^\W_]+")
@@ -95,10 +139,43 @@ def classes_of(templates) -> list[Class]:
     return [Class(step, found) for step, found in sorted(by_step.items())]
 
 
-def scan(hashed: np.ndarray, classes: list[Class], containment: float = CONTAINMENT) -> list[tuple[int, str, float, int, int]]:
-    """(template, license, containment, first word, words) of the best window of each template found in a text."""
+Place = tuple[int, str, float, int, int]  # template, license, containment, first word, words
+
+
+def apart(places: list[Place]) -> list[Place]:
+    """The best of the places, and of those that do not overlap with it, the first of equally good ones."""
+    kept: list[Place] = []
+    taken: list[tuple[int, int]] = []  # ascending and disjoint
+    for place in sorted(places, key=lambda p: (-p[2], -p[4], p[3], p[0])):
+        first, end = place[3], place[3] + place[4]
+        at = bisect.bisect_left(taken, (first, end))
+        if (at and taken[at - 1][1] > first) or (at < len(taken) and taken[at][0] < end):
+            continue
+        taken.insert(at, (first, end))
+        kept.append(place)
+    return kept
+
+
+def shortest(place: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The part of ``place`` that spans least and has all different values: a window can hold a notice and a piece of the next."""
+    wanted, counts, best, begin = len(np.unique(values)), {}, (0, len(place)), 0
+    for end, value in enumerate(values.tolist(), 1):
+        counts[value] = counts.get(value, 0) + 1
+        while len(counts) == wanted:
+            if place[end - 1] - place[begin] < place[best[1] - 1] - place[best[0]]:
+                best = (begin, end)
+            first = int(values[begin])
+            counts[first] -= 1
+            if not counts[first]:
+                del counts[first]
+            begin += 1
+    return place[best[0] : best[1]]
+
+
+def places_in(hashed: np.ndarray, classes: list[Class], containment: float = CONTAINMENT) -> list[Place]:
+    """The places of each template in a text that do not overlap with a better place of the same template."""
     shingles = shingles_of(hashed)
-    best: dict[int, tuple[int, str, float, int, int]] = {}
+    found: dict[int, set[Place]] = {}
     longest = max((3 * c.step for c in classes), default=0)
     for at in range(0, len(shingles), SEGMENT):
         part = shingles[at : at + SEGMENT + longest]
@@ -114,18 +191,29 @@ def scan(hashed: np.ndarray, classes: list[Class], containment: float = CONTAINM
                     lo, hi = starts[w], min(starts[w] + 3 * c.step, len(part))
                     place = np.flatnonzero(np.isin(part[lo:hi], t.shingles))
                     share = len(np.unique(part[lo:hi][place])) / len(t.shingles)
-                    if share >= containment and (t.number not in best or share > best[t.number][2]):
-                        best[t.number] = (t.number, t.license, share, int(at + lo + place[0]), int(place[-1] - place[0] + SHINGLE))
+                    if share >= containment:
+                        place = shortest(place, part[lo:hi][place])
+                        found.setdefault(t.number, set()).add((t.number, t.license, share, int(at + lo + place[0]), int(place[-1] - place[0] + SHINGLE)))
+    return [p for k in sorted(found) for p in sorted(apart(list(found[k])), key=lambda p: p[3])]
+
+
+def scan(hashed: np.ndarray, classes: list[Class], containment: float = CONTAINMENT) -> list[Place]:
+    """The best place of each template found in a text."""
+    best: dict[int, Place] = {}
+    for place in places_in(hashed, classes, containment):
+        if place[0] not in best or place[2] > best[place[0]][2]:
+            best[place[0]] = place
     return [best[k] for k in sorted(best)]
 
 
-def find_licenses(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, template, license, containment, first_word, n_words): one row per document and template found in it.
+def find_licenses(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, every_template: bool = True) -> DataFrame:
+    """(doc_id, template, license, containment, first_word, n_words): one row per document, template found in it and place.
 
     Words are runs of letters and digits, in lower case. A text is cut into overlapping windows, for each size of templates
     of its own, such that every place a template could stand lies within one window; a window whose MinHash
     equals the template's in one band is compared by its word shingles. A template is found if ``containment`` of its different shingles
-    stand in a window; the best window is returned, the first of equally good ones.
+    stand in a window; of overlapping windows the best is returned, the first of equally good ones, and every place that does not
+    overlap. Without ``every_template`` that holds across templates too: where notices are alike, the best-contained one is the license.
 
     ``templates`` are (license, text) pairs, at most some thousands, which go to every task; those of fewer words than a shingle are
     not looked for. Null and empty texts and texts of fewer words have no rows. Repeated rows give repeated results,
@@ -138,7 +226,8 @@ def find_licenses(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id",
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for row in scan(word_hashes(words_of(text.as_py()), known), classes, containment):
+                places = places_in(word_hashes(words_of(text.as_py()), known), classes, containment)
+                for row in places if every_template else sorted(apart(places), key=lambda p: p[3]):
                     for column, value in zip(out, (number, *row)):
                         column.append(value)
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32()]

@@ -158,4 +158,4 @@ def op10_html_extraction(spark, folder):
 def op9_license_scan(spark, folder):
     from corpusqa.llm.licenses import find_licenses
 
-    return find_licenses(table(spark, folder, "documents"))
+    return find_licenses(table(spark, folder, "documents"), every_template=False)

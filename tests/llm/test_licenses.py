@@ -66,3 +66,22 @@ def test_bands_meet_at_the_containment_in_the_widest_window():
         window = np.concatenate([template[:32], r.integers(0, 1 << 63, size=120 - 32).astype(np.uint64)])
         met += bool((L.permuted(template).min(axis=1) == L.permuted(window).min(axis=1)).any())
     assert met == 300
+
+
+def test_every_place_and_the_right_one_of_like_notices(spark):
+    """Notices of the LGPL and AGPL hold 0.8 of the GPL's; each is found as itself, at each of its places."""
+    gnu = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    wanted = {
+        0: ["GPL-3.0", "GPL-3.0"], 1: ["GPL-2.0"], 2: ["LGPL-3.0"], 3: ["AGPL-3.0"], 4: ["LGPL-2.1", "MIT"], 5: ["EPL-2.0"], 6: ["Zlib"],
+    }
+    gpl = gnu.format("program", "General Public", "3")
+    rows = [
+        (0, gpl + " filler words between the two " * 5 + gpl), (1, gnu.format("program", "General Public", "2")), (2, gnu.format("program", "Lesser General Public", "3")),
+        (3, gnu.format("program", "Affero General Public", "3")), (4, gnu.format("library", "Lesser General Public", "2.1") + " some words. Released under the MIT License."),
+        (5, "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at x"),
+        (6, "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ]
+    found = {}
+    for r in L.find_licenses(spark.createDataFrame(rows, "doc_id long, text string"), every_template=False).orderBy("doc_id", "first_word").collect():
+        found.setdefault(r.doc_id, []).append(r.license)
+    assert found == wanted
