@@ -812,9 +812,10 @@ def stream_fold_events(spark, folder):
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     events = S.events(spark, folder).withColumn("event_time", F.timestamp_add("SECOND", F.col("seq"), start))
     # three micro-batches: every third event of a request is late, and some come long after its end
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for turn in (0, 2, 1):
-        events.where((F.col("seq") * 7) % 3 == turn).coalesce(1).write.mode("append").parquet(told)
-    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(told)
+        events.where((F.col("seq") * 7) % 3 == turn).repartition(files).write.mode("append").parquet(told)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(told)
     (
         jobs.stream_fold_events(arriving)
         .writeStream.outputMode("append")

@@ -138,3 +138,15 @@ def test_large_files_are_reported_not_dropped(spark, tmp_path):
     assert set(everything) == {"a.txt", "b.md", "c.csv"} and all(everything.values())
     limited = {r.filename: (r.text, r.rejected_reason) for r in files.read_documents(spark, str(tmp_path), max_bytes=8).collect()}
     assert limited == {"a.txt": ("short", None), "b.md": (None, "File too large"), "c.csv": (None, "File too large")}
+
+
+def test_the_events_of_the_query_are_written_by_more_than_one_task(spark):
+    import glob
+
+    from catalog.queries import QUERIES
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{shared}/*/events-*"))
+    QUERIES["stream_fold_events"](spark, "/root/testdata/sf0.001")
+    (told,) = set(glob.glob(f"{shared}/*/events-*")) - before
+    assert len(glob.glob(f"{told}/*.parquet")) > 3
