@@ -159,3 +159,18 @@ def op9_license_scan(spark, folder):
     from corpusqa.llm.licenses import find_licenses
 
     return find_licenses(table(spark, folder, "documents"), every_template=False)
+
+
+@query
+def op11_sentencepiece(spark, folder):
+    import public_tokenizers
+
+    from corpusqa.llm.sentencepieces import encode_decode
+
+    found = encode_decode(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
