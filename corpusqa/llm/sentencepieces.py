@@ -266,19 +266,20 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[str, bytes] = {}
 
-        def learn(chunks: set[str]) -> None:
-            new = [c for c in chunks if c not in table]
+        def joined(texts: list[list[str]]) -> list[bytes]:
+            """The ids of texts given as chunks; chunks that the table lacks are segmented together."""
+            found = [list(map(table.get, chunks)) for chunks in texts]
+            open_ = [n for n, ids in enumerate(found) if None in ids]
+            new = list({c for n in open_ for c, ids in zip(texts[n], found[n]) if ids is None})
             if len(table) + len(new) > CACHED:
                 table.clear()
-                new = list(chunks)
             table.update(zip(new, model.segment(new)))
-
-        def joined(chunks: list[str]) -> bytes:
-            return b"".join(map(table.__getitem__, chunks))
+            for n in open_:
+                found[n] = [table[c] if ids is None else ids for c, ids in zip(texts[n], found[n])]
+            return [b"".join(ids) for ids in found]
 
         def flush(held):
-            learn({c for _, chunks in held for c in chunks})
-            return result([n for n, _ in held], [joined(chunks) + end for _, chunks in held])
+            return result([n for n, _ in held], [ids + end for ids in joined([chunks for _, chunks in held])])
 
         def result(numbers, packed):
             lists = [np.frombuffer(p, dtype="<i4") for p in packed]
@@ -292,10 +293,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 if len(text) > _PIECE:
-                    parts = []
-                    for chunks in model.pieces(text):
-                        learn(set(chunks))
-                        parts.append(joined(chunks))
+                    parts = [ids for chunks in model.pieces(text) for ids in joined([chunks])]
                     yield result([number], [b"".join(parts) + end])
                     continue
                 held.append((number, next(model.pieces(text), [])))
