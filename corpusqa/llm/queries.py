@@ -174,3 +174,59 @@ def op11_sentencepiece(spark, folder):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op13_merkle_manifest(spark, folder):
+    from corpusqa.llm.merkle import manifest, proof_digest
+
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit("")))
+    found = manifest(table(spark, folder, "documents"), tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+ORACLES["op13_merkle_manifest"] = r"""
+WITH RECURSIVE marked AS (
+  SELECT *, list_reduce(
+           flatten([[unicode(c), 0, 0, 0, 0, 0, 0, 0] for c in string_split(CAST(doc_id AS VARCHAR), '')]),
+           lambda acc, x: CASE WHEN xor(acc, x) & 1 = 1 THEN xor(xor(acc, x) >> 1, 3988292384) ELSE xor(acc, x) >> 1 END,
+           4294967295) % 2 = 1 AS even FROM documents
+), leaves AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN even AND text IS NOT NULL THEN sha256(head || strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '')) END AS tampered
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                  || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM marked)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), nodes(tree, level, r, n, h) AS (
+  SELECT tree, 0, r, n, leaf FROM ranked
+  UNION ALL
+  SELECT tree, level + 1, r // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY r)) FROM nodes WHERE n > 1 GROUP BY tree, level, r // 3, n
+), subroots AS (
+  SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS r, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops(level, r, n, h) AS (
+  SELECT 0, r, n, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, r // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY r)) FROM tops WHERE n > 1 GROUP BY level, r // 3, n
+), steps AS (
+  SELECT tree, level, r,
+         coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, r // 3 ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, r // 3 ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS x
+  FROM (SELECT tree, level, r, n, h FROM nodes UNION ALL SELECT NULL, level, r, n, h FROM tops) WHERE n > 1
+), inside(id, tree, level, r, cur, proof) AS (
+  SELECT id, tree, 0, r, coalesce(tampered, leaf), '' FROM ranked
+  UNION ALL
+  SELECT id, tree, level + 1, inside.r // 3, sha256(l || cur || x), proof || l || x FROM inside JOIN steps USING (tree, level, r)
+), ends AS (
+  SELECT id, tree, max_by(cur, level) AS cur, max_by(proof, level) AS proof FROM inside GROUP BY id, tree
+), above(id, level, r, cur, proof) AS (
+  SELECT id, 0, r, cur, proof FROM ends JOIN subroots USING (tree)
+  UNION ALL
+  SELECT id, above.level + 1, above.r // 3, sha256(l || cur || x), proof || l || x FROM above JOIN steps ON steps.tree IS NULL AND steps.level = above.level AND steps.r = above.r
+), done AS (
+  SELECT id, max_by(cur, level) AS cur, max_by(proof, level) AS proof FROM above GROUP BY id
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM ranked JOIN subroots USING (tree) JOIN done USING (id) CROSS JOIN (SELECT h AS root FROM tops WHERE n = 1)
+"""
