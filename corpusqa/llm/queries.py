@@ -230,3 +230,31 @@ WITH RECURSIVE marked AS (
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
 FROM ranked JOIN subroots USING (tree) JOIN done USING (id) CROSS JOIN (SELECT h AS root FROM tops WHERE n = 1)
 """
+
+
+@query
+def op12_ranked_search(spark, folder):
+    from corpusqa.llm.lemp import search
+
+    return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op12_ranked_search"] = r"""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), item_terms AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), tfs AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL
+), sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id
+), totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes
+), norms AS (SELECT doc_id, 100 - 50 + ((50 * n * docs) // terms) AS m FROM sizes, totals
+), weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, totals GROUP BY term, docs
+), scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM item_terms JOIN tfs USING (term) JOIN weights USING (term) JOIN norms USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
