@@ -108,9 +108,10 @@ def _best_window() -> Column:
 
 def without_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", sent: int = SENT_SEEDS) -> DataFrame:
     """The rows of ``docs`` that ``found`` (doc_id, text_hash) does not name. Its keys are written and counted; only
-    up to ``sent`` of them are sent to every task, more are met by a shuffle."""
-    keys = materialise(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "found")
+    up to ``sent`` of them are sent to every task, more are met by a shuffle. Repeated rows go or stay together, null ids and null texts are values like
+    any other, no rows give none; columns may have any names and all are kept."""
+    keys = materialise(found.select("doc_id", "text_hash").distinct(), "found")
     if keys.count() <= sent:
         keys = F.broadcast(keys)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash"))
-    return docs.join(keys, same, "left_anti")
+    same = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64(F.col(f"d.`{text_col}`").cast("string")) == F.col("k.text_hash"))
+    return docs.alias("d").join(keys.alias("k"), same, "left_anti")

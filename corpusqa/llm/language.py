@@ -191,6 +191,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs``, with all their columns, whose language was identified; a missing ``lang_col`` is filled in.
 
     Learns as ``identify_languages`` does. Rows of null texts or texts without a letter go, and all rows if there is nothing to learn from.
+    Ties go to the first name, repeated rows stay or go together, no rows give none; columns may have any names.
     """
     learn = ~held_out(id_col) & F.col(id_col).isNotNull()
     model = fit_languages(*training_profiles(docs, learn, id_col, text_col, lang_col, per_language, total))
@@ -204,4 +205,6 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kept = pa.array([n != UNKNOWN for n in names])
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(kept)
 
-    return docs.mapInArrow(run, docs.schema)
+    # columns may have names that cannot be asked for by name
+    numbered = docs.toDF(*[f"c{n}" for n in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

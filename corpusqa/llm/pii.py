@@ -190,7 +190,7 @@ def with_pii(frame: DataFrame) -> DataFrame:
 
 def mask_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The rows of ``docs``, with all their columns, personal data in their texts masked; ``length_col``, if there is
-    one, gets the length of the new text. Null texts stay null."""
+    one, gets the length of the new text. Null texts stay null; repeated rows give repeated results, no rows give none; columns may have any names."""
     text = F.col(text_col).cast("string")
     frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
     frame = with_masked(with_pii(frame), "text", "pii")

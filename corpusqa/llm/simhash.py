@@ -23,14 +23,6 @@ SHALLOWEST = 6  # bits of the prefixes that deal subtrees out, at least
 SENT_KEYS = 2_000_000  # more keys of documents than this are joined by a shuffle and not sent to every task
 STEP = 4  # bits by which the subtrees of crowded prefixes are split further
 
-# Signatures of WORDS fingerprints, with which tests estimate the similarity of five-word shingles: texts of a similarity of about 0.76
-# differ in APART bits. The near-duplicate stage itself decides by exact similarity (jaccard).
-SIGNED_SHINGLE = 5
-WORDS = 12
-APART = 130
-_MIXES = (np.random.default_rng(17).integers(0, 1 << 62, size=WORDS + 1).astype(np.uint64) << np.uint64(2)) | np.uint64(1)
-_MARKS = [int(x) for x in np.random.default_rng(23).integers(0, 1 << 32, size=2 * WORDS)]  # far apart from each other
-
 _PIECE = 1 << 22
 _PAIRS = 1 << 16
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -69,19 +61,6 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-def signature(text: bytes | None, shingle: int = SIGNED_SHINGLE) -> np.ndarray:
-    """WORDS independent fingerprints of a text, from mixes of the hashes of its shingles."""
-    ones, total = np.zeros((WORDS, 64), dtype=np.int64), 0
-    for hashed in _hashed_shingles(text, shingle):
-        values = np.array(hashed, dtype=np.uint64)
-        for k in range(WORDS):
-            mixed = (values ^ (values >> np.uint64(31))) * _MIXES[k]
-            mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIXES[WORDS]
-            ones[k] += _set_bits(mixed ^ (mixed >> np.uint64(29)))
-        total += len(hashed)
-    return np.packbits(2 * ones > total, axis=1).view(np.uint64).ravel()
-
-
 def _set_bits(values: np.ndarray) -> np.ndarray:
     """How many of the values have each bit set, in the order in which their bytes lie."""
     bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1)
@@ -266,7 +245,7 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Texts are near duplicates from a similarity (Jaccard) of 0.8 of the sets of their five-word shingles on, and no others are; a
     group is what such pairs reach. The row with the smallest id stays (rows without one only if the whole group has none);
     of rows with that id the one whose text has the smaller hash, and one of rows equal in both. Null, empty and blank texts are one
-    group. The keys of the rows that go are written and counted: up to ``sent`` of them are sent to every task, more are
+    group. Columns may have any names, further ones are kept. The keys of the rows that go are written and counted: up to ``sent`` of them are sent to every task, more are
     met by a shuffle of the documents. No rows give none.
     """
     from corpusqa.llm.jaccard import similar_groups, sketches
@@ -285,11 +264,12 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
         return kept
     twice = _met(kept, repeated, id_col, text_col, "left_semi", sent)
     number = F.row_number().over(Window.partitionBy(F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))).orderBy(F.lit(0)))
-    once = twice.select(F.struct(*docs.columns).alias("_row"), number.alias("_number")).where("_number = 1").select("_row.*")
+    once = twice.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), number.alias("number")).where("number = 1").select("row.*")
     return _met(kept, repeated, id_col, text_col, "left_anti", sent).unionByName(once)
 
 
 def _met(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str, sent: int) -> DataFrame:
-    keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash"))
-    return docs.join(F.broadcast(keys) if keys.count() <= sent else keys, same, how)
+    """Rows of ``docs`` that have (left_semi) or lack (left_anti) a key; columns of the same name on both sides are told apart."""
+    same = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64(F.col(f"d.`{text_col}`").cast("string")) == F.col("k.text_hash"))
+    keys = keys.select("doc_id", "text_hash")
+    return docs.alias("d").join((F.broadcast(keys) if keys.count() <= sent else keys).alias("k"), same, how)

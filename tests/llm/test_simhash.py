@@ -9,7 +9,9 @@ from hypothesis import strategies as st
 from corpusqa.llm.components import connected_components
 from corpusqa.llm import simhash
 from corpusqa.llm.components import local_roots, spanning
-from corpusqa.llm.simhash import fingerprint, keep_one_of_each_group, linked_fingerprints, signature, simhash_components, trie_links
+from corpusqa.llm.simhash import fingerprint, keep_one_of_each_group, linked_fingerprints, simhash_components, trie_links
+
+from test_jaccard import plain_groups
 
 
 def plain_fingerprint(text):
@@ -117,17 +119,6 @@ def test_query_against_plain_loops(spark):
     assert found == {d.doc_id: (f"{fp:016x}", wanted[d.doc_id]) for d, fp in zip(docs, fps)}
 
 
-def plain_groups(texts):
-    """All pairs of signatures: those that share a half but for two bits, and differ in few enough bits in all."""
-    signed = np.stack([signature((t or "").encode()) for t in texts])
-    halves = np.concatenate([signed >> np.uint64(32), signed & np.uint64(0xFFFFFFFF)], axis=1)
-    roots = np.arange(len(texts))
-    for i in range(len(texts)):
-        near = (np.bitwise_count(signed[i] ^ signed).sum(axis=1) <= simhash.APART) & (np.bitwise_count(halves[i] ^ halves) <= 2).any(axis=1)
-        roots = local_roots(np.full(near.sum(), i), np.flatnonzero(near), len(texts), roots)
-    return roots.tolist()
-
-
 def edited(words, n, r):
     places = set(r.sample(range(len(words)), n))
     return [f"changed{r.random()}" if k in places else w for k, w in enumerate(words)]
@@ -163,13 +154,8 @@ def test_spanning_links_connect_what_all_links_do():
     assert (local_roots(a[kept], b[kept], 200) == wanted).all() and len(kept) == 200 - len(np.unique(wanted))
 
 
-def test_marks_of_places_are_further_apart_than_the_budget():
-    marks = simhash._MARKS
-    assert min((x ^ y).bit_count() for i, x in enumerate(marks) for y in marks[:i]) > simhash.BITS
-
-
-def test_signature_reads_long_texts_in_pieces(monkeypatch):
+def test_long_texts_are_read_in_pieces(monkeypatch):
     text = " ".join(random.Random(3).choices("alpha beta gamma delta eps".split(), k=3000)).encode()
-    whole = signature(text)
+    whole = fingerprint(text)
     monkeypatch.setattr(simhash, "_PIECE", 64)
-    assert (signature(text) == whole).all() and not signature(b"").any() and not signature(None).any()
+    assert fingerprint(text) == whole and fingerprint(b"") == fingerprint(None) == 0
