@@ -14,76 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.llm.grams import chained
+from corpusqa.llm.license_texts import TEMPLATES
 
-SHINGLE = 5
+SHINGLE = 5  # words; a template of fewer words is one shingle of all its words
 CONTAINMENT = 0.8  # of a template's shingles must stand in a window
 BANDS = 48  # of one hash each: a window that holds a template shares one of them with a chance of over 0.99999
-SEGMENT = 50_000  # words of a text whose hashes are held at a time
 REMEMBERED = 300_000  # words whose hashes a task keeps
 
-# The wording of common license notices (license, text).
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "either version 2 of the License, or (at your option) any later version."),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-2.1", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
-    ("LGPL-2.1", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version."),
-    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
-    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("LGPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
-    ("LGPL-2.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version."),
-    ("LGPL-2.0", "This work is licensed under the GNU Library General Public License, version 2."),
-    ("GPL-2.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
-    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
-    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("CC0-1.0", "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication."),
-    ("CDDL-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License."),
-    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
-    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
-    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-only"),
-    ("GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0-or-later"),
-    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-only"),
-    ("LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-2.1-or-later"),
-    ("LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-only"),
-    ("LGPL-3.0-or-later", "SPDX-License-Identifier: LGPL-3.0-or-later"),
-    ("AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-only"),
-    ("AGPL-3.0-or-later", "SPDX-License-Identifier: AGPL-3.0-or-later"),
-    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
-    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
-    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
-    ("CDDL-1.0", "SPDX-License-Identifier: CDDL-1.0"),
-    ("BSL-1.0", "SPDX-License-Identifier: BSL-1.0"),
-    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
-    ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
-)
-
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -99,11 +36,9 @@ def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def shingles_of(hashed: np.ndarray) -> np.ndarray:
-    return chained(hashed, SHINGLE)
-
-
 _FACTORS = (np.random.default_rng(11).integers(0, 1 << 62, size=BANDS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+_BAND = np.arange(BANDS, dtype=np.uint64) << np.uint64(32)
+_MARKED = np.uint64(44)
 
 
 def permuted(shingles: np.ndarray) -> np.ndarray:
@@ -116,27 +51,57 @@ class Template:
     number: int
     license: str
     shingles: np.ndarray  # ascending, without repeats
-    bands: np.ndarray
 
 
-@dataclass
 class Class:
-    """Templates of up to ``size`` shingles: windows of three steps hold any of them whole, wherever it starts."""
+    """Templates of about one size: windows of three steps hold any of them whole, wherever it starts.
+
+    ``keys`` are the bands and MinHash values of all its templates, ascending; ``firsts`` the shingles those values come from. A window
+    without one of these has no value in common with a template.
+    """
 
-    step: int
-    templates: list[Template]
+    def __init__(self, step: int, templates: list[Template]):
+        self.step, self.templates = step, templates
+        keys, firsts = [], []
+        for t in templates:
+            hashes = permuted(t.shingles)
+            at = hashes.argmin(axis=1)
+            keys.append(hashes[np.arange(BANDS), at] | _BAND)
+            firsts.append(t.shingles[at])
+        of = np.repeat(np.arange(len(templates)), BANDS)
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.of, self.firsts = flat[order], of[order], np.unique(np.concatenate(firsts))
+
+    def met(self, window: np.ndarray) -> set[int]:
+        """Places of the templates that share a band with a window."""
+        values = permuted(window).min(axis=1) | _BAND
+        lo, hi = np.searchsorted(self.keys, values, side="left"), np.searchsorted(self.keys, values, side="right")
+        return {int(k) for a, b in zip(lo[lo < hi].tolist(), hi[lo < hi].tolist()) for k in self.of[a:b]}
+
+
+class Group:
+    """The classes of templates with shingles of one length, and a table of marks by which most shingles of texts are passed over."""
+
+    def __init__(self, shingle: int, classes: list[Class]):
+        self.shingle, self.classes = shingle, classes
+        self.marks = np.zeros(1 << (64 - int(_MARKED)), dtype=bool)
+        for c in classes:
+            self.marks[c.firsts >> _MARKED] = True
 
 
-def classes_of(templates) -> list[Class]:
+def groups_of(templates) -> list[Group]:
     known: dict[str, int] = {}
-    by_step: dict[int, list[Template]] = {}
+    found: dict[int, dict[int, list[Template]]] = {}
     for number, (name, text) in enumerate(templates):
-        shingles = np.unique(shingles_of(word_hashes(words_of(text), known)))
-        if len(shingles):
-            size = len(words_of(text)) - SHINGLE + 1
+        words = words_of(text)
+        if words:
+            shingle = min(SHINGLE, len(words))
+            size = len(words) - shingle + 1
             step = max(1, 1 << int(np.ceil(np.log2(max(size - 1, 1) / 2))) if size > 2 else 1)
-            by_step.setdefault(step, []).append(Template(number, name, shingles, permuted(shingles).min(axis=1)))
-    return [Class(step, found) for step, found in sorted(by_step.items())]
+            shingles = np.unique(chained(word_hashes(words, known), shingle))
+            found.setdefault(shingle, {}).setdefault(step, []).append(Template(number, name, shingles))
+    return [Group(n, [Class(step, found[n][step]) for step in sorted(found[n])]) for n in sorted(found)]
 
 
 Place = tuple[int, str, float, int, int]  # template, license, containment, first word, words
@@ -172,40 +137,26 @@ def shortest(place: np.ndarray, values: np.ndarray) -> np.ndarray:
     return place[best[0] : best[1]]
 
 
-def places_in(hashed: np.ndarray, classes: list[Class], containment: float = CONTAINMENT) -> list[Place]:
+def places_in(hashed: np.ndarray, groups: list[Group], containment: float = CONTAINMENT) -> list[Place]:
     """The places of each template in a text that do not overlap with a better place of the same template."""
-    shingles = shingles_of(hashed)
     found: dict[int, set[Place]] = {}
-    longest = max((3 * c.step for c in classes), default=0)
-    for at in range(0, len(shingles), SEGMENT):
-        part = shingles[at : at + SEGMENT + longest]
-        hashes = permuted(part)
-        for c in classes:
-            starts = np.arange(0, len(part), c.step)
-            lows = np.minimum.reduceat(hashes, starts, axis=1)
-            low = lows.copy()
-            for k in (1, 2):
-                np.minimum(low[:, :-k], lows[:, k:], out=low[:, :-k]) if lows.shape[1] > k else None
-            for t in c.templates:
-                for w in np.flatnonzero((low == t.bands[:, None]).any(axis=0)).tolist():
-                    lo, hi = starts[w], min(starts[w] + 3 * c.step, len(part))
-                    place = np.flatnonzero(np.isin(part[lo:hi], t.shingles))
-                    share = len(np.unique(part[lo:hi][place])) / len(t.shingles)
+    for group in groups:
+        shingles = chained(hashed, group.shingle)
+        marked = np.flatnonzero(group.marks[shingles >> _MARKED])
+        for c in group.classes if len(marked) else ():
+            hits = marked[np.isin(shingles[marked], c.firsts)]
+            starts = np.unique(np.concatenate([hits // c.step - k for k in range(3)])) * c.step
+            for lo in starts[starts >= 0].tolist():
+                part = shingles[lo : lo + 3 * c.step]
+                for t in [c.templates[k] for k in sorted(c.met(part))]:
+                    place = np.flatnonzero(np.isin(part, t.shingles))
+                    share = len(np.unique(part[place])) / len(t.shingles)
                     if share >= containment:
-                        place = shortest(place, part[lo:hi][place])
-                        found.setdefault(t.number, set()).add((t.number, t.license, share, int(at + lo + place[0]), int(place[-1] - place[0] + SHINGLE)))
+                        place = shortest(place, part[place])
+                        found.setdefault(t.number, set()).add((t.number, t.license, share, int(lo + place[0]), int(place[-1] - place[0] + group.shingle)))
     return [p for k in sorted(found) for p in sorted(apart(list(found[k])), key=lambda p: p[3])]
 
 
-def scan(hashed: np.ndarray, classes: list[Class], containment: float = CONTAINMENT) -> list[Place]:
-    """The best place of each template found in a text."""
-    best: dict[int, Place] = {}
-    for place in places_in(hashed, classes, containment):
-        if place[0] not in best or place[2] > best[place[0]][2]:
-            best[place[0]] = place
-    return [best[k] for k in sorted(best)]
-
-
 def find_licenses(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, every_template: bool = True) -> DataFrame:
     """(doc_id, template, license, containment, first_word, n_words): one row per document, template found in it and place.
 
@@ -215,18 +166,19 @@ def find_licenses(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id",
     stand in a window; of overlapping windows the best is returned, the first of equally good ones, and every place that does not
     overlap. Without ``every_template`` that holds across templates too: where notices are alike, the best-contained one is the license.
 
-    ``templates`` are (license, text) pairs, at most some thousands, which go to every task; those of fewer words than a shingle are
-    not looked for. Null and empty texts and texts of fewer words have no rows. Repeated rows give repeated results,
-    null ids pass through, no rows give none, further columns are not read. Long texts are held in segments.
+    ``templates`` are (license, text) pairs, at most some thousands, which go to every task; the work on a text does not grow with them, but with the
+    windows that share a shingle. A template of fewer words than a shingle is found where all its words stand. Null and empty
+    texts have no rows. Repeated rows give repeated results, null ids pass through, no rows give none, further columns are not read. A long text
+    takes eight bytes for each word beside it.
     """
-    classes = classes_of(templates)
+    groups = groups_of(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                places = places_in(word_hashes(words_of(text.as_py()), known), classes, containment)
+                places = places_in(word_hashes(words_of(text.as_py()), known), groups, containment)
                 for row in places if every_template else sorted(apart(places), key=lambda p: p[3]):
                     for column, value in zip(out, (number, *row)):
                         column.append(value)
