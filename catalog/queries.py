@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog import tables as S
 from corpusqa import models
 from corpusqa.functions import text as T
-from corpusqa.operators import bm25, chunking, context, conversation, fusion, lexical_index, substring, vectors
+from corpusqa.operators import bm25, chunking, context, conversation, fusion, inverted_lists, lexical_index, substring, vectors
 from corpusqa.plans import hybrid, ingest
 from corpusqa.sources import files, knowledge_base, pages
 from corpusqa.session import materialise, scratch_path
@@ -390,13 +390,13 @@ def keyword_count_score(spark, folder):
 
 @query
 def like_filter(spark, folder):
-    hits = substring.like_filter(S.plain_questions(spark, folder), S.texts(spark, folder), S.index(spark, folder))
+    hits = substring.like_filter(S.plain_questions(spark, folder), S.texts(spark, folder), S.index(spark, folder), most=3)
     return hits.select("question_id", "filename")
 
 
 @query
 def like_search_score(spark, folder):
-    hits = substring.like_search_score(S.plain_questions(spark, folder), S.texts(spark, folder), S.index(spark, folder))
+    hits = substring.like_search_score(S.plain_questions(spark, folder), S.texts(spark, folder), S.index(spark, folder), most=3)
     return hits.select("question_id", "filename", "rank", "score")
 
 
@@ -436,6 +436,23 @@ def vector_search(spark, folder):
     return hits.select("question_id", "filename", "chunk_index", "rank", rounded("distance"), rounded("similarity"))
 
 
+@query
+def vector_search_approx(spark, folder):
+    """With every list probed: the hits of the flat scan."""
+    lists = S.vector_lists(spark, folder)
+    hits = inverted_lists.vector_search_approx(S.vector_questions(spark, folder), lists, probes=len(lists.centroids))
+    return hits.select("question_id", "filename", "rank", rounded("similarity"))
+
+
+@query
+def vector_search_recall(spark, folder):
+    """With half of the lists probed: how many of the flat scan's hits are found."""
+    asked, lists = S.vector_questions(spark, folder), S.vector_lists(spark, folder)
+    found = inverted_lists.vector_search_approx(asked, lists, probes=max(inverted_lists.PROBES, len(lists.centroids) // 2))
+    share = inverted_lists.recall(found, vectors.vector_search(asked, S.vectors(spark, folder)))
+    return share.select("n_hits", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query
 def embed_chunks(spark, folder):
     embedded = models.embed_chunks(S.texts(spark, folder), models.hashing_embedder(64))
@@ -699,6 +716,14 @@ def append_chunks(spark, folder):
     return knowledge_base.list_documents(base.scan())
 
 
+@query
+def new_content_only(spark, folder):
+    """Content of the documents that no text of the conversations and no English document has."""
+    known = S.table(spark, folder, "conversations").select("text").unionByName(S.documents(spark, folder).where("lang = 'en'").select("text"))
+    found = knowledge_base.new_content_only(S.documents(spark, folder), known.select(knowledge_base.content_hash(F.col("text")).alias("content")))
+    return found.select("content", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
+
+
 @query
 def ingest_documents(spark, folder):
     """Chunked, embedded, stored, scanned."""

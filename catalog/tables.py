@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusqa.functions.text import parse_keyword_list
 from corpusqa.models import embed_chunks
+from corpusqa.operators.inverted_lists import VectorIndex, build_vector_index
 from corpusqa.operators.lexical_index import LexicalIndex, build_index
 from corpusqa.plans.ingest import chunk_documents
 from corpusqa.session import materialise, spread
@@ -67,6 +68,10 @@ def vector_questions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
 
 
+def vector_lists(spark: SparkSession, folder: str) -> VectorIndex:
+    return _once(spark, folder, "vector_lists", lambda: build_vector_index(vectors(spark, folder)))
+
+
 def document_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """The vector with a document's number is taken for the document's."""
     given = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))

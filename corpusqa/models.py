@@ -102,7 +102,8 @@ def batch_udf(
         shapes = {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c), 5: lambda a, b, c, d, e: run(a, b, c, d, e)}
         function = shapes[n]
         function.__annotations__ = {**{name: pd.Series for name in "abcde"[:n]}, "return": pd.DataFrame if with_error else pd.Series}
-        return F.pandas_udf(function, kind)
+        # not deterministic, so that a filter on the result is not pushed below the call, which would then be made twice
+        return F.pandas_udf(function, kind).asNondeterministic()
 
     return lambda *columns: typed(len(columns))(*columns)
 

@@ -15,14 +15,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusqa.functions.text import build_search_terms
-from corpusqa.operators.lexical_index import BM25_B, BM25_K1, LexicalIndex, saturation
+from corpusqa.operators.lexical_index import BM25_B, BM25_K1, LexicalIndex, block_of, saturation
 from corpusqa.operators.ranking import top_k
 from corpusqa.schema import prepare_questions
 from corpusqa.session import materialise
 
 # bytes of question terms that are sent to a pass over the forward index; more are worked off in several passes
 BLOCK_BYTES = 64 * 1024 * 1024
+# a batch of questions with more different terms than this, or whose terms have more postings than this share of all, goes to the
+# forward index; both ways give the same rows
+SOUGHT_TERMS = 2000
+SOUGHT_SHARE = 1 / 4
 _ROW_BYTES = 96  # of a question term besides its text
+_SLACK = 1 + 1e-9
 _BITS = 62
 _UNIT = float(1 << 30)
 _CELLS = 1 << 21
@@ -69,19 +74,25 @@ def bm25_score(questions: DataFrame, index: LexicalIndex) -> DataFrame:
 def bm25_search(questions: DataFrame, index: LexicalIndex, k: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Best ``k`` chunks per question: (question_id, key…, rank, score, matched_terms).
 
-    The question terms go to a pass over the forward index, where all matches of a chunk are at hand: nothing is
+    A few questions read the postings of their own terms, less the blocks of chunks that cannot hold one of the best (``_sought``).
+    For a large batch the question terms go to a pass over the forward index, where all matches of a chunk are at hand: nothing is
     shuffled but the ``k`` best per question and task, however frequent the terms are. Questions are cut into blocks of about
     ``block_bytes``, each a pass of its own, so what is sent to the tasks does not grow with the questions. A question id
     may be of any type.
     """
     terms = materialise(known_terms(questions, index), "terms")
     size = F.sum(F.octet_length("term") + _ROW_BYTES)
-    totals = terms.agg(size.alias("bytes"), F.max("word").alias("words")).first()
+    postings = index.corpus_stats.select("n_postings").scalar()
+    few = (F.count_distinct("term") <= SOUGHT_TERMS) & (F.sum("df") <= SOUGHT_SHARE * postings) & (size <= block_bytes)
+    totals = terms.agg(size.alias("bytes"), F.max("word").alias("words"), few.alias("few")).first()
     masks = [f"mask_{i}" for i in range((totals["words"] or 0) + 1)]
-    n_blocks = max(1, -(-(totals["bytes"] or 0) // block_bytes))
-    block = F.pmod(F.xxhash64("question_id"), F.lit(n_blocks))
-    parts = [_scan(terms.where(block == n), index, k, masks) for n in range(n_blocks)]
-    scored = _with_score(reduce(DataFrame.unionByName, parts))
+    if totals["few"]:  # null without any term
+        scored = _accumulate(_sought(terms, index, k), masks)
+    else:
+        n_blocks = max(1, -(-(totals["bytes"] or 0) // block_bytes))
+        block = F.pmod(F.xxhash64("question_id"), F.lit(n_blocks))
+        parts = [_scan(terms.where(block == n), index, k, masks) for n in range(n_blocks)]
+        scored = _with_score(reduce(DataFrame.unionByName, parts))
     # chunk numbers follow the keys: equal scores come in key order
     best = top_k(scored.where(F.col("score") > 0), ["question_id"], [F.desc("score"), F.asc("doc_no")], k)
     best = index.with_keys(best)
@@ -94,6 +105,24 @@ def bm25_search(questions: DataFrame, index: LexicalIndex, k: int = 10, block_by
     )
 
 
+def _sought(terms: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
+    """Matches of the chunks that can be among the best ``k`` of a question.
+
+    Only pages that hold the sought terms are read, of both tables. In a block of chunks, the largest weights of a question's
+    terms add up to more than any chunk can have, and the largest single one is a score that some chunk has at least. So
+    the ``k``-th best of the latter is reached by ``k`` chunks, and blocks whose sum is below are left out.
+    """
+    names = [r["term"] for r in terms.select("term").distinct().collect()]  # SOUGHT_TERMS at most
+    sought = F.col("term").isin(names)
+    best = index.blocks.where(sought).join(F.broadcast(terms), "term").withColumn("weight", F.col("idf") * F.col("best"))
+    bounds = best.groupBy("question_id", "block").agg(F.sum("weight").alias("most"), F.max("weight").alias("sure"))
+    reached = top_k(bounds, ["question_id"], [F.desc("sure")], k).where(F.col("rank") == k - 1).select("question_id", F.col("sure").alias("reached"))
+    able = F.col("reached").isNull() | (F.col("most") * _SLACK >= F.col("reached"))
+    open_ = bounds.join(reached, "question_id", "left").where(able).select("question_id", "block")
+    matches = _matches(F.broadcast(terms), index.postings.where(sought)).withColumn("block", block_of(F.col("doc_no")))
+    return matches.join(open_, ["question_id", "block"], "left_semi")
+
+
 def _matches(terms: DataFrame, postings: DataFrame) -> DataFrame:
     weight = F.col("idf") * saturation(F.col("tf"), F.col("doc_len"), F.col("avg_len"))
     return postings.join(terms, "term").withColumn("weight", weight)

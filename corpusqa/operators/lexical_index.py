@@ -1,11 +1,14 @@
 """Term statistics of a chunk table, built once and searched many times.
 
-Three Parquet tables:
+Five Parquet tables:
 
-* ``doc_terms``    one row per chunk: number, key, length, ``terms array<struct<term, tf>>`` (forward index)
+* ``doc_terms``    one row per chunk: number, key, length, ``terms array<struct<term, tf>>`` (forward index), and the
+                   characters other than letters and digits that occur in it
 * ``postings``     one row per (term, chunk number), range-partitioned and sorted by term, so that a
                    search for a few terms skips the row groups of all others (inverted index)
 * ``term_stats``   one row per term: document frequency and its inverse
+* ``blocks``       one row per (term, block of 1,024 chunk numbers): the largest saturation in the block, sorted by term
+* ``grams``        one row per (stretch of up to three characters, term that holds it), sorted by stretch
 
 and one row of corpus totals. Chunk numbers follow the order of the keys: joins, sums and tie-breaks run
 on one whole number, and keys are looked up for the winners only.
@@ -27,6 +30,11 @@ from corpusqa.session import scratch_path
 BM25_K1 = 1.5
 BM25_B = 0.75
 
+BLOCK_BITS = 10
+GRAM = 3
+# rows of a page of the tables sorted by term: what is read at least for a term
+_PAGE_ROWS = 2000
+
 
 @dataclass(frozen=True)
 class LexicalIndex:
@@ -34,6 +42,8 @@ class LexicalIndex:
     postings: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
+    blocks: DataFrame
+    grams: DataFrame
     key: tuple[str, ...]
 
     def with_keys(self, rows: DataFrame) -> DataFrame:
@@ -64,6 +74,27 @@ def term_counts(tokens: Column) -> Column:
     return let(F.sort_array(tokens), runs)
 
 
+def block_of(doc_no: Column) -> Column:
+    """The block of a chunk number; chunks that are neighbours in key order mostly share one."""
+    return F.shiftright(doc_no, BLOCK_BITS)
+
+
+def grams_of(word: Column, sizes=range(1, GRAM + 1)) -> Column:
+    """Different stretches of a word of the given lengths."""
+
+    def of_size(n: int) -> Column:
+        starts = F.when(F.length(word) >= n, F.sequence(F.lit(1), F.length(word) - (n - 1)))
+        return F.coalesce(F.transform(starts, lambda i: F.substring(word, i, F.lit(n))), F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[of_size(n) for n in sizes]))
+
+
+def symbols_of(*texts: Column) -> Column:
+    """Different characters of the lower-cased texts that are neither letters nor digits."""
+    left = F.regexp_replace(F.lower(F.concat_ws("\n", *texts)), r"[\p{L}\p{N}]+", "")
+    return F.array_distinct(F.regexp_extract_all(left, F.lit("(?s)."), F.lit(0)))
+
+
 def weighted_text(filename: Column, text: Column) -> Column:
     """The file name counts twice in lexical search."""
     return F.concat_ws(" ", filename, filename, text)
@@ -122,11 +153,13 @@ def build_index(
     # that comes in few files, and a file with very many chunks over several tasks.
     placed = chunks.select(*{*key, "filename", "text"}).repartitionByRange(*key).sortWithinPartitions(*key)
     hides = F.coalesce(F.contains("text", F.lit(IMAGE_BLOCK)), F.lit(False)) if strip_images else F.lit(False)
-    numbered = document_terms(placed.withColumn("_hides", hides), [*key, "_hides"], strip_images)
+    marked = placed.withColumn("_hides", hides).withColumn("symbols", symbols_of(F.col("filename"), F.col("text")))
+    numbered = document_terms(marked, [*key, "_hides", "symbols"], strip_images)
     numbered = numbered.withColumn("doc_no", F.monotonically_increasing_id())
     numbered.write.parquet(f"{path}/doc_terms")
     doc_terms = spark.read.parquet(f"{path}/doc_terms")
-    totals = corpus_stats(doc_terms, F.coalesce(F.max("_hides"), F.lit(False)).alias("hides_images"))
+    hides_images, n_postings = F.coalesce(F.max("_hides"), F.lit(False)), F.coalesce(F.sum(F.size("terms")), F.lit(0))
+    totals = corpus_stats(doc_terms, hides_images.alias("hides_images"), n_postings.alias("n_postings"))
     totals.write.parquet(f"{path}/corpus_stats")
     stats = spark.read.parquet(f"{path}/corpus_stats")
     # A frequent term spreads over many range partitions: the chunk number is part of the range.
@@ -134,14 +167,25 @@ def build_index(
         term_frequency(doc_terms, ["doc_no"])
         .repartitionByRange("term", "doc_no")
         .sortWithinPartitions("term", "doc_no")
-        .write.parquet(f"{path}/postings")
+        .write.option("parquet.page.row.count.limit", _PAGE_ROWS)
+        .parquet(f"{path}/postings")
     )
     postings = spark.read.parquet(f"{path}/postings")
     idf = inverse_document_frequency(F.col("df"), stats.select("n_docs").scalar())
     document_frequency(postings).withColumn("idf", idf).write.parquet(f"{path}/term_stats")
+    best = F.max(saturation(F.col("tf"), F.col("doc_len"), stats.select("avg_len").scalar())).alias("best")
+    blocks = postings.groupBy("term", block_of(F.col("doc_no")).alias("block")).agg(best)
+    _write_sorted(blocks, f"{path}/blocks", "term", "block")
+    terms = spark.read.parquet(f"{path}/term_stats")
+    _write_sorted(terms.select(F.explode(grams_of(F.col("term"))).alias("gram"), "term", "df"), f"{path}/grams", "gram", "term")
     return load_index(spark, path, key)
 
 
+def _write_sorted(rows: DataFrame, path: str, *order: str) -> None:
+    """Range-partitioned and sorted, in small pages, so that a search for a few values reads few of them."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.page.row.count.limit", _PAGE_ROWS).parquet(path)
+
+
 def load_index(spark: SparkSession, path: str, key: Sequence[str] = CHUNK_KEY) -> LexicalIndex:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return LexicalIndex(read("doc_terms"), read("postings"), read("term_stats"), read("corpus_stats"), tuple(key))
+    return LexicalIndex(*map(read, ("doc_terms", "postings", "term_stats", "corpus_stats", "blocks", "grams")), tuple(key))

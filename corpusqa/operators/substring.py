@@ -1,48 +1,50 @@
 """Substring search of many questions over many chunks, without pairing all of them.
 
-A needle made of letters and digits lies inside one word of the text, and any other needle contains
-such a stretch (its anchor) unless it is punctuation only. So: needles -> words of the vocabulary that
-contain the anchor (found through shared 3-grams) -> chunks holding those words (inverted index) ->
-the texts of those chunks, where the needle itself is counted. Every step is an equi-join.
+A needle is cut into runs of letters and digits. A run with something else on both sides in the needle is a word of the text as it
+stands, so the vocabulary has it or the needle occurs nowhere; a run at the edge of a needle lies inside a word, which is found through shared
+stretches of three characters (the index keeps a table of them, sorted). So: needles -> runs -> words -> the two runs in the fewest
+chunks -> chunks that hold both (inverted index) -> the texts of those chunks, where the needle itself is counted. Every step is an equi-join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.functions.text import contains_all, count_occurrences, store_search_terms
-from corpusqa.operators.lexical_index import LexicalIndex
+from corpusqa.operators.lexical_index import GRAM, LexicalIndex
 from corpusqa.operators.ranking import top_k
 from corpusqa.session import materialise
 
 FILENAME_BONUS = 3
-_GRAM = 3
-_SYMBOL = r"[^\p{L}\p{N}]"
+ANCHORS = 2  # runs of a needle, or words of a question, whose chunks are intersected
+SOUGHT_GRAMS = 2000  # more different stretches than this are met by a join with the whole table of them
+_RUN = r"[\p{L}\p{N}]+"
 
 
-def _anchor(needle: Column) -> Column:
-    """Longest stretch of letters and digits (null if there is none)."""
-    runs = F.regexp_extract_all(F.lower(needle), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
-
-
-def _grams(word: Column, sizes) -> Column:
-    def of_size(n: int) -> Column:
-        starts = F.when(F.length(word) >= n, F.sequence(F.lit(1), F.length(word) - (n - 1)))
-        return F.coalesce(F.transform(starts, lambda i: F.substring(word, i, F.lit(n))), F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[of_size(n) for n in sizes]))
-
-
-def _anchor_words(needles: DataFrame, index: LexicalIndex) -> DataFrame:
-    """(needle, term, df): words of the corpus that contain the anchor of a needle."""
+def _anchors(needles: DataFrame, index: LexicalIndex) -> DataFrame:
+    """(needle, bit, all_bits, term, df): the words that can hold a run of the needle, for each of its rarest runs a bit of its own."""
     _whole_texts(index)
-    anchored = needles.select("needle", _anchor(F.col("needle")).alias("anchor")).where(F.col("anchor").isNotNull())
-    anchored = anchored.withColumn("gram", F.substring("anchor", 1, _GRAM))
-    sizes = [r[0] for r in anchored.select(F.length("gram")).distinct().collect()]  # at most three numbers
-    words = index.term_stats.select("term", "df", F.explode(_grams(F.col("term"), sorted(sizes))).alias("gram"))
-    return words.join(anchored, "gram").where(F.contains("term", F.col("anchor"))).select("needle", "term", "df")
+    low, n = F.lower("needle"), F.size("runs")
+    cut = needles.select("needle", F.regexp_extract_all(low, F.lit(_RUN), F.lit(0)).alias("runs"), low.rlike(rf"\A{_RUN}").alias("from_start"), low.rlike(rf"{_RUN}\z").alias("to_end"))
+    inner = F.slice("runs", 1 + F.col("from_start").cast("int"), F.greatest(n - F.col("from_start").cast("int") - F.col("to_end").cast("int"), F.lit(0)))
+    cut = cut.where(n > 0).withColumn("whole", F.array_distinct(inner))
+    # whole words: those in the fewest chunks, unless one is in none
+    words = cut.select("needle", F.explode("whole").alias("term")).join(index.term_stats.select("term", "df"), "term", "left")
+    rarest = words.groupBy("needle").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("term")))), 1, ANCHORS).alias("words"))
+    rarest = rarest.where(F.col("words")[0]["df"] > 0).select("needle", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+    rarest = rarest.select("needle", "at", "n", "word.term", "word.df")
+    # needles of one or two runs, at the edges: words that hold them, end or begin with them
+    edges = cut.where(F.size("whole") == 0).select("needle", n.alias("n"), "from_start", "to_end", F.posexplode("runs").alias("at", "run"))
+    held = F.contains("term", F.col("run"))
+    held = held & ((F.col("at") == 0) & F.col("from_start") | F.startswith(F.col("term"), F.col("run")))
+    held = held & ((F.col("at") == F.col("n") - 1) & F.col("to_end") | F.endswith(F.col("term"), F.col("run")))
+    edges = materialise(edges.withColumn("gram", F.substring("run", 1, GRAM)), "edges")
+    grams = [r["gram"] for r in edges.select("gram").distinct().limit(SOUGHT_GRAMS + 1).collect()]
+    known = index.grams if len(grams) > SOUGHT_GRAMS else index.grams.where(F.col("gram").isin(grams))  # reads only their pages
+    edges = known.join(edges, "gram").where(held).select("needle", "at", "n", "term", "df")
+    bit = lambda places: F.pow(F.lit(2), places).cast("int")
+    return rarest.unionByName(edges).select("needle", bit(F.col("at")).alias("bit"), (bit(F.col("n")) - 1).alias("all_bits"), "term", "df")
 
 
 def _whole_texts(index: LexicalIndex) -> None:
@@ -51,18 +53,17 @@ def _whole_texts(index: LexicalIndex) -> None:
         raise ValueError("texts hold image blocks: build the index with strip_images=False for substring search")
 
 
-def _candidates(needles: DataFrame, index: LexicalIndex, chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """(needle, key…) pairs in which the needle may occur: a superset of those in which it does."""
-    key = list(index.key)
-    found = index.postings.select("term", "doc_no").join(words.select("needle", "term"), "term")
-    found = index.with_keys(found.select("needle", "doc_no").distinct())
-    symbols = needles.where(_anchor(F.col("needle")).isNull() & (F.length("needle") > 0))
-    first = symbols.withColumn("symbol", F.lower(F.substring("needle", 1, 1)))
-    both = F.lower(F.concat_ws("\n", "filename", "text"))
-    seen = chunks.select(
-        *key, F.explode(F.array_distinct(F.regexp_extract_all(both, F.lit(_SYMBOL), F.lit(0)))).alias("symbol")
-    )
-    return found.unionByName(seen.join(first, "symbol").select("needle", *key))
+def _holders(anchors: DataFrame, index: LexicalIndex) -> DataFrame:
+    """(needle, doc_no): chunks with a word for every anchor of the needle."""
+    found = index.postings.select("term", "doc_no").join(anchors.select("needle", "bit", "all_bits", "term"), "term")
+    bits = found.groupBy("needle", "doc_no").agg(F.bit_or("bit").alias("bits"), F.first("all_bits").alias("all_bits"))
+    return bits.where(F.col("bits") == F.col("all_bits")).select("needle", "doc_no")
+
+
+def _signs(needles: DataFrame, index: LexicalIndex) -> DataFrame:
+    """(needle, doc_no): chunks with the first character of needles that have neither letters nor digits."""
+    signs = needles.where(~F.col("needle").rlike(_RUN) & (F.length("needle") > 0)).withColumn("sign", F.lower(F.substring("needle", 1, 1)))
+    return index.doc_terms.select("doc_no", F.explode("symbols").alias("sign")).join(signs, "sign").select("needle", "doc_no")
 
 
 def keyword_count_score(questions: DataFrame, chunks: DataFrame, index: LexicalIndex, k: int = 5) -> DataFrame:
@@ -77,17 +78,12 @@ def keyword_count_score(questions: DataFrame, chunks: DataFrame, index: LexicalI
         .withColumn("needle", F.lower("keyword")),
         "keywords",
     )
-    needles = asked.select("needle").distinct()
-    pairs = _candidates(needles, index, chunks, materialise(_anchor_words(needles, index), "anchors"))
+    needles = materialise(asked.select("needle").distinct(), "needles")
+    pairs = _holders(materialise(_anchors(needles, index), "anchors"), index).unionByName(_signs(needles, index))
     # as many needles per chunk as may occur in it; written, so that its size is known and the texts
     # stay where they are if it is small
-    per_chunk = materialise(pairs.groupBy(*key).agg(F.collect_set("needle").alias("needles")), "needles")
-    texts = chunks.select(*key, F.lower("text").alias("lowered"))
-    # looking is much cheaper than counting, and most candidates fail here
-    held = F.filter("needles", lambda n: F.contains(F.col("lowered"), n))
-    found = texts.join(per_chunk, key).select(*key, "lowered", held.alias("held"))
-    counts = F.transform("held", lambda n: F.struct(n.alias("needle"), count_occurrences(F.col("lowered"), n).alias("n")))
-    counted = found.select(*key, F.explode(counts).alias("c")).select(*key, "c.*")
+    per_chunk = materialise(index.with_keys(pairs.groupBy("doc_no").agg(F.collect_set("needle").alias("needles"))), "candidates")
+    counted = _counted(chunks, per_chunk, key)
     scored = (
         counted.join(asked, "needle")
         .groupBy("question_id", *key)
@@ -98,31 +94,43 @@ def keyword_count_score(questions: DataFrame, chunks: DataFrame, index: LexicalI
     return top_k(scored, ["question_id"], [F.desc("score"), *[F.asc(c) for c in key]], k)
 
 
-def like_filter(questions: DataFrame, chunks: DataFrame, index: LexicalIndex, most: int | None = None) -> DataFrame:
-    """Chunks in which every word of the question occurs, in the text or the file name.
+def _counted(chunks: DataFrame, per_chunk: DataFrame, key: list[str]) -> DataFrame:
+    """(key…, needle, n): how often each of a chunk's needles occurs in its text, in lower case; those that do not occur are left out."""
+    texts = chunks.select(*key, F.lower("text").alias("lowered"))
+    # looking is much cheaper than counting, and most candidates fail here
+    held = F.filter("needles", lambda n: F.contains(F.col("lowered"), n))
+    found = texts.join(per_chunk, key).select(*key, "lowered", held.alias("held"))
+    counts = F.transform("held", lambda n: F.struct(n.alias("needle"), count_occurrences(F.col("lowered"), n).alias("n")))
+    return found.select(*key, F.explode(counts).alias("c")).select(*key, "c.*")
 
-    questions(question_id, question); all words count, or the first ``most``. Matching is case-sensitive against
-    lower-cased words. Candidates come from the rarest word of each question only.
-    """
-    key = list(index.key)
+
+def _wanted(questions: DataFrame, index: LexicalIndex, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """(question_id, words) of the questions that have any, and (question_id, doc_no) of the chunks that hold the two rarest words of one."""
     asked = materialise(
         questions.select("question_id", store_search_terms(F.col("question"), most).alias("words")).where(F.size("words") > 0),
         "words",
     )
-    spelled = asked.select("question_id", F.explode("words").alias("needle"))
-    needles = spelled.select("needle").distinct()
-    words = materialise(_anchor_words(needles, index), "anchors")
-    reach = words.groupBy("needle").agg(F.sum("df").alias("reach"))
+    spelled = asked.select("question_id", F.explode(F.array_distinct("words")).alias("needle"))
+    anchors = materialise(_anchors(spelled.select("needle").distinct(), index), "anchors")
+    reach = anchors.groupBy("needle").agg(F.sum("df").alias("reach"))
     # a word the corpus does not contain at all makes the question unanswerable: nothing to read
-    rarest = (
-        spelled.join(reach, "needle", "left")
-        .groupBy("question_id")
-        .agg(F.min_by("needle", F.struct(F.coalesce("reach", F.lit(0)), "needle")).alias("needle"))
-    )
-    pairs = _candidates(needles, index, chunks, words.join(rarest.select("needle").distinct(), "needle", "left_semi"))
-    wanted = materialise(pairs.join(rarest, "needle").select("question_id", *key), "wanted")
+    rarest = top_k(spelled.join(reach, "needle", "left").fillna(0, ["reach"]), ["question_id"], [F.asc("reach"), F.asc("needle")], ANCHORS, "at")
+    rarest = materialise(rarest.drop("reach"), "rarest")
+    holders = _holders(anchors.join(rarest.select("needle").distinct(), "needle", "left_semi"), index)
+    both = holders.join(rarest, "needle").groupBy("question_id", "doc_no").agg(F.count("*").alias("held"))
+    needed = rarest.groupBy("question_id").agg(F.count("*").alias("held"))
+    return asked, materialise(both.join(needed, ["question_id", "held"], "left_semi").drop("held"), "wanted")
+
+
+def like_filter(questions: DataFrame, chunks: DataFrame, index: LexicalIndex, most: int | None = None) -> DataFrame:
+    """Chunks in which every word of the question occurs, in the text or the file name.
+
+    questions(question_id, question); all words count, or the first ``most``. Matching is case-sensitive against
+    lower-cased words. Candidates hold the two rarest words of a question.
+    """
+    asked, wanted = _wanted(questions, index, most)
     return (
-        chunks.join(wanted, key)
+        chunks.join(index.with_keys(wanted), list(index.key))
         .join(asked, "question_id")
         .where(contains_all(F.col("words"), F.col("text"), F.col("filename")))
     )
@@ -131,12 +139,24 @@ def like_filter(questions: DataFrame, chunks: DataFrame, index: LexicalIndex, mo
 def like_search_score(questions: DataFrame, chunks: DataFrame, index: LexicalIndex, k: int = 8, most: int | None = None) -> DataFrame:
     """Best ``k`` of the chunks that pass ``like_filter``: occurrences, plus 3 per word in the file name.
 
-    All matches are scored, not an arbitrary first few of them.
+    All matches are scored, not an arbitrary first few of them. A chunk looks for each word once, however many questions have it.
     """
     key = list(index.key)
-    matched = like_filter(questions, chunks, index, most)
-    text, name = F.lower("text"), F.lower("filename")
-    one = lambda w: count_occurrences(text, w) + F.when(F.contains(name, w), FILENAME_BONUS).otherwise(0)
-    score = F.aggregate("words", F.lit(0).cast("bigint"), lambda total, w: total + one(w))
-    scored = matched.select("question_id", *key, score.alias("score")).where(F.col("score") > 0)
-    return top_k(scored, ["question_id"], [F.desc("score"), *[F.asc(c) for c in key]], k)
+    asked, wanted = _wanted(questions, index, most)
+    spelled = asked.select("question_id", F.explode("words").alias("needle")).groupBy("question_id", "needle").agg(F.count("*").alias("times"))
+    pairs = materialise(wanted.join(spelled, "question_id"), "pairs")
+    per_chunk = pairs.groupBy("doc_no").agg(F.collect_set("needle").alias("needles"))
+    per_chunk = materialise(per_chunk.join(index.doc_terms.select("doc_no", *key), "doc_no"), "candidates")
+    low = F.struct(F.col("text"), F.lower("text").alias("lowered"), F.col("filename"), F.lower("filename").alias("name"))
+    texts = chunks.select(*key, low.alias("t")).join(per_chunk, key)
+
+    def judged(n):
+        held = F.contains("t.text", n) | F.contains("t.filename", n)
+        bonus = F.when(F.contains("t.name", n), FILENAME_BONUS).otherwise(0)
+        return F.struct(n.alias("needle"), F.when(held, count_occurrences(F.col("t.lowered"), n) + bonus).alias("n"))
+
+    counted = texts.select("doc_no", F.explode(F.filter(F.transform("needles", judged), lambda c: c["n"].isNotNull())).alias("c")).select("doc_no", "c.*")
+    needed = spelled.groupBy("question_id").agg(F.count("*").alias("held"))
+    scored = pairs.join(counted, ["doc_no", "needle"]).groupBy("question_id", "doc_no").agg(F.sum(F.col("n") * F.col("times")).alias("score"), F.count("*").alias("held"))
+    matched = index.with_keys(scored.join(needed, ["question_id", "held"], "left_semi").where(F.col("score") > 0).drop("held"))
+    return top_k(matched, ["question_id"], [F.desc("score"), *[F.asc(c) for c in key]], k)

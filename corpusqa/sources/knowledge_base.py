@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusqa.models import Embedder, embed_chunks
+from corpusqa.models import EMPTY_CHUNK, IMAGE_CHUNK, Embedder, embed_chunks
 from corpusqa.operators.lexical_index import LexicalIndex, build_index
 from corpusqa.operators.ranking import number_rows
 from corpusqa.operators.vectors import check_dimension
@@ -29,7 +29,7 @@ PLACEHOLDER_FILE = "init"
 PAGE_SIZES = (10, 20, 50, 100)
 
 _LOG = "kind string, filename string, txn string, dimension int, writer string"
-_STORED = VECTORS + ", row_id bigint, writer string"
+_STORED = VECTORS + ", content string, model string, row_id bigint, writer string"
 ROW_KEY = ("filename", "chunk_index", "commit_id", "row_id")
 
 
@@ -97,9 +97,27 @@ def delete_document(chunks: DataFrame, names: DataFrame) -> tuple[DataFrame, Dat
     return kept, deleted
 
 
+def content_hash(text: Column) -> Column:
+    """SHA-256 of what an embedding model is given for a text; null and empty texts are given the same stand-in."""
+    return F.sha2(F.coalesce(F.nullif(text, F.lit("")), F.lit(EMPTY_CHUNK)).cast("binary"), 256)
+
+
+def new_content_only(chunks: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``chunks`` whose content is not in ``known(content)``, one row per different content: content and text.
+
+    Copies are put together before anything is shuffled; of ``known`` only the hashes are read, and only those that
+    the chunks have are compared (a semi-join, for which Spark may send a Bloom filter of the chunks' hashes to the scan).
+    """
+    asked = chunks.select(content_hash(F.col("text")).alias("content"), "text").groupBy("content").agg(F.first("text").alias("text"))
+    have = known.select("content").join(asked.select("content"), "content", "left_semi")
+    return asked.join(have, "content", "left_anti")
+
+
 class KnowledgeBase:
-    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None):
-        self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder
+    """``model`` names the embedding model: vectors of the same content by a model of that name can be used again."""
+
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, model: str = ""):
+        self.spark, self.path, self.embedder, self.model = spark, path.rstrip("/"), embedder, model
 
     def _read(self, name: str, ddl: str) -> DataFrame:
         schema = struct_of(ddl + ", commit_id bigint")
@@ -116,12 +134,16 @@ class KnowledgeBase:
 
     def rows(self) -> DataFrame:
         """All visible rows with vector, commit_id and row_id (together with the key: unique)."""
+        return self._visible().drop("content", "model")
+
+    def _visible(self) -> DataFrame:
         log = self.log()
         cleared = F.coalesce(F.max(F.when(F.col("kind") == "clear", F.col("commit_id"))), F.lit(-1))
         since = log.agg(cleared).scalar()
         live = log.where((F.col("kind") == "write") & (F.col("commit_id") >= since)).select("commit_id", "writer").distinct()
         removed = log.where(F.col("kind") == "delete").groupBy("filename").agg(F.max("commit_id").alias("gone_at"))
-        visible = self._read("chunks", _STORED).join(live, ["commit_id", "writer"], "left_semi").drop("writer").alias("s")
+        stored = self._read("chunks", _STORED).join(live, ["commit_id", "writer"], "left_semi")
+        visible = stored.drop("writer").alias("s")
         gone = removed.alias("r")
         return visible.join(
             gone, (F.col("s.filename") == F.col("r.filename")) & (F.col("s.commit_id") < F.col("r.gone_at")), "left_anti"
@@ -149,9 +171,22 @@ class KnowledgeBase:
     def _write(self, commit: int, writer: str, rows: DataFrame, extra: bool = False) -> DataFrame:
         """Write rows of a commit (``extra``: more of them) and return all its rows so far."""
         place = F.monotonically_increasing_id()
-        stored = conform(rows, VECTORS).withColumn("row_id", -1 - place if extra else place)
+        given = rows if "content" in rows.columns else rows.withColumn("content", content_hash(F.col("text")))
+        given = given if "model" in rows.columns else given.withColumn("model", F.lit(self.model))
+        stored = conform(given, VECTORS + ", content string, model string").withColumn("row_id", -1 - place if extra else place)
         stored.write.mode("append" if extra else "error").parquet(f"{self.path}/chunks/commit_id={commit}/writer={writer}")
-        return self._read("chunks", _STORED).where((F.col("commit_id") == commit) & (F.col("writer") == writer)).drop("writer")
+        return self._read("chunks", _STORED).where((F.col("commit_id") == commit) & (F.col("writer") == writer)).drop("writer", "content", "model")
+
+    def _embedded_once(self, chunks: DataFrame) -> DataFrame:
+        """chunks + vector, content: the model is called once for each different text it has not embedded before, whatever has become of the rows."""
+        chunks = materialise(chunks, "chunks")
+        contents = chunks.select("content").distinct()
+        known = self._read("chunks", _STORED).where((F.col("model") == self.model) & F.col("vector").isNotNull()).select("content", "vector")
+        held = materialise(known.join(contents, "content", "left_semi").groupBy("content").agg(F.first("vector").alias("vector")), "known")
+        made = embed_chunks(new_content_only(chunks, held), self.embedder).select("content", "vector")
+        # one row for each different content
+        vectors = materialise(held.unionByName(made.withColumn("vector", F.col("vector").cast(held.schema["vector"].dataType))), "vectors")
+        return chunks.join(vectors, "content").withColumn("text", F.coalesce(F.nullif("text", F.lit("")), F.lit(IMAGE_CHUNK)))
 
     def _publish(self, commit: int, *kinds: str, removals: DataFrame | None = None, txn=None, dimension=None, writer=None, known: DataFrame | None = None) -> None:
         entries = self.spark.createDataFrame([(kind, None, txn, dimension, writer) for kind in kinds], struct_of(_LOG))
@@ -173,18 +208,24 @@ class KnowledgeBase:
                 raise
             raise RuntimeError(f"another writer has taken commit {commit}; run this one again") from error
 
-    def append(self, chunks: DataFrame, replace: bool = False, txn: str | None = None) -> int:
+    def append(self, chunks: DataFrame, replace: bool = False, txn: str | None = None, reuse: bool = False) -> int:
         """Embed (unless a ``vector`` column is given) and add chunks; returns how many were added.
 
         Chunks whose embedding failed are skipped; if all fail, nothing is added and an error raised.
         Rows of a file that is there already stay, unless ``replace``. When the new vectors have
         another dimension, the stored chunks are embedded again in the same commit. A repeated
-        ``txn`` is ignored.
+        ``txn`` is ignored. With ``reuse`` only content that the model of this name has not embedded before is given to it, once
+        for each different text.
         """
         if self._done(txn):
             return 0
         commit, writer = self._next()
-        written = self._write(commit, writer, chunks if "vector" in chunks.columns else embed_chunks(chunks, self.embedder))
+        chunks = chunks.withColumn("content", content_hash(F.col("text")))
+        if "vector" in chunks.columns:  # made by no model that is known here
+            embedded = chunks.withColumn("model", F.lit(None).cast("string"))
+        else:
+            embedded = self._embedded_once(chunks) if reuse else embed_chunks(chunks, self.embedder)
+        written = self._write(commit, writer, embedded)
         dimension, added = check_dimension(written)
         if not added:
             if chunks.isEmpty():
@@ -238,7 +279,7 @@ class KnowledgeBase:
         commit, writer = self._next()
         known = self.log().where(F.col("txn").isNotNull()).select("txn").distinct()
         known = materialise(known, "transactions")
-        dimension, n = check_dimension(self._write(commit, writer, self.rows().drop("commit_id", "row_id")))
+        dimension, n = check_dimension(self._write(commit, writer, self._visible().drop("commit_id", "row_id")))
         self._publish(commit, "write", "clear", dimension=dimension, writer=writer, known=known)
         for name in ("log", "chunks"):
             top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusqa.models import batch_scorer
-from corpusqa.operators import bm25, fusion, substring, vectors
+from corpusqa.operators import bm25, fusion, inverted_lists, substring, vectors
 from corpusqa.operators.lexical_index import build_index
 from corpusqa.operators.ranking import number_rows
 
@@ -80,6 +80,68 @@ def test_one_pass_or_several(spark, corpus, monkeypatch):
     assert bm25.bm25_search(questions.limit(0), index).count() == 0
 
 
+def both_ways(questions, index, monkeypatch, k=7):
+    """Hits by the postings of the questions' terms and by the forward index."""
+    spell = lambda hits: [(r.question_id, r["rank"], r.filename, r.score, tuple(r.matched_terms)) for r in hits.orderBy("question_id", "rank").collect()]
+    found = []
+    for share in (1e9, -1.0):
+        monkeypatch.setattr(bm25, "SOUGHT_SHARE", share)
+        found.append(spell(bm25.bm25_search(questions, index, k)))
+    return found
+
+
+@pytest.mark.parametrize("bits", [0, 2, 10])
+def test_postings_and_forward_index_give_the_same(spark, corpus, monkeypatch, bits):
+    """Bit for bit, with ties, for blocks of one chunk, of four and of all; text and decimal ids as well."""
+    from corpusqa.operators import lexical_index
+
+    chunks, questions, _ = corpus
+    monkeypatch.setattr(lexical_index, "BLOCK_BITS", bits)
+    doubled = chunks.unionByName(chunks.limit(40).withColumn("filename", F.concat("filename", F.lit("-copy"))))
+    index = build_index(doubled)
+    few = questions.limit(25)
+    sought, passed = both_ways(few, index, monkeypatch)
+    assert sought == passed and len(sought) > 100
+    for kind in ("string", "decimal(20,3)", "double"):
+        sought, passed = both_ways(few.limit(5).withColumn("question_id", F.col("question_id").cast(kind)), index, monkeypatch, 3)
+        assert sought == passed and sought
+
+
+def scanned(frame, folder):
+    """Rows that scans of a folder gave out when the frame ran."""
+    frame.collect()
+    todo, rows = [frame._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if name == "FileSourceScanExec" and folder in node.relation().location().rootPaths().toString():
+            rows += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return rows
+
+
+def test_one_question_reads_a_few_pages(spark, monkeypatch):
+    """Of an index of some million postings a question of rare terms reads under a tenth of the rows."""
+    rows = spark.range(4000).select(
+        F.concat(F.lit("f"), "id").alias("filename"), F.lit(0).alias("chunk_index"),
+        F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(250)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(5000))))).alias("text"),
+    )
+    index = build_index(rows)
+    found = bm25.bm25_search(ask(spark, "w17 w4711 w99"), index)
+    assert found.count() == 10
+    total = index.postings.count()
+    assert total > 900_000
+    found = bm25.bm25_search(ask(spark, "w17 w4711 w99"), index)
+    assert 0 < scanned(found, "/postings") < total / 10 and scanned(found, "/blocks") < total / 10
+
+
 def test_many_copies(spark):
     rows = [(f"f{i:03d}", 0, "the same words" if i >= 100 else f"the word {i}") for i in range(300)]
     index = build_index(spark.createDataFrame(rows, "filename string, chunk_index int, text string"))
@@ -181,7 +243,7 @@ def test_rerank_and_final_cut(spark):
 def test_keyword_counts_match_a_plain_loop(spark, corpus):
     chunks, _, index = corpus
     texts = {r.filename: r.text.lower() for r in chunks.collect()}
-    asked = {0: ["the", "An"], 1: ["in, "], 2: ["zzzz"], 3: [". ", "eau", "é"], 4: ["!?"], 5: ["n the"]}
+    asked = {0: ["the", "An"], 1: ["in, "], 2: ["zzzz"], 3: [". ", "eau", "é"], 4: ["!?"], 5: ["n the"], 6: [" the ", ".\n"], 7: ["e the i", "d in zzzz the"], 8: ["s. T", "-", " "]}
     df = spark.createDataFrame(list(asked.items()), "question_id bigint, keywords array<string>")
     got = substring.keyword_count_score(df, chunks, index).collect()
     want = set()
@@ -219,3 +281,31 @@ def test_numbering_survives_a_hot_group(spark):
 def test_idf_formula(small):
     row = small[1].term_stats.where("term = 'refresh'").first()
     assert row.df == 2 and math.isclose(row.idf, math.log(1 + 2.5 / 2.5))
+
+
+def test_inverted_lists(spark, tmp_path):
+    """Recall with few lists probed, equality with all, partitions that are not probed stay unread, copies and odd rows."""
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(12, 16)) * 4
+    stored = [(f"f{i:04d}", (middle[i % 12] + rng.normal(size=16) * 0.3).tolist()) for i in range(600)]
+    stored += [(f"g{i:04d}", stored[0][1]) for i in range(300)] + [("none", None)]
+    vdf = spark.createDataFrame(stored, "filename string, vector array<float>")
+    asked = spark.createDataFrame([(i, stored[i * 7][1]) for i in range(60)] + [(99, None)], "question_id bigint, vector array<double>")
+    index = inverted_lists.build_vector_index(vdf, str(tmp_path / "lists"), ["filename"], n_lists=12, sample=200)
+    assert index.vectors.count() == 900
+    spell = lambda hits: sorted((r.question_id, r.filename, r["rank"], round(r.distance, 9)) for r in hits.collect())
+    exact = vectors.nearest(asked, vdf, 8, ["filename"])
+    for known in (index, inverted_lists.load_vector_index(spark, str(tmp_path / "lists"), ["filename"])):
+        assert spell(inverted_lists.nearest_approx(asked, known, 8, 12)) == spell(exact)
+        assert spell(inverted_lists.nearest_approx(asked, known, 8, 12, block_bytes=500)) == spell(exact)
+    found = inverted_lists.nearest_approx(asked, index, 8, 2)
+    assert inverted_lists.recall(found, exact, ["filename"]).first()["recall"] >= 0.9
+    one = inverted_lists.nearest_approx(asked.limit(1), index, 8, 1)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "(list#" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    few = inverted_lists.vector_search_approx(asked, index, 3, 0.5, probes=12)
+    assert spell(few) == spell(vectors.vector_search(asked, vdf, 3, 0.5, ["filename"]))
+    nothing = inverted_lists.build_vector_index(vdf.limit(0), None, ["filename"])
+    assert inverted_lists.nearest_approx(asked, nothing, 3).count() == 0 and inverted_lists.nearest_approx(asked.limit(0), index, 3).count() == 0
+    single = inverted_lists.build_vector_index(vdf.where("filename = 'f0000'"), None, ["filename"])
+    assert inverted_lists.nearest_approx(asked, single, 3).count() == 60

@@ -173,3 +173,60 @@ def test_purge(spark, tmp_path):
     assert base.append(docs(spark, "a.md").withColumn("chunk_index", F.lit(0)), txn="t1") == 0
     assert base.append(docs(spark, "c.md").withColumn("chunk_index", F.lit(0))) == 1
     assert {r.filename for r in base.scan().collect()} == {"b.md", "c.md"}
+
+
+class Counting:
+    """An embedder that keeps the texts it was asked for in files of its own."""
+
+    def __init__(self, folder, dim):
+        self.folder, self.dim = str(folder), dim
+        folder.mkdir()
+
+    def __call__(self, df, text, out):
+        folder, dim = self.folder, self.dim
+
+        def call(texts):
+            import uuid
+
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as file:
+                file.write("\n".join(texts) + "\n")
+            return texts.map(lambda t: [float(len(t))] * dim)
+
+        return batch_embedder(call)(df, text, out)
+
+    def asked(self):
+        import os
+
+        return sorted(line for name in os.listdir(self.folder) for line in open(f"{self.folder}/{name}").read().splitlines())
+
+
+def test_content_is_embedded_once(spark, tmp_path):
+    """Over two appends, copies, a deletion and a purge; again after a change of the model; not if vectors were given."""
+    counter, other = Counting(tmp_path / "calls", 2), Counting(tmp_path / "others", 2)
+    base = K.KnowledgeBase(spark, str(tmp_path / "base"), counter, "first")
+    chunk = "filename string, chunk_index int, text string"
+    rows = [("a", 0, "one"), ("a", 1, "two"), ("b", 0, "one"), ("c", 0, None), ("c", 1, "")]
+    assert base.append(spark.createDataFrame(rows, chunk), reuse=True) == 5
+    assert counter.asked() == ["[空块]", "one", "two"]
+    base.delete(spark.createDataFrame([("a",)], "filename string"))
+    assert base.append(spark.createDataFrame([("d", 0, "two"), ("d", 1, "three"), ("e", 0, "")], chunk), reuse=True) == 3
+    assert counter.asked() == ["[空块]", "one", "three", "two"]
+    base.purge()
+    assert base.append(spark.createDataFrame([("f", 0, "three"), ("f", 1, "one")], chunk), reuse=True) == 2
+    assert counter.asked() == ["[空块]", "one", "three", "two"]
+    assert {(r.text, r.vector[0]) for r in base.rows().collect()} == {("one", 3.0), ("two", 3.0), ("three", 5.0), ("[图片块]", 4.0)}
+
+    changed = K.KnowledgeBase(spark, str(tmp_path / "base"), other, "second")
+    assert changed.append(spark.createDataFrame([("g", 0, "one"), ("g", 1, "one")], chunk), reuse=True) == 2
+    assert other.asked() == ["one"] and counter.asked() == ["[空块]", "one", "three", "two"]
+    changed.append(spark.createDataFrame([("h", 0, "given", [1.0, 2.0])], chunk + ", vector array<float>"))
+    changed.append(spark.createDataFrame([("i", 0, "given")], chunk), reuse=True)
+    assert other.asked() == ["given", "one"]
+
+
+def test_new_content_only(spark):
+    chunks = spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("",), ("c",)], "text string")
+    known = chunks.where("text = 'b'").select(K.content_hash(F.col("text")).alias("content"))
+    found = K.new_content_only(chunks, known)
+    assert sorted((r.text or "") for r in found.collect()) == ["", "a", "c"]
+    assert K.new_content_only(chunks, known.limit(0)).count() == 4 and K.new_content_only(chunks.limit(0), known).count() == 0
