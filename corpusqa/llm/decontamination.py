@@ -9,28 +9,35 @@ from corpusqa.session import materialise
 
 WINDOW = 15  # words that are compared at a time; a shorter item is compared whole
 SHARE = 0.8  # of a window's words must be equal, each at its place
-LEAST_WORDS = 5  # items of fewer words are not looked for
 
 # Fixed masks: 1 compares the word, 0 passes over it. Whichever fifth of a window's words is replaced, one mask of its set fits in
-# somewhere without touching a replaced word (checked in the tests for all windows of 15, and of 5 to 14 words).
+# somewhere without touching a replaced word (checked in the tests for all windows of 15, and of 1 to 14 words). Of fewer than five words
+# none may differ: the mask is the item.
 LONG_MASKS = ("11111", "111011")
 SHORT_MASKS = ("1111", "11011", "10111", "11101")
 
 SENT_SEEDS = 2_000_000  # more seeds of benchmark items than this are joined by a shuffle and not sent to every task
 
 
+def masks_of(size: int) -> tuple[str, ...]:
+    """The masks that look for an item of so many words."""
+    return LONG_MASKS if size >= WINDOW else SHORT_MASKS if size >= 5 else ("1" * size,)
+
+
 def words(text: Column) -> Column:
     """Hashes of the words of a text: runs of letters and digits, lower-cased."""
     return F.transform(F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(hashed: str, place: str, masks: tuple[str, ...]) -> Column:
-    """array<struct<mask, seed>>: one hash for each mask that fits between ``place`` and the end."""
+def seeds(hashed: str, place: str, masks: tuple[str, ...], own: bool = False) -> Column:
+    """array<struct<span, seed>>: one hash for each mask that fits between ``place`` and the end; ``own``: of those for items of that size only."""
     found = []
     for mask in masks:
         chosen = [F.get(hashed, F.col(place) + k) for k, sign in enumerate(mask) if sign == "1"]
-        seed = F.when(F.col(place) + len(mask) <= F.size(hashed), F.xxhash64(F.lit(mask), *chosen))
-        found.append(F.struct(F.lit(len(mask)).alias("span"), seed.alias("seed")))
+        fits = F.col(place) + len(mask) <= F.size(hashed)
+        if own:
+            fits &= F.size(hashed).isin([n for n in range(1, WINDOW) if mask in masks_of(n)]) | (F.size(hashed) >= WINDOW) & F.lit(mask in LONG_MASKS)
+        found.append(F.struct(F.lit(len(mask)).alias("span"), F.when(fits, F.xxhash64(F.lit(mask), *chosen)).alias("seed")))
     return F.array(*found)
 
 
@@ -39,7 +46,7 @@ def _places(hashed: str, least: int) -> Column:
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", sent: int = SENT_SEEDS
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", sent: int = SENT_SEEDS, least_words: int = 1
 ) -> DataFrame:
     """(doc_id, text_hash, item_id, n_equal, n_words, doc_word, item_word): one row per document and distinct item found in it.
 
@@ -49,29 +56,38 @@ def contaminated(
     layout do not matter. Both sides are hashed under fixed masks; equal hashes propose an alignment, and the windows
     around it are compared word by word. The masks lose no window of the stated share.
 
-    Items of equal words are one item, named by its smallest id. Items of fewer than ``LEAST_WORDS`` words, null and empty ones,
+    Items of equal words are one item, named by its smallest id. Items without a word, null and empty ones, and those of fewer than ``least_words``
     are not looked for. Null and empty documents have no words and no rows. Repeated documents give one row; rows with
     a null id are told apart by the XXH64 of the text, which is returned for that. Ties go to the earlier place in the
-    document, then in the item. No documents or no items: no rows. Further columns are not read.
+    document, then in the item. No documents or no items: no rows. Further columns are not read. A text of any length is looked through whole.
+
+    Up to ``sent`` seeds of items are sent to every task. More are met by a shuffle of the documents' seeds, which takes as many rows as there
+    are words, without the words: those are brought back to the alignments found, so what is shuffled grows in proportion to a text.
     """
     known = items.select(F.col(item_id).cast("long").alias("item_id"), words(F.col(item_text)).alias("item"))
-    known = materialise(known.where(F.size("item") >= LEAST_WORDS).groupBy("item").agg(F.min("item_id").alias("item_id")), "items")
-    counted = known.agg(F.sum(F.size("item")).alias("n"), F.min(F.size("item")).alias("least")).first()
-    if counted["n"] is None:
-        masks, least = LONG_MASKS, LEAST_WORDS
-    else:
-        masks = LONG_MASKS if counted["least"] >= WINDOW else LONG_MASKS + SHORT_MASKS
-        least = min(map(len, masks))
-    every = known.select("item_id", "item", _places("item", least).alias("item_at")).select("item_id", F.size("item").alias("n"), "item_at", F.inline(seeds("item", "item_at", masks)))
-    own = F.col("span").isin([len(m) for m in masks]) if masks == LONG_MASKS else _own_mask()
-    every = every.where(F.col("seed").isNotNull() & own).select("seed", "span", "item_id", "item_at")
-    if (counted["n"] or 0) * len(masks) <= sent:
-        every, known = F.broadcast(every), F.broadcast(known)
+    known = materialise(known.where(F.size("item") >= max(least_words, 1)).groupBy("item").agg(F.min("item_id").alias("item_id")), "items")
+    sizes = known.groupBy(F.least(F.size("item"), F.lit(WINDOW)).alias("size")).agg(F.sum(F.size("item")).alias("n")).collect()  # WINDOW rows at most
+    masks = tuple(dict.fromkeys(m for row in sorted(sizes) for m in masks_of(row["size"]))) or LONG_MASKS
+    least = min(map(len, masks))
+    every = known.select("item_id", "item", _places("item", least).alias("item_at")).select("item_id", "item_at", F.inline(seeds("item", "item_at", masks, True)))
+    every = every.where(F.col("seed").isNotNull())
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), words(F.col(text_col)).alias("doc"))
     placed = base.select("doc_id", "text_hash", "doc", _places("doc", least).alias("doc_at"))
-    looked = placed.select("doc_id", "text_hash", "doc", "doc_at", F.inline(seeds("doc", "doc_at", masks)))
-    hits = looked.where(F.col("seed").isNotNull()).join(every, ["seed", "span"]).join(known, "item_id")
+    if sum(row["n"] for row in sizes) * len(masks) <= sent:
+        looked = placed.select("doc_id", "text_hash", "doc", "doc_at", F.inline(seeds("doc", "doc_at", masks)))
+        hits = looked.where(F.col("seed").isNotNull()).join(F.broadcast(every), ["seed", "span"]).join(F.broadcast(known), "item_id")
+        hits = hits.withColumn("last_at", F.col("item_at"))
+    else:
+        looked = placed.select("doc_id", "text_hash", "doc_at", F.inline(seeds("doc", "doc_at", masks))).where(F.col("seed").isNotNull())
+        diagonal = (F.col("doc_at") - F.col("item_at")).alias("diagonal")
+        lines = looked.join(every, ["seed", "span"]).groupBy("doc_id", "text_hash", "item_id", diagonal)
+        # the windows of a line that cover one of its seeds lie between those of its first and its last
+        lines = lines.agg(F.min(F.struct(F.col("item_at") + F.col("span"), "item_at", "span")).alias("first"), F.max("item_at").alias("last_at"))
+        lines = materialise(lines.select("doc_id", "text_hash", "item_id", "diagonal", "first.item_at", "first.span", "last_at"), "lines").alias("l")
+        texts = base.dropDuplicates(["doc_id", "text_hash"]).alias("t")
+        same = F.col("l.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("l.text_hash") == F.col("t.text_hash"))
+        hits = lines.join(texts, same).select("l.*", "t.doc").join(known, "item_id").withColumn("doc_at", F.col("diagonal") + F.col("item_at"))
     return (
         hits.select("doc_id", "text_hash", "item_id", _best_window().alias("best"))
         .where(F.col("best").isNotNull())
@@ -81,21 +97,16 @@ def contaminated(
     )
 
 
-def _own_mask() -> Column:
-    """Items of a whole window are looked for by the long masks, shorter ones by the short ones."""
-    return F.when(F.col("n") >= WINDOW, F.col("span").isin([len(m) for m in LONG_MASKS])).otherwise(F.col("span").isin([len(m) for m in SHORT_MASKS]))
-
-
 def _best_window() -> Column:
     """Of the windows around a hit that have words enough in common, the best; null if there is none.
 
-    A window lies within the item and the document and covers the whole seed.
+    A window lies within the item and the document, does not end before the seed does and does not begin after ``last_at``.
     """
     n, size = F.size("item"), F.size("doc")
     width = F.least(F.lit(WINDOW), n)
     diagonal = F.col("doc_at") - F.col("item_at")
     first = F.greatest(F.lit(0), -diagonal, F.col("item_at") + F.col("span") - width)
-    last = F.least(F.col("item_at"), n - width, size - diagonal - width)
+    last = F.least(F.col("last_at"), n - width, size - diagonal - width)
 
     def window(start: Column) -> Column:
         equal = F.zip_with(F.slice("item", start + 1, width), F.slice("doc", start + diagonal + 1, width), lambda a, b: (a == b).cast("int"))

@@ -78,7 +78,7 @@ def op7_decontamination(spark, folder):
 ORACLES["op7_decontamination"] = r"""
 WITH split_items AS (
   SELECT [w for w in regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') if w <> ''] AS item, min(item_id) AS item_id
-  FROM benchmark GROUP BY 1 HAVING len(item) >= 5
+  FROM benchmark GROUP BY 1 HAVING len(item) >= 1
 ), item_words AS (
   SELECT item_id, len(item) AS n, unnest(item) AS word, generate_subscripts(item, 1) - 1 AS item_at FROM split_items
 ), split_docs AS (

@@ -18,7 +18,7 @@ def plain(docs, items):
     distinct = {}
     for i, t in items:
         w = tuple(tokens(t))
-        if len(w) >= D.LEAST_WORDS:
+        if w:
             distinct[w] = min(i, distinct.get(w, i))
     for doc_id, text in docs:
         d = tokens(text)
@@ -43,9 +43,9 @@ def found(frame):
     return {(r.doc_id, r.item_id): (r.n_equal, r.n_words, r.doc_word, r.item_word) for r in frame.collect()}
 
 
-@pytest.mark.parametrize("size", range(D.LEAST_WORDS, D.WINDOW + 1))
+@pytest.mark.parametrize("size", range(1, D.WINDOW + 1))
 def test_masks_lose_no_window(size):
-    masks = D.LONG_MASKS if size == D.WINDOW else D.SHORT_MASKS
+    masks = D.masks_of(size)
     replaced = size - -(-4 * size // 5)
     places = [{o + k for k, c in enumerate(m) if c == "1"} for m in masks for o in range(size - len(m) + 1)]
     assert all(any(not p & set(bad) for p in places) for bad in itertools.combinations(range(size), replaced))
@@ -54,7 +54,7 @@ def test_masks_lose_no_window(size):
 def test_substituted_passages(spark):
     r = random.Random(2)
     vocabulary = [f"w{i}" for i in range(60)] + ["é", "Ünder"]
-    items = [(i, " ".join(r.choices(vocabulary, k=n))) for i, n in enumerate([5, 6, 7, 9, 11, 14, 15, 20, 40, 60, 4, 0])]
+    items = [(i, " ".join(r.choices(vocabulary, k=n))) for i, n in enumerate([5, 6, 7, 9, 11, 14, 15, 20, 40, 60, 4, 0, 1, 2, 3])]
     items += [(50, items[8][1].upper()), (51, None), (52, "¡" + items[7][1] + "!")]
     docs = []
     for n in range(120):
@@ -64,11 +64,12 @@ def test_substituted_passages(spark):
         changed = [w if r.random() > 0.15 else "zzz" for w in cut]
         at = r.randint(0, len(body))
         docs.append((n, " ,".join(body[:at] + changed + body[at:])))
-    docs += [(500, None), (501, ""), (502, "..."), (503, items[9][1]), (504, "x " * 200_000 + items[8][1])]
+    docs += [(500, None), (501, ""), (502, "..."), (503, items[9][1]), (504, "x " * 100_000 + items[8][1])]
     frame = spark.createDataFrame([(i, t, 1, "clash") for i, t in docs], "doc_id long, text string, item_id int, seed string")
     wanted = plain(docs[:-1], items)
     short = tokens(items[8][1])
-    wanted |= {(504, 8): (15, 15, 200_000, 0)}
+    wanted |= {(504, 8): (15, 15, 100_000, 0)} | {k: v for k, v in plain([(504, "x " * 100 + items[8][1])], items).items() if k[1] not in (8, 50)}
+    wanted = {k: (*v[:2], v[2] + 99_900, v[3]) if k[0] == 504 and k[1] != 8 else v for k, v in wanted.items()}
     got = found(D.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")))
     assert got == wanted and len(short) == 40
     assert found(D.contaminated(frame, spark.createDataFrame(items, "item_id long, text string"), sent=0)) == wanted
@@ -86,3 +87,51 @@ def test_empty_and_repeated(spark):
     assert D.contaminated(docs.limit(0), items).count() == 0
     assert D.contaminated(docs, items.limit(0)).count() == 0
     assert D.contaminated(docs, spark.createDataFrame([(1, None), (2, "a b c d")], "item_id long, text string")).count() == 0
+
+
+def test_short_items(spark):
+    items = [(1, "Alpha"), (2, "alpha beta"), (3, "one two three"), (4, "two three four five"), (5, "你好世界"), (6, "never there"), (7, " ...")]
+    docs = [(1, "the ALPHA, beta"), (2, "beta alpha"), (3, "zero one two three four five"), (4, "one two x three"), (5, "他说 你好世界 了"), (6, None)]
+    frame, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for sent in (D.SENT_SEEDS, 0):
+        got = found(D.contaminated(frame, asked, sent=sent))
+        assert got == plain(docs, items) and got.keys() == {(1, 1), (1, 2), (2, 1), (3, 3), (3, 4), (5, 5)}
+        assert found(D.contaminated(frame, asked, sent=sent, least_words=3)).keys() == {(3, 3), (3, 4)}
+
+
+def shuffled(frame):
+    """Bytes that the exchanges of a frame took, when it has run."""
+    frame.collect()
+    todo, size = [frame._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if name == "ShuffleExchangeExec":
+                size += node.metrics().apply("dataSize").value()
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+    return size
+
+
+def test_shuffle_in_proportion_to_a_text(spark, monkeypatch):
+    """Seeds met by a shuffle, with broadcasts switched off: twice the words, twice the bytes."""
+    written = []
+    monkeypatch.setattr(D, "materialise", lambda df, name: written.append(shuffled(df)) or df)
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "item_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = []
+        for n in (10_000, 20_000):
+            text = " ".join(f"w{i % 9000}" for i in range(n))
+            written.clear()
+            rows = D.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), items, sent=0)
+            sizes.append(shuffled(rows) + sum(written))
+            assert rows.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 1.5 * sizes[0] < sizes[1] < 2.5 * sizes[0]
