@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusqa.functions.text import page_heading_text, parse_keyword_list, parse_score, tokenize, truncate_text
+from corpusqa.session import materialise
 
 # Fixed values ---------------------------------------------------------------
 EMPTY_CHUNK = "[空块]"
@@ -33,6 +34,8 @@ APOLOGY = "抱歉，处理您的问题时出现错误: "
 UNKNOWN_ERROR = "未知错误"
 # -----------------------------------------------------------------------------
 
+SENT_FILES = 1_000_000  # page counts of more files than this are joined by a shuffle and not sent to every task
+
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 
 
@@ -192,7 +195,10 @@ def interpret_pages(pages: DataFrame, call: Callable[..., pd.Series] | None = No
         return pages.withColumn("text", heading(hint))
     rule = {"retries": PAGE_RETRIES, "any_error": True, "waits": _page_wait(wait_scale), "rows_per_call": 1} | retry
     image = F.col("image") if "image" in pages.columns else F.lit(None).cast("string")
-    counted = pages.join(pages.groupBy("filename").agg(F.count("*").cast("int").alias("_n_pages")), "filename", "left")
+    # a row per file, written and counted: as long as it can be sent to the tasks, pictures stay where they are
+    counts = materialise(pages.groupBy("filename").agg(F.count("*").cast("int").alias("_n_pages")), "pages-per-file")
+    counts = F.broadcast(counts) if counts.count() <= SENT_FILES else counts
+    counted = pages.join(counts, "filename", "left")
     shown = hint if hint_chars is None else truncate_text(hint, hint_chars)
     seen = batch_udf(call, T.StringType(), **rule)(image, shown, F.col("filename"), F.col("page_number"), F.col("_n_pages"))
     return counted.withColumn("text", heading(seen)).select(*pages.columns, "text")

@@ -79,11 +79,21 @@ def filename_filter(rows: DataFrame, part: str) -> DataFrame:
 
 
 def page_results(rows: DataFrame, order, page_size: int = PAGE_SIZES[0], page: int | None = None) -> DataFrame:
-    """rows + page_no (from 1) + total_pages; one page of them when ``page`` is given."""
-    numbered = number_rows(rows, list(order), (), "_at")
+    """rows + page_no (from 1) + total_pages; one page of them when ``page`` is given.
+
+    For one page only the columns of the order are sorted and written; the rows between its first and its last key are then read.
+    """
+    order = list(order)
+    numbered = number_rows(rows if page is None else rows.select(*order), order, (), "_at")
     total = numbered.agg(F.ceil(F.count("*") / page_size).cast("int")).scalar()
     if page is not None:
-        numbered = numbered.where((F.col("_at") >= (page - 1) * page_size) & (F.col("_at") < page * page_size))
+        inside = (F.col("_at") >= (page - 1) * page_size) & (F.col("_at") < page * page_size)
+        key = F.struct(*order)
+        ends = numbered.where(inside).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+        low, high = ends.select("low").scalar(), ends.select("high").scalar()
+        before = numbered.where(key.eqNullSafe(low)).agg(F.min("_at")).scalar()
+        near = number_rows(rows.where((key >= low) & (key <= high)), order, (), "_at")
+        numbered = near.withColumn("_at", F.col("_at") + before).where(inside)
     number = (F.floor(F.col("_at") / page_size) + 1).cast("int")
     return numbered.withColumn("page_no", number).drop("_at").withColumn("total_pages", total)
 
@@ -189,14 +199,15 @@ class KnowledgeBase:
         return chunks.join(vectors, "content").withColumn("text", F.coalesce(F.nullif("text", F.lit("")), F.lit(IMAGE_CHUNK)))
 
     def _publish(self, commit: int, *kinds: str, removals: DataFrame | None = None, txn=None, dimension=None, writer=None, known: DataFrame | None = None) -> None:
-        entries = self.spark.createDataFrame([(kind, None, txn, dimension, writer) for kind in kinds], struct_of(_LOG))
+        entries = self.spark.createDataFrame([(kind, None, txn, dimension, writer) for kind in kinds], struct_of(_LOG)).coalesce(1)
         if removals is not None:
+            # as many tasks as there is work: a commit may remove any number of files
             gone = removals.select(F.lit("delete").alias("kind"), "filename").distinct()
             entries = entries.unionByName(gone, allowMissingColumns=True)
         if known is not None:
             entries = entries.unionByName(known.select(F.lit("note").alias("kind"), "txn"), allowMissingColumns=True)
         self._enter(commit)
-        entries.coalesce(1).write.mode("append").parquet(f"{self.path}/log/commit_id={commit}")
+        entries.write.mode("append").parquet(f"{self.path}/log/commit_id={commit}")
 
     def _enter(self, commit: int) -> None:
         """Claim the number: an empty file that only one writer can create."""

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusqa.models import UNKNOWN_ERROR
 from corpusqa.operators.context import ERROR_PREFIX
 from corpusqa.plans.ingest import ingest_documents
+from corpusqa.session import scratch_scope
 from corpusqa.sources.files import text_reader
 from corpusqa.sources.knowledge_base import KnowledgeBase
 
@@ -31,7 +32,8 @@ def stream_ingest(base: KnowledgeBase, documents: DataFrame, checkpoint: str, **
     """Every file is chunked, embedded and stored once; a batch run again is recognised and skipped."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        ingest_documents(base, batch, txn=f"{checkpoint}#{batch_id}")
+        with scratch_scope(base.spark):
+            ingest_documents(base, batch, txn=f"{checkpoint}#{batch_id}")
 
     return (
         documents.writeStream.foreachBatch(store)
@@ -46,11 +48,13 @@ def stream_answers(
 ) -> StreamingQuery:
     """Answer each micro-batch of questions against static tables.
 
-    A batch has its own folder in ``sink``, so running it again replaces its answers.
+    A batch has its own folder in ``sink``, so running it again replaces its answers. What ``answer`` writes to the
+    scratch folder is removed when the batch is done, or has failed.
     """
 
     def respond(batch: DataFrame, batch_id: int) -> None:
-        answer(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        with scratch_scope(batch.sparkSession):
+            answer(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     return (
         questions.writeStream.foreachBatch(respond)

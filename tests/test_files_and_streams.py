@@ -1,5 +1,7 @@
 import base64
+import glob
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusqa.models import hashing_embedder
@@ -131,6 +133,30 @@ def test_stream_fold_events(spark, tmp_path):
     assert got == {("r1", "Hello", ("a",), ("i",)), ("r2", "抱歉，出现错误: boom", ("b",), ())}
 
 
+def test_batches_leave_no_scratch_tables(spark, tmp_path):
+    """Five micro-batches, each with scratch tables of its own; a batch that fails leaves none either; run again, one copy of its rows stays."""
+    from corpusqa.session import materialise, scratch_path
+
+    shared = scratch_path(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    for n in range(5):
+        spark.createDataFrame([(n, f"question {n}")], "question_id bigint, question string").coalesce(1).write.mode("append").parquet(str(tmp_path / "asked"))
+    stream = lambda: spark.readStream.schema("question_id bigint, question string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "asked"))
+    sink, before = str(tmp_path / "sink"), set(glob.glob(f"{shared}/streamed-*"))
+    answer = lambda batch: materialise(batch, "streamed").withColumn("answer", F.upper("question"))
+    for checkpoint in ("cp", "again"):
+        jobs.stream_answers(stream(), answer, sink, str(tmp_path / checkpoint)).awaitTermination()
+        assert set(glob.glob(f"{shared}/streamed-*")) == before
+        assert sorted(r.answer for r in spark.read.parquet(sink).collect()) == [f"QUESTION {n}" for n in range(5)]
+
+    def broken(batch):
+        materialise(batch, "streamed")
+        raise RuntimeError("no answer")
+
+    with pytest.raises(Exception, match="no answer"):
+        jobs.stream_answers(stream(), broken, str(tmp_path / "other"), str(tmp_path / "third")).awaitTermination()
+    assert set(glob.glob(f"{shared}/streamed-*")) == before
+
+
 def test_large_files_are_reported_not_dropped(spark, tmp_path):
     for name, text in (("a.txt", "short"), ("b.md", "longer than that"), ("c.csv", "x,y\n1,2\n3,4")):
         (tmp_path / name).write_text(text)

@@ -126,6 +126,26 @@ def test_paging(spark):
     assert K.filename_filter(rows, "F01").count() == 10
 
 
+def test_one_page_of_rows_with_equal_and_null_keys(spark, monkeypatch):
+    """Every page by itself is what the whole table has under its number; wide columns of other pages are not written."""
+    rows = [(None if i % 9 == 0 else f"f{i % 7}", i % 3, f"wide{i}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "filename string, chunk_index int, text string").repartition(5)
+    sizes = lambda found: sorted((r.filename or "", r.chunk_index, r.page_no, r.total_pages) for r in found)
+    whole = K.page_results(frame, ["filename", "chunk_index"], 8).collect()
+    written = []
+    from corpusqa.operators import ranking
+
+    monkeypatch.setattr(ranking, "materialise", lambda df, name: written.append((df.columns, df.count())) or K.materialise(df, name))
+    for page in range(1, 9):
+        got = K.page_results(frame, ["filename", "chunk_index"], 8, page).collect()
+        assert sizes(got) == sizes([r for r in whole if r.page_no == page])
+    assert len({r.text for p in range(1, 9) for r in K.page_results(frame, ["filename", "chunk_index", "text"], 8, p).collect()}) == 60
+    written.clear()
+    K.page_results(frame, ["text"], 8, 2).collect()
+    assert max(n for columns, n in written if "filename" in columns) == 8
+    assert K.page_results(frame, ["filename"], 8, 99).count() == 0 and K.page_results(frame.limit(0), ["filename"], 8, 1).count() == 0
+
+
 def test_from_files_to_answers(spark, tmp_path, base):
     """The example of the README."""
     from corpusqa.operators.fusion import lexical_coverage
