@@ -112,6 +112,10 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.coalesce(F.nullif(text, F.lit("")), F.lit(EMPTY_CHUNK)).cast("binary"), 256)
 
 
+def _content(rows: DataFrame) -> Column:
+    return content_hash(F.col("text")) if "text" in rows.columns else F.lit(None).cast("string")
+
+
 def new_content_only(chunks: DataFrame, known: DataFrame) -> DataFrame:
     """The rows of ``chunks`` whose content is not in ``known(content)``, one row per different content: content and text.
 
@@ -181,7 +185,7 @@ class KnowledgeBase:
     def _write(self, commit: int, writer: str, rows: DataFrame, extra: bool = False) -> DataFrame:
         """Write rows of a commit (``extra``: more of them) and return all its rows so far."""
         place = F.monotonically_increasing_id()
-        given = rows if "content" in rows.columns else rows.withColumn("content", content_hash(F.col("text")))
+        given = rows if "content" in rows.columns else rows.withColumn("content", _content(rows))
         given = given if "model" in rows.columns else given.withColumn("model", F.lit(self.model))
         stored = conform(given, VECTORS + ", content string, model string").withColumn("row_id", -1 - place if extra else place)
         stored.write.mode("append" if extra else "error").parquet(f"{self.path}/chunks/commit_id={commit}/writer={writer}")
@@ -231,7 +235,7 @@ class KnowledgeBase:
         if self._done(txn):
             return 0
         commit, writer = self._next()
-        chunks = chunks.withColumn("content", content_hash(F.col("text")))
+        chunks = chunks.withColumn("content", _content(chunks))
         if "vector" in chunks.columns:  # made by no model that is known here
             embedded = chunks.withColumn("model", F.lit(None).cast("string"))
         else:
