@@ -84,6 +84,7 @@ def both_ways(questions, index, monkeypatch, k=7):
     """Hits by the postings of the questions' terms and by the forward index."""
     spell = lambda hits: [(r.question_id, r["rank"], r.filename, r.score, tuple(r.matched_terms)) for r in hits.orderBy("question_id", "rank").collect()]
     found = []
+    monkeypatch.setattr(bm25, "SOUGHT_FROM", 0)
     for share in (1e9, -1.0):
         monkeypatch.setattr(bm25, "SOUGHT_SHARE", share)
         found.append(spell(bm25.bm25_search(questions, index, k)))
@@ -134,6 +135,7 @@ def test_one_question_reads_a_few_pages(spark, monkeypatch):
         F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(250)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(5000))))).alias("text"),
     )
     index = build_index(rows)
+    monkeypatch.setattr(bm25, "SOUGHT_FROM", 0)
     found = bm25.bm25_search(ask(spark, "w17 w4711 w99"), index)
     assert found.count() == 10
     total = index.postings.count()
