@@ -261,13 +261,13 @@ def parse_heading(spark, folder):
 
 @query
 def heading_chain(spark, folder):
-    return _segments(spark, folder).select("doc_id", "para_pos", joined(F.col("headings"), " › ").alias("chain"))
+    return chunking.heading_chain(S.markdown(spark, folder).select("doc_id", "text")).select("doc_id", "para_pos", "chain")
 
 
 @query
 def chunk_text_with_headings(spark, folder):
-    s = _segments(spark, folder)
-    return s.select("doc_id", "para_pos", chunking.chunk_text_with_headings(F.col("headings"), F.col("content")).alias("text"))
+    s = chunking.heading_chain(S.markdown(spark, folder).select("doc_id", "text"))
+    return s.select("doc_id", "para_pos", chunking.under_chain(F.col("chain"), F.col("content")).alias("text"))
 
 
 @query

@@ -1,12 +1,14 @@
 """Heading-aware chunking of document texts.
 
 Everything happens inside the row of a document: one narrow stage, no shuffle. Splitting and classifying paragraphs are native;
-the walk that packs them, and the second split of long pieces, are pandas UDFs: a native fold would copy all chunks so far
-at every step.
+the walk that packs them and cuts long ones, and the second split of long pieces, are pandas UDFs: a native fold would copy all
+chunks so far at every step.
 """
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,74 +74,66 @@ def parse_heading(text: Column) -> Column:
     )
 
 
-def split_sentences(text: Column, most: int = PACK_CHARS) -> Column:
-    """Cut after sentence ends, drop the white space there, re-join up to ``most`` characters.
+_AFTER_SENTENCE = re.compile(rf"(?<=[{SENTENCE_END}]){WS}*")
 
-    A single longer sentence stays whole.
-    """
-    sentences = F.filter(F.split(text, rf"(?<=[{SENTENCE_END}]){WS}*"), lambda s: utrim(s) != "")
-    return _non_empty(_greedy(sentences, most), text)
 
+def cut_sentences(text: str, most: int = PACK_CHARS) -> list[str]:
+    """Cut after sentence ends, drop the white space there, re-join up to ``most`` characters; in time proportional to the text."""
+    out, current, size = [], [], 0
+    for sentence in _AFTER_SENTENCE.split(text):
+        if not sentence.strip(WHITE_SPACE):
+            continue
+        if current and size + len(sentence) > most:
+            out.append("".join(current))
+            current, size = [], 0
+        current.append(sentence)
+        size += len(sentence)
+    out.append("".join(current))
+    return [t for t in (piece.strip(WHITE_SPACE) for piece in out) if t] or [text]
 
-def _greedy(parts: Column, most: int) -> Column:
-    state = "struct<current:string,out:array<string>>"
-    start = F.struct(F.lit("").alias("current"), F.array().cast("array<string>").alias("out")).cast(state)
 
-    def add(acc: Column, part: Column) -> Column:
-        joined = F.concat(acc["current"], part)
-        return F.when(F.length(joined) <= most, F.struct(joined.alias("current"), acc["out"].alias("out"))).otherwise(
-            F.struct(part.alias("current"), _append(acc["out"], acc["current"]).alias("out"))
-        )
+def cut_table(text: str, most: int = TABLE_CHARS) -> list[str]:
+    """Rows in groups of at most ``most`` characters, each group under the first line again; in time proportional to its output."""
+    header, *rows = text.split("\n")
+    out, current, size = [], [], len(header)
+    for row in rows:
+        if current and size + len(row) > most:
+            out.append("\n".join([header, *current]).strip(WHITE_SPACE))
+            current, size = [], len(header)
+        current.append(row)
+        size += len(row)
+    last = "\n".join([header, *current]).strip(WHITE_SPACE)
+    if last != header.strip(WHITE_SPACE):
+        out.append(last)
+    return out or [text]
 
-    return F.aggregate(parts, start, add, lambda acc: _append(acc["out"], acc["current"]))
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _cut_sentences(texts: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([[t] if t is None else cut_sentences(t, int(m)) for t, m in zip(texts, most)], dtype=object)
 
-def _append(out: Column, text: Column) -> Column:
-    trimmed = utrim(text)
-    return F.when(trimmed == "", out).otherwise(F.concat(out, F.array(trimmed)))
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _cut_table(texts: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([[t] if t is None else cut_table(t, int(m)) for t, m in zip(texts, most)], dtype=object)
 
-def _non_empty(pieces: Column, text: Column) -> Column:
-    return let(pieces, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(text)))
+
+def split_sentences(text: Column, most: int = PACK_CHARS) -> Column:
+    """Sentences re-joined up to ``most`` characters; a single longer sentence stays whole."""
+    return _cut_sentences(text, F.lit(most))
 
 
 def split_table(text: Column, most: int = TABLE_CHARS) -> Column:
     """Rows in groups of at most ``most`` characters, each group under the first line again."""
-    state = "struct<current:string,size:int,out:array<string>>"
-
-    def cut(lines: Column) -> Column:
-        header = F.get(lines, F.lit(0))
-        start = F.struct(
-            F.lit("").alias("current"), F.length(header).alias("size"), F.array().cast("array<string>").alias("out")
-        ).cast(state)
-
-        def add(acc: Column, row: Column) -> Column:
-            fits = (acc["size"] + F.length(row) <= most) | (acc["current"] == "")
-            line = F.concat(F.lit("\n"), row)
-            return F.when(
-                fits,
-                F.struct(
-                    F.concat(acc["current"], line).alias("current"),
-                    (acc["size"] + F.length(row)).alias("size"),
-                    acc["out"].alias("out"),
-                ),
-            ).otherwise(
-                F.struct(
-                    line.alias("current"),
-                    (F.length(header) + F.length(row)).alias("size"),
-                    F.concat(acc["out"], F.array(utrim(F.concat(header, acc["current"])))).alias("out"),
-                )
-            )
-
-        def finish(acc: Column) -> Column:
-            last = utrim(F.concat(header, acc["current"]))
-            return F.when(last != utrim(header), F.concat(acc["out"], F.array(last))).otherwise(acc["out"])
-
-        rows = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-        return F.when(F.size(lines) > 1, F.aggregate(rows, start, add, finish))
-
-    pieces = let(F.split(text, "\n"), cut)
-    return _non_empty(F.coalesce(pieces, F.array().cast("array<string>")), text)
+    return _cut_table(text, F.lit(most))
+
+
+def _segment(paragraph: Column) -> Column:
+    def describe(kind: Column) -> Column:
+        title = F.when(kind == "heading", parse_heading(paragraph))
+        return F.struct(paragraph.alias("content"), kind.alias("seg_type"), title.alias("heading"))
+
+    return let(classify_segment(paragraph), describe)
 
 
 def pack_paragraphs(documents: DataFrame, text: Column, out: str = "packed", most: int = PACK_CHARS, split_long: bool = False) -> DataFrame:
@@ -149,24 +143,8 @@ def pack_paragraphs(documents: DataFrame, text: Column, out: str = "packed", mos
     paragraphs end the block before them. Every heading is a chunk of its own under the headings
     before it, and stays in the chain of all later chunks.
     """
-    def segment(paragraph: Column) -> Column:
-        def parts(kind: Column) -> Column:
-            pieces = (
-                F.when(kind == "heading", F.array(paragraph))
-                .when(kind.isin("table", "list"), split_table(paragraph))
-                .when(F.length(paragraph) > most, split_sentences(paragraph, most))
-            )
-            return F.struct(
-                paragraph.alias("content"),
-                kind.alias("seg_type"),
-                F.when(kind == "heading", parse_heading(paragraph)).alias("heading"),
-                pieces.alias("pieces"),  # null: short enough to be packed
-            )
-
-        return let(classify_segment(paragraph), parts)
-
     # a column of its own, read twice: inlined into the UDF's arguments, Spark would not take the UDF out of the expression
-    listed = documents.withColumn("_segments", F.transform(split_paragraphs(text), segment))
+    listed = documents.withColumn("_segments", F.transform(split_paragraphs(text), _segment))
     packed = F.when(F.size("_segments") >= 0, _pack(F.col("_segments"), F.lit(most), F.lit(split_long)))
     return listed.withColumn(out, packed).drop("_segments")
 
@@ -200,8 +178,9 @@ def _packed(segments, most: int, split_long: bool) -> list[dict]:
             add("\n\n".join(current), "paragraph")
 
     for segment in segments:
-        content, kind, pieces = segment["content"], segment["seg_type"], segment["pieces"]
-        if pieces is not None:
+        content, kind = segment["content"], segment["seg_type"]
+        if kind in ("heading", "table", "list") or len(content) > most:
+            pieces = [content] if kind == "heading" else cut_sentences(content, most) if kind not in ("table", "list") else cut_table(content)
             flush()
             current, size = [], 0
             for piece in pieces:
@@ -283,33 +262,60 @@ def recursive_split(chunks: Column) -> Column:
     return _recursive_split(contents)
 
 
-def segments(documents: DataFrame, text: str = "text") -> DataFrame:
-    """One row per paragraph: para_pos, content, seg_type, heading and the headings above it.
-
-    The chain is built inside the document's row, heading by heading.
-    """
+def _listed(documents: DataFrame, text: str) -> tuple[list[str], DataFrame]:
+    carried = [c for c in documents.columns if c != text]
+    described = F.transform(split_paragraphs(normalize_ingest_text(F.col(text))), _segment)
+    return carried, documents.select(*carried, described.alias("_segments"))
 
-    def describe(p: Column) -> Column:
-        kind = classify_segment(p)
-        return F.struct(
-            p.alias("content"), kind.alias("seg_type"), F.when(kind == "heading", parse_heading(p)).alias("heading")
-        )
 
-    carried = [c for c in documents.columns if c != text]
-    described = F.transform(split_paragraphs(normalize_ingest_text(F.col(text))), describe)
-    listed = documents.select(*carried, described.alias("_segments"))
-    titles = F.transform(F.col("_segments"), lambda s: s["heading"])
+def segments(documents: DataFrame, text: str = "text") -> DataFrame:
+    """One row per paragraph: para_pos, content, seg_type and, for headings, the title (heading)."""
+    carried, listed = _listed(documents, text)
     # outer: no "not empty" filter is derived, which would split and classify every text twice
-    rows = listed.select(*carried, titles.alias("_titles"), F.posexplode_outer("_segments").alias("para_pos", "s"))
+    rows = listed.select(*carried, F.posexplode_outer("_segments").alias("para_pos", "s"))
+    return rows.where(F.col("para_pos").isNotNull()).select(*carried, "para_pos", "s.*")
+
+
+@F.pandas_udf(T.StructType([T.StructField("spelled", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType()))]))
+def _chain(titles: pd.Series) -> pd.DataFrame:
+    """All titles of a document as one string, and for each paragraph how much of it is the chain of those above."""
+    spelled, ends = [], []
+    for row in titles:
+        end, found, mine = 0, [], []
+        for title in () if row is None else row:
+            mine.append(end)
+            if title is not None:
+                end += len(title) + (len(HEADING_JOIN) if found else 0)
+                found.append(title)
+        spelled.append(HEADING_JOIN.join(found))
+        ends.append(mine)
+    return pd.DataFrame({"spelled": spelled, "ends": ends})
+
+
+def heading_chain(documents: DataFrame, text: str = "text") -> DataFrame:
+    """``segments`` with chain, the headings above each paragraph, joined (empty: none).
+
+    A document's titles are written down once, as one string; a paragraph holds the number of its characters that are above it,
+    and the chain is cut from there when it is read.
+    """
+    carried, listed = _listed(documents, text)
+    titles = F.transform(F.col("_segments"), lambda s: s["heading"])
+    # a column of its own, as for the walk
+    chained = listed.withColumn("_titles", titles).withColumn("_chain", _chain(F.col("_titles")))
+    placed = F.arrays_zip("_segments", F.col("_chain.ends").alias("ends"))
+    rows = chained.select(*carried, F.col("_chain.spelled").alias("_spelled"), F.posexplode_outer(placed).alias("para_pos", "s"))
     rows = rows.where(F.col("para_pos").isNotNull())
-    above = F.array_compact(F.slice("_titles", F.lit(1), F.col("para_pos")))
-    return rows.select(*carried, "para_pos", "s.*", above.alias("headings"))
+    return rows.select(*carried, "para_pos", "s._segments.*", F.substring("_spelled", F.lit(1), F.col("s.ends")).alias("chain"))
+
+
+def under_chain(chain: Column, content: Column) -> Column:
+    """The spelled chain of headings in front of the content."""
+    return F.when(chain == "", content).otherwise(F.concat(F.lit("["), chain, F.lit("]\n"), content))
 
 
 def chunk_text_with_headings(headings: Column, content: Column) -> Column:
     """The chain of headings in front of the content, so that a chunk can be read on its own."""
-    prefix = F.concat(F.lit("["), F.array_join(headings, HEADING_JOIN), F.lit("]\n"))
-    return F.when(F.size(headings) == 0, content).otherwise(F.concat(prefix, content))
+    return under_chain(F.array_join(headings, HEADING_JOIN), content)
 
 
 def semantic_chunk(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -145,10 +145,47 @@ def test_packing_takes_time_in_proportion_to_its_output():
     from corpusqa.operators.chunking import _packed
 
     def seconds_per_name(n):
-        segments = [{"content": f"# Heading number {i}", "seg_type": "heading", "heading": f"Heading number {i}", "pieces": [f"# Heading number {i}"]} for i in range(n)]
+        segments = [{"content": f"# Heading number {i}", "seg_type": "heading", "heading": f"Heading number {i}"} for i in range(n)]
         start = time.perf_counter()
         out = _packed(segments, 800, True)
         return (time.perf_counter() - start) / sum(len(c["headings"]) for c in out), time.perf_counter() - start
 
     (small, _), (large, whole) = seconds_per_name(1000), seconds_per_name(4000)
     assert whole < 2 and large < 4 * small
+
+
+def test_heading_chains_of_a_long_document(spark):
+    import time
+
+    n = 4000
+    text = "\n\n".join(f"# Heading {i}\n\nText {i} below it." for i in range(n))
+    docs = spark.createDataFrame([("long", text, 1), ("none", "No heading here.", 2), ("empty", "", 3), ("null", None, 4)], "filename string, text string, chain int")
+    docs = docs.withColumnRenamed("chain", "extra")
+    start = time.perf_counter()
+    rows = C.heading_chain(docs).select("filename", "extra", "para_pos", "seg_type", F.length("chain").alias("n"), F.right("chain", F.lit(14)).alias("last")).collect()
+    assert time.perf_counter() - start < 15
+    lengths = [0]
+    for i in range(n):
+        lengths.append(lengths[-1] + len(f"Heading {i}") + (3 if i else 0))
+    got = {r.para_pos: r for r in rows if r.filename == "long"}
+    assert [got[2 * i].n for i in range(n)] == lengths[:-1] and [got[2 * i + 1].n for i in range(n)] == lengths[1:]
+    assert got[2 * n - 1].last == f"› Heading {n - 1}"
+    assert [(r.filename, r.extra, r.n) for r in rows if r.filename != "long"] == [("none", 2, 0)]
+    assert "headings" not in C.segments(docs).columns and "Pandas" not in C.segments(docs)._jdf.queryExecution().toString()
+
+
+def test_cutting_takes_time_in_proportion_to_the_text(spark):
+    import time
+
+    def seconds(cut, text):
+        start = time.perf_counter()
+        pieces = cut(text)
+        return time.perf_counter() - start, pieces
+
+    for cut, line, head in ((C.cut_sentences, "A sentence of eight words stands here alone. ", ""), (C.cut_table, "\n| cell | another cell |", "| a | b |")):
+        (small, _), (large, pieces) = (seconds(cut, head + line * n) for n in (20_000, 160_000))
+        assert large < 3 and large < 40 * max(small, 0.01)
+        assert all(len(p) <= 1100 for p in pieces)
+    frame = spark.createDataFrame([(None,), ("",), ("a.b",), ("| a |",)], "t string")
+    assert [r.s for r in frame.select(C.split_sentences(F.col("t")).alias("s")).collect()] == [[None], [""], ["a.b"], ["| a |"]]
+    assert [r.s for r in frame.select(C.split_table(F.col("t")).alias("s")).collect()] == [[None], [""], ["a.b"], ["| a |"]]
