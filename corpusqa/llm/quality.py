@@ -15,6 +15,7 @@ from corpusqa.llm.linear import fit_hinge, fit_sigmoid, sigmoid
 
 BITS = 17  # n-grams are hashed into this many bits
 ROWS_PER_CLASS = 3000  # the classifier is fitted to so many labelled rows of each class at most
+SAMPLE_GRAMS = 1 << 27  # and to rows of so many n-grams in all: a row has 2^17 at most, so this is over a thousand rows, however long
 THRESHOLD = 0.3
 FOLDS = 3
 
@@ -84,8 +85,11 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, per_class: int):
-    """Indicators and labels of a bounded sample (the smallest hashes of ids), and the share of label 1 among all that may be learnt from."""
+def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, per_class: int, grams: int):
+    """Indicators and labels of a bounded sample (the smallest hashes of ids), and the share of label 1 among all that may be learnt from.
+
+    A row is sent to the driver as one bit for each n-gram bucket: 16 kB, whatever its text.
+    """
     given = labels.where(learn & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).alias("place")
     )
@@ -96,24 +100,35 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [indicators(t.as_py()).tobytes() for t in batch.column(2)]
+            packed = []
+            for text in batch.column(2):
+                bits = np.zeros(1 << BITS, dtype=bool)
+                bits[indicators(text.as_py())] = True
+                packed.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["place", "label", "found"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     joined = texts.join(sample, "doc_id").select("place", "label", "text").mapInArrow(run, "place long, label int, found binary")
     rows = joined.orderBy("place", "found", "label").limit(2 * per_class).collect()
     rate = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    return [np.frombuffer(r["found"], dtype=np.int32) for r in rows], np.array([r["label"] == 1 for r in rows], dtype=bool), rate
+    found, total = [], 0
+    for row in rows:
+        mine = np.flatnonzero(np.unpackbits(np.frombuffer(row["found"], dtype=np.uint8))).astype(np.int32)
+        total += len(mine)
+        if total > grams:
+            break
+        found.append(mine)
+    return found, np.array([r["label"] == 1 for r in rows[: len(found)]], dtype=bool), rate
 
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None,
-    per_class: int = ROWS_PER_CLASS, threshold: float = THRESHOLD,
+    per_class: int = ROWS_PER_CLASS, threshold: float = THRESHOLD, grams: int = SAMPLE_GRAMS,
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of ``docs``; the score is the likelihood of label 1.
 
     Learns from labels 0 and 1 of rows of ``labels`` for which ``learn`` holds (else: the CRC-32 of the id as text modulo 5 is not
-    0), at most ``per_class`` rows of each; scores every row from its whole text alone. N-gram indicators are scaled by
+    0), at most ``per_class`` rows of each and rows of ``grams`` n-grams in all (in the order of the ids' hashes); scores every row from its whole text alone. N-gram indicators are scaled by
     the class log-count ratios, rows are put at unit length, and a hinge loss is minimised by dual coordinate descent.
 
     Null and empty texts have no n-gram and get the score of that. With labels of one class, or none, every text has
@@ -122,7 +137,7 @@ def score_quality(
     further columns are not read.
     """
     learn = ~held_out(id_col) & F.col(id_col).isNotNull() if learn is None else learn
-    model = fit_quality(*training_rows(docs, labels, learn, id_col, text_col, label_col, per_class))
+    model = fit_quality(*training_rows(docs, labels, learn, id_col, text_col, label_col, per_class, grams))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from corpusqa.llm import grams, language, linear, quality
 from corpusqa.llm.queries import QUERIES
 
@@ -90,6 +92,24 @@ def test_quality_of_odd_rows(spark):
     assert scores[100] == scores[101] and scores[None] < 0.5
 
 
+def test_the_sample_is_bounded_whatever_the_texts(spark):
+    """Rows come in the order of their ids' hashes until their n-grams are over the bound; what is kept is what the texts have."""
+    draw = np.random.default_rng(2)
+    words = ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(4000)]
+    texts = [" ".join(words[i : i + 400 * (i % 9 + 1)]) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = lambda per_class, grams: quality.training_rows(docs, labels, F.lit(True), "doc_id", "text", "quality", per_class, grams)
+    every, positive, rate = rows(100, quality.SAMPLE_GRAMS)
+    assert sorted(map(len, every)) == sorted(len(quality.indicators(t)) for t in texts) and rate == 0.5
+    assert {tuple(r) for r in every} == {tuple(quality.indicators(t)) for t in texts}
+    bound = sum(map(len, every)) // 2
+    some, labelled, _ = rows(100, bound)
+    assert 0 < len(some) < 40 and sum(map(len, some)) <= bound < sum(map(len, every[: len(some) + 1]))
+    assert all((a == b).all() for a, b in zip(some, every)) and (labelled == positive[: len(some)]).all()
+    assert quality.SAMPLE_GRAMS >= 1000 << quality.BITS
+
+
 def test_coordinate_descent_reaches_the_optimum():
     """Against subgradient steps on the primal problem."""
     draw = np.random.default_rng(0)
