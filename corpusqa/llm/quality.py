@@ -85,10 +85,24 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _packed(found: np.ndarray) -> bytes:
+    if 4 * len(found) < 1 << BITS - 3:
+        return found.tobytes()
+    seen = np.zeros(1 << BITS, dtype=bool)
+    seen[found] = True
+    return np.packbits(seen).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    if len(packed) < 1 << BITS - 3:
+        return np.frombuffer(packed, dtype=np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, dtype=np.uint8))).astype(np.int32)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, per_class: int, grams: int):
     """Indicators and labels of a bounded sample (the smallest hashes of ids), and the share of label 1 among all that may be learnt from.
 
-    A row is sent to the driver as one bit for each n-gram bucket: 16 kB, whatever its text.
+    A row is sent to the driver as its n-grams' numbers or, where that is less, as one bit for each possible number: 16 kB at most, whatever its text.
     """
     given = labels.where(learn & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).alias("place")
@@ -100,11 +114,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = []
-            for text in batch.column(2):
-                bits = np.zeros(1 << BITS, dtype=bool)
-                bits[indicators(text.as_py())] = True
-                packed.append(np.packbits(bits).tobytes())
+            packed = [_packed(indicators(t.as_py())) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["place", "label", "found"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -113,7 +123,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     rate = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     found, total = [], 0
     for row in rows:
-        mine = np.flatnonzero(np.unpackbits(np.frombuffer(row["found"], dtype=np.uint8))).astype(np.int32)
+        mine = _unpacked(row["found"])
         total += len(mine)
         if total > grams:
             break

@@ -2,7 +2,6 @@ import zlib
 
 import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
 from corpusqa.llm import grams, language, linear, quality
@@ -108,6 +107,9 @@ def test_the_sample_is_bounded_whatever_the_texts(spark):
     assert 0 < len(some) < 40 and sum(map(len, some)) <= bound < sum(map(len, every[: len(some) + 1]))
     assert all((a == b).all() for a, b in zip(some, every)) and (labelled == positive[: len(some)]).all()
     assert quality.SAMPLE_GRAMS >= 1000 << quality.BITS
+    for n in (0, 1, 4095, 4096, 4097, 1 << quality.BITS):
+        found = np.sort(draw.choice(1 << quality.BITS, n, replace=False)).astype(np.int32)
+        assert (quality._unpacked(quality._packed(found)) == found).all() and len(quality._packed(found)) <= 1 << 14
 
 
 def test_coordinate_descent_reaches_the_optimum():
