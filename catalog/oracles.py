@@ -186,10 +186,17 @@ HEADINGS = f"""coalesce({trim(f"nullif(regexp_extract(content, {lit(f'^#{{1,6}}{
  {trim(f"nullif(regexp_extract(content, '^[{CJK}]+[章节条点](?s:.)+', 0), '')")},
  {trim(f"nullif(regexp_extract(content, '^[0-9]+[.、][{CJK}a-zA-Z0-9][^\\n]*', 0), '')")},
  {trim("nullif(regexp_extract(content, '^【([^\\n]+?)】', 1), '')")})"""
-SEGMENTS = f"""{MARKDOWN}, {paragraphs('md')},
+
+
+def segmented(documents: str) -> str:
+    """CTEs after md(doc_id, filename, text), up to chained(doc_id, para_pos, content, seg_type, title, chain)."""
+    return f"""{documents}, {paragraphs('md')},
  segs AS (SELECT *, {CLASSES} AS seg_type, {HEADINGS} AS title FROM paras),
  chained AS (SELECT *, coalesce(string_agg(CASE WHEN seg_type = 'heading' THEN title END, ' › ') OVER (PARTITION BY doc_id ORDER BY para_pos
    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS chain FROM segs)"""
+
+
+SEGMENTS = segmented(MARKDOWN)
 ORACLES["split_paragraphs"] = f"WITH {MARKDOWN}, {paragraphs('md')} SELECT doc_id, para_pos::INT AS para_pos, content FROM paras"
 ORACLES["classify_segment"] = f"WITH {SEGMENTS} SELECT doc_id, para_pos::INT AS para_pos, seg_type FROM segs"
 ORACLES["parse_heading"] = f"WITH {SEGMENTS} SELECT doc_id, para_pos::INT AS para_pos, title AS heading FROM segs WHERE title IS NOT NULL"
@@ -216,23 +223,28 @@ ORACLES["min_chunk_length"] = f"""
 WITH l AS (SELECT doc_id, regexp_split_to_array(text, '[.\\n]') AS l FROM documents),
  p AS (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS piece, unnest(l) AS content FROM l)
 SELECT * FROM p WHERE length({trim('content')}) > 10"""
-ORACLES["split_table"] = f"""
-WITH RECURSIVE t AS (SELECT doc_id, string_split('| sentence |' || chr(10) || '| ' || replace(replace(text, chr(10), ' '), '. ', '. |' || chr(10) || '| ') || ' |', chr(10)) AS l
-  FROM documents),
- fold AS (SELECT doc_id, l, 2 AS i, '' AS cur, length(l[1]) AS size, NULL::VARCHAR AS emitted FROM t UNION ALL
-  SELECT doc_id, l, i + 1, CASE WHEN size + length(l[i]) > 1000 AND cur <> '' THEN chr(10) || l[i] ELSE cur || chr(10) || l[i] END,
+
+
+def row_groups(source: str, key: str) -> str:
+    """CTE grouped(key, n, content): lines of source(key, content) in groups of up to 1000 characters, each under the first line."""
+    return f"""tlines AS (SELECT {key}, string_split(content, chr(10)) AS l FROM {source}),
+ tfold AS (SELECT {key}, l, 2 AS i, '' AS cur, length(l[1]) AS size, NULL::VARCHAR AS emitted FROM tlines UNION ALL
+  SELECT {key}, l, i + 1, CASE WHEN size + length(l[i]) > 1000 AND cur <> '' THEN chr(10) || l[i] ELSE cur || chr(10) || l[i] END,
    CASE WHEN size + length(l[i]) > 1000 AND cur <> '' THEN length(l[1]) + length(l[i]) ELSE size + length(l[i]) END,
-   CASE WHEN size + length(l[i]) > 1000 AND cur <> '' THEN l[1] || cur END FROM fold WHERE i <= len(l)),
- e AS (SELECT doc_id, i, {trim('emitted')} AS content FROM fold WHERE emitted IS NOT NULL UNION ALL
-  SELECT doc_id, i + 1, {trim('l[1] || cur')} FROM fold WHERE i = len(l) + 1)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS piece, content FROM e"""
+   CASE WHEN size + length(l[i]) > 1000 AND cur <> '' THEN l[1] || cur END FROM tfold WHERE i <= len(l)),
+ tcut AS (SELECT {key}, i, {trim('emitted')} AS content FROM tfold WHERE emitted IS NOT NULL UNION ALL
+  SELECT {key}, i + 1, {trim('l[1] || cur')} FROM tfold WHERE i = len(l) + 1),
+ grouped AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS n, content FROM tcut)"""
 
 
-def packing(segments: str) -> str:
-    """CTEs after segs(doc_id, para_pos, content, seg_type, chain), up to blocks(doc_id, at, sub, content, seg_type, chain).
+ORACLES["split_table"] = f"""
+WITH RECURSIVE t AS (SELECT doc_id, '| sentence |' || chr(10) || '| ' || replace(replace(text, chr(10), ' '), '. ', '. |' || chr(10) || '| ') || ' |' AS content
+  FROM documents), {row_groups('t', 'doc_id')}
+SELECT doc_id, n::INT AS piece, content FROM grouped"""
+
 
-    Tables and lists of these texts are short enough to stay whole.
-    """
+def packing(segments: str) -> str:
+    """CTEs after segs(doc_id, para_pos, content, seg_type, chain), up to blocks(doc_id, at, sub, content, seg_type, chain)."""
     return f"""{segments},
  walk AS (SELECT *, seg_type IN ('heading', 'table', 'list') OR length(content) > 800 AS hard FROM chained),
  lists AS (SELECT doc_id, list(struct_pack(c := content, hard := hard, chain := chain) ORDER BY para_pos) AS s FROM walk GROUP BY doc_id),
@@ -245,8 +257,11 @@ def packing(segments: str) -> str:
   SELECT doc_id, i - 1, 0, cur, 'paragraph', NULL FROM steps WHERE i = len(s) + 1 AND cur <> ''),
  long AS (SELECT doc_id * 100000 + para_pos AS key, content FROM walk WHERE hard AND seg_type NOT IN ('heading', 'table', 'list')),
  {greedy('long', 'key')},
+ rowed AS (SELECT doc_id * 100000 + para_pos AS key, content FROM walk WHERE seg_type IN ('table', 'list')),
+ {row_groups('rowed', 'key')},
  blocks AS (SELECT doc_id, spot, sub, content, seg_type, chain FROM flushed UNION ALL
-  SELECT doc_id, para_pos, 1, content, seg_type, chain FROM walk WHERE seg_type IN ('heading', 'table', 'list') UNION ALL
+  SELECT doc_id, para_pos, 1, content, seg_type, chain FROM walk WHERE seg_type = 'heading' UNION ALL
+  SELECT doc_id, para_pos, 1 + n, g.content, seg_type, chain FROM grouped g JOIN walk ON key = doc_id * 100000 + para_pos UNION ALL
   SELECT key // 100000, key % 100000, 1 + n, content, 'paragraph', NULL FROM packed)"""
 
 
@@ -254,11 +269,18 @@ _spaced = f"""spaced AS (SELECT doc_id, replace({trim("replace(text, chr(13), ''
  segs AS (SELECT *, {CLASSES} AS seg_type FROM paras), chained AS (SELECT *, '' AS chain FROM segs)"""
 ORACLES["pack_paragraphs"] = f"""WITH RECURSIVE {packing(_spaced)}
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY spot, sub) - 1)::INT AS piece, content, seg_type FROM blocks WHERE length(content) > 10"""
-_chunked = f"""WITH RECURSIVE {packing(SEGMENTS)},
- placed AS (SELECT b.doc_id, spot, sub, b.content, b.seg_type, coalesce(b.chain, c.chain, (SELECT max_by(chain, para_pos) FROM chained z WHERE z.doc_id = b.doc_id)) AS chain
+
+
+def chunked(documents: str) -> str:
+    """WITH clause after md(doc_id, filename, text), up to numbered(doc_id, chunk_index, seg_type, text)."""
+    return f"""WITH RECURSIVE {packing(segmented(documents))},
+ spelled AS (SELECT b.doc_id, spot, sub, b.content, b.seg_type, coalesce(b.chain, c.chain, (SELECT max_by(chain, para_pos) FROM chained z WHERE z.doc_id = b.doc_id)) AS chain
    FROM blocks b LEFT JOIN chained c ON c.doc_id = b.doc_id AND c.para_pos = b.spot),
  numbered AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY spot, sub) - 1)::INT AS chunk_index, seg_type,
-  CASE WHEN chain = '' THEN content ELSE '[' || chain || ']' || chr(10) || content END AS text FROM placed WHERE length(content) > 10)"""
+  CASE WHEN chain = '' THEN content ELSE '[' || chain || ']' || chr(10) || content END AS text FROM spelled WHERE length(content) > 10)"""
+
+
+_chunked = chunked(MARKDOWN)
 ORACLES["semantic_chunk"] = f"{_chunked} SELECT * FROM numbered"
 _given = "coalesce(nullif(text, ''), '[空块]')"
 ORACLES["new_content_only"] = f"""WITH known AS (SELECT {_given} AS t FROM conversations UNION SELECT {_given} FROM documents WHERE lang = 'en'),
@@ -287,6 +309,13 @@ ORACLES["emit_page_chunks"] = f"""WITH {MARKDOWN}, {paragraphs('md', carry='file
  counts AS (SELECT filename, count(*) AS n FROM paras GROUP BY filename)
 SELECT filename, para_pos::INT AS chunk_index, 'text' AS type, content AS text FROM paras UNION ALL
 SELECT filename, (n + page_number - 1)::INT, 'page', text_hint FROM pages_ JOIN counts USING (filename)"""
+_seen = f"""{PAGED}, seen AS (SELECT filename, page_number, {_title} || text_hint AS text FROM pages_),
+ joined AS (SELECT filename, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_number) AS text FROM seen GROUP BY filename),
+ md AS (SELECT doc_id, filename, {trim("replace(j.text, chr(13), '')")} AS text FROM joined j JOIN docs USING (filename))"""
+ORACLES["chunk_pages"] = f"""{chunked(_seen)}, texts AS (SELECT filename, chunk_index, n.text FROM numbered n JOIN md USING (doc_id)),
+ counts AS (SELECT filename, count(*) AS n FROM texts GROUP BY filename)
+SELECT filename, chunk_index, 'text' AS type, text FROM texts UNION ALL
+SELECT filename, (coalesce(n, 0) + page_number - 1)::INT, 'page', text FROM seen LEFT JOIN counts USING (filename)"""
 
 # --- lexical search --------------------------------------------------------------------------------
 
