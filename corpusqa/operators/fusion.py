@@ -26,21 +26,29 @@ def rank_hits(hits: DataFrame, score: str = "score", key: Sequence[str] = CHUNK_
     return hits.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(*order)) - 1)
 
 
-def rrf_merge(vector_hits: DataFrame, bm25_hits: DataFrame, key: Sequence[str] = CHUNK_KEY) -> DataFrame:
-    """Both rankings side by side per (question, chunk); a chunk listed twice keeps its last rank."""
+def rrf_merge(vector_hits: DataFrame, bm25_hits: DataFrame, key: Sequence[str] = CHUNK_KEY, row: Sequence[str] = ()) -> DataFrame:
+    """Both rankings side by side per (question, chunk); a chunk listed twice keeps its last rank.
+
+    Where a table holds several rows of one key, the columns of ``row`` tell them apart: they are those of the last hit, of the lexical ranking if
+    it has one.
+    """
     on = ["question_id", *key]
-    vector = vector_hits.groupBy(*on).agg(F.max("rank").alias("vector_rank"))
+    last = [F.max_by(F.struct(*row), "rank").alias("hit")] if row else []
+    vector = vector_hits.groupBy(*on).agg(F.max("rank").alias("vector_rank"), *last)
     lexical = bm25_hits.groupBy(*on).agg(
         F.max("rank").alias("bm25_rank"),
         F.max_by("score", "rank").alias("bm25_score"),
         F.max_by("matched_terms", "rank").alias("matched_terms"),
+        *last,
     )
-    return vector.join(lexical, on, "full_outer").select(
+    hit = F.coalesce(F.col("l.hit"), F.col("v.hit")) if row else None
+    return vector.alias("v").join(lexical.alias("l"), on, "full_outer").select(
         *on,
         "vector_rank",
         "bm25_rank",
         F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"),
         F.coalesce("matched_terms", F.array().cast("array<string>")).alias("matched_terms"),
+        *[hit[c].alias(c) for c in row],
     )
 
 

@@ -51,12 +51,12 @@ def chunk_lookup(hits: DataFrame, chunks: DataFrame, key: Sequence[str] = CHUNK_
 
 
 def fused_candidates(
-    questions: DataFrame, index: LexicalIndex, vectors: DataFrame, settings: SearchSettings = SearchSettings()
+    questions: DataFrame, index: LexicalIndex, vectors: DataFrame, settings: SearchSettings = SearchSettings(), row: Sequence[str] = ()
 ) -> DataFrame:
-    """BM25 and nearest vectors side by side, fused by rank; ``questions`` carry their vector."""
+    """BM25 and nearest vectors side by side, fused by rank; ``questions`` carry their vector, hits the columns of ``row``."""
     lexical = bm25_search(questions, index, settings.k)
-    near = vector_search(questions.select("question_id", "vector"), vectors, settings.k, settings.min_similarity)
-    return rrf_topk(rrf_score(rrf_merge(near, lexical)), settings.rerank_candidates)
+    near = vector_search(questions.select("question_id", "vector"), vectors, settings.k, settings.min_similarity, [*CHUNK_KEY, *row])
+    return rrf_topk(rrf_score(rrf_merge(near, lexical, row=row)), settings.rerank_candidates)
 
 
 def hybrid_search(
@@ -72,14 +72,16 @@ def hybrid_search(
     """Final hits per question with text and image: (question_id, final_rank, filename, …).
 
     ``questions(question_id, question[, rewritten, keywords, vector])``; ``vectors`` and ``chunks`` are
-    keyed by (filename, chunk_index).
+    keyed by (filename, chunk_index). Where the index has further columns in its key (``ROW_KEY`` of the knowledge base) and both tables have
+    them too, a file that is stored twice gives the text of the row that was hit.
     """
+    row = [c for c in index.key if c not in CHUNK_KEY and c in vectors.columns and c in chunks.columns]
     asked = prepare_questions(questions)
     if "vector" not in asked.columns:
         asked = embed_questions(asked, embedder)
     asked = materialise(asked, "questions")  # used several times: models are asked once
-    candidates = materialise(fused_candidates(asked, index, vectors, settings), "fused")
-    with_text = chunk_lookup(candidates, chunks).join(asked.select("question_id", "question"), "question_id")
+    candidates = materialise(fused_candidates(asked, index, vectors, settings, row), "fused")
+    with_text = chunk_lookup(candidates, chunks, [*CHUNK_KEY, *row]).join(asked.select("question_id", "question"), "question_id")
     return final_topk(rerank(with_text, scorer, **scoring), settings.final_hits, settings.rerank_threshold).drop("question")
 
 

@@ -169,6 +169,24 @@ def test_from_files_to_answers(spark, tmp_path, base):
     assert answers[2].sources == [] and answers[2].answer == "暂无相关文档"
 
 
+def test_the_row_that_was_hit_is_returned(spark, tmp_path):
+    """A file stored twice with other texts: a question finds the row that answers it, not the greatest of equal keys."""
+    from corpusqa.plans.hybrid import hybrid_search
+
+    base = K.KnowledgeBase(spark, str(tmp_path / "twice"), hashing_embedder(32))
+    text = lambda t: spark.createDataFrame([("a.md", 0, t), ("b.md", 0, "filler of another file " + t[:3])], "filename string, chunk_index int, text string")
+    base.append(text("apples are harvested in autumn"))
+    base.append(text("zebras graze on the plain"))
+    index = base.build_index()
+    asked = spark.createDataFrame([(1, "harvested apples"), (2, "zebras graze")], "question_id bigint, question string")
+    hits = hybrid_search(asked, index, base.rows(), base.scan(), embedder=base.embedder)
+    first = {r.question_id: r for r in hits.where("filename = 'a.md'").collect()}
+    # both texts have the same file and number, so a question has one hit of them: the row of the last lexical hit
+    assert first[1].text == "apples are harvested in autumn" and first[1].commit_id == 0
+    assert first[2].text == "zebras graze on the plain" and first[2].commit_id == 1
+    assert hits.groupBy("question_id", "filename", "chunk_index").count().where("count > 1").isEmpty()
+
+
 def test_two_writers_of_one_number(spark, tmp_path):
     """One of them enters the log; the other fails and has destroyed nothing."""
     base, other = (K.KnowledgeBase(spark, str(tmp_path / "two"), hashing_embedder(8)) for _ in range(2))
