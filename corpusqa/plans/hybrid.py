@@ -23,7 +23,7 @@ from corpusqa.operators.fusion import constant_score, final_topk, rerank, rrf_me
 from corpusqa.operators.lexical_index import LexicalIndex
 from corpusqa.operators.vectors import MIN_SIMILARITY, vector_search
 from corpusqa.schema import CHUNK_KEY, prepare_questions
-from corpusqa.session import materialise
+from corpusqa.session import HELD_BYTES, hold, materialise
 
 
 @dataclass(frozen=True)
@@ -35,11 +35,24 @@ class SearchSettings:
     final_hits: int = 6
 
 
-def chunk_lookup(hits: DataFrame, chunks: DataFrame, key: Sequence[str] = CHUNK_KEY) -> DataFrame:
+_HIT_BYTES = 1024
+_TERM_BYTES = 32
+# values of a key column up to which they are given to the scan of the chunks
+SOUGHT_KEYS = 1000
+
+
+def chunk_lookup(hits: DataFrame, chunks: DataFrame, key: Sequence[str] = CHUNK_KEY, few: bool = False) -> DataFrame:
     """Bring text and image back to the hits: wide columns are read for winners only.
 
-    One row per hit, also where the table holds several rows of that key.
+    One row per hit, also where the table holds several rows of that key. Where hits are known to be ``few``, the values of their keys
+    go to the scan: folders of other commits are left out, and Parquet passes over row groups and pages that hold none of them.
     """
+    if few:
+        keys = hits.select(*key).collect()
+        for c in key:
+            values = {r[c] for r in keys} - {None}
+            if len(values) <= SOUGHT_KEYS:
+                chunks = chunks.where(F.col(c).isin(list(values)))
     wanted = hits.select(*key).distinct()
     found = (
         chunks.join(wanted, list(key), "left_semi")
@@ -59,6 +72,12 @@ def fused_candidates(
     return rrf_topk(rrf_score(rrf_merge(near, lexical, row=row)), settings.rerank_candidates)
 
 
+def candidate_bytes(questions: DataFrame, settings: SearchSettings) -> int:
+    """More bytes than the candidates of the questions take: keys, ranks and the terms that match (stretches of up to three characters of each word)."""
+    words = F.octet_length(F.concat_ws(" ", "question", "rewritten", "keywords"))
+    return questions.agg((settings.rerank_candidates * F.sum(_HIT_BYTES + _TERM_BYTES * words)).alias("most")).first()["most"] or 0
+
+
 def hybrid_search(
     questions: DataFrame,
     index: LexicalIndex,
@@ -80,8 +99,9 @@ def hybrid_search(
     if "vector" not in asked.columns:
         asked = embed_questions(asked, embedder)
     asked = materialise(asked, "questions")  # used several times: models are asked once
-    candidates = materialise(fused_candidates(asked, index, vectors, settings, row), "fused")
-    with_text = chunk_lookup(candidates, chunks, [*CHUNK_KEY, *row]).join(asked.select("question_id", "question"), "question_id")
+    most = candidate_bytes(asked, settings)
+    candidates = hold(fused_candidates(asked, index, vectors, settings, row), "fused", most)
+    with_text = chunk_lookup(candidates, chunks, [*CHUNK_KEY, *row], few=most <= HELD_BYTES).join(asked.select("question_id", "question"), "question_id")
     return final_topk(rerank(with_text, scorer, **scoring), settings.final_hits, settings.rerank_threshold).drop("question")
 
 

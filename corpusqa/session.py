@@ -10,6 +10,9 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# bytes that a result may have to be kept by the driver
+HELD_BYTES = 8 * 1024 * 1024
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
@@ -65,6 +68,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame, name: str, most_bytes: int) -> DataFrame:
+    """``df``, worked out once: kept by the driver if it has a few bytes at most (``most_bytes``, known beforehand), else written (``materialise``)."""
+    if most_bytes > HELD_BYTES:
+        return materialise(df, name)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal the rows out for heavy work on each, as where a table comes in few large files; costs a shuffle of the rows."""
     return df.repartition(*keys)

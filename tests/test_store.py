@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from corpusqa.models import batch_embedder, hashing_embedder
 from corpusqa.operators.bm25 import bm25_search
+from corpusqa.plans.hybrid import chunk_lookup
 from corpusqa.plans.ingest import ingest_documents, ingest_pages
+from corpusqa.session import HELD_BYTES, hold
 from corpusqa.sources import knowledge_base as K
 
 DOC = "filename string, source string, text string"
@@ -268,3 +270,32 @@ def test_new_content_only(spark):
     found = K.new_content_only(chunks, known)
     assert sorted((r.text or "") for r in found.collect()) == ["", "a", "c"]
     assert K.new_content_only(chunks, known.limit(0)).count() == 4 and K.new_content_only(chunks.limit(0), known).count() == 0
+
+
+def test_lookup_of_few_hits_reads_their_commits_only(spark, base):
+    for part in range(3):
+        ingest_documents(base, docs(spark, *[f"{part}-{i}.md" for i in range(4)]))
+    key = list(K.ROW_KEY)
+    stored = [tuple(r) for r in base.rows().where("commit_id = 1").select(*key).collect()]
+    schema = "filename string, chunk_index int, commit_id bigint, row_id bigint"
+    asked = [*stored[:2], stored[0], (None, 0, 1, 0), ("nosuch.md", 0, 1, 0)]
+    for rows in (asked, asked[3:], []):
+        hits = spark.createDataFrame(rows, schema)
+        found = chunk_lookup(hits, base.scan(), key, few=True)
+        same = chunk_lookup(hits, base.scan(), key)
+        assert sorted(found.collect()) == sorted(same.collect())
+    found = chunk_lookup(spark.createDataFrame(asked, schema), base.scan(), key, few=True)
+    assert found.count() == 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "image" in line)
+    folders, pushed = scan.split("PartitionFilters: ")[1].split("PushedFilters: ")
+    assert "commit_id" in folders and "(commit_id" in folders.replace("cast(", "(")
+    assert "filename" in pushed and "row_id" in pushed
+
+
+def test_held_results_are_those_of_written_ones(spark):
+    rows = spark.createDataFrame([(1, "a", ["x", "y"]), (2, None, []), (None, "", None)], "id bigint, name string, words array<string>")
+    small, large = hold(rows, "rows", 100), hold(rows, "rows", HELD_BYTES + 1)
+    assert small.schema == large.schema == rows.schema
+    assert sorted(small.collect(), key=str) == sorted(large.collect(), key=str)
+    assert hold(rows.where("id > 5"), "none", 0).collect() == []
