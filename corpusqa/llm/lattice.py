@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusqa.llm.components import connected_components, local_roots
 from corpusqa.session import materialise
@@ -19,6 +20,7 @@ TABLES = 3  # independent projections
 PROBES = 8  # neighbouring cells that a vector visits in each table
 SCALE = 2.475  # mean length of a unit vector once it is projected to 8 dimensions; cells are about one wide
 BLOCK = 2048  # members of a cell that are compared at a time
+WAITING = 1 << 17  # pairs of a task that are looked at together
 BUNDLE = 8192  # members of small cells that one call takes together
 
 
@@ -109,11 +111,31 @@ def _links_of(frame: pd.DataFrame, directions: np.ndarray, least: float) -> pd.D
     frame = frame.sort_values(["table", "cell", "visits", "node"], kind="stable").reset_index(drop=True)
     nodes, weights = frame["node"].to_numpy(), frame["copies"].to_numpy()
     units = unit_rows(frame["vector"])
-    codes = cells(units, directions)
     visits, table, alone = frame["visits"].to_numpy(), frame["table"].to_numpy(), frame["alone"].to_numpy()
     key = frame[["table", "cell"]].to_numpy()
     starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
-    linked, a_all, b_all = np.zeros(len(frame), dtype=np.int64), [], []
+    codes, have = np.zeros((len(frame), directions.shape[1] // 8, 1 + PROBES), dtype=np.int64), np.zeros(len(frame), dtype=bool)
+    pairs, waiting, a_all, b_all = [], 0, [], []
+
+    def counted_here() -> None:
+        """Of the pairs that wait, keep those that count in their cell; cells are worked out for members of pairs only, many at a time."""
+        new = np.zeros(len(frame), dtype=bool)
+        for i, j, _, _ in pairs:
+            new[i] = new[j] = True
+        new = np.flatnonzero(new & ~have)
+        codes[new], have[new] = cells(units[new], directions), True
+        for i, j, t, visit in pairs:
+            first = np.ones(len(i), dtype=bool)
+            for earlier in range(t):
+                first &= ~_meet(codes[i, earlier], codes[j, earlier])
+            apart = codes[i, t, 0] != codes[j, t, 0]
+            both = (codes[i, t, 1:] == codes[j, t, :1]).any(axis=1) & (codes[j, t, 1:] == codes[i, t, :1]).any(axis=1)
+            here = nodes[i] < nodes[j] if visit else True
+            first &= ~(apart & both) | here
+            a_all.append(i[first])
+            b_all.append(j[first])
+        pairs.clear()
+
     for lo, hi in zip(starts, np.append(starts[1:], len(frame))):
         middle = lo + int((~visits[lo:hi]).sum())
         if middle == lo or hi - lo < 2:
@@ -126,20 +148,16 @@ def _links_of(frame: pd.DataFrame, directions: np.ndarray, least: float) -> pd.D
             i, j = i + a0, j + b0
             keep = (i < j) if a0 == b0 else nodes[i] != nodes[j]
             i, j = i[keep], j[keep]
-            exact = (units[i] * units[j]).sum(axis=1) >= least
-            i, j = i[exact], j[exact]
-            if not len(i):
-                continue
-            t = int(table[lo])
-            first = np.ones(len(i), dtype=bool)
-            for earlier in range(t):
-                first &= ~_meet(codes[i, earlier], codes[j, earlier])
-            apart = codes[i, t, 0] != codes[j, t, 0]
-            both = (codes[i, t, 1:] == codes[j, t, :1]).any(axis=1) & (codes[j, t, 1:] == codes[i, t, :1]).any(axis=1)
-            here = nodes[i] < nodes[j] if a0 != b0 else True
-            first &= ~(apart & both) | here
-            a_all.append(i[first])
-            b_all.append(j[first])
+            for at in range(0, len(i), WAITING):
+                some_i, some_j = i[at : at + WAITING], j[at : at + WAITING]
+                exact = (units[some_i] * units[some_j]).sum(axis=1) >= least
+                pairs.append((some_i[exact], some_j[exact], int(table[lo]), a0 != b0))
+                waiting += int(exact.sum())
+                if waiting >= WAITING:
+                    counted_here()
+                    waiting = 0
+    if waiting:
+        counted_here()
     if not a_all:
         return pd.DataFrame({"node": [], "linked": [], "root": []}).astype("int64")
     a, b = np.concatenate(a_all), np.concatenate(b_all)
@@ -175,7 +193,10 @@ def link_vectors(
     if there is none) and is not kept. Repeated rows are vectors of their own, linked with each other. No rows
     give none; further columns are not read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"))
+    # single numbers stay single on their way; cosines are worked out in double precision
+    single = isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), T.FloatType)
+    numbers = F.col(vector_col).cast("array<float>" if single else "array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), numbers.alias("vector"), F.col(label_col).cast("string").alias("label"))
     rows = rows.withColumn("vector", F.when(F.col("label").isNotNull() & _usable(F.col("vector")), F.col("vector")))
     groups = rows.where(F.col("vector").isNotNull()).groupBy("label", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
     # numbered before it is written; only the written numbers are used
@@ -185,7 +206,7 @@ def link_vectors(
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, all_vectors = np.asarray(batch.column(0)), batch.column(1)
+            nodes, labels, all_vectors = np.asarray(batch.column(0)), batch.column(1), batch.column(2)
             lengths = np.asarray(all_vectors.value_lengths())
             for n in np.unique(lengths):
                 at = np.flatnonzero(lengths == n)
@@ -193,16 +214,18 @@ def link_vectors(
                 tables, each = codes.shape[1:]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        labels.take(pa.array(np.repeat(at, tables * each))),
+                        pa.array(np.full(codes.size, n, dtype=np.int32)),
                         pa.array(np.repeat(nodes[at], tables * each)),
                         pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), each), len(at))),
                         pa.array(codes.ravel()),
                         pa.array(np.tile(np.arange(each) > 0, len(at) * tables)),
                     ],
-                    names=["node", "table", "cell", "visits"],
+                    names=["label", "n", "node", "table", "cell", "visits"],
                 )
 
-    spread = groups.select("node", "vector").mapInArrow(place, "node long, table int, cell long, visits boolean")
-    named = materialise(spread.join(groups.select("node", "label", F.size("vector").alias("n")), "node"), "cells")
+    placed = groups.select("node", "label", "vector").mapInArrow(place, "label string, n int, node long, table int, cell long, visits boolean")
+    named = materialise(placed, "cells")
     where = ["label", "n", "table", "cell"]
     shape = named.groupBy(*where).agg(F.count_if(~F.col("visits")).alias("homes"), F.count_if("visits").alias("guests"))
     shape = shape.where((F.col("homes") > 0) & (F.col("homes") + F.col("guests") > 1))

@@ -84,3 +84,18 @@ def test_no_rows_and_no_usable_rows(spark):
     frame = spark.createDataFrame([(1, None, 1), (2, [1.0], None)], "vec_id long, embedding array<float>, label int")
     assert lattice.link_vectors(frame.limit(0)).count() == 0
     assert sorted(map(tuple, lattice.link_vectors(frame).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_single_numbers_and_pairs_in_several_lots(spark, monkeypatch):
+    """Vectors of single numbers give the links of the same numbers in double precision, however many pairs are looked at together."""
+    rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], label) for i, v, label in made(seed=6, n=200) if i is None or i < 2010]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert sorted(map(tuple, lattice.link_vectors(frame).collect()), key=repr) == plain(rows)
+    draw = np.random.default_rng(7)
+    centre = draw.normal(size=16)
+    few = lattice.pd.DataFrame({"table": 0, "node": np.arange(60), "copies": 1, "vector": list(centre + draw.normal(size=(60, 16)) * 0.05), "visits": False, "alone": True})
+    few["cell"] = lattice.cells(lattice.unit_rows(few["vector"]), lattice.projection(16))[:, 0, 0]
+    whole = lattice._links_of(few, lattice.projection(16), 0.98)
+    monkeypatch.setattr(lattice, "WAITING", 5)
+    lots = lattice._links_of(few, lattice.projection(16), 0.98)
+    assert len(whole) and whole.equals(lots)
