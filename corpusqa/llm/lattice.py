@@ -190,8 +190,8 @@ def link_vectors(
 
     Vectors that are null, empty, zero or hold a null or a non-finite component, and those without a label, link with
     nothing: n_links 0, their own component, kept. A row with a null id counts as a vector, has its group's component (null
-    if there is none) and is not kept. Repeated rows are vectors of their own, linked with each other. No rows
-    give none; further columns are not read.
+    if there is none) and is not kept. Repeated rows are vectors of their own, linked with each other. Vectors may be
+    of any length; those of different lengths are not compared. No rows give none; further columns are not read.
     """
     # single numbers stay single on their way; cosines are worked out in double precision
     single = isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), T.FloatType)

@@ -99,3 +99,14 @@ def test_single_numbers_and_pairs_in_several_lots(spark, monkeypatch):
     monkeypatch.setattr(lattice, "WAITING", 5)
     lots = lattice._links_of(few, lattice.projection(16), 0.98)
     assert len(whole) and whole.equals(lots)
+
+
+def test_very_long_vectors(spark):
+    """20,000 components: near ones meet, others do not, and a prefix of a vector is another vector."""
+    draw = np.random.default_rng(8)
+    centre = draw.normal(size=20_000)
+    near = [centre, centre + draw.normal(size=20_000) * 0.1, centre * 3 + draw.normal(size=20_000) * 0.1, draw.normal(size=20_000), centre[:19_999]]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(near)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = sorted(map(tuple, lattice.link_vectors(frame).collect()))
+    assert found == plain(rows) and [r[1] for r in found] == [2, 2, 2, 0, 0]
