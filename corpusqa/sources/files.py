@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +23,7 @@ EMPTY_TABLE = "空表格"
 TABLE_HEAD = "\n--- 表格: Sheet1 ---\n"
 WRONG_TYPE = "不支持的文件类型: "
 TOO_LARGE = "File too large"
+FOLDER_FILES = 1000  # files put in a folder: many folders are listed by several tasks
 # -----------------------------------------------------------------------------
 
 
@@ -58,12 +64,13 @@ def _unless_refused(size: Column, max_bytes: int | None, value: Column) -> Colum
 def text_reader(reader, path: str, max_bytes: int | None = None) -> DataFrame:
     """documents(filename, source, text) of the text and CSV files below ``path``: every file is a row.
 
-    ``reader`` is ``spark.read`` or ``spark.readStream``. With ``max_bytes`` larger files come back without their
+    ``reader`` is ``spark.read`` or ``spark.readStream``. Files are read as bytes: the reader of whole texts makes its settings and codecs anew
+    for each file, which takes longer than small files themselves. With ``max_bytes`` larger files come back without their
     text and with a ``rejected_reason`` (null for the others).
     """
     raw = (
-        reader.format("text")
-        .option("wholetext", True)
+        reader.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", _glob(TEXT_FILES + TABLE_FILES))
         .load(path)
@@ -73,11 +80,41 @@ def text_reader(reader, path: str, max_bytes: int | None = None) -> DataFrame:
     return raw.select(
         F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("filename"),
         F.col("_metadata.file_path").alias("source"),
-        _unless_refused(size, max_bytes, file_to_text(name, F.col("value"))).alias("text"),
+        _unless_refused(size, max_bytes, file_to_text(name, F.col("content").cast("string"))).alias("text"),
         *_refused(size, max_bytes),
     )
 
 
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Every row's ``value``, ended by a line break, as a text file of its own below ``path``; a null is an empty line.
+
+    Tasks write the files themselves: Hadoop's local file system starts a process for the permissions of each file it makes. Names come from the
+    order of the rows in their partition, so that a task run again writes the same files. A place only Hadoop knows is left to Spark's writer.
+    """
+    texts = texts.select("value").sortWithinPartitions("value")
+    try:
+        fs.FileSystem.from_uri(path)
+    except (OSError, ValueError):  # pa.ArrowInvalid is a ValueError
+        texts.write.option("maxRecordsPerFile", 1).text(path)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = fs.FileSystem.from_uri(path)
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for value in batch.column(0):
+                folder = f"{top}/{part:05d}-{n // FOLDER_FILES:05d}"
+                if n % FOLDER_FILES == 0:
+                    system.create_dir(folder)
+                with system.open_output_stream(f"{folder}/{n % FOLDER_FILES:05d}.txt") as file:
+                    file.write(f"{value.as_py()}\n".encode() if value.is_valid else b"\n")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    fs.FileSystem.from_uri(path)[0].create_dir(fs.FileSystem.from_uri(path)[1])
+    texts.mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+
+
 def read_documents(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     return text_reader(spark.read, path, max_bytes)
 

@@ -176,3 +176,17 @@ def test_the_events_of_the_query_are_written_by_more_than_one_task(spark):
     QUERIES["stream_fold_events"](spark, "/root/testdata/sf0.001")
     (told,) = set(glob.glob(f"{shared}/*/events-*")) - before
     assert len(glob.glob(f"{told}/*.parquet")) > 3
+
+
+def test_every_text_in_a_file_of_its_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FOLDER_FILES", 3)
+    texts = [None, "", "a\r\nb", "知识 \u0000 é", "twice", "twice", *[str(n) for n in range(20)]]
+    rows = spark.createDataFrame([(t,) for t in texts], "value string").repartition(2)
+    for place in (str(tmp_path / "plain"), (tmp_path / "uri").as_uri()):
+        files.write_texts(rows, place)
+        read = files.read_documents(spark, place).collect()
+        assert sorted(r["text"] for r in read) == sorted(f"{t or ''}\n" for t in texts)
+        assert {r["filename"][-4:] for r in read} == {".txt"} and len({r["source"] for r in read}) == len(texts)
+    assert len(list((tmp_path / "uri").iterdir())) > 2 and not list(tmp_path.rglob("*.crc"))
+    files.write_texts(rows.where("false"), str(tmp_path / "none"))
+    assert files.read_documents(spark, str(tmp_path / "none")).count() == 0
