@@ -311,3 +311,13 @@ def test_inverted_lists(spark, tmp_path):
     assert inverted_lists.nearest_approx(asked, nothing, 3).count() == 0 and inverted_lists.nearest_approx(asked.limit(0), index, 3).count() == 0
     single = inverted_lists.build_vector_index(vdf.where("filename = 'f0000'"), None, ["filename"])
     assert inverted_lists.nearest_approx(asked, single, 3).count() == 60
+
+
+def test_query_of_the_store_search_takes_all_words(spark, tmp_path):
+    from catalog.queries import QUERIES
+
+    docs = [(1, "alpha beta gamma delta delta", "en", "s"), (2, "alpha beta gamma", "en", "s"), (3, "delta", "en", "s")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = QUERIES["like_search_score"](spark, str(tmp_path)).collect()
+    assert [(r["question_id"], r["filename"], r["score"]) for r in rows] == [(7, "s/1", 5)]
