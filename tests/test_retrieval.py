@@ -321,3 +321,19 @@ def test_query_of_the_store_search_takes_all_words(spark, tmp_path):
     spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = QUERIES["like_search_score"](spark, str(tmp_path)).collect()
     assert [(r["question_id"], r["filename"], r["score"]) for r in rows] == [(7, "s/1", 5)]
+
+
+def test_hits_that_a_task_holds_are_bounded():
+    rng = np.random.default_rng(5)
+    stored, asked, k = rng.integers(-3, 4, (900, 4)).astype(float), rng.integers(-3, 4, (70, 4)).astype(float), 5
+    best, held = vectors.Best(np.arange(70) + 100, asked, ["name"], k), []
+    for low in range(0, 900, 30):
+        best.add(pd.DataFrame({"name": [f"v{n}" for n in range(low, low + 30)], "vector": list(stored[low : low + 30])}))
+        held.append(sum(map(len, best.frames)))
+    assert max(held) <= 2 * k * 70
+    got = [(r.question_id, r.name, r.distance) for r in next(best.rows()).itertuples(index=False)]
+    names = [f"v{n}" for n in range(900)]
+    want = [(q + 100, n, d) for q, a in enumerate(asked) for d, n in sorted(zip(((stored - a) ** 2).sum(axis=1), names))[:k]]
+    assert got == want
+    # a pass has no more hits than BLOCK_HITS, however small the vectors are
+    assert -(-1_000_000 // vectors.n_blocks(1_000_000, 4, 20, vectors.BLOCK_BYTES)) * 20 <= vectors.BLOCK_HITS
