@@ -337,3 +337,14 @@ def test_hits_that_a_task_holds_are_bounded():
     assert got == want
     # a pass has no more hits than BLOCK_HITS, however small the vectors are
     assert -(-1_000_000 // vectors.n_blocks(1_000_000, 4, 20, vectors.BLOCK_BYTES)) * 20 <= vectors.BLOCK_HITS
+
+
+def test_symbols_are_the_signs_of_the_text(spark):
+    from corpusqa.operators import lexical_index
+
+    texts = ["Ab, c.\n\td  é-知 1 .", "", None, "😀😀 -- word", ".,.,", "plain"]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, text string").repartition(2)
+    got = {r["n"]: r["s"] for r in rows.select("n", lexical_index.symbols_of(F.lit("a/b"), F.col("text")).alias("s")).collect()}
+    for n, text in enumerate(texts):
+        want = {c for c in "a/b" + ("" if text is None else "\n" + text.lower()) if not c.isalnum()}
+        assert set(got[n]) == want and len(got[n]) == len(want)
