@@ -8,17 +8,20 @@ chunks -> chunks that hold both (inverted index) -> the texts of those chunks, w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusqa.functions.text import contains_all, count_occurrences, store_search_terms
-from corpusqa.operators.lexical_index import GRAM, LexicalIndex
+from corpusqa.operators.lexical_index import GRAM, LexicalIndex, beginnings
 from corpusqa.operators.ranking import top_k
 from corpusqa.session import materialise
 
 FILENAME_BONUS = 3
 ANCHORS = 2  # runs of a needle, or words of a question, whose chunks are intersected
 SOUGHT_GRAMS = 2000  # more different stretches than this are met by a join with the whole table of them
+SOUGHT_SHORT = 100  # and so are more than this of fewer than three characters, which are beginnings of what the table holds
 _RUN = r"[\p{L}\p{N}]+"
 
 
@@ -41,8 +44,11 @@ def _anchors(needles: DataFrame, index: LexicalIndex) -> DataFrame:
     held = held & ((F.col("at") == F.col("n") - 1) & F.col("to_end") | F.endswith(F.col("term"), F.col("run")))
     edges = materialise(edges.withColumn("gram", F.substring("run", 1, GRAM)), "edges")
     grams = [r["gram"] for r in edges.select("gram").distinct().limit(SOUGHT_GRAMS + 1).collect()]
-    known = index.grams if len(grams) > SOUGHT_GRAMS else index.grams.where(F.col("gram").isin(grams))  # reads only their pages
-    edges = known.join(edges, "gram").where(held).select("needle", "at", "n", "term", "df")
+    known = index.grams
+    short = [g for g in grams if len(g) < GRAM]
+    if len(grams) <= SOUGHT_GRAMS and len(short) <= SOUGHT_SHORT:  # reads only their pages
+        known = known.where(reduce(Column.__or__, [F.startswith("gram", F.lit(g)) for g in short], F.col("gram").isin(grams)))
+    edges = beginnings(known).join(edges, "gram").where(held).select("needle", "at", "n", "term", "df")
     bit = lambda places: F.pow(F.lit(2), places).cast("int")
     return rarest.unionByName(edges).select("needle", bit(F.col("at")).alias("bit"), (bit(F.col("n")) - 1).alias("all_bits"), "term", "df")
 
