@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -32,7 +32,9 @@ _ROW_BYTES = 96  # of a question term besides its text
 _SLACK = 1 + 1e-9
 _BITS = 62
 _UNIT = float(1 << 30)
-_CELLS = 1 << 21
+# pairs, and matches, that are looked at together; and terms of chunks that are unpacked together, so that a task holds no more of a large batch
+_CELLS = 1 << 19
+_ENTRIES = 1 << 19
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -67,10 +69,24 @@ def bm25_match(questions: DataFrame, index: LexicalIndex) -> DataFrame:
 
 
 def bm25_score(questions: DataFrame, index: LexicalIndex) -> DataFrame:
-    """Score of every matching (question, chunk) pair; ``bm25_search`` keeps the best ones."""
+    """Score of every matching (question, chunk) pair; ``bm25_search`` keeps the best ones.
+
+    A pass over the forward index, where all matches of a chunk and its key are at hand: no pair is shuffled.
+    """
     terms = materialise(known_terms(questions, index), "terms")
-    scores = _accumulate(_matches(terms, index.postings), []).select("question_id", "doc_no", "score")
-    return index.with_keys(scores)
+    parts = [_scan(block, index, None, []) for block in _blocks(terms, terms.agg(_term_bytes()).first()[0], BLOCK_BYTES)]
+    return _with_score(reduce(DataFrame.unionByName, parts)).select("question_id", "score", *index.key)
+
+
+def _term_bytes() -> Column:
+    return F.sum(F.octet_length("term") + _ROW_BYTES)
+
+
+def _blocks(terms: DataFrame, size: int | None, block_bytes: int) -> list[DataFrame]:
+    """The terms of whole questions, in parts of about ``block_bytes``."""
+    n_blocks = max(1, -(-(size or 0) // block_bytes))
+    block = F.pmod(F.xxhash64("question_id"), F.lit(n_blocks))
+    return [terms.where(block == n) for n in range(n_blocks)]
 
 
 def bm25_search(questions: DataFrame, index: LexicalIndex, k: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -83,7 +99,7 @@ def bm25_search(questions: DataFrame, index: LexicalIndex, k: int = 10, block_by
     may be of any type.
     """
     terms = materialise(known_terms(questions, index), "terms")
-    size = F.sum(F.octet_length("term") + _ROW_BYTES)
+    size = _term_bytes()
     postings = index.corpus_stats.select("n_postings").scalar()
     few = (F.count_distinct("term") <= SOUGHT_TERMS) & (F.sum("df") <= SOUGHT_SHARE * postings) & (size <= block_bytes) & (postings >= SOUGHT_FROM)
     totals = terms.agg(size.alias("bytes"), F.max("word").alias("words"), few.alias("few")).first()
@@ -91,9 +107,7 @@ def bm25_search(questions: DataFrame, index: LexicalIndex, k: int = 10, block_by
     if totals["few"]:  # null without any term
         scored = _accumulate(_sought(terms, index, k), masks)
     else:
-        n_blocks = max(1, -(-(totals["bytes"] or 0) // block_bytes))
-        block = F.pmod(F.xxhash64("question_id"), F.lit(n_blocks))
-        parts = [_scan(terms.where(block == n), index, k, masks) for n in range(n_blocks)]
+        parts = [_scan(block, index, k, masks) for block in _blocks(terms, totals["bytes"], block_bytes)]
         scored = _with_score(reduce(DataFrame.unionByName, parts))
     # chunk numbers follow the keys: equal scores come in key order
     best = top_k(scored.where(F.col("score") > 0), ["question_id"], [F.desc("score"), F.asc("doc_no")], k)
@@ -150,15 +164,18 @@ def _with_score(sums: DataFrame) -> DataFrame:
     return sums.withColumn("score", (F.col("coarse") + F.col("fine") / _UNIT) / _UNIT)
 
 
-def _scan(terms: DataFrame, index: LexicalIndex, k: int, masks) -> DataFrame:
-    """The ``k`` best pairs per question and task, with their sums and bits."""
-    asked = terms.toPandas().sort_values("term", kind="stable", ignore_index=True)  # a block, of bounded size
-    question, ids = pd.factorize(asked["question_id"])
+def _scan(terms: DataFrame, index: LexicalIndex, k: int | None, masks) -> DataFrame:
+    """The ``k`` best pairs per question and task, with their sums and bits; all pairs, with the keys of the chunks, if ``k`` is None."""
+    block = terms.toArrow()  # of bounded size
+    asked = block.to_pandas()
+    asked["question_id"] = pd.Series(block["question_id"].to_pylist(), dtype=object)  # a null makes no other number inexact
+    asked = asked.sort_values("term", kind="stable", ignore_index=True)
+    question, ids = pd.factorize(asked["question_id"], use_na_sentinel=False)
     id_type = terms.schema["question_id"]
     arrow_type = to_arrow_type(id_type.dataType)
     vocabulary, first, uses = np.unique(asked["term"].to_numpy(dtype=str), return_index=True, return_counts=True)
     query = {
-        "ids": pa.array(ids.tolist(), arrow_type),
+        "ids": pa.array(ids.tolist(), arrow_type, from_pandas=True),
         "vocabulary": [str(t) for t in vocabulary],
         "idf": asked["idf"].to_numpy()[first],
         "first": first,
@@ -169,25 +186,52 @@ def _scan(terms: DataFrame, index: LexicalIndex, k: int, masks) -> DataFrame:
         "avg_len": float(asked["avg_len"].iloc[0]) if len(asked) else 1.0,
     }
     shared = terms.sparkSession.sparkContext.broadcast(query)
-    columns = ["question_id", "doc_no", "coarse", "fine", *masks]
+    numbers, key = ["coarse", "fine", *masks], list(index.key)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, best = shared.value, None
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
+        query = shared.value
         vocabulary = pa.array(query["vocabulary"], pa.string())
         for batch in batches:
-            for found in _score_batch(query, vocabulary, batch, k, len(masks)):
-                best = found if best is None else _keep_best({c: np.concatenate([best[c], found[c]]) for c in found}, k)
+            for some in _portions(batch):
+                for found in _score_batch(query, vocabulary, some, k, len(masks)):
+                    yield some, found
+
+    def named(found: dict, chunk: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+        asked = shared.value["ids"].take(pa.array(found["question_id"]))
+        return pa.RecordBatch.from_arrays([asked, *chunk, *[pa.array(found[c].astype(np.int64)) for c in numbers]], names=["question_id", *names, *numbers])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for _, found in parts(batches):
+            best = found if best is None else _keep_best({c: np.concatenate([best[c], found[c]]) for c in found}, k)
         if best is not None:
-            numbers = [pa.array(best[c].astype(np.int64)) for c in columns[1:]]
-            yield pa.RecordBatch.from_arrays([query["ids"].take(pa.array(best["question_id"])), *numbers], names=columns)
+            yield named(best, [pa.array(best["doc_no"].astype(np.int64))], ["doc_no"])
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, found in parts(batches):
+            at = pa.array(found["row"])
+            yield named(found, [some.column(c).take(at) for c in key], key)
 
-    narrow = index.doc_terms.select("doc_no", "doc_len", "terms")
-    kinds = T.StructType([id_type, *[T.StructField(c, T.LongType()) for c in columns[1:]]])
-    return narrow.mapInArrow(search, kinds)
+    chunk = index.doc_terms.select(*(key if k is None else ["doc_no"])).schema.fields
+    kinds = T.StructType([id_type, *chunk, *[T.StructField(c, T.LongType()) for c in numbers]])
+    if k is None:
+        return index.doc_terms.select("doc_no", *key, "doc_len", "terms").mapInArrow(every, kinds)
+    return index.doc_terms.select("doc_no", "doc_len", "terms").mapInArrow(search, kinds)
 
 
-def _score_batch(query: dict, vocabulary: pa.Array, batch: pa.RecordBatch, k: int, n_masks: int) -> Iterator[dict]:
-    """Score the chunks of a batch against all questions, a few chunks at a time."""
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch that have at most so many terms in all, one row at least."""
+    reached = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(reached):
+        done = reached[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(reached, done + _ENTRIES, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _score_batch(query: dict, vocabulary: pa.Array, batch: pa.RecordBatch, k: int | None, n_masks: int) -> Iterator[dict]:
+    """Score the chunks of a batch against all questions, a few chunks at a time; without ``k`` every match is found, by its row in the batch."""
     numbers = batch.column("doc_no").to_numpy()
     lengths = batch.column("doc_len").to_numpy()
     lists = batch.column("terms")
@@ -223,6 +267,10 @@ def _score_batch(query: dict, vocabulary: pa.Array, batch: pa.RecordBatch, k: in
         # sums of whole numbers far below 2**53: exact in any order
         coarse_sum = np.bincount(cell, coarse[match], cells)
         fine_sum = np.bincount(cell, fine[match], cells)
+        if k is None:
+            kept = np.flatnonzero(np.bincount(cell, minlength=cells))
+            yield {"question_id": kept % n_questions, "row": start + kept // n_questions, "coarse": coarse_sum[kept], "fine": fine_sum[kept]}
+            continue
         score = ((coarse_sum + fine_sum / _UNIT) / _UNIT).reshape(shape)
         if k < shape[0]:
             limit = np.partition(score, shape[0] - k, axis=0)[shape[0] - k]

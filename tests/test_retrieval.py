@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusqa.models import batch_scorer
-from corpusqa.operators import bm25, fusion, inverted_lists, substring, vectors
+from corpusqa.operators import bm25, fusion, inverted_lists, lexical_index, substring, vectors
 from corpusqa.operators.lexical_index import build_index
 from corpusqa.operators.ranking import number_rows
 
@@ -348,3 +348,33 @@ def test_symbols_are_the_signs_of_the_text(spark):
     for n, text in enumerate(texts):
         want = {c for c in "a/b" + ("" if text is None else "\n" + text.lower()) if not c.isalnum()}
         assert set(got[n]) == want and len(got[n]) == len(want)
+
+
+def test_index_tables_of_many_rows_have_more_partitions(spark, monkeypatch):
+    """Sorted partitions stay of one size, and a term is in the table of stretches once per place at most (three times before)."""
+    monkeypatch.setattr(lexical_index, "_SORTED_ROWS", 20)
+    rows = [(f"f{i}", 0, f"lalala word{i} other{i * 7} de") for i in range(60)]
+    index = lexical_index.build_index(spark.createDataFrame(rows, "filename string, chunk_index int, text string"))
+    assert index.postings.select(F.spark_partition_id()).distinct().count() > 1
+    assert len(index.postings.inputFiles()) > 8
+    terms = [r.term for r in index.term_stats.select("term").collect()]
+    assert index.grams.count() <= sum(map(len, terms))
+    got = sorted((r.gram, r.term) for r in lexical_index.beginnings(index.grams).collect())
+    assert got == sorted({(t[i : i + n], t) for t in terms for n in (1, 2, 3) for i in range(len(t) - n + 1)})
+
+
+def test_term_counts(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["é", "z", "𝄞", "￮"])], "n int, tokens array<string>")
+    got = {r.n: [tuple(t) for t in r.c] for r in rows.select("n", lexical_index.term_counts("tokens").alias("c")).collect()}
+    assert got == {1: [("a", 1), ("b", 2)], 2: [], 3: [("z", 1), ("é", 1), ("￮", 1), ("𝄞", 1)]}
+
+
+def test_bm25_score_shuffles_no_pairs(spark):
+    """Every pair comes out of a pass over the forward index, for questions without a number too."""
+    rows = [(f"f{i}", 0, f"common word{i % 5}") for i in range(50)]
+    index = lexical_index.build_index(spark.createDataFrame(rows, "filename string, chunk_index int, text string"))
+    asked = spark.createDataFrame([(1, "common word1"), (2**60 + 1, "word2"), (None, "common")], "question_id bigint, question string")
+    scores = bm25.bm25_score(asked, index)
+    assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+    got = scores.groupBy("question_id").count().collect()
+    assert {r.question_id: r["count"] for r in got} == {1: 50, 2**60 + 1: 10, None: 50}
