@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusqa.operators import chunking as C
@@ -189,3 +190,12 @@ def test_cutting_takes_time_in_proportion_to_the_text(spark):
     frame = spark.createDataFrame([(None,), ("",), ("a.b",), ("| a |",)], "t string")
     assert [r.s for r in frame.select(C.split_sentences(F.col("t")).alias("s")).collect()] == [[None], [""], ["a.b"], ["| a |"]]
     assert [r.s for r in frame.select(C.split_table(F.col("t")).alias("s")).collect()] == [[None], [""], ["a.b"], ["| a |"]]
+
+
+def test_walk_unpacks_a_few_documents_at_a_time():
+    """A batch used to be unpacked whole, so the memory of a Python worker followed its texts."""
+    rows = [[{"content": "x" * 300, "seg_type": "paragraph", "heading": None}] * (i % 4) if i % 5 else None for i in range(50)]
+    segments = pa.array(rows, pa.list_(pa.struct([("content", pa.string()), ("seg_type", pa.string()), ("heading", pa.string())])))
+    cut = list(C._portions(segments.slice(1), 4000))
+    assert len(cut) > 5 and [start for start, _ in cut] == [sum(n for _, n in cut[:i]) for i in range(len(cut))]
+    assert sum(n for _, n in cut) == 49 and max(n for _, n in cut) < 30
