@@ -193,3 +193,10 @@ def test_models_get_the_pictures(spark):
 
     asked = spark.createDataFrame([(1, "q", "p", "c", ["a", "b"]), (2, "fail", "p", "c", [])], "question_id int, question string, prompt string, context string, images array<string>")
     assert {r.question_id: r.answer for r in generate_answers(asked, answer).collect()} == {1: "pa,b", 2: "抱歉，处理您的问题时出现错误: no model"}
+
+
+def test_texts_are_not_dealt_out_to_be_looked_up(spark):
+    """The catalog's chunks used to be shuffled whole before the few that were hit were looked up."""
+    from catalog.queries import _chunks
+
+    assert "Exchange" not in _chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
