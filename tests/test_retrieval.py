@@ -403,7 +403,7 @@ def _many_words(spark):
 def test_words_of_frequent_needles_are_not_kept(spark, monkeypatch):
     chunks, index = _many_words(spark)
     seen = _written(monkeypatch)
-    for query in (substring.like_filter,):
+    for query in (substring.like_filter, substring.like_search_score):
         seen.clear()
         got = query(ask(spark, "abc zabcq", "abc"), chunks, index)
         hits = {(r.question_id, r.filename) for r in got.collect()}
