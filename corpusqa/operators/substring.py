@@ -148,9 +148,9 @@ def keyword_count_score(questions: DataFrame, chunks: DataFrame, index: LexicalI
     needles = materialise(asked.select("needle").distinct(), "needles")
     tests = _tests(needles, index)
     pairs = _tested(_holders(tests, index, n_docs), tests, "needle", index).unionByName(_signs(needles, index))
-    # as many needles per chunk as may occur in it; written, so that its size is known and the texts
-    # stay where they are if it is small
-    per_chunk = pairs.groupBy("doc_no").agg(F.collect_set("needle").alias("needles"))
+    # as many needles per chunk as may occur in it, put together after the pairs are dealt out: a task that reads the index holds none;
+    # written, so that its size is known and the texts stay where they are if it is small
+    per_chunk = pairs.repartition("doc_no").groupBy("doc_no").agg(F.collect_set("needle").alias("needles"))
     per_chunk = materialise(index.with_keys(per_chunk), "candidates")
     counted = _counted(chunks, per_chunk, key)
     scored = (

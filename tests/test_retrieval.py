@@ -413,6 +413,16 @@ def test_words_of_frequent_needles_are_not_kept(spark, monkeypatch):
         assert sum(n for name in seen if name != "candidates" for n, _ in seen[name] if name not in ("wanted", "pairs")) < 60
 
 
+def test_keyword_candidates_are_not_put_together_where_the_index_is_read(spark, monkeypatch):
+    chunks, index = _many_words(spark)
+    seen = _written(monkeypatch)
+    asked = spark.createDataFrame([(0, ["abc", "the end", "zabcq. t"])], "question_id bigint, keywords array<string>")
+    got = substring.keyword_count_score(asked, chunks, index).collect()
+    assert [(r.filename, r.score, r.matched_keywords) for r in got][0] == ("f7", 24, ["abc", "the end", "zabcq. t"]) and len(got) == 5
+    (n, plan), = seen["candidates"]
+    assert n == 60 and "keys=[needle" not in plan
+
+
 def test_chunks_that_share_a_key_are_told_apart_by_their_words(spark):
     """A chunk without the words of a needle adds nothing to another chunk of the same key."""
     rows = [("f", 0, "zero one two three"), ("f", 0, "zero one other"), ("g", 0, "two"), ("h", 0, "two")]
