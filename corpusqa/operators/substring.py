@@ -2,9 +2,9 @@
 
 A needle is cut into runs of letters and digits. A run with something else on both sides in the needle is a word of the text as it
 stands, so the vocabulary has it or the needle occurs nowhere; a run at the edge of a needle lies inside a word, which is found through shared
-stretches of three characters (the index keeps a table of them, sorted). So: needles -> runs -> words -> the run in the fewest
-chunks -> chunks that hold it (inverted index) -> the texts of those chunks, where the needle itself is counted. Every step is an equi-join,
-but for needles that are in so many chunks that the index narrows nothing: these are looked for in every text.
+stretches of three characters (the index has a table of them). So: needles -> runs -> words -> the run in the fewest
+chunks -> chunks that hold it (one pass over the forward index) -> the texts of those chunks, where the needle itself is counted. Every step is an
+equi-join, but for needles that are in so many chunks that the index narrows nothing: these are looked for in every text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from corpusqa.functions.text import contains_all, count_occurrences, store_search_terms
-from corpusqa.operators.lexical_index import GRAM, LexicalIndex
+from corpusqa.operators.lexical_index import GRAM, LexicalIndex, term_frequency
 from corpusqa.operators.ranking import top_k
 from corpusqa.session import materialise
 
@@ -108,7 +108,8 @@ def _holders(tests: DataFrame, index: LexicalIndex, n_docs: int) -> DataFrame:
     edges = rare.where(~whole)
     held = _words(edges.drop("needle").distinct(), index).join(edges, _SOUGHT).select("needle", "term")
     anchors = materialise(terms.unionByName(held), "anchors")
-    found = index.postings.select("term", "doc_no").join(anchors, "term").select("needle", "doc_no")
+    # a join reads an inverted index whole as well, and that had to be sorted before
+    found = term_frequency(index.doc_terms, ["doc_no"]).join(anchors, "term").select("needle", "doc_no")
     return found.unionByName(index.doc_terms.select("doc_no").crossJoin(common).select("needle", "doc_no"))
 
 
@@ -215,10 +216,12 @@ def like_search_score(questions: DataFrame, chunks: DataFrame, index: LexicalInd
     asked, wanted = _wanted(questions, index, most)
     spelled = asked.select("question_id", F.explode("words").alias("needle")).groupBy("question_id", "needle").agg(F.count("*").alias("times"))
     pairs = materialise(wanted.join(spelled, "question_id"), "pairs")
-    per_chunk = pairs.groupBy("doc_no").agg(F.collect_set("needle").alias("needles"))
-    per_chunk = materialise(per_chunk.join(index.doc_terms.select("doc_no", *key), "doc_no"), "candidates")
+    # few chunks have pairs: their texts are dealt out for the counting, not those of all chunks
+    sought = materialise(index.doc_terms.select("doc_no", *key).join(wanted.select("doc_no").distinct(), "doc_no"), "candidates")
+    found = chunks.select(*{*key, "filename", "text"}).join(sought, key).select("doc_no", "filename", "text").repartition("doc_no")
     low = F.struct(F.col("text"), F.lower("text").alias("lowered"), F.col("filename"), F.lower("filename").alias("name"))
-    texts = chunks.select(*key, low.alias("t")).join(per_chunk, key)
+    per_chunk = pairs.groupBy("doc_no").agg(F.collect_set("needle").alias("needles"))
+    texts = found.select("doc_no", low.alias("t")).join(per_chunk, "doc_no")
 
     def judged(n):
         held = F.contains("t.text", n) | F.contains("t.filename", n)

@@ -1,6 +1,7 @@
 """Searches against fixtures and against plain loops."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -431,3 +432,25 @@ def test_chunks_that_share_a_key_are_told_apart_by_their_words(spark):
     asked = spark.createDataFrame([(0, ["o one two t"])], "question_id bigint, keywords array<string>")
     assert [(r.filename, r.score) for r in substring.keyword_count_score(asked, chunks, index).collect()] == [("f", 1)]
     assert [(r.filename, r.text) for r in substring.like_filter(ask(spark, "one two"), chunks, index).collect()] == [("f", "zero one two three")]
+
+
+def test_store_search_pays_for_what_it_reads_only(spark, monkeypatch, tmp_path):
+    """No sorted table is written for it, and only the texts of candidates are dealt out and lower-cased."""
+    rows = [(f"f{i}", 0, f"Word{i} word{i} of the text") for i in range(60)]
+    chunks = spark.createDataFrame(rows, "filename string, chunk_index int, text string")
+    index = lexical_index.build_index(chunks, strip_images=False)
+    seen = _written(monkeypatch)
+    hits = substring.like_search_score(ask(spark, "ord7 the", "word59", "nowhere the"), chunks, index)
+    assert sorted((r.question_id, r.filename, r.score) for r in hits.collect()) == [(0, "f7", 3), (1, "f59", 2)]
+    assert [n for n, _ in seen["candidates"]] == [2]
+    tables = lambda place: {name.split("-")[0] for name in os.listdir(place.removeprefix("file:"))}
+    assert tables(index.path) == {"doc_terms", "corpus_stats", "term_stats"}
+    # tables written when they are read are those of an index that is kept
+    kept = lexical_index.build_index(chunks, str(tmp_path / "kept"), strip_images=False)
+    every = {"doc_terms", "corpus_stats", "term_stats", "postings", "blocks", "grams"}
+    assert tables(kept.path) == every
+    for name in every:
+        spell = lambda i: sorted(map(str, getattr(i, name).collect()))
+        assert spell(index) == spell(kept) == spell(lexical_index.load_index(spark, str(tmp_path / "kept")))
+    assert substring.like_search_score(ask(spark, "ord7 the"), chunks, kept).count() == 1
+    assert index.postings is index.postings and tables(index.path) == every - {"grams"}
