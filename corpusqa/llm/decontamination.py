@@ -16,6 +16,8 @@ SHARE = 0.8  # of a window's words must be equal, each at its place
 LONG_MASKS = ("11111", "111011")
 SHORT_MASKS = ("1111", "11011", "10111", "11101")
 
+PART = 64  # words of an item that a part of it begins its own seeds at; it has the words that their windows reach besides
+
 SENT_SEEDS = 2_000_000  # more seeds of benchmark items than this are joined by a shuffle and not sent to every task
 
 
@@ -76,8 +78,10 @@ def contaminated(
     placed = base.select("doc_id", "text_hash", "doc", _places("doc", least).alias("doc_at"))
     if sum(row["n"] for row in sizes) * len(masks) <= sent:
         looked = placed.select("doc_id", "text_hash", "doc", "doc_at", F.inline(seeds("doc", "doc_at", masks)))
-        hits = looked.where(F.col("seed").isNotNull()).join(F.broadcast(every), ["seed", "span"]).join(F.broadcast(known), "item_id")
-        hits = hits.withColumn("last_at", F.col("item_at"))
+        # Spark holds all hits of a document until it goes on to the next: they have the words around them and not the document
+        hits = looked.where(F.col("seed").isNotNull()).join(F.broadcast(every), ["seed", "span"]).withColumn("last_at", F.col("item_at"))
+        hits = hits.select("doc_id", "text_hash", "item_id", "item_at", "span", "last_at", "doc_at", *_words_around(), F.expr(f"item_at div {PART}").alias("part"))
+        hits = hits.join(F.broadcast(_parts(known)), ["item_id", "part"])
     else:
         looked = placed.select("doc_id", "text_hash", "doc_at", F.inline(seeds("doc", "doc_at", masks))).where(F.col("seed").isNotNull())
         diagonal = (F.col("doc_at") - F.col("item_at")).alias("diagonal")
@@ -87,7 +91,9 @@ def contaminated(
         lines = materialise(lines.select("doc_id", "text_hash", "item_id", "diagonal", "first.item_at", "first.span", "last_at"), "lines").alias("l")
         texts = base.dropDuplicates(["doc_id", "text_hash"]).alias("t")
         same = F.col("l.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("l.text_hash") == F.col("t.text_hash"))
-        hits = lines.join(texts, same).select("l.*", "t.doc").join(known, "item_id").withColumn("doc_at", F.col("diagonal") + F.col("item_at"))
+        hits = lines.join(texts, same).select("l.*", "t.doc", (F.col("diagonal") + F.col("item_at")).alias("doc_at"))
+        hits = hits.select("doc_id", "text_hash", "item_id", "item_at", "span", "last_at", "doc_at", *_words_around())
+        hits = hits.join(known.select("item_id", F.size("item").alias("item_size"), F.lit(0).alias("item_from"), "item"), "item_id")
     return (
         hits.select("doc_id", "text_hash", "item_id", _best_window().alias("best"))
         .where(F.col("best").isNotNull())
@@ -97,20 +103,35 @@ def contaminated(
     )
 
 
+def _words_around() -> list[Column]:
+    """doc_size, doc_from and the words (doc) from there on that windows around a hit can lie over."""
+    start = F.greatest(F.lit(0), F.col("doc_at") + F.col("span") - WINDOW)
+    reach = F.col("last_at") - F.col("item_at") + 2 * WINDOW
+    return [F.size("doc").alias("doc_size"), start.alias("doc_from"), F.slice("doc", start + 1, reach).alias("doc")]
+
+
+def _parts(known: DataFrame) -> DataFrame:
+    """(item_id, part, item_size, item_from, item): an item in parts, each with the words that windows around the seeds of ``PART`` places can lie over."""
+    start = F.greatest(F.lit(0), F.col("part") * PART - WINDOW).cast("int")
+    listed = known.select("item_id", "item", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size(item) - 1) div {PART}"))).alias("part"))
+    return listed.select("item_id", "part", F.size("item").alias("item_size"), start.alias("item_from"), F.slice("item", start + 1, PART + 2 * WINDOW).alias("item"))
+
+
 def _best_window() -> Column:
     """Of the windows around a hit that have words enough in common, the best; null if there is none.
 
     A window lies within the item and the document, does not end before the seed does and does not begin after ``last_at``.
+    ``item`` and ``doc`` hold the words from number item_from and doc_from on.
     """
-    n, size = F.size("item"), F.size("doc")
+    n, size = F.col("item_size"), F.col("doc_size")
     width = F.least(F.lit(WINDOW), n)
     diagonal = F.col("doc_at") - F.col("item_at")
     first = F.greatest(F.lit(0), -diagonal, F.col("item_at") + F.col("span") - width)
     last = F.least(F.col("last_at"), n - width, size - diagonal - width)
 
     def window(start: Column) -> Column:
-        equal = F.zip_with(F.slice("item", start + 1, width), F.slice("doc", start + diagonal + 1, width), lambda a, b: (a == b).cast("int"))
-        total = F.aggregate(equal, F.lit(0), lambda a, b: a + b)
+        mine, theirs = F.slice("item", start - F.col("item_from") + 1, width), F.slice("doc", start + diagonal - F.col("doc_from") + 1, width)
+        total = F.aggregate(F.zip_with(mine, theirs, lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
         return F.struct(total.alias("n_equal"), width.alias("n_words"), (-(start + diagonal)).alias("doc_back"), (-start).alias("item_back"))
 
     starts = F.when(first <= last, F.sequence(first, last))

@@ -99,6 +99,20 @@ def test_short_items(spark):
         assert found(D.contaminated(frame, asked, sent=sent, least_words=3)).keys() == {(3, 3), (3, 4)}
 
 
+def test_hits_do_not_hold_the_document(spark):
+    """A long document of one passage, again and again: its hits with all of its words would be some 200 GB, and items over the length of a part are compared whole."""
+    r = random.Random(4)
+    item = [f"w{i}" for i in range(30)]
+    long = [f"v{i}" for i in range(400)]
+    changed = [w if i % 6 else "zzz" for i, w in enumerate(long)]
+    docs = [(1, " ".join(item * 4000)), (2, " ".join(["x"] * 3 + changed[130:260] + ["y"])), (3, " ".join(long[300:314])), (4, " ".join(long[r.randint(60, 70) :]))]
+    items = [(1, " ".join(item)), (2, " ".join(long))]
+    frame, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    wanted = {(1, 1): (15, 15, 0, 0)} | plain(docs[1:], items)
+    assert found(D.contaminated(frame, asked)) == wanted and wanted.keys() == {(1, 1), (2, 2), (4, 2)}
+    assert found(D.contaminated(frame, asked, sent=0)) == wanted
+
+
 def shuffled(frame):
     """Bytes that the exchanges of a frame took, when it has run."""
     frame.collect()
