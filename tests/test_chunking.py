@@ -1,8 +1,15 @@
+import random
+import string
+import time
+from pathlib import Path
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corpusqa import session
 from corpusqa.operators import chunking as C
 from corpusqa.plans.ingest import chunk_pages
+from corpusqa.sources.pages import paginate_text
 
 GUIDE = (
     "# Guide\n\nIntro paragraph one.\n\nShort.\n\n| name | qty |\n|---|---|\n| bolt | 4 |\n\n- first item\n- second item\n\n"
@@ -199,3 +206,30 @@ def test_walk_unpacks_a_few_documents_at_a_time():
     cut = list(C._portions(segments.slice(1), 4000))
     assert len(cut) > 5 and [start for start, _ in cut] == [sum(n for _, n in cut[:i]) for i in range(len(cut))]
     assert sum(n for _, n in cut) == 49 and max(n for _, n in cut) < 30
+
+
+def test_disk_of_chunk_pages(spark):
+    """Pages and chunks are written once, without what their texts hold already, and shuffles are removed when a table is written."""
+    r = random.Random(6)
+    texts = [(f"f{i}", "s", " ".join("".join(r.choices(string.ascii_lowercase, k=r.randint(2, 9))) for _ in range(1500))) for i in range(100)]
+    pages = paginate_text(spark.createDataFrame(texts, "filename string, source string, text string"))
+    root = Path(session.checkpoint_root(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in root.rglob("*.parquet"))
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in map(str, spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files.getAllFiles())) if "shuffle_" in f}
+    before, kept = size(), shuffles()
+    assert chunk_pages(pages).where("type = 'page'").count() == pages.count()
+    assert size() - before < 2 * sum(len(t) for _, _, t in texts)
+    kept = shuffles()
+    session.materialise(pages.repartition("filename"), "pages")
+    until = time.perf_counter() + 20
+    while shuffles() - kept and time.perf_counter() < until:
+        time.sleep(0.1)
+    assert not shuffles() - kept
+    assert spark.conf.get(session._CLEAN_UP) == "false"
+
+
+def test_numbers_of_pages(spark):
+    pages = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("a", None, "z"), ("b", 7, "u"), (None, 1, "v")], "filename string, page_number int, text string")
+    chunks = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "filename string")
+    assert sorted((r.filename, r.chunk_index, r.text) for r in C.number_chunks(chunks, pages).collect()) == [("a", 2, "z"), ("a", 3, "y"), ("a", 4, "x"), ("b", 0, "u")]
