@@ -37,6 +37,24 @@ def test_read_documents(spark, tmp_path):
     assert files.read_csv_as_text(spark, str(tmp_path / "up")).count() == 2
 
 
+def test_read_documents_as_the_stream_does(spark, tmp_path):
+    """The same files and names as by Spark's reader, which a stream and places that only Hadoop knows still use; no task for each 32 small files."""
+    root = tmp_path / "u p+%é"
+    names = "a b.TXT|sub/说明+1.md|sub/x%20y.txt|d=1/_k=2/z.csv|d=1/_hid/z.csv|.h/z.csv|.z.txt|_z.txt|_z=1.txt|_metadata.txt|c.txt._COPYING_|e/f/g/h'(1)[2]{3}.md|q?*.txt"
+    for name in [*names.split("|"), "n\u00a0b.txt", 'q"<>^`.txt', "😀.txt", "a#b;c.txt", "new\nline.txt", "no.exe", "empty.txt", "bad.TxT"]:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"" if name == "empty.txt" else b"\xff\xfe x\r\n" if name == "bad.TxT" else name.encode())
+    for limit in (None, 6):
+        old, new = files.text_reader(spark.read, str(root), limit), files.read_documents(spark, str(root), limit)
+        assert new.schema == old.schema and sorted(map(repr, new.collect())) == sorted(map(repr, old.collect()))
+    assert new.count() == 13 and files.read_documents(spark, str(root / "a b.TXT")).count() == 1
+    place = str(tmp_path / "many")
+    files.write_texts(spark.range(3000).select(F.col("id").cast("string").alias("value")).coalesce(1), place)
+    read = files.read_documents(spark, place)
+    assert read.rdd.getNumPartitions() < 10 and read.count() == 3000
+    assert int(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > 2**40  # not sent to all tasks by a join
+
+
 def test_read_images(spark, tmp_path):
     row = files.read_images(spark, str(folder(tmp_path))).first()
     assert (row.filename, row.page_number) == ("p.PNG", 1)
