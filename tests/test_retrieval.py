@@ -454,3 +454,45 @@ def test_store_search_pays_for_what_it_reads_only(spark, monkeypatch, tmp_path):
         assert spell(index) == spell(kept) == spell(lexical_index.load_index(spark, str(tmp_path / "kept")))
     assert substring.like_search_score(ask(spark, "ord7 the"), chunks, kept).count() == 1
     assert index.postings is index.postings and tables(index.path) == every - {"grams"}
+
+
+def test_hits_of_many_passes(spark, monkeypatch):
+    """Each task of a pass returns k hits a question: with many questions, passes keep the cores at work and a pass needs few tasks."""
+    r = np.random.default_rng(3)
+    stored = [(f"f{i:04d}", r.normal(size=8).astype("float32").tolist()) for i in range(640)]
+    vdf = spark.createDataFrame(stored, "filename string, vector array<float>").repartition(64)
+    qdf = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(stored[:40])], "question_id bigint, vector array<float>")
+    whole = sorted(map(tuple, vectors.nearest(qdf, vdf, 5, ["filename"]).collect()))
+    index = inverted_lists.build_vector_index(vdf, None, ["filename"], n_lists=40)
+    monkeypatch.setattr(vectors, "BLOCK_HITS", 25)  # eight passes
+    for module in (vectors, inverted_lists):
+        top_k, made = module.top_k, []
+        monkeypatch.setattr(module, "top_k", lambda frame, *a: made.append(frame.count()) or top_k(frame, *a))
+        found = vectors.nearest(qdf, vdf, 5, ["filename"]) if module is vectors else inverted_lists.nearest_approx(qdf, index, 5, 40)
+        assert sorted(map(tuple, found.collect())) == whole
+        assert made[0] <= vectors.LEAST_TASKS * 40 * 5
+
+
+@pytest.mark.parametrize("case", ["even", "copies", "near copies", "far off", "short", "long", "mixed", "infinite", "zeros"])
+def test_pairs_near_a_limit(case):
+    """Distances are looked through in single precision first: none that counts is lost, whatever the lengths of the vectors."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(600, 16))
+    if case == "copies":
+        x[50:400] = x[50]
+    elif case == "near copies":
+        x = np.repeat(x[:6], 100, axis=0) + r.normal(size=x.shape) * 1e-5
+    elif case == "mixed":
+        x *= 10.0 ** r.integers(-30, 30, size=(600, 1))
+    elif case == "infinite":
+        x[3, 3] = np.inf
+    else:
+        x = x * {"short": 1e-25, "long": 1e30, "zeros": 0.0}.get(case, 1.0) + (1000 if case == "far off" else 0)
+    asked = x[20:60]
+    best = vectors.Best(np.arange(40), asked, ["name"], 7)
+    for low in range(0, 600, 150):
+        best.add(pd.DataFrame({"name": [f"v{n:04d}" for n in range(low, low + 150)], "vector": list(x[low : low + 150])}))
+    got = next(best.rows()).sort_values(["question_id", "distance", "name"])
+    distance = ((x[None, :, :] - asked[:, None, :]) ** 2).sum(axis=2)
+    want = [(q, f"v{n:04d}", distance[q, n]) for q in range(40) for n in sorted(range(600), key=lambda n: (distance[q, n], n))[:7]]
+    assert list(got.itertuples(index=False, name=None)) == want
